@@ -74,4 +74,4 @@ def decoded(content: Column, charset: Column) -> Column:
     return F.when(
         F.upper(charset).isin("UTF-8", "UTF8"),
         F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")),
-    ).otherwise(F.decode(content, charset))
+    ).otherwise(F.call_function("decode", content, charset))

@@ -143,12 +143,12 @@ def summary_sheet(tokenised: DataFrame, frequency: DataFrame, languages: list[st
     average = average_tokens(tokenised).select(
         "language",
         F.lit("Avg. tokens per file").alias("metric"),
-        F.format_number("avg_tokens", "0.00").alias("value"),
+        F.col("avg_tokens").cast("string").alias("value"),
     )
     names = {1: "Most frequent token", 2: "2nd most frequent token", 3: "3rd most frequent token"}
     labels = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     top = top_tokens(frequency, 3).select(
-        "language", F.get(F.array(labels[F.col("rank")]), F.lit(0)).alias("metric"), F.col("token").alias("value")
+        "language", labels[F.col("rank")].alias("metric"), F.col("token").alias("value")
     )
     counts = F.create_map(*[F.lit(x) for pair in KEYWORD_COUNTS.items() for x in pair])
     keywords = average.select(

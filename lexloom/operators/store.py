@@ -122,6 +122,31 @@ def dense_index(
     )
 
 
+def rank_within(
+    df: DataFrame, key: str, order: str, name: str, block: int = 10_000
+) -> DataFrame:
+    """Add the 1-based rank by a unique non-negative number within each key.
+
+    Ranks are counted per block of `block` numbers and the block counts are
+    summed up, so a key that holds most rows is still ranked by many tasks.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    earlier = (
+        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    bases = (
+        blocked.groupBy(key, "_block")
+        .agg(F.count("*").alias("_rows"))
+        .select(key, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    )
+    inside = Window.partitionBy(key, "_block").orderBy(order)
+    return (
+        blocked.join(bases, [key, "_block"])
+        .withColumn(name, F.col("_base") + F.row_number().over(inside))
+        .drop("_block", "_base")
+    )
+
+
 # --- merges ------------------------------------------------------------------
 
 

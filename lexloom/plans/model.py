@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import lexis
 from lexloom.functions.text import byte_length, content_hash
 from lexloom.operators.profile import tokenise
-from lexloom.operators.store import latest_progress
+from lexloom.operators.store import first_arrivals, latest_progress, rank_within
 
 # Document language to the programming language it stands for.
 LANGUAGE_OF = {"en": "Python", "de": "C++", "es": "C#", "fr": "Go"}
@@ -172,8 +172,6 @@ def other_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled part of the corpus, one row per hash: a merge target."""
-    from lexloom.operators.store import first_arrivals
-
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return first_arrivals(code(spark, sf).drop("page").join(labels, "id", "left_semi"))
 
@@ -194,15 +192,13 @@ def crawled(spark: SparkSession, sf: str) -> DataFrame:
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """`embeddings` as word vectors, labelled `language_keyword` for the four
     languages and `keyword_label_rest` for the others."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    ranked = rank_within(table(spark, sf, "embeddings"), "label", "vec_id", "_rank")
     names = dict(enumerate(LANGUAGE_OF.values()))
     language = F.lit(None).cast("string")
     for label, name in names.items():
         language = F.when(F.col("label") == label, name).otherwise(language)
-    keyword = F.concat(F.lit("k"), rank.cast("string"))
-    return table(spark, sf, "embeddings").select(
+    keyword = F.concat(F.lit("k"), F.col("_rank").cast("string"))
+    return ranked.select(
         "vec_id",
         language.alias("language"),
         keyword.alias("keyword"),

@@ -113,7 +113,11 @@ def language_extensions() -> list[tuple[str, str]]:
 
 def keyword_rows() -> list[tuple[str, str]]:
     """(set_name, token) pairs."""
-    return [(name, token) for name, tokens in KEYWORD_SETS.items() for token in tokens]
+    return [
+        (name, token)
+        for name, tokens in KEYWORD_SETS.items()
+        for token in dict.fromkeys(tokens)
+    ]
 
 
 def fixed_rows(rows: list[tuple[str, ...]]) -> str:
