@@ -145,13 +145,15 @@ def predict_center(
     Candidates are the words counted with at least one context word; every
     other word scores below all of them.
     """
-    words = contexts.select("key", F.explode("context").alias("context"))
-    base = words.join(floors, "context").groupBy("key").agg(F.sum("floor").alias("_base"))
+    known = contexts.select("key", F.explode("context").alias("context")).join(floors, "context")
+    based = known.groupBy("key").agg(
+        F.sum("floor").alias("_base"), F.collect_list("context").alias("_words")
+    )
     scored = (
-        words.join(gains, "context")
-        .groupBy("key", "center")
+        based.select("key", "_base", F.explode("_words").alias("context"))
+        .join(gains, "context")
+        .groupBy("key", "_base", "center")
         .agg(F.sum("gain").alias("_gain"))
-        .join(base, "key")
         .select("key", "center", F.round(F.col("_base") + F.col("_gain"), 6).alias("score"))
     )
     ranking = Window.partitionBy("key").orderBy(F.desc("score"), "center")
@@ -181,15 +183,15 @@ def continue_prompts(
     gains: DataFrame,
     floors: DataFrame,
     steps: int = STEPS,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """Extend every prompt (key, tokens) step by step, all prompts at once.
 
-    Each step is one scoring join over the prompt table; the plan is cut by a
-    written table every few steps. Prompts without a known word stay as is.
+    Each step is one scoring join over the prompt table, written down so that
+    the next step does not run it again. Prompts without a known word stay as
+    they are.
     """
-    state = prompts.select("key", "tokens")
-    for step in range(1, steps + 1):
+    state = durable(prompts.select("key", "tokens"), "prompts")
+    for _ in range(steps):
         last = F.slice(
             F.col("tokens"), F.greatest(F.size("tokens") - RECENT, F.lit(0)) + 1, F.lit(RECENT)
         )
@@ -199,12 +201,11 @@ def continue_prompts(
         candidates = best.groupBy("key").agg(
             F.transform(ordered, lambda s: s["center"]).alias("candidates")
         )
-        state = state.join(candidates, "key", "left").select(
+        extended = state.join(candidates, "key", "left").select(
             "key",
             F.when(F.col("candidates").isNull(), F.col("tokens"))
             .otherwise(_append_allowed(F.col("tokens"), F.col("candidates")))
             .alias("tokens"),
         )
-        if step % checkpoint_every == 0 and step < steps:
-            state = durable(state, "prompts")
+        state = durable(extended, "prompts")
     return state
