@@ -1,17 +1,19 @@
-"""Masking of declared names as VARIABLE in a long token table.
+"""Masking of declared names as VARIABLE.
 
 Declarations are found from neighbouring tokens, per language; a name is
-masked from its first declaration to the end of the file. All windows share
-the file as their partition, so a table already hashed by `doc_id` is masked
-without a further shuffle, and no window is larger than one file.
+masked from its first declaration to the end of the file. Everything happens
+on the token list of one file with array functions, so a corpus is masked in
+the stage that tokenised it and no token is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.lexis import NEWLINE, VARIABLE
+from lexloom.functions.lexis import NEWLINE, VARIABLE, bind
 from lexloom.schema import KEYWORD_SETS
 
 # Built-in type words of each language.
@@ -51,143 +53,184 @@ ASCII_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
 UNICODE_NAME = r"^@?[\p{L}\p{Nl}_]"
 
 
+Near = Callable[[int], Column]
+
+
 def _name(token: Column, pattern: str, reserved: list[str]) -> Column:
     return token.rlike(pattern) & ~token.isin(reserved + LITERALS)
 
 
-def cpp_declares(before: list[Column], token: Column, after: list[Column]) -> Column:
+def cpp_declares(near: Near) -> Column:
     """`type name` followed by `=`, `;` or `[`."""
-    typed = before[0].isin(CPP_TYPES) | _name(before[0], ASCII_NAME, CPP_WORDS + CPP_TYPES)
-    typed = typed | (before[0].isin("*", "&") & before[1].isin(CPP_TYPES))
-    return (
-        _name(token, ASCII_NAME, CPP_WORDS + CPP_TYPES)
-        & typed
-        & after[0].isin("=", ";", "[")
-    )
+    words = CPP_WORDS + CPP_TYPES
+    typed = near(-1).isin(CPP_TYPES) | _name(near(-1), ASCII_NAME, words)
+    typed = typed | (near(-1).isin("*", "&") & near(-2).isin(CPP_TYPES))
+    return near(1).isin("=", ";", "[") & _name(near(0), ASCII_NAME, words) & typed
 
 
-def csharp_declares(before: list[Column], token: Column, after: list[Column]) -> Column:
+def csharp_declares(near: Near) -> Column:
     """`type name` followed by `=`, `;`, `,` or `)`, parameters included."""
-    typed = before[0].isin(CSHARP_TYPES) | _name(
-        before[0], UNICODE_NAME, CSHARP_WORDS + CSHARP_TYPES
-    )
-    typed = typed | (before[0].isin("]", "?") & before[1].isin("[", *CSHARP_TYPES))
-    return (
-        _name(token, UNICODE_NAME, CSHARP_WORDS + CSHARP_TYPES)
-        & typed
-        & after[0].isin("=", ";", ",", ")")
-    )
+    words = CSHARP_WORDS + CSHARP_TYPES
+    typed = near(-1).isin(CSHARP_TYPES) | _name(near(-1), UNICODE_NAME, words)
+    typed = typed | (near(-1).isin("]", "?") & near(-2).isin("[", *CSHARP_TYPES))
+    return near(1).isin("=", ";", ",", ")") & _name(near(0), UNICODE_NAME, words) & typed
 
 
-def go_declares(before: list[Column], token: Column, after: list[Column]) -> Column:
+def go_declares(near: Near) -> Column:
     """`var`/`const` names, `:=` targets except of `range`, `name type` pairs."""
-    target = (after[0] == ":=") & ~F.coalesce(after[1] == "range", F.lit(False))
-    first_of_two = (
-        (after[0] == ",")
-        & _name(after[1], UNICODE_NAME, GO_WORDS)
-        & (after[2] == ":=")
-        & ~F.coalesce(after[3] == "range", F.lit(False))
-    )
-    starts_type = after[0].isin(GO_TYPE_STARTS) | _name(after[0], UNICODE_NAME, GO_WORDS)
-    starts_type = starts_type | ((after[0] == "[") & (after[1] == "]"))
-    typed = before[0].isin("(", ",", "{", ";", NEWLINE) & starts_type
-    return _name(token, UNICODE_NAME, GO_WORDS) & (
-        before[0].isin("var", "const") | target | first_of_two | typed
-    )
 
+    def assigned(at: int) -> Column:
+        ranged = F.coalesce(near(at + 1) == "range", F.lit(False))
+        return (near(at) == ":=") & ~ranged
 
-def python_declares(
-    before: list[Column], token: Column, after: list[Column], parameter: Column
-) -> Column:
-    """Assignment targets, attributes set, parameters and `with ... as` names."""
-    starts = F.coalesce(before[0].isin(NEWLINE, ";", ":", "=", "."), F.lit(True))
-    assigned = starts & (after[0] == "=")
-    captured = (before[0] == "as") & (after[0] == ":")
-    return _name(token, UNICODE_NAME, PYTHON_WORDS) & (assigned | captured | parameter)
-
-
-def _python_parameters(rows: DataFrame) -> DataFrame:
-    """Add `parameter`: a name in the parentheses right after `def name` or in
-    `lambda ... :`."""
-    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.when(F.col("token").isin("(", "[", "{"), 1).when(
-        F.col("token").isin(")", "]", "}"), -1
-    ).otherwise(0)
-    starts = F.col("token").isin("def", "lambda")
-    rows = (
-        rows.withColumn("_depth", F.sum(turn).over(so_far))
-        .withColumn("_header", F.sum(F.when(starts, 1).otherwise(0)).over(so_far))
-    )
-    in_header = (
-        Window.partitionBy("doc_id", "_header")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    opener = F.first("token").over(in_header)
-    outer = F.first("_depth").over(in_header)
-    since = F.col("pos") - F.first("pos").over(in_header)
-    rows = rows.withColumns({"_opener": opener, "_outer": outer, "_since": since})
-    left = F.when(
-        (F.col("_opener") == "def") & (F.col("_since") >= 2) & (F.col("_depth") <= F.col("_outer")), 1
-    ).when(
-        (F.col("_opener") == "lambda")
-        & (F.col("_since") >= 1)
-        & ((F.col("_depth") < F.col("_outer")) | ((F.col("token") == ":") & (F.col("_depth") == F.col("_outer")))),
-        1,
-    )
-    header_open = F.max(left).over(in_header).isNull()
-    level = F.col("_depth") == F.col("_outer") + F.when(F.col("_opener") == "def", 1).otherwise(0)
-    entered = F.when(
-        F.col("_opener") == "def", (F.col("_since") >= 3) & F.col("before_1").isin("(", ",", "*", "**")
-    ).otherwise((F.col("_since") >= 1) & F.col("before_1").isin("lambda", ",", "*", "**"))
-    parameter = (F.col("_header") > 0) & header_open & level & entered
-    return rows.withColumn("parameter", F.coalesce(parameter, F.lit(False)))
-
-
-def mark_declarations(rows: DataFrame) -> DataFrame:
-    """Add `declares` to (doc_id, language, pos, token)."""
-    in_file = Window.partitionBy("doc_id").orderBy("pos")
-    near = {f"before_{n}": F.lag("token", n).over(in_file) for n in (1, 2)}
-    near |= {f"after_{n}": F.lead("token", n).over(in_file) for n in (1, 2, 3, 4)}
-    rows = _python_parameters(rows.withColumns(near))
-    before = [F.col("before_1"), F.col("before_2")]
-    after = [F.col(f"after_{n}") for n in (1, 2, 3, 4)]
-    token = F.col("token")
-    language = F.col("language")
-    declares = (
-        F.when(language == "C++", cpp_declares(before, token, after))
-        .when(language == "C#", csharp_declares(before, token, after))
-        .when(language == "Go", go_declares(before, token, after))
-        .when(language == "Python", python_declares(before, token, after, F.col("parameter")))
-    )
-    return rows.select(
-        "doc_id", "language", "pos", "token", F.coalesce(declares, F.lit(False)).alias("declares")
+    first_of_two = (near(1) == ",") & assigned(3) & _name(near(2), UNICODE_NAME, GO_WORDS)
+    starts_type = near(1).isin(GO_TYPE_STARTS) | _name(near(1), UNICODE_NAME, GO_WORDS)
+    starts_type = starts_type | ((near(1) == "[") & (near(2) == "]"))
+    typed = near(-1).isin("(", ",", "{", ";", NEWLINE) & starts_type
+    return _name(near(0), UNICODE_NAME, GO_WORDS) & (
+        near(-1).isin("var", "const") | assigned(1) | first_of_two | typed
     )
 
 
-def mask_declared(rows: DataFrame) -> DataFrame:
-    """Replace declared names by VARIABLE from their declaration on."""
-    same_name = (
-        Window.partitionBy("doc_id", "token")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    declared = F.max(F.col("declares")).over(same_name)
-    return mark_declarations(rows).select(
-        "doc_id",
-        "language",
-        "pos",
-        F.when(declared, VARIABLE).otherwise(F.col("token")).alias("token"),
+def python_declares(near: Near) -> Column:
+    """Assignment targets, attributes set and `with ... as` names."""
+    starts = F.coalesce(near(-1).isin(NEWLINE, ";", ":", "=", "."), F.lit(True))
+    assigned = (near(1) == "=") & starts
+    captured = (near(1) == ":") & (near(-1) == "as")
+    return (assigned | captured) & _name(near(0), UNICODE_NAME, PYTHON_WORDS)
+
+
+def _marks(tokens: Column, declares: Callable[[Near], Column]) -> Column:
+    """Declared (name, pos) pairs in order of position."""
+
+    def mark(t, i):
+        found = declares(lambda n: t if n == 0 else F.get(tokens, i + n))
+        return F.when(found, F.struct(t.alias("name"), i.alias("pos")))
+
+    return F.filter(F.transform(tokens, mark), lambda m: m.isNotNull())
+
+
+def _parameters(tokens: Column) -> Column:
+    """Parameters of `def name (...)` and `lambda ... :` as (name, pos) pairs.
+
+    Each header is followed up to the next one; what comes after its closing
+    bracket or colon leaves the state untouched.
+    """
+    headers = F.filter(
+        F.transform(tokens, lambda t, i: F.when(t.isin("def", "lambda"), i)),
+        lambda i: i.isNotNull(),
     )
 
+    def follow(first: Column, length: Column) -> Column:
+        start = F.struct(
+            F.lit(0).alias("since"),
+            F.lit(0).alias("depth"),
+            F.lit("").alias("before"),
+            F.lit(True).alias("open"),
+            (F.get(tokens, first) == "def").alias("named"),
+            F.array().cast("array<struct<name:string,pos:int>>").alias("found"),
+        )
+
+        def step(state, t):
+            turn = (
+                F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+            )
+            since, named = state["since"], state["named"]
+
+            def with_depth(depth):
+                closes = F.when(named, (since >= 2) & (depth <= 0)).otherwise(
+                    (since >= 1) & ((depth < 0) | ((t == ":") & (depth == 0)))
+                )
+                entered = F.when(
+                    named, (since >= 3) & (depth == 1) & state["before"].isin("(", ",", "*", "**")
+                ).otherwise(
+                    (since >= 1) & (depth == 0) & state["before"].isin("lambda", ",", "*", "**")
+                )
+                parameter = ~closes & entered & _name(t, UNICODE_NAME, PYTHON_WORDS)
+                pair = F.struct(t.alias("name"), (first + since).alias("pos"))
+                return F.struct(
+                    (since + 1).alias("since"),
+                    depth.alias("depth"),
+                    t.alias("before"),
+                    (~closes).alias("open"),
+                    named.alias("named"),
+                    F.when(parameter, F.concat(state["found"], F.array(pair)))
+                    .otherwise(state["found"])
+                    .alias("found"),
+                )
+
+            return F.when(~state["open"], state).otherwise(
+                bind(state["depth"] + turn, with_depth)
+            )
+
+        return F.aggregate(
+            F.slice(tokens, first + 1, length), start, step, lambda state: state["found"]
+        )
+
+    def all_headers(headers):
+        def one(first, k):
+            following = F.coalesce(F.get(headers, k + 1), F.size(tokens))
+            return follow(first, following - first)
+
+        return F.flatten(F.transform(headers, one))
+
+    return bind(headers, all_headers)
+
+
+def _python_marks(tokens: Column) -> Column:
+    both = F.concat(_marks(tokens, python_declares), _parameters(tokens))
+    return F.array_sort(both, lambda a, b: a["pos"] - b["pos"])
+
+
+MARKS: dict[str, Callable[[Column], Column]] = {
+    "C++": lambda tokens: _marks(tokens, cpp_declares),
+    "C#": lambda tokens: _marks(tokens, csharp_declares),
+    "Go": lambda tokens: _marks(tokens, go_declares),
+    "Python": _python_marks,
+}
+
+
+def masked(language: Column, tokens: Column) -> Column:
+    """Token list with declared names replaced from their declaration on."""
+
+    def firsts(marks):
+        names = F.transform(marks, lambda m: m["name"])
+        return bind(
+            names,
+            lambda names: F.filter(
+                marks, lambda m, k: F.array_position(names, m["name"]) == k + 1
+            ),
+        )
+
+    def replaced(tokens, firsts):
+        names = F.transform(firsts, lambda m: m["name"])
+        places = F.transform(firsts, lambda m: m["pos"])
+
+        def with_names(names, places):
+            def replace(t, i):
+                at = F.array_position(names, t).cast("int") - 1
+                return F.when(F.get(places, at) <= i, VARIABLE).otherwise(t)
+
+            return F.transform(tokens, replace)
+
+        return bind(names, lambda n: bind(places, lambda p: with_names(n, p)))
+
+    def of_file(tokens):
+        marks = F.when(F.lit(False), None)
+        for name, find in MARKS.items():
+            marks = marks.when(language == name, find(tokens))
+        return bind(
+            marks,
+            lambda marks: F.when(marks.isNull(), tokens).otherwise(
+                bind(firsts(marks), lambda firsts: replaced(tokens, firsts))
+            ),
+        )
+
+    return bind(tokens, of_file)
+
 
 def masked_tokens(tokenised: DataFrame) -> DataFrame:
-    """Token lists with declared names masked; files are hashed by id first,
-    while they are still one compact row each."""
-    from lexloom.operators.profile import token_rows
-
-    rows = mask_declared(token_rows(tokenised.repartition("doc_id")))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return rows.groupBy("doc_id", "language").agg(
-        F.transform(ordered, lambda s: s["token"]).alias("tokens")
+    """(doc_id, language, tokens) with declared names masked."""
+    return tokenised.select(
+        "doc_id", "language", masked(F.col("language"), F.col("tokens")).alias("tokens")
     )

@@ -10,17 +10,6 @@ from lexloom.functions.text import sheet_row
 from lexloom.schema import FREQUENCY_STEPS, KEYWORD_COUNTS, keyword_dim
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hash files over the cores where the scan has fewer splits than cores.
-
-    Large inputs have many splits and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def tokenise(
     files: DataFrame, ignored: list[str] | None = None, generic: bool = False
 ) -> DataFrame:
@@ -31,7 +20,7 @@ def tokenise(
         if generic
         else tokens_by_language(F.col("language"), content, ignored)
     )
-    return spread(files).select("doc_id", "language", tokens.alias("tokens"))
+    return files.select("doc_id", "language", tokens.alias("tokens"))
 
 
 def token_rows(tokenised: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from lexloom.functions import lexis
 from lexloom.functions.text import byte_length, content_hash
 from lexloom.operators.profile import tokenise
 from lexloom.operators.store import first_arrivals, latest_progress, rank_within
+from lexloom.sources.corpus import spread
 
 # Document language to the programming language it stands for.
 LANGUAGE_OF = {"en": "Python", "de": "C++", "es": "C#", "fr": "Go"}
@@ -98,7 +99,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
 
 def prose(spark: SparkSession, sf: str) -> DataFrame:
     """`documents` as files of running text."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).select(
         "doc_id", chosen(F.col("lang"), LANGUAGE_OF).alias("language"), F.col("text").alias("content")
     )
 

@@ -193,7 +193,7 @@ _CODE_TEXT_SQL = (
 
 
 def _tokens_of(spark: SparkSession, sf: str, language: str) -> DataFrame:
-    files = profile.spread(store.of_language(model.code_files(spark, sf), language))
+    files = store.of_language(model.code_files(spark, sf), language)
     tokens = lexis.TOKENISERS[language](F.col("content"))
     return files.select("doc_id", tokens.alias("tokens")).select(
         "doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens")
@@ -303,10 +303,7 @@ _DEPTHS_SQL = """
     ),
 )
 def t07(spark: SparkSession, sf: str) -> DataFrame:
-    files = model.code_files(spark, sf).repartition("doc_id")
-    tokens = lexis.tokens_by_language(F.col("language"), F.col("content"))
-    tokenised = files.select("doc_id", "language", tokens.alias("tokens"))
-    return declared.mask_declared(profile.token_rows(tokenised))
+    return profile.token_rows(declared.masked_tokens(model.code_tokens(spark, sf)))
 
 
 @query("t08_token_table", with_frames("SELECT doc_id, language, pos, token FROM tok", "tok"))

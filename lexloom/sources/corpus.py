@@ -19,6 +19,18 @@ def corpus_frame(source: DataFrame, language: str | None = None) -> DataFrame:
     return of_language(source, language).select("language", F.col(text).alias("code"))
 
 
+def spread(scan: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hash the files of a plain scan over all cores if it has too few splits.
+
+    A small input may be one split, which would tokenise on one core. Large
+    inputs have many splits and pass through without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def read_corpus(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
     return corpus_frame(spark.read.parquet(path), language)
 
