@@ -98,8 +98,24 @@ CPP_FLOAT_LITERAL = rf"^(?:{_CPP_FLOAT})[flFL]?$"
 NUMBER_START = r"^\.?[0-9]"
 
 
-def _ends_with(token: Column, *ends: str) -> Column:
-    return F.right(token, F.lit(1)).isin(*ends)
+# Token tests compare bytes in place; a regex or a substring per token would
+# cost more than finding the token did.
+
+
+def _is_quoted(token: Column) -> Column:
+    return token.endswith('"') | token.endswith("'")
+
+
+def _is_number(token: Column) -> Column:
+    return token.between("0", "9\U0010ffff") | token.between(".0", ".9\U0010ffff")
+
+
+def _starts(token: Column, *starts: str) -> Column:
+    tests = [token.startswith(start) for start in starts]
+    either = tests[0]
+    for test in tests[1:]:
+        either = either | test
+    return either
 
 
 def cpp_tokens(text: Column) -> Column:
@@ -109,14 +125,14 @@ def cpp_tokens(text: Column) -> Column:
     """
 
     def kept(t):
-        return ~(F.left(t, F.lit(2)).isin("//", "/*") | t.startswith("#"))
+        return ~_starts(t, "//", "/*", "#")
 
     def folded(t):
         return (
-            F.when(_ends_with(t, '"', "'"), STRING_LITERAL)
+            F.when(_is_quoted(t), STRING_LITERAL)
             .when(t.isin("true", "false"), BOOL_LITERAL)
             .when(
-                t.rlike(NUMBER_START),
+                _is_number(t),
                 F.when(t.rlike(CPP_INTEGER_LITERAL), INT_LITERAL)
                 .when(t.rlike(CPP_FLOAT_LITERAL), FLOAT_LITERAL)
                 .otherwise(t),
@@ -168,14 +184,14 @@ def csharp_tokens(text: Column) -> Column:
     """C#: an interpolated string is one literal; `0.Name` stays as it is."""
 
     def kept(t):
-        return ~(F.left(t, F.lit(2)).isin("//", "/*") | t.startswith("#"))
+        return ~_starts(t, "//", "/*", "#")
 
     def folded(t):
         return (
-            F.when(_ends_with(t, '"', "'"), STRING_LITERAL)
+            F.when(_is_quoted(t), STRING_LITERAL)
             .when(t.isin("true", "false"), BOOL_LITERAL)
             .when(
-                t.rlike(NUMBER_START),
+                _is_number(t),
                 F.when(t.rlike(CSHARP_ACCESS), t)
                 .when(t.rlike(CSHARP_REAL_LITERAL), FLOAT_LITERAL)
                 .otherwise(INT_LITERAL),
@@ -238,21 +254,18 @@ def go_tokens(text: Column) -> Column:
     """Go: runes and imaginary numbers are integers; a statement end is a token."""
 
     def is_break(t):
-        return F.left(t, F.lit(1)).isin("\r", "\n") | (
-            t.startswith("/*") & t.rlike(r"[\r\n]")
-        )
+        return _starts(t, "\r", "\n") | (t.startswith("/*") & t.rlike(r"[\r\n]"))
 
     def kept(t):
-        return ~F.left(t, F.lit(2)).isin("//", "/*") | is_break(t)
+        return ~_starts(t, "//", "/*") | is_break(t)
 
     def folded(t):
-        first = F.left(t, F.lit(1))
         return (
             F.when(is_break(t), NEWLINE)
-            .when(first.isin('"', "`"), STRING_LITERAL)
-            .when(first == "'", INT_LITERAL)
+            .when(_starts(t, '"', "`"), STRING_LITERAL)
+            .when(t.startswith("'"), INT_LITERAL)
             .when(
-                t.rlike(NUMBER_START),
+                _is_number(t),
                 F.when(t.rlike(GO_FLOAT_LITERAL), FLOAT_LITERAL).otherwise(INT_LITERAL),
             )
             .otherwise(t)
@@ -374,14 +387,14 @@ def python_tokens(text: Column) -> Column:
     """Python: one line-end token per logical line, every number one class."""
 
     def kept(t):
-        return ~F.left(t, F.lit(1)).isin("#", "\\") | (t == "\\")
+        return ~_starts(t, "#", "\\") | (t == "\\")
 
     def folded(t):
         return (
-            F.when(_ends_with(t, '"', "'") & (F.length(t) > 1), STRING_LITERAL)
+            F.when(_is_quoted(t) & (F.length(t) > 1), STRING_LITERAL)
             .when(t.isin("True", "False"), BOOL_LITERAL)
-            .when(t.rlike(NUMBER_START), FLOAT_LITERAL)
-            .when(F.left(t, F.lit(1)).isin("\r", "\n", "\f"), NEWLINE)
+            .when(_is_number(t), FLOAT_LITERAL)
+            .when(_starts(t, "\r", "\n", "\f"), NEWLINE)
             .otherwise(t)
         )
 

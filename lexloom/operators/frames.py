@@ -1,8 +1,8 @@
 """Context windows, co-occurrence counts and next-token scoring.
 
 Windows are array slices inside the row of a file, so they need no shuffle.
-Pairs are counted in one direction only and mirrored after the aggregation,
-which halves what the map side has to fold.
+Pairs are counted once without regard to direction and mirrored after the
+aggregation, which halves both the pairs folded and the groups kept.
 """
 
 from __future__ import annotations
@@ -91,18 +91,20 @@ def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
         tokenised.select(F.explode_outer(bind(F.col("tokens"), rights)).alias("frame"))
         .select("frame.center", F.explode_outer("frame.rights").alias("context"))
         .where(F.col("context").isNotNull())
-        .groupBy("center", "context")
-        .agg(F.count("*").alias("n"))
     )
-    both = F.array(
-        F.struct(F.col("center").alias("center"), F.col("context").alias("context")),
-        F.struct(F.col("context").alias("center"), F.col("center").alias("context")),
-    )
-    return (
-        ahead.select(F.explode(both).alias("pair"), "n")
-        .groupBy("pair.center", "pair.context")
-        .agg(F.sum("n").alias("n"))
+    unordered = ahead.groupBy(
+        F.least("center", "context").alias("low"), F.greatest("center", "context").alias("high")
+    ).agg(F.count("*").alias("n"))
+    # Two equal tokens are each other's context, which is twice the same pair.
+    low, high, n = F.col("low"), F.col("high"), F.col("n")
+
+    def counted(center: Column, context: Column, times: Column) -> Column:
+        return F.struct(center.alias("center"), context.alias("context"), times.alias("n"))
+
+    both = F.when(low == high, F.array(counted(low, high, 2 * n))).otherwise(
+        F.array(counted(low, high, n), counted(high, low, n))
     )
+    return unordered.select(F.inline(both))
 
 
 def positive_pmi(pairs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def spread(scan: DataFrame, key: str = "doc_id") -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores, key)
+    return scan.repartition(3 * cores, key)
 
 
 def read_corpus(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
