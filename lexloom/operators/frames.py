@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.lexis import bind
 from lexloom.operators.profile import token_rows
+from lexloom.operators.store import dense_index
 from lexloom.session import durable
 
 # Tokens that may repeat within the recent tokens of a
@@ -61,19 +62,21 @@ def recent_frames(tokenised: DataFrame, recent: int = RECENT) -> DataFrame:
     )
 
 
+def _regrouped(rows: DataFrame, column: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("pos", column)))
+    return rows.groupBy("doc_id", "language").agg(
+        F.transform(ordered, lambda s: s[column]).alias("tokens")
+    )
+
+
 def pruned(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Token lists without the tokens that are not in the vocabulary.
 
     Files are hashed by id while they are compact, so regrouping the tokens of
     a file stays in its partition.
     """
-    kept = token_rows(tokenised.repartition("doc_id")).join(
-        vocabulary.select("token"), "token", "left_semi"
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return kept.groupBy("doc_id", "language").agg(
-        F.transform(ordered, lambda s: s["token"]).alias("tokens")
-    )
+    rows = token_rows(tokenised.repartition("doc_id"))
+    return _regrouped(rows.join(vocabulary.select("token"), "token", "left_semi"), "token")
 
 
 def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
@@ -107,6 +110,30 @@ def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
     return unordered.select(F.inline(both))
 
 
+def corpus_pairs(tokenised: DataFrame, frequent: DataFrame, window: int = 5) -> DataFrame:
+    """Pair counts over the tokens of `frequent` (token, freq) only.
+
+    The join that drops the other tokens also turns tokens into numbers, so
+    that pairs are shuffled and compared as numbers; they get their tokens
+    back when they are counted.
+    """
+    index = durable(
+        dense_index(frequent, [F.desc("freq"), F.col("token")], "_id").select(
+            F.col("_id").cast("int").alias("_id"), "token"
+        ),
+        "index",
+    )
+    rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
+    numbered = pair_counts(_regrouped(rows, "_id"), window)
+    centers = index.select(F.col("_id").alias("center"), F.col("token").alias("_center"))
+    contexts = index.select(F.col("_id").alias("context"), F.col("token").alias("_context"))
+    return (
+        numbered.join(centers, "center")
+        .join(contexts, "context")
+        .select(F.col("_center").alias("center"), F.col("_context").alias("context"), "n")
+    )
+
+
 def positive_pmi(pairs: DataFrame) -> DataFrame:
     """Positive pointwise mutual information of counted pairs.
 
@@ -148,8 +175,13 @@ def predict_center(
     other word scores below all of them.
     """
     known = contexts.select("key", F.explode("context").alias("context")).join(floors, "context")
-    based = known.groupBy("key").agg(
-        F.sum("floor").alias("_base"), F.collect_list("context").alias("_words")
+    # Written down, a small batch of contexts is known to be small and is
+    # broadcast to the pairs instead of shuffling them.
+    based = durable(
+        known.groupBy("key").agg(
+            F.sum("floor").alias("_base"), F.collect_list("context").alias("_words")
+        ),
+        "contexts",
     )
     scored = (
         based.select("key", "_base", F.explode("_words").alias("context"))

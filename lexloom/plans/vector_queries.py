@@ -19,11 +19,11 @@ ALPHA = 0.1
 EXTRA_WORDS = ["foreach", "dataclass"]
 
 
-def _pruned(spark: SparkSession, sf: str) -> DataFrame:
-    """Prose tokens without rare ones, ready for windows."""
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair counts of the prose tokens without rare ones."""
     tokenised = durable(model.prose_tokens(spark, sf), "tokens")
     frequent = durable(profile.frequent_tokens(profile.token_rows(tokenised), MIN_COUNT), "frequent")
-    return frames.pruned(tokenised, frequent)
+    return frames.corpus_pairs(tokenised, frequent, WINDOW)
 
 
 _PAIR_FRAMES = {
@@ -175,7 +175,7 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e03_pair_counts", with_frames("SELECT * FROM pairs", "tok", "total", **_PAIR_FRAMES))
 def e03(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.pair_counts(_pruned(spark, sf), WINDOW)
+    return _pairs(spark, sf)
 
 
 @query("e04_positive_pmi", with_frames(
@@ -185,12 +185,12 @@ def e03(spark: SparkSession, sf: str) -> DataFrame:
     sums="SELECT center, sum(n) AS t FROM pairs GROUP BY center",
 ))
 def e04(spark: SparkSession, sf: str) -> DataFrame:
-    ppmi = frames.positive_pmi(frames.pair_counts(_pruned(spark, sf), WINDOW))
+    ppmi = frames.positive_pmi(_pairs(spark, sf))
     return ppmi.withColumn("ppmi", F.round("ppmi", 4))
 
 
 def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return frames.score_tables(frames.pair_counts(_pruned(spark, sf), WINDOW), ALPHA)
+    return frames.score_tables(_pairs(spark, sf), ALPHA)
 
 
 @query("e09_predict_center", with_frames(

@@ -52,6 +52,9 @@ def test_pruning_comes_before_windows(docs, spark):
     pruned = [[t for t in tokens if t in WORDS[:5]] for tokens in DOCS]
     found = {(r.center, r.context): r.n for r in frames.pair_counts(frames.pruned(docs, kept)).collect()}
     assert found == counted(pruned)
+    frequent = kept.withColumn("freq", F.length("token").cast("long"))
+    found = {(r.center, r.context): r.n for r in frames.corpus_pairs(docs, frequent).collect()}
+    assert found == counted(pruned)
 
 
 def test_positive_pmi(docs):
