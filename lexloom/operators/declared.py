@@ -47,33 +47,72 @@ CSHARP_WORDS = sorted(
 GO_WORDS = KEYWORD_SETS["Go"]
 PYTHON_WORDS = KEYWORD_SETS["Python"] + ["elif"]
 
+# What makes the name before it an assignment target.
+PYTHON_ASSIGNMENTS = [
+    "=", "+=", "-=", "*=", "@=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=",
+    "**=", "//=",
+]
+
+# Tokens before a colon that opens a clause on the same line.
+PYTHON_CLAUSE_ENDS = [")", "else", "finally", "try"]
+
 LITERALS = ["STRING_LITERAL", "INT_LITERAL", "FLOAT_LITERAL", "BOOL_LITERAL"]
 
 ASCII_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
 UNICODE_NAME = r"^@?[\p{L}\p{Nl}_]"
 
 
+# Token at a distance. Every rule below asks first what most tokens fail.
 Near = Callable[[int], Column]
 
 
+def _among(token: Column, words: list[str]) -> Column:
+    """Membership in a list of words, as one literal in the plan."""
+    return F.find_in_set(token, F.lit(",".join(words))) > 0
+
+
 def _name(token: Column, pattern: str, reserved: list[str]) -> Column:
-    return token.rlike(pattern) & ~token.isin(reserved + LITERALS)
+    return token.rlike(pattern) & ~_among(token, reserved + LITERALS)
+
+
+def _typed(near: Near, at: int, types: list[str], pattern: str, reserved: list[str]) -> Column:
+    """The token at `at` can be the type of a declaration."""
+    return _among(near(at), types) | _name(near(at), pattern, reserved + types)
 
 
 def cpp_declares(near: Near) -> Column:
-    """`type name` followed by `=`, `;` or `[`."""
+    """`type name` followed by `=`, `;` or `[`, and `type name, name`."""
     words = CPP_WORDS + CPP_TYPES
-    typed = near(-1).isin(CPP_TYPES) | _name(near(-1), ASCII_NAME, words)
-    typed = typed | (near(-1).isin("*", "&") & near(-2).isin(CPP_TYPES))
-    return near(1).isin("=", ";", "[") & _name(near(0), ASCII_NAME, words) & typed
+    typed = _typed(near, -1, CPP_TYPES, ASCII_NAME, CPP_WORDS)
+    typed = typed | (near(-1).isin("*", "&") & _among(near(-2), CPP_TYPES))
+    ends = near(1).isin("=", ";", "[")
+    first_of_two = (near(1) == ",") & near(3).isin("=", ";", ",") & _name(near(2), ASCII_NAME, words)
+    second_of_two = (
+        (near(-1) == ",")
+        & near(1).isin("=", ";")
+        & _name(near(-2), ASCII_NAME, words)
+        & _typed(near, -3, CPP_TYPES, ASCII_NAME, CPP_WORDS)
+    )
+    return near(1).isin("=", ";", "[", ",") & _name(near(0), ASCII_NAME, words) & (
+        second_of_two | ((ends | first_of_two) & typed)
+    )
 
 
 def csharp_declares(near: Near) -> Column:
-    """`type name` followed by `=`, `;`, `,` or `)`, parameters included."""
+    """`type name` followed by `=`, `;`, `,` or `)`, parameters included, and
+    `type name, name`."""
     words = CSHARP_WORDS + CSHARP_TYPES
-    typed = near(-1).isin(CSHARP_TYPES) | _name(near(-1), UNICODE_NAME, words)
-    typed = typed | (near(-1).isin("]", "?") & near(-2).isin("[", *CSHARP_TYPES))
-    return near(1).isin("=", ";", ",", ")") & _name(near(0), UNICODE_NAME, words) & typed
+    typed = _typed(near, -1, CSHARP_TYPES, UNICODE_NAME, CSHARP_WORDS)
+    typed = typed | (near(-1).isin("]", "?") & _among(near(-2), ["[", *CSHARP_TYPES]))
+    second_of_two = (
+        (near(-1) == ",")
+        & near(1).isin("=", ";")
+        & _name(near(-2), UNICODE_NAME, words)
+        & _typed(near, -3, CSHARP_TYPES, UNICODE_NAME, CSHARP_WORDS)
+    )
+    return near(1).isin("=", ";", ",", ")") & _name(near(0), UNICODE_NAME, words) & (
+        typed | second_of_two
+    )
 
 
 def go_declares(near: Near) -> Column:
@@ -84,20 +123,45 @@ def go_declares(near: Near) -> Column:
         return (near(at) == ":=") & ~ranged
 
     first_of_two = (near(1) == ",") & assigned(3) & _name(near(2), UNICODE_NAME, GO_WORDS)
-    starts_type = near(1).isin(GO_TYPE_STARTS) | _name(near(1), UNICODE_NAME, GO_WORDS)
+    starts_type = _among(near(1), GO_TYPE_STARTS) | _name(near(1), UNICODE_NAME, GO_WORDS)
     starts_type = starts_type | ((near(1) == "[") & (near(2) == "]"))
     typed = near(-1).isin("(", ",", "{", ";", NEWLINE) & starts_type
-    return _name(near(0), UNICODE_NAME, GO_WORDS) & (
-        near(-1).isin("var", "const") | assigned(1) | first_of_two | typed
+    likely = near(-1).isin("(", ",", "{", ";", NEWLINE, "var", "const") | near(1).isin(":=", ",")
+    return (
+        likely
+        & _name(near(0), UNICODE_NAME, GO_WORDS)
+        & (near(-1).isin("var", "const") | assigned(1) | first_of_two | typed)
     )
 
 
 def python_declares(near: Near) -> Column:
-    """Assignment targets, attributes set and `with ... as` names."""
-    starts = F.coalesce(near(-1).isin(NEWLINE, ";", ":", "=", "."), F.lit(True))
-    assigned = (near(1) == "=") & starts
+    """Assignment targets (one or two names), attributes set, annotated names
+    and `with ... as` names."""
+    # A colon starts a statement after these; elsewhere a type may follow it.
+    clause = (near(-1) == ":") & near(-2).isin(PYTHON_CLAUSE_ENDS)
+    starts = F.coalesce(near(-1).isin(NEWLINE, ";", "=", "."), F.lit(True)) | clause
+    assigned = _among(near(1), PYTHON_ASSIGNMENTS) & starts
+    first_of_two = (
+        (near(1) == ",")
+        & (near(3) == "=")
+        & starts
+        & _name(near(2), UNICODE_NAME, PYTHON_WORDS)
+    )
+    second_of_two = (
+        (near(1) == "=")
+        & (near(-1) == ",")
+        & F.coalesce(near(-3).isin(NEWLINE, ";"), F.lit(True))
+        & _name(near(-2), UNICODE_NAME, PYTHON_WORDS)
+    )
+    annotated = (
+        (near(1) == ":")
+        & (near(3) == "=")
+        & F.coalesce(near(-1).isin(NEWLINE, ";"), F.lit(True))
+    )
     captured = (near(1) == ":") & (near(-1) == "as")
-    return (assigned | captured) & _name(near(0), UNICODE_NAME, PYTHON_WORDS)
+    target = assigned | first_of_two | second_of_two | annotated | captured
+    likely = near(1).isin(",", ":") | near(1).endswith("=")
+    return likely & _name(near(0), UNICODE_NAME, PYTHON_WORDS) & target
 
 
 def _marks(tokens: Column, declares: Callable[[Near], Column]) -> Column:

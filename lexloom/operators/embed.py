@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -11,8 +9,6 @@ from pyspark.sql import functions as F
 
 from lexloom.operators.store import of_language
 
-TOKENS_PER_PARTITION = 5_000_000
-
 
 def train_vectors(
     tokenised: DataFrame,
@@ -26,14 +22,13 @@ def train_vectors(
 ) -> Word2VecModel:
     """Skip-gram vectors of a tokenised corpus.
 
-    Partitions train in parallel and are averaged after each pass, so their
-    number follows the corpus size; only one partition repeats exactly.
+    Partitions train in parallel and are averaged after each pass; one per core
+    unless given, and only a single one repeats exactly. The trained model has
+    one row per frequent token and is held by the driver, as MLlib does it.
     """
     corpus = tokenised.where(F.col("tokens").isNotNull()).select("tokens")
     if partitions is None:
-        tokens = corpus.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-        cores = corpus.sparkSession.sparkContext.defaultParallelism
-        partitions = max(cores, math.ceil(tokens / TOKENS_PER_PARTITION))
+        partitions = corpus.sparkSession.sparkContext.defaultParallelism
     return Word2Vec(
         vectorSize=size,
         windowSize=window,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.lexis import generic_tokens, tokens_by_language
 from lexloom.functions.text import sheet_row
+from lexloom.operators.store import dense_index
 from lexloom.schema import FREQUENCY_STEPS, KEYWORD_COUNTS, keyword_dim
 
 
@@ -23,6 +24,14 @@ def tokenise(
     return files.select("doc_id", "language", tokens.alias("tokens"))
 
 
+def tokenise_document(spark: SparkSession, document: str, language: str | None) -> list[str] | None:
+    """Tokens of one text: the corpus job on a table of one row."""
+    files = spark.createDataFrame(
+        [(0, language, document)], "doc_id long, language string, content string"
+    )
+    return tokenise(files).first()["tokens"]
+
+
 def token_rows(tokenised: DataFrame) -> DataFrame:
     """One row per token: (doc_id, language, pos, token).
 
@@ -99,6 +108,11 @@ def frequent_tokens(rows: DataFrame, min_count: int = 10) -> DataFrame:
     return total_frequency(rows).where(F.col("freq") >= min_count)
 
 
+def vocabulary_index(rows: DataFrame) -> DataFrame:
+    """(token, idx): sorted tokens numbered from 0, to look up either way."""
+    return dense_index(vocabulary(rows), [F.col("token")], "idx")
+
+
 def shared_tokens(rows: DataFrame, languages: int) -> DataFrame:
     """Tokens of every one of `languages` languages, and tokens of just one."""
     spread_over = rows.groupBy("token").agg(

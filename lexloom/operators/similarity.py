@@ -18,7 +18,7 @@ from lexloom.session import durable
 
 # Rows per block of the batched similarity; a pair of blocks fills
 # BLOCK_ROWS * BLOCK_ROWS * 8 bytes of one task's memory.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 
 
 def known_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -59,10 +59,12 @@ def _best_in_block(topn: int):
                     if token in position:
                         scores[row, position[token]] = -np.inf
             tokens = words["token"].to_numpy()
+            nth = min(topn, len(tokens))
+            least = np.partition(scores, -nth, axis=1)[:, -nth]
             for row, query in enumerate(queries["query"]):
-                # Stable order on sorted tokens: equal scores go by token.
-                order = np.argsort(-scores[row], kind="stable")[:topn]
-                order = order[np.isfinite(scores[row][order])]
+                # Everything that ties with the last place is ordered by token.
+                best = np.flatnonzero((scores[row] >= least[row]) & np.isfinite(scores[row]))
+                order = best[np.argsort(-scores[row][best], kind="stable")][:topn]
                 columns["query"].extend([query] * len(order))
                 columns["token"].extend(tokens[order])
                 columns["score"].extend(scores[row][order])

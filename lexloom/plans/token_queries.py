@@ -247,14 +247,27 @@ def _name_sql(column: str, pattern: str, reserved: list[str]) -> str:
 _CPP_ALL = declared.CPP_WORDS + declared.CPP_TYPES
 _CS_ALL = declared.CSHARP_WORDS + declared.CSHARP_TYPES
 
+_CPP_TYPED = (
+    f"(b1 IN ({_words(declared.CPP_TYPES)}) OR {_name_sql('b1', declared.ASCII_NAME, _CPP_ALL)} "
+    f"OR (b1 IN ('*', '&') AND b2 IN ({_words(declared.CPP_TYPES)})))"
+)
+_PY_STARTS = (
+    "(b1 IS NULL OR b1 IN (chr(10), ';', '=', '.') "
+    f"OR (b1 = ':' AND b2 IN ({_words(declared.PYTHON_CLAUSE_ENDS)})))"
+)
+
 _MARKED_SQL = f"""
   SELECT doc_id, language, pos, token, coalesce(CASE language
-    WHEN 'C++' THEN {_name_sql('token', declared.ASCII_NAME, _CPP_ALL)} AND a1 IN ('=', ';', '[')
-      AND (b1 IN ({_words(declared.CPP_TYPES)}) OR {_name_sql('b1', declared.ASCII_NAME, _CPP_ALL)}
-        OR (b1 IN ('*', '&') AND b2 IN ({_words(declared.CPP_TYPES)})))
-    WHEN 'C#' THEN {_name_sql('token', declared.UNICODE_NAME, _CS_ALL)} AND a1 IN ('=', ';', ',', ')')
-      AND (b1 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b1', declared.UNICODE_NAME, _CS_ALL)}
-        OR (b1 IN (']', '?') AND b2 IN ('[', {_words(declared.CSHARP_TYPES)})))
+    WHEN 'C++' THEN {_name_sql('token', declared.ASCII_NAME, _CPP_ALL)} AND (
+      coalesce(a1 IN ('=', ';', '[') AND {_CPP_TYPED}, false)
+      OR coalesce(a1 = ',' AND a3 IN ('=', ';', ',') AND {_name_sql('a2', declared.ASCII_NAME, _CPP_ALL)} AND {_CPP_TYPED}, false)
+      OR coalesce(b1 = ',' AND a1 IN ('=', ';') AND {_name_sql('b2', declared.ASCII_NAME, _CPP_ALL)}
+        AND (b3 IN ({_words(declared.CPP_TYPES)}) OR {_name_sql('b3', declared.ASCII_NAME, _CPP_ALL)}), false))
+    WHEN 'C#' THEN {_name_sql('token', declared.UNICODE_NAME, _CS_ALL)} AND (
+      coalesce(a1 IN ('=', ';', ',', ')') AND (b1 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b1', declared.UNICODE_NAME, _CS_ALL)}
+        OR (b1 IN (']', '?') AND b2 IN ('[', {_words(declared.CSHARP_TYPES)}))), false)
+      OR coalesce(b1 = ',' AND a1 IN ('=', ';') AND {_name_sql('b2', declared.UNICODE_NAME, _CS_ALL)}
+        AND (b3 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b3', declared.UNICODE_NAME, _CS_ALL)}), false))
     WHEN 'Go' THEN {_name_sql('token', declared.UNICODE_NAME, declared.GO_WORDS)} AND (
       coalesce(b1 IN ('var', 'const'), false)
       OR coalesce(a1 = ':=' AND coalesce(a2 <> 'range', true), false)
@@ -262,11 +275,14 @@ _MARKED_SQL = f"""
       OR coalesce(b1 IN ('(', ',', '{{', ';', chr(10)) AND (a1 IN ({_words(declared.GO_TYPE_STARTS)})
         OR {_name_sql('a1', declared.UNICODE_NAME, declared.GO_WORDS)} OR (a1 = '[' AND a2 = ']')), false))
     WHEN 'Python' THEN {_name_sql('token', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (
-      coalesce(coalesce(b1 IN (chr(10), ';', ':', '=', '.'), true) AND a1 = '=', false)
+      coalesce({_PY_STARTS} AND a1 IN ({_words(declared.PYTHON_ASSIGNMENTS)}), false)
+      OR coalesce({_PY_STARTS} AND a1 = ',' AND a3 = '=' AND {_name_sql('a2', declared.UNICODE_NAME, declared.PYTHON_WORDS)}, false)
+      OR coalesce(a1 = '=' AND b1 = ',' AND {_name_sql('b2', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (b3 IS NULL OR b3 IN (chr(10), ';')), false)
+      OR coalesce(a1 = ':' AND a3 = '=' AND (b1 IS NULL OR b1 IN (chr(10), ';')), false)
       OR coalesce(b1 = 'as' AND a1 = ':', false)
       OR (doc_id, pos) IN (SELECT doc_id, pos FROM parameters))
     ELSE false END, false) AS declares
-  FROM (SELECT *, lag(token, 1) OVER f AS b1, lag(token, 2) OVER f AS b2, lead(token, 1) OVER f AS a1,
+  FROM (SELECT *, lag(token, 1) OVER f AS b1, lag(token, 2) OVER f AS b2, lag(token, 3) OVER f AS b3, lead(token, 1) OVER f AS a1,
       lead(token, 2) OVER f AS a2, lead(token, 3) OVER f AS a3, lead(token, 4) OVER f AS a4
     FROM code_tok WINDOW f AS (PARTITION BY doc_id ORDER BY pos))"""
 
@@ -499,7 +515,7 @@ def u03(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def w05(spark: SparkSession, sf: str) -> DataFrame:
-    return store.dense_index(profile.vocabulary(_rows(spark, sf)), [F.col("token")], "idx")
+    return profile.vocabulary_index(_rows(spark, sf))
 
 
 _SLICE = "array_to_string({part}, ' ')"

@@ -101,6 +101,24 @@ def test_names_are_masked_from_their_declaration_on(spark):
     assert row.tokens == "print ( a ) \n VARIABLE = FLOAT_LITERAL \n print ( VARIABLE ) \n".split(" ")
 
 
+@pytest.mark.parametrize(
+    "language,text,names",
+    [
+        ("C++", "int a, b; Foo c, d = a; int f(int p, Foo q) { return p; }", {"a", "b", "c", "d"}),
+        ("C#", "int a, b; F(c, d); string[] e = null;", {"a", "b", "e"}),
+        ("Go", "var a int\nconst b = 1\nc, d := 1, 2\nfunc f(p string, q []int) {}\n", {"a", "b", "c", "d", "p", "q"}),
+        ("Python", "a, b = 1, 2\nc += f(a, k=b)\nd: int = 3\nfor e in d:\n  g.h = e\n", {"a", "b", "c", "d", "h"}),
+        ("Python", "def f(a: int = 3, *b): c = 1\nif f(q): d = 2\n", {"a", "b", "c", "d"}),
+    ],
+)
+def test_declared_names(spark, language, text, names):
+    tokenised = tokens_of(spark, [(1, language, text)])
+    (plain,), (masked,) = tokenised.collect(), declared.masked_tokens(tokenised).collect()
+    hidden = {p for p, m in zip(plain.tokens, masked.tokens) if p != m}
+    assert hidden == names
+    assert set(masked.tokens) - set(plain.tokens) == {"VARIABLE"}
+
+
 def test_files_do_not_share_names(spark):
     rows = [(1, "C++", "int a = 1;"), (2, "C++", "a = 2;")]
     masked = {r.doc_id: r.tokens for r in declared.masked_tokens(tokens_of(spark, rows)).collect()}
