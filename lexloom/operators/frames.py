@@ -7,13 +7,15 @@ aggregation, which halves both the pairs folded and the groups kept.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.lexis import bind
 from lexloom.operators.profile import token_rows
 from lexloom.operators.store import dense_index
-from lexloom.session import durable
+from lexloom.session import broadcast_if_small, durable
 
 # Tokens that may repeat within the recent tokens of a
 # continuation, how many tokens are recent, candidates per step, and steps.
@@ -70,13 +72,15 @@ def _regrouped(rows: DataFrame, column: str) -> DataFrame:
 
 
 def pruned(tokenised: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Token lists without the tokens that are not in the vocabulary.
+    """Token lists without the tokens that are not in the vocabulary (a stored
+    table).
 
     Files are hashed by id while they are compact, so regrouping the tokens of
     a file stays in its partition.
     """
     rows = token_rows(tokenised.repartition("doc_id"))
-    return _regrouped(rows.join(vocabulary.select("token"), "token", "left_semi"), "token")
+    kept = rows.join(broadcast_if_small(vocabulary.select("token")), "token", "left_semi")
+    return _regrouped(kept, "token")
 
 
 def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
@@ -110,36 +114,43 @@ def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
     return unordered.select(F.inline(both))
 
 
-def corpus_pairs(tokenised: DataFrame, frequent: DataFrame, window: int = 5) -> DataFrame:
-    """Pair counts over the tokens of `frequent` (token, freq) only.
+def numbered_pairs(
+    tokenised: DataFrame, frequent: DataFrame, window: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Pair counts over the tokens of `frequent` only, as numbers.
 
-    The join that drops the other tokens also turns tokens into numbers, so
-    that pairs are shuffled and compared as numbers; they get their tokens
-    back when they are counted.
+    Returns (word, token) and (center, context, n). The join that drops the
+    other tokens also turns tokens into numbers, so that pairs are shuffled and
+    compared as numbers. Numbers sort like the tokens they stand for.
     """
-    index = durable(
-        dense_index(frequent, [F.desc("freq"), F.col("token")], "_id").select(
-            F.col("_id").cast("int").alias("_id"), "token"
-        ),
-        "index",
-    )
-    rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
-    numbered = pair_counts(_regrouped(rows, "_id"), window)
-    centers = index.select(F.col("_id").alias("center"), F.col("token").alias("_center"))
-    contexts = index.select(F.col("_id").alias("context"), F.col("token").alias("_context"))
+    numbered = dense_index(frequent.select("token"), [F.col("token")], "word")
+    index = durable(numbered.select(F.col("word").cast("int").alias("word"), "token"), "index")
+    rows = token_rows(tokenised.repartition("doc_id")).join(broadcast_if_small(index), "token")
+    return index, durable(pair_counts(_regrouped(rows, "word"), window), "pairs")
+
+
+def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Numbered pairs with their tokens, other columns kept."""
+    centers = index.select(F.col("word").alias("center"), F.col("token").alias("_center"))
+    contexts = index.select(F.col("word").alias("context"), F.col("token").alias("_context"))
+    others = [name for name in pairs.columns if name not in ("center", "context")]
     return (
-        numbered.join(centers, "center")
+        pairs.join(centers, "center")
         .join(contexts, "context")
-        .select(F.col("_center").alias("center"), F.col("_context").alias("context"), "n")
+        .select(F.col("_center").alias("center"), F.col("_context").alias("context"), *others)
     )
 
 
+def corpus_pairs(tokenised: DataFrame, frequent: DataFrame, window: int = 5) -> DataFrame:
+    """(center, context, n) over the tokens of `frequent` only."""
+    return named_pairs(*numbered_pairs(tokenised, frequent, window))
+
+
 def positive_pmi(pairs: DataFrame) -> DataFrame:
-    """Positive pointwise mutual information of counted pairs.
+    """Positive pointwise mutual information of counted pairs (a stored table).
 
     Counts are symmetric, so one set of totals serves both sides.
     """
-    pairs = durable(pairs, "pairs")
     totals = durable(pairs.groupBy("center").agg(F.sum("n").alias("total")), "totals")
     whole = totals.select(F.sum("total").cast("double")).scalar()
     score = F.log(F.col("n") * whole / (F.col("_a").cast("double") * F.col("_b")))
@@ -150,48 +161,55 @@ def positive_pmi(pairs: DataFrame) -> DataFrame:
     )
 
 
-def score_tables(pairs: DataFrame, alpha: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Smoothed log probabilities of co-occurring pairs, and their floor.
+class Scores(NamedTuple):
+    """Smoothed log probabilities of counted pairs.
 
-    log P(center | context) is `floor` for a pair never seen and
+    log P(center | context) is the context's `floor` for a pair never seen and
     `floor + gain` for a counted one.
     """
-    pairs = durable(pairs, "pairs")
+
+    words: DataFrame  # token, word, floor
+    gains: DataFrame  # context, center (numbers), gain
+
+
+def score_tables(index: DataFrame, pairs: DataFrame, alpha: float = 0.1) -> Scores:
     totals = durable(pairs.groupBy("context").agg(F.sum("n").alias("total")), "totals")
     words = totals.select(F.count("*").cast("double")).scalar()
     floors = totals.select(
-        "context", F.log(alpha / (F.col("total") + alpha * words)).alias("floor")
+        F.col("context").alias("word"),
+        F.log(alpha / (F.col("total") + alpha * words)).alias("floor"),
     )
     gains = pairs.select("context", "center", F.log((F.col("n") + alpha) / alpha).alias("gain"))
-    return gains, floors
+    return Scores(durable(index.join(floors, "word"), "words"), durable(gains, "gains"))
 
 
-def predict_center(
-    contexts: DataFrame, gains: DataFrame, floors: DataFrame, topn: int = CANDIDATES
-) -> DataFrame:
+def predict_center(contexts: DataFrame, scores: Scores, topn: int = CANDIDATES) -> DataFrame:
     """Best center words for each (key, context array).
 
     Candidates are the words counted with at least one context word; every
     other word scores below all of them.
     """
-    known = contexts.select("key", F.explode("context").alias("context")).join(floors, "context")
+    known = contexts.select("key", F.explode("context").alias("token")).join(scores.words, "token")
     # Written down, a small batch of contexts is known to be small and is
     # broadcast to the pairs instead of shuffling them.
     based = durable(
         known.groupBy("key").agg(
-            F.sum("floor").alias("_base"), F.collect_list("context").alias("_words")
+            F.sum("floor").alias("_base"), F.collect_list("word").alias("_words")
         ),
         "contexts",
     )
     scored = (
         based.select("key", "_base", F.explode("_words").alias("context"))
-        .join(gains, "context")
+        .join(scores.gains, "context")
         .groupBy("key", "_base", "center")
         .agg(F.sum("gain").alias("_gain"))
         .select("key", "center", F.round(F.col("_base") + F.col("_gain"), 6).alias("score"))
     )
+    # Numbers sort like tokens, so equal scores go by token.
     ranking = Window.partitionBy("key").orderBy(F.desc("score"), "center")
-    return scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)
+    best = scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)
+    names = scores.words.select(F.col("word").alias("center"), "token")
+    return best.join(names, "center").select("key", F.col("token").alias("center"), "score", "rank")
 
 
 def _append_allowed(recent: Column, candidates: Column) -> Column:
@@ -214,8 +232,7 @@ def _append_allowed(recent: Column, candidates: Column) -> Column:
 
 def continue_prompts(
     prompts: DataFrame,
-    gains: DataFrame,
-    floors: DataFrame,
+    scores: Scores,
     steps: int = STEPS,
 ) -> DataFrame:
     """Extend every prompt (key, tokens) step by step, all prompts at once.
@@ -230,7 +247,7 @@ def continue_prompts(
             F.col("tokens"), F.greatest(F.size("tokens") - RECENT, F.lit(0)) + 1, F.lit(RECENT)
         )
         contexts = state.select("key", last.alias("context"))
-        best = predict_center(contexts, gains, floors)
+        best = predict_center(contexts, scores)
         ordered = F.array_sort(F.collect_list(F.struct("rank", "center")))
         candidates = best.groupBy("key").agg(
             F.transform(ordered, lambda s: s["center"]).alias("candidates")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import joined_document, label_keyword, label_language
 from lexloom.functions.vectors import dot, unit
 from lexloom.operators.profile import token_rows
-from lexloom.session import durable
+from lexloom.session import broadcast_if_small, durable
 
 # Rows per block of the batched similarity; a pair of blocks fills
 # BLOCK_ROWS * BLOCK_ROWS * 8 bytes of one task's memory.
@@ -144,8 +144,9 @@ def most_similar(terms: DataFrame, vectors: DataFrame, topn: int = 10) -> DataFr
 
 
 def rewritten(tokenised: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Each token replaced by its nearest neighbour; unknown tokens stay."""
-    near = neighbours.select("token", "neighbour")
+    """Each token replaced by its nearest neighbour (a stored table); unknown
+    tokens stay."""
+    near = broadcast_if_small(neighbours.select("token", "neighbour"))
     rows = token_rows(tokenised.repartition("doc_id")).join(near, "token", "left")
     swapped = F.coalesce("neighbour", "token").alias("token")
     ordered = F.array_sort(F.collect_list(F.struct("pos", swapped)))

@@ -19,11 +19,11 @@ ALPHA = 0.1
 EXTRA_WORDS = ["foreach", "dataclass"]
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pair counts of the prose tokens without rare ones."""
+def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words and pair counts of the prose tokens without rare ones."""
     tokenised = durable(model.prose_tokens(spark, sf), "tokens")
     frequent = durable(profile.frequent_tokens(profile.token_rows(tokenised), MIN_COUNT), "frequent")
-    return frames.corpus_pairs(tokenised, frequent, WINDOW)
+    return frames.numbered_pairs(tokenised, frequent, WINDOW)
 
 
 _PAIR_FRAMES = {
@@ -175,7 +175,7 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e03_pair_counts", with_frames("SELECT * FROM pairs", "tok", "total", **_PAIR_FRAMES))
 def e03(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf)
+    return frames.named_pairs(*_pairs(spark, sf))
 
 
 @query("e04_positive_pmi", with_frames(
@@ -185,12 +185,13 @@ def e03(spark: SparkSession, sf: str) -> DataFrame:
     sums="SELECT center, sum(n) AS t FROM pairs GROUP BY center",
 ))
 def e04(spark: SparkSession, sf: str) -> DataFrame:
-    ppmi = frames.positive_pmi(_pairs(spark, sf))
-    return ppmi.withColumn("ppmi", F.round("ppmi", 4))
+    index, pairs = _pairs(spark, sf)
+    ppmi = frames.positive_pmi(pairs).withColumn("ppmi", F.round("ppmi", 4))
+    return frames.named_pairs(index, ppmi)
 
 
-def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return frames.score_tables(_pairs(spark, sf), ALPHA)
+def _scores(spark: SparkSession, sf: str) -> frames.Scores:
+    return frames.score_tables(*_pairs(spark, sf), ALPHA)
 
 
 @query("e09_predict_center", with_frames(
@@ -206,13 +207,13 @@ def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def e09(spark: SparkSession, sf: str) -> DataFrame:
     last = F.slice("tokens", F.greatest(F.size("tokens") - frames.RECENT, F.lit(0)) + 1, F.lit(frames.RECENT))
     contexts = benchmark_tokens(spark, sf).select(F.col("doc_id").alias("key"), last.alias("context"))
-    return frames.predict_center(contexts, *_scores(spark, sf)).select("key", "center", "rank")
+    return frames.predict_center(contexts, _scores(spark, sf)).select("key", "center", "rank")
 
 
 @query("e10_continue_prompts")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     prompts = benchmark_tokens(spark, sf).select(F.col("doc_id").alias("key"), "tokens")
-    continued = frames.continue_prompts(prompts, *_scores(spark, sf))
+    continued = frames.continue_prompts(prompts, _scores(spark, sf))
     return continued.select("key", F.array_join("tokens", " ").alias("text"))
 
 

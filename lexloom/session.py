@@ -6,8 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,9 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate results."""
+    return f"{shared_dir(spark)}/lexloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the run folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_run_folder(spark: SparkSession) -> None:
+    """Delete this application's intermediate results when they are used up."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
@@ -61,3 +74,19 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Size of a stored table on disk, as the planner sees it."""
+    stats = stored._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
+def broadcast_if_small(stored: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored side table for broadcast if its files are within `limit`.
+
+    For lookups by token the other side is every token of the corpus, so a
+    larger table than Spark's default may be sent around before shuffling that
+    is cheaper. Above the limit the planner is left to join by shuffle.
+    """
+    return F.broadcast(stored) if stored_bytes(stored) <= limit else stored

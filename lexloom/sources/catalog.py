@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.operators.store import insert_or_ignore
 from lexloom.schema import CODE, PROGRESS
 
 TABLES = {"code": CODE, "progress": PROGRESS}
@@ -32,3 +33,9 @@ def append_rows(rows: DataFrame, table: str) -> None:
     """Append in the table's own column order."""
     spark = rows.sparkSession
     rows.select(spark.table(table).columns).write.insertInto(table)
+
+
+def insert_new_files(batch: DataFrame, table: str) -> None:
+    """Append the files of a batch whose hash the table lacks, one per hash."""
+    stored = batch.sparkSession.table(table)
+    append_rows(insert_or_ignore(batch, stored), table)

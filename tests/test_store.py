@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from lexloom import schema
 from lexloom.functions import text
 from lexloom.operators import store
-from lexloom.session import scratch_path
+from lexloom.session import (
+    broadcast_if_small,
+    drop_run_folder,
+    durable,
+    run_folder,
+    scratch_path,
+    stored_bytes,
+)
 from lexloom.sources import cache, catalog, corpus
 
 FILE_A = '#!/usr/bin/env python3\n\nprint("Hello World")\n'
@@ -198,12 +205,30 @@ def test_catalog(spark):
         assert not catalog.table_exists(spark, "doesnotexist")
         catalog.append_rows(code(spark, [(1, "Go", "a", FILE_A * 100)]), "t1_code")
         assert spark.table("t1_code").first().content == FILE_A * 100
+        batch = [(2, "Go", "b", FILE_A), (3, "Go", "c", FILE_A), (4, "Go", "d", FILE_A * 100)]
+        for _ in range(2):
+            catalog.insert_new_files(code(spark, batch), "t1_code")
+        assert {r.url for r in spark.table("t1_code").collect()} == {"a", "b"}
     finally:
         catalog.drop_tables(spark, "t1_")
     assert not catalog.table_exists(spark, "t1_code")
     catalog.drop_tables(spark, "t1_")
 
 
+def test_intermediate_results_are_kept_together_and_dropped(spark):
+    kept = durable(spark.range(3), "kept")
+    assert all(run_folder(spark) in path for path in kept.inputFiles())
+    drop_run_folder(spark)
+    assert durable(spark.range(3), "again").count() == 3
+
+
+def test_broadcast_only_within_the_limit(spark):
+    stored = durable(spark.range(1000), "side")
+    small, large = broadcast_if_small(stored), broadcast_if_small(stored, stored_bytes(stored) - 1)
+    hinted = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
+    assert "ResolvedHint" in hinted[0] and "ResolvedHint" not in hinted[1]
+
+
 def test_database_layouts(spark):
     older = spark.createDataFrame([("Go", "x")], "language string, snippet string")
     older.createOrReplaceTempView("snippets")

@@ -52,8 +52,7 @@ def test_pruning_comes_before_windows(docs, spark):
     pruned = [[t for t in tokens if t in WORDS[:5]] for tokens in DOCS]
     found = {(r.center, r.context): r.n for r in frames.pair_counts(frames.pruned(docs, kept)).collect()}
     assert found == counted(pruned)
-    frequent = kept.withColumn("freq", F.length("token").cast("long"))
-    found = {(r.center, r.context): r.n for r in frames.corpus_pairs(docs, frequent).collect()}
+    found = {(r.center, r.context): r.n for r in frames.corpus_pairs(docs, kept).collect()}
     assert found == counted(pruned)
 
 
@@ -88,17 +87,18 @@ PROMPTS = [["w1", "w2"], ["w3"], ["unknown"], ["w0", "w4", "w5", "w6", "w7", "w8
 
 def test_predict_and_continue(docs, spark):
     pairs = counted()
-    gains, floors = frames.score_tables(frames.pair_counts(docs))
+    every_word = profile.vocabulary(profile.token_rows(docs))
+    scores = frames.score_tables(*frames.numbered_pairs(docs, every_word))
     rows = list(enumerate(PROMPTS))
     contexts = spark.createDataFrame([(k, p[-5:]) for k, p in rows], "key long, context array<string>")
     found = defaultdict(list)
-    for row in frames.predict_center(contexts, gains, floors).orderBy("key", "rank").collect():
+    for row in frames.predict_center(contexts, scores).orderBy("key", "rank").collect():
         found[row.key].append(row.center)
     for key, prompt in rows:
         assert found[key] == predicted(pairs, prompt[-5:])
 
     prompts = spark.createDataFrame(rows, "key long, tokens array<string>")
-    continued = dict(frames.continue_prompts(prompts, gains, floors, steps=4).collect())
+    continued = dict(frames.continue_prompts(prompts, scores, steps=4).collect())
     for key, prompt in rows:
         recent = list(prompt)
         for _ in range(4):
