@@ -45,7 +45,7 @@ CSHARP_WORDS = sorted(
     }
 )
 GO_WORDS = KEYWORD_SETS["Go"]
-PYTHON_WORDS = KEYWORD_SETS["Python"] + ["elif"]
+PYTHON_WORDS = KEYWORD_SETS["Python"] + ["elif", "match", "case", "_"]
 
 # What makes the name before it an assignment target.
 PYTHON_ASSIGNMENTS = [
@@ -116,11 +116,14 @@ def csharp_declares(near: Near) -> Column:
 
 
 def go_declares(near: Near) -> Column:
-    """`var`/`const` names, `:=` targets except of `range`, `name type` pairs."""
+    """`var`/`const` names, `:=` targets except of `range` and of a receiving
+    `case`, `name type` pairs."""
+
+    received = F.coalesce(near(-1) == "case", F.lit(False))
 
     def assigned(at: int) -> Column:
         ranged = F.coalesce(near(at + 1) == "range", F.lit(False))
-        return (near(at) == ":=") & ~ranged
+        return (near(at) == ":=") & ~ranged & ~received
 
     first_of_two = (near(1) == ",") & assigned(3) & _name(near(2), UNICODE_NAME, GO_WORDS)
     starts_type = _among(near(1), GO_TYPE_STARTS) | _name(near(1), UNICODE_NAME, GO_WORDS)
@@ -135,8 +138,8 @@ def go_declares(near: Near) -> Column:
 
 
 def python_declares(near: Near) -> Column:
-    """Assignment targets (one or two names), attributes set, annotated names
-    and `with ... as` names."""
+    """Assignment targets (one or two names), attributes set, annotated names,
+    `with ... as` and `case` names; not the names of exception handlers."""
     # A colon starts a statement after these; elsewhere a type may follow it.
     clause = (near(-1) == ":") & near(-2).isin(PYTHON_CLAUSE_ENDS)
     starts = F.coalesce(near(-1).isin(NEWLINE, ";", "=", "."), F.lit(True)) | clause
@@ -158,9 +161,12 @@ def python_declares(near: Near) -> Column:
         & (near(3) == "=")
         & F.coalesce(near(-1).isin(NEWLINE, ";"), F.lit(True))
     )
-    captured = (near(1) == ":") & (near(-1) == "as")
+    handler = F.coalesce(near(-3) == "except", F.lit(False))
+    captured = ((near(-1) == "as") & (near(1) == ":") & ~handler) | (
+        (near(-1) == "case") & near(1).isin(":", "if")
+    )
     target = assigned | first_of_two | second_of_two | annotated | captured
-    likely = near(1).isin(",", ":") | near(1).endswith("=")
+    likely = near(1).isin(",", ":", "if") | near(1).endswith("=")
     return likely & _name(near(0), UNICODE_NAME, PYTHON_WORDS) & target
 
 

@@ -270,8 +270,8 @@ _MARKED_SQL = f"""
         AND (b3 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b3', declared.UNICODE_NAME, _CS_ALL)}), false))
     WHEN 'Go' THEN {_name_sql('token', declared.UNICODE_NAME, declared.GO_WORDS)} AND (
       coalesce(b1 IN ('var', 'const'), false)
-      OR coalesce(a1 = ':=' AND coalesce(a2 <> 'range', true), false)
-      OR coalesce(a1 = ',' AND {_name_sql('a2', declared.UNICODE_NAME, declared.GO_WORDS)} AND a3 = ':=' AND coalesce(a4 <> 'range', true), false)
+      OR coalesce(a1 = ':=' AND coalesce(a2 <> 'range', true) AND coalesce(b1 <> 'case', true), false)
+      OR coalesce(a1 = ',' AND {_name_sql('a2', declared.UNICODE_NAME, declared.GO_WORDS)} AND a3 = ':=' AND coalesce(a4 <> 'range', true) AND coalesce(b1 <> 'case', true), false)
       OR coalesce(b1 IN ('(', ',', '{{', ';', chr(10)) AND (a1 IN ({_words(declared.GO_TYPE_STARTS)})
         OR {_name_sql('a1', declared.UNICODE_NAME, declared.GO_WORDS)} OR (a1 = '[' AND a2 = ']')), false))
     WHEN 'Python' THEN {_name_sql('token', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (
@@ -279,7 +279,8 @@ _MARKED_SQL = f"""
       OR coalesce({_PY_STARTS} AND a1 = ',' AND a3 = '=' AND {_name_sql('a2', declared.UNICODE_NAME, declared.PYTHON_WORDS)}, false)
       OR coalesce(a1 = '=' AND b1 = ',' AND {_name_sql('b2', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (b3 IS NULL OR b3 IN (chr(10), ';')), false)
       OR coalesce(a1 = ':' AND a3 = '=' AND (b1 IS NULL OR b1 IN (chr(10), ';')), false)
-      OR coalesce(b1 = 'as' AND a1 = ':', false)
+      OR coalesce(b1 = 'as' AND a1 = ':' AND coalesce(b3 <> 'except', true), false)
+      OR coalesce(b1 = 'case' AND a1 IN (':', 'if'), false)
       OR (doc_id, pos) IN (SELECT doc_id, pos FROM parameters))
     ELSE false END, false) AS declares
   FROM (SELECT *, lag(token, 1) OVER f AS b1, lag(token, 2) OVER f AS b2, lag(token, 3) OVER f AS b3, lead(token, 1) OVER f AS a1,

@@ -108,6 +108,8 @@ def test_names_are_masked_from_their_declaration_on(spark):
         ("C#", "int a, b; F(c, d); string[] e = null;", {"a", "b", "e"}),
         ("Go", "var a int\nconst b = 1\nc, d := 1, 2\nfunc f(p string, q []int) {}\n", {"a", "b", "c", "d", "p", "q"}),
         ("Python", "a, b = 1, 2\nc += f(a, k=b)\nd: int = 3\nfor e in d:\n  g.h = e\n", {"a", "b", "c", "d", "h"}),
+        ("Go", "select {\ncase a := <-b:\n}\nc := a\n", {"c"}),
+        ("Python", "_ = 1\nmatch q:\n  case a: f(_)\ntry: b = 1\nexcept E as c: f(c)\nwith f() as d: f(d)\n", {"a", "b", "d"}),
         ("Python", "def f(a: int = 3, *b): c = 1\nif f(q): d = 2\n", {"a", "b", "c", "d"}),
     ],
 )
