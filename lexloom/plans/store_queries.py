@@ -11,7 +11,7 @@ from lexloom.plans import model
 from lexloom.plans.model import quoted, with_frames
 from lexloom.plans.registry import query
 from lexloom.schema import LANGUAGES, fixed_rows, language_aliases, language_extensions
-from lexloom.session import durable, scratch_path
+from lexloom.session import scratch_path
 from lexloom.sources import cache, catalog, corpus
 from lexloom.streaming.ingest import FETCHED, Ingest
 
@@ -75,9 +75,10 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
 def s04(spark: SparkSession, sf: str) -> DataFrame:
     frames = {"code": model.code, "progress": model.progress}
     for name, frame in frames.items():
-        frame(spark, sf).createOrReplaceTempView(name)
+        frame(spark, sf).createOrReplaceTempView(TABLE_PREFIX + name)
     present = {
-        name: catalog.table_exists(spark, name) for name in ("code", "progress", "doesnotexist")
+        name: catalog.table_exists(spark, TABLE_PREFIX + name)
+        for name in ("code", "progress", "doesnotexist")
     }
     found = [
         frames[name](spark, sf).agg(F.count("*").alias("row_count"))
@@ -86,7 +87,7 @@ def s04(spark: SparkSession, sf: str) -> DataFrame:
         for name in present
     ]
     for name in frames:
-        spark.catalog.dropTempView(name)
+        spark.catalog.dropTempView(TABLE_PREFIX + name)
     rows = [
         counted.select(F.lit(name).alias("name"), F.lit(present[name]).alias("present"), "row_count")
         for name, counted in zip(present, found)

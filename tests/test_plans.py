@@ -3,8 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
 from lexloom.operators import profile, store
 from lexloom.session import durable
@@ -64,6 +62,23 @@ def test_tokeniser_is_in_the_plan_once(code):
     assert optimised.count("regexp_extract_all") == 1
 
 
+def test_small_inputs_are_spread_and_large_ones_left_alone(spark, code):
+    files = code.withColumnRenamed("id", "doc_id").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert corpus.spread(files).rdd.getNumPartitions() == 3 * cores
+    assert corpus.spread(spark.range(9, numPartitions=cores), "id").rdd.getNumPartitions() == cores
+
+
+def test_pruning_shuffles_files_not_tokens(spark, code):
+    from lexloom.operators import frames
+
+    tokenised = profile.tokenise(code.withColumnRenamed("id", "doc_id"), generic=True)
+    words = durable(profile.vocabulary(profile.token_rows(tokenised)), "words")
+    plan = plan_of(frames.pruned(tokenised, words), "simple")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("BroadcastHashJoin") == 1
+
+
 def test_masking_needs_no_shuffle(code):
     from lexloom.operators.declared import masked_tokens
 
