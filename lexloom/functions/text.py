@@ -33,7 +33,7 @@ def strip_dots(ext: Column) -> Column:
 
 
 def epoch_text(seconds: Column) -> Column:
-    """Epoch seconds as UTC date and time; other text unchanged."""
+    """Epoch seconds as date and time in the session's zone; other text unchanged."""
     number = F.when(seconds.rlike(r"^[+-]?[0-9]{1,19}$"), seconds.try_cast("bigint"))
     stamp = F.when(
         number.between(-_LAST_SECOND, _LAST_SECOND), F.timestamp_seconds(number)

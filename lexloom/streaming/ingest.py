@@ -71,8 +71,6 @@ class Ingest:
 
     def _within_budget(self, files: DataFrame, batch: int) -> DataFrame:
         """Pages that start below what earlier batches left of the budget."""
-        if self.budget <= 0:
-            return files
         schema = T.StructType.fromDDL("language string, bytes bigint")
         spent = (
             self._before("bytes", schema, batch)
@@ -88,12 +86,14 @@ class Ingest:
     def store(self, fetched: DataFrame, batch: int) -> None:
         """One micro-batch: filter, dedup against history, budget, append."""
         allowed = within_size(allowed_extensions(fetched))
-        fresh = durable(
-            not_stored(first_arrivals(allowed), self._before("code", CODE, batch)), "fresh"
-        )
-        kept = durable(self._within_budget(fresh, batch), "kept")
+        kept = not_stored(first_arrivals(allowed), self._before("code", CODE, batch))
+        if self.budget > 0:
+            # Read twice: for the page totals and for the files themselves.
+            kept = self._within_budget(durable(kept, "fresh"), batch)
         self._write(kept.select(CODE.names), "code", batch)
-        self._write(kept.groupBy("language").agg(F.sum("size").alias("bytes")), "bytes", batch)
+        # Sums come from the written files, of which they read two columns.
+        written = self.spark.read.schema(CODE).parquet(f"{self.root}/code/batch={batch}")
+        self._write(written.groupBy("language").agg(F.sum("size").alias("bytes")), "bytes", batch)
         pages = fetched.groupBy("language", "query").agg(F.max("page").alias("last_page"))
         self._write(pages.select("language", "query", "last_page"), "progress", batch)
 
