@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import substring_dedup, suffix_dedup
+from lexloom.llm import jaccard_join, substring_dedup, suffix_dedup
 from lexloom.llm.registry import query, table
 
 SQL_SUBSTRING = """
@@ -30,6 +30,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf, "documents")).select(
