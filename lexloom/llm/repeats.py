@@ -11,11 +11,12 @@ windows with one key; its piece is the units they cover.
    go to buckets as packed arrays. A key met twice within a block of text is
    known to repeat, so only one witness of it is sent, however common it is.
 2. `candidate_pieces` fetches the pieces of these runs. Equal pieces of a batch
-   become one row with all places where they stand.
-3. `first_starts` hands the pieces to a matcher, all pieces of a key together.
-   The matcher returns, for each window of each distinct piece, the first place
-   where it starts.
-4. `repeated_ranges` turns these into covered unit ranges of each text.
+   become one row with the places where they stand. If there are many, the
+   places stay apart from the piece and wait for its answer.
+3. `matched` hands the pieces to a matcher, all pieces of a key together. The
+   matcher returns, for each window of each distinct piece, the first place
+   where it starts, which gives the covered unit ranges of each place.
+4. `repeated_ranges` gathers these by text.
 
 Places are ordered by (doc_id, start); a null doc_id counts as the largest. A
 text is known by (doc_id, hash of id and text), so repeated rows are alike.
@@ -29,18 +30,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.session import durable
+from lexloom.session import broadcast_if_small, durable
 
 LAST_ID = 2**63 - 1
 MAX_RUN = 255
-WITNESS = 2**32 - 1
-BUCKETS_PER_TASK = 4
+KEY_MASK = np.uint64(2**48 - 1)
 # Units of pieces given to the matcher at once; a single key may exceed it.
 SHARD_UNITS = 400_000
+# Places of one piece in a batch from which they wait apart for its answer.
+MANY_PLACES = 64
+# A side table below this size on disk is broadcast, a larger one is shuffled.
+BROADCAST_BYTES = 16 << 20
 
 RUN = np.dtype([("key", "<u8"), ("start", "<u4"), ("count", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("sid", "<i8"), ("start", "<i8")])
@@ -48,6 +54,12 @@ PLACE = np.dtype([("doc", "<i8"), ("sid", "<i8"), ("start", "<i8")])
 # (pieces, docs, starts) -> per piece the arrays (first doc, first start).
 Matcher = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
+# Packed columns: type and bytes kept of each value.
+RUN_COLUMNS = [("<u8", 6), ("<u4", 4), ("u1", 1)]
+KEY_COLUMNS = [("<u8", 6)]
+HEADER_COLUMNS = [("<i8", 8), ("<i8", 8)]
+HEADER, RUNS, WITNESSES, KNOWN = range(4)
+
 
 @dataclass(frozen=True)
 class Units:
@@ -69,33 +81,54 @@ def named(docs: DataFrame) -> DataFrame:
     )
 
 
+def packed(columns: list[tuple[str, int]], *arrays: np.ndarray) -> bytes:
+    """Arrays of one length as compressed bytes, alike bytes of the values together."""
+    planes = [
+        np.ascontiguousarray(array.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :kept].T.tobytes()
+        for (kind, kept), array in zip(columns, arrays, strict=True)
+    ]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(columns: list[tuple[str, int]], blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    count = len(raw) // sum(kept for _, kept in columns)
+    arrays, at = [], 0
+    for kind, kept in columns:
+        wide = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+        wide[:, :kept] = raw[at : at + kept * count].reshape(kept, count).T
+        arrays.append(wide.view(kind)[:, 0])
+        at += kept * count
+    return arrays
+
+
 def _runs_of_block(data: np.ndarray, offsets: np.ndarray, units: Units):
-    """Key, text number, first unit and windows of each run in the texts."""
+    """Key, first unit (of all units here) and windows of each run; first unit of each text."""
+    texts = len(offsets) - 1
     if units.words:
         _, _, hashes, owner = grams.words_of(data, offsets)
-        found = _runs_of_units(grams.word_grams(hashes, units.gram), len(hashes), owner, units)
-        key, text, at, count = found
-        return key, text, at - np.searchsorted(owner, text), count
+        begins = np.searchsorted(owner, np.arange(texts))
+        return *_runs_of_units(grams.word_grams(hashes, units.gram), len(hashes), owner, units), begins
     parts = []
     step = grams.BLOCK_BYTES
     owners = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for low in range(0, len(data), step):
         high = min(low + step + units.window - 1, len(data))
-        key, text, at, count = _runs_of_units(
+        key, at, count = _runs_of_units(
             grams.byte_grams(data[low:high], units.gram), high - low, owners[low:high], units
         )
-        parts.append((key, text, at + low - offsets[text], count))
+        parts.append((key, at + low, count))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+        return none.astype(np.uint64), none, none, offsets[:-1]
+    return *(np.concatenate(column) for column in zip(*parts, strict=True)), offsets[:-1]
 
 
 def _runs_of_units(gram_hashes: np.ndarray, size: int, owner: np.ndarray, units: Units):
     windows = size - units.window + 1
     if windows <= 0:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none
     keys = grams.sliding_min(gram_hashes, units.window - units.gram + 1)[:windows]
     whole = owner[:windows] == owner[units.window - 1 :]
     opens = whole.copy()
@@ -112,7 +145,7 @@ def _runs_of_units(gram_hashes: np.ndarray, size: int, owner: np.ndarray, units:
         count = np.minimum(np.repeat(count, parts) - nth * MAX_RUN, MAX_RUN)
     if units.within and len(at):
         at, count = _split_at_grams(gram_hashes, keys, at, count, units.window - units.gram + 1)
-    return keys[at], owner[at], at, count
+    return keys[at], at, count
 
 
 def _split_at_grams(gram_hashes: np.ndarray, keys: np.ndarray, at: np.ndarray, count: np.ndarray, width: int):
@@ -135,323 +168,359 @@ def _split_at_grams(gram_hashes: np.ndarray, keys: np.ndarray, at: np.ndarray, c
     return at[order], count[order]
 
 
-_KEYED = (
-    "bucket int, docs binary, sids binary, owners binary, keys binary, starts binary, counts binary, known boolean"
-)
+_SENT = "bucket int, block long, kind int, blob binary"
+_SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(columns, _SENT_SCHEMA, strict=True)], schema=_SENT_SCHEMA
+    )
 
 
 def _key_rows(units: Units, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("bucket", pa.int32())]
-            + [(name, pa.binary()) for name in ("docs", "sids", "owners", "keys", "starts", "counts")]
-            + [("known", pa.bool_())]
-        )
+    """Of each block of texts a header, its runs by bucket and what it knows to repeat."""
 
-        def packed(chosen, bucket, known, docs, sids, key, text, at, count):
-            """Rows of the chosen runs, one for each bucket."""
-            order = chosen[np.argsort(bucket[chosen], kind="stable")]
-            numbers, first = np.unique(bucket[order], return_index=True)
-            for number, rows in zip(numbers, np.split(order, first[1:]), strict=True):
-                mine, owners = np.unique(text[rows], return_inverse=True)
-                yield (
-                    int(number),
-                    docs[mine].tobytes(),
-                    sids[mine].tobytes(),
-                    owners.astype(np.uint32).tobytes(),
-                    key[rows].tobytes(),
-                    at[rows].astype(np.uint32).tobytes(),
-                    count[rows].astype(np.uint8).tobytes(),
-                    known,
-                )
+    def by_bucket(bucket: np.ndarray, rows: np.ndarray):
+        rows = np.sort(rows)
+        rows = rows[np.argsort(bucket[rows], kind="stable")]
+        numbers, first = np.unique(bucket[rows], return_index=True)
+        return zip(numbers.tolist(), np.split(rows, first[1:]), strict=False)
 
+    def steps(at: np.ndarray) -> np.ndarray:
+        return np.diff(at, prepend=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for block in grams.text_blocks(batch, "text"):
-                docs = block.column("_doc").to_numpy()
-                sids = block.column("_sid").to_numpy()
-                data, offsets = grams.buffer_of(block.column("text"))
-                key, text, at, count = _runs_of_block(data, offsets, units)
+            for part in grams.text_blocks(batch, "text"):
+                key, at, count, begins = _runs_of_block(*grams.buffer_of(part.column("text")), units)
                 if not len(key):
                     continue
-                bucket = (key % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(at, kind="stable")
+                key, at, count = key[order], at[order], count[order]
+                block += 1
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                sent = (key // np.uint64(buckets)) & KEY_MASK
+                sids = part.column("_sid").to_numpy()
+                rows = [(block % buckets, block, HEADER, packed(HEADER_COLUMNS, sids, begins))]
                 _, first, where, met = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 often = met[where] > 1
-                witness = first[met > 1]
-                alone = np.flatnonzero(~often)
-                sent = np.concatenate([alone, witness])
-                marked = at.copy()
-                marked[witness] = WITNESS
-                rows = list(packed(sent, bucket, False, docs, sids, key, text, marked, count))
-                known = np.flatnonzero(often)
-                if len(known):
-                    # Known runs need no bucket of their own: one row, dealt by the block's first key.
-                    rows += packed(known, np.full(len(key), bucket[known[0]], np.int32), True, docs, sids, key, text, at, count)
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)], schema=schema
-                )
+                for number, mine in by_bucket(bucket, np.flatnonzero(~often)):
+                    blob = packed(RUN_COLUMNS, sent[mine], steps(at[mine]), count[mine])
+                    rows.append((number, block, RUNS, blob))
+                for number, mine in by_bucket(bucket, first[met > 1]):
+                    rows.append((number, block, WITNESSES, packed(KEY_COLUMNS, sent[mine])))
+                for number, mine in by_bucket(bucket, np.flatnonzero(often)):
+                    blob = packed(RUN_COLUMNS, sent[mine], steps(at[mine]), count[mine])
+                    rows.append((number, block, KNOWN, blob))
+                yield _sent(rows)
 
     return run
 
 
-_RUNS = "_doc long, _sid long, runs binary"
-
+def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket the runs whose key is met more than once; headers and known runs as they are."""
+    held, bucket = [], 0
+    for batch in batches:
+        passed = []
+        for row in batch.to_pylist():
+            bucket, block, kind, blob = row.values()
+            if kind in (HEADER, KNOWN):
+                passed.append((bucket, block, kind, blob))
+            elif kind == WITNESSES:
+                (keys,) = unpacked(KEY_COLUMNS, blob)
+                held.append((keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint8)))
+            else:
+                keys, gaps, counts = unpacked(RUN_COLUMNS, blob)
+                held.append((keys, np.full(len(keys), block), np.cumsum(gaps, dtype=np.int64), counts))
+        if passed:
+            yield _sent(passed)
+    if not held:
+        return
+    keys, blocks, at, counts = (np.concatenate(column) for column in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    again = np.zeros(len(order), bool)
+    again[1:] |= same
+    again[:-1] |= same
+    kept = order[again]
+    kept = kept[counts[kept] > 0]
+    kept = kept[np.lexsort((at[kept], blocks[kept]))]
+    numbers, first = np.unique(blocks[kept], return_index=True)
+    rows = [
+        (bucket, block, KNOWN, packed(RUN_COLUMNS, keys[mine], np.diff(at[mine], prepend=0), counts[mine]))
+        for block, mine in zip(numbers.tolist(), np.split(kept, first[1:]), strict=False)
+    ]
+    if rows:
+        yield _sent(rows)
+
+
+def _text_runs(buckets: int):
+    """Runs of each text; the rows of a block follow each other, its header first."""
+
+    def settled(header, held):
+        if header is None or not held:
+            return
+        sids, begins = header
+        keys, at, counts = (np.concatenate(column) for column in zip(*held, strict=True))
+        order = np.argsort(at, kind="stable")
+        keys, at, counts = keys[order], at[order], counts[order]
+        text = np.searchsorted(begins, at, "right") - 1
+        runs = np.zeros(len(at), RUN)
+        runs["key"], runs["start"], runs["count"] = keys, at - begins[text], counts
+        texts, sizes = np.unique(text, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sids[texts]), grams.binary_rows(runs, sizes)], names=["_sid", "runs"]
+        )
 
-def _run_rows(docs: np.ndarray, sids: np.ndarray, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs packed into one row for each text."""
-    order = np.lexsort((sids, docs))
-    docs, sids, runs = docs[order], sids[order], runs[order]
-    opens = np.ones(len(docs), bool)
-    opens[1:] = (docs[1:] != docs[:-1]) | (sids[1:] != sids[:-1])
-    first = np.flatnonzero(opens)
-    counts = np.diff(np.append(first, len(docs)))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(docs[first]), pa.array(sids[first]), grams.binary_rows(runs, counts)], names=["_doc", "_sid", "runs"]
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        header, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == HEADER:
+                    yield from settled(header, held)
+                    header, held = unpacked(HEADER_COLUMNS, row["blob"]), []
+                    continue
+                keys, gaps, counts = unpacked(RUN_COLUMNS, row["blob"])
+                whole = keys * np.uint64(buckets) + np.uint64(row["bucket"])
+                held.append((whole, np.cumsum(gaps, dtype=np.int64), counts))
+        yield from settled(header, held)
 
+    return run
 
-def _repeated_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket the runs whose key is met more than once.
 
-    The rows of a bucket follow each other.
-    """
-    current, held = None, []
+def candidate_runs(texts: DataFrame, units: Units) -> DataFrame:
+    """`_sid` and packed runs whose key is met in more than one run, a row for each text."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        texts.select("_sid", "text")
+        .mapInArrow(_key_rows(units, tasks), _SENT)
+        .repartitionById(tasks, "bucket")
+        .mapInArrow(_repeated_runs, _SENT)
+        .repartition(tasks, "block")
+        .sortWithinPartitions("block", "kind")
+        .mapInArrow(_text_runs(tasks), "_sid long, runs binary")
+        .dropDuplicates(["_sid"])
+    )
 
-    def settled():
-        if not held:
-            return
-        docs, sids, keys, starts, counts = (np.concatenate(column) for column in zip(*held, strict=True))
-        held.clear()
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        same = ordered[1:] == ordered[:-1]
-        again = np.zeros(len(order), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        kept = order[again]
-        kept = kept[starts[kept] != WITNESS]
-        if len(kept):
-            runs = np.zeros(len(kept), RUN)
-            runs["key"], runs["start"], runs["count"] = keys[kept], starts[kept], counts[kept]
-            yield from _run_rows(docs[kept], sids[kept], runs)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            docs = np.frombuffer(row["docs"], np.int64)
-            sids = np.frombuffer(row["sids"], np.int64)
-            owners = np.frombuffer(row["owners"], np.uint32)
-            keys = np.frombuffer(row["keys"], np.uint64)
-            starts = np.frombuffer(row["starts"], np.uint32)
-            counts = np.frombuffer(row["counts"], np.uint8)
-            if row["known"]:
-                runs = np.zeros(len(keys), RUN)
-                runs["key"], runs["start"], runs["count"] = keys, starts, counts
-                yield from _run_rows(docs[owners], sids[owners], runs)
-                continue
-            if row["bucket"] != current:
-                yield from settled()
-                current = row["bucket"]
-            held.append((docs[owners], sids[owners], keys, starts, counts))
-    yield from settled()
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_PIECES = "key long, piece binary, many boolean, places binary"
+_PIECES_SCHEMA = pa.schema(
+    [("key", pa.int64()), ("piece", pa.binary()), ("many", pa.bool_()), ("places", pa.binary())]
+)
 
 
-def candidate_runs(texts: DataFrame, units: Units) -> DataFrame:
-    """`_doc`, `_sid` and packed runs whose key is met in more than one run."""
-    tasks = _partitions(texts)
-    keyed = texts.select("_doc", "_sid", "text").mapInArrow(_key_rows(units, BUCKETS_PER_TASK * tasks), _KEYED)
-    return keyed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_runs, _RUNS)
+def piece_hash(piece: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(piece)).view(np.int64))
 
 
-_PIECES = "pid binary, key long, piece binary, first_doc long, first_start long, places binary"
+def _piece_rows(units: Units):
+    """A row for each distinct piece of a batch, and another with its places if they are many.
 
+    The places of such a row have no piece but the hash of it, under a key of
+    their own, so that they spread.
+    """
 
-def _piece_rows(units: Units):
-    schema = pa.schema(
-        [
-            ("pid", pa.binary()),
-            ("key", pa.int64()),
-            ("piece", pa.binary()),
-            ("first_doc", pa.int64()),
-            ("first_start", pa.int64()),
-            ("places", pa.binary()),
-        ]
-    )
+    def flushed(held: dict[bytes, list]):
+        rows = []
+        for piece, (key, spots) in held.items():
+            many = len(spots) >= MANY_PLACES
+            if many:
+                packed_spots = np.array(spots, np.int64).tobytes()
+                rows.append((spots[0][1], key.to_bytes(8, "little", signed=True) + piece_hash(piece).to_bytes(8, "little", signed=True), None, packed_spots))
+                spots = [min(spots, key=lambda s: (s[0], s[2]))]
+            rows.append((key, piece, many, np.array(spots, np.int64).tobytes()))
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(columns, _PIECES_SCHEMA, strict=True)],
+            schema=_PIECES_SCHEMA,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         size = 0
-
-        def flushed():
-            pieces = list(held)
-            keys = np.array([held[p][0] for p in pieces], np.uint64).view(np.int64)
-            places = [np.array(held[p][1], dtype=np.int64).reshape(-1, 3) for p in pieces]
-            firsts = [min(map(tuple, held[p][1])) for p in pieces]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary()),
-                    pa.array(keys),
-                    pa.array(pieces, pa.binary()),
-                    pa.array([f[0] for f in firsts], pa.int64()),
-                    pa.array([f[2] for f in firsts], pa.int64()),
-                    pa.array([p.tobytes() for p in places], pa.binary()),
-                ],
-                schema=schema,
-            )
-            held.clear()
-
         for batch in batches:
             texts, blobs = batch.column("text"), batch.column("runs")
             docs, sids = batch.column("_doc").to_pylist(), batch.column("_sid").to_pylist()
+            done = set()
             for n in range(batch.num_rows):
+                if (docs[n], sids[n]) in done:
+                    continue
+                done.add((docs[n], sids[n]))
                 text = (texts[n].as_py() or "").encode()
                 body = text.split() if units.words else text
-                # Repeated rows bring the same runs more than once.
-                runs = np.concatenate([np.frombuffer(b, RUN) for b in blobs[n].as_py()])
-                for key, start, count in dict.fromkeys(runs.tolist()):
+                runs = np.frombuffer(blobs[n].as_py(), RUN)
+                for key, start, count in zip(
+                    runs["key"].view(np.int64).tolist(), runs["start"].tolist(), runs["count"].tolist(), strict=True
+                ):
                     stop = start + count + units.window - 1
                     piece = b" ".join(body[start:stop]) if units.words else body[start:stop]
                     place = (docs[n], sids[n], start)
                     seen = held.get(piece)
                     if seen is None:
-                        held[piece] = [key, [place]]
-                        size += len(piece) + 120
+                        held[piece] = (key, [place])
+                        size += len(piece) + 300
                     else:
                         seen[1].append(place)
-                        size += 24
-                    if size > 16 << 20:
-                        yield from flushed()
-                        size = 0
+                        size += 120
+                if size > 48 << 20:
+                    yield from flushed(held)
+                    held, size = {}, 0
         if held:
-            yield from flushed()
+            yield from flushed(held)
 
     return run
 
 
 def candidate_pieces(texts: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
     """The distinct pieces of each batch of texts, with the places they stand at."""
-    grouped = runs.groupBy("_doc", "_sid").agg(F.collect_list("runs").alias("runs"))
-    once = texts.select("_doc", "_sid", "text").join(grouped, ["_doc", "_sid"])
-    return once.mapInArrow(_piece_rows(units), _PIECES)
+    stored = broadcast_if_small(durable(runs, "runs"), BROADCAST_BYTES)
+    return texts.select("_doc", "_sid", "text").join(stored, "_sid").mapInArrow(_piece_rows(units), _PIECES)
 
 
-_FIRSTS = "pid binary, docs binary, starts binary"
-
+_MATCHED = "key long, hash long, places binary, docs binary, starts binary, doc long, sid long, ranges binary"
+_MATCHED_SCHEMA = pa.schema(
+    [("key", pa.int64()), ("hash", pa.int64())]
+    + [(name, pa.binary()) for name in ("places", "docs", "starts")]
+    + [("doc", pa.int64()), ("sid", pa.int64()), ("ranges", pa.binary())]
+)
 
-def _matched(matcher: Matcher, units: Units):
-    schema = pa.schema([("pid", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, int]] = {}
-        size, current = 0, None
+def _covered(places: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray, units: Units, into: dict) -> None:
+    """Add the covered unit ranges of each place to `into`, by text."""
+    windows = np.arange(len(first_doc))
+    for doc, sid, start in places.tolist():
+        again = first_doc < doc
+        if units.within:
+            again |= (first_doc == doc) & (first_start < start + windows)
+        if not again.any():
+            continue
+        at = np.flatnonzero(again)
+        splits = np.flatnonzero(np.diff(at) > units.window) + 1
+        found = into.setdefault((doc, sid), [])
+        for part in np.split(at, splits) if len(splits) else (at,):
+            found += (start + int(part[0]), start + int(part[-1]) + units.window)
+
+
+def _matched_rows(matcher: Matcher, units: Units):
+    """Ranges of places, answers to pieces whose places wait apart, and these places as they are."""
+
+    def emitted(**columns) -> pa.RecordBatch:
+        count = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(columns[field.name], field.type) if field.name in columns else pa.nulls(count, field.type)
+                for field in _MATCHED_SCHEMA
+            ],
+            schema=_MATCHED_SCHEMA,
+        )
 
-        def settled():
-            pieces = list(held)
-            docs = np.array([held[p][0] for p in pieces], np.int64)
-            starts = np.array([held[p][1] for p in pieces], np.int64)
-            firsts = matcher(pieces, docs, starts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([xxhash.xxh3_128_digest(p) for p in pieces], pa.binary()),
-                    pa.array([f[0].tobytes() for f in firsts], pa.binary()),
-                    pa.array([f[1].tobytes() for f in firsts], pa.binary()),
-                ],
-                schema=schema,
+    def settled(held: dict[bytes, list]):
+        pieces = list(held)
+        spots = [np.frombuffer(b"".join(held[p][2]), PLACE) for p in pieces]
+        least = [s[np.lexsort((s["start"], s["doc"]))[0]] if len(s) > 1 else s[0] for s in spots]
+        firsts = matcher(pieces, np.array([x["doc"] for x in least]), np.array([x["start"] for x in least]))
+        ranges: dict[tuple[int, int], list[int]] = {}
+        asked = []
+        for piece, places, (docs, starts) in zip(pieces, spots, firsts, strict=True):
+            key, many, _ = held[piece]
+            _covered(places, docs, starts, units, ranges)
+            if many:
+                asked.append((key, piece_hash(piece), docs.tobytes(), starts.tobytes()))
+        if ranges:
+            yield emitted(
+                doc=[d for d, _ in ranges],
+                sid=[s for _, s in ranges],
+                ranges=[np.array(r, np.int64).tobytes() for r in ranges.values()],
             )
-            held.clear()
+        if asked:
+            keys, hashes, docs, starts = zip(*asked, strict=True)
+            yield emitted(key=keys, hash=hashes, docs=docs, starts=starts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size, current = 0, None
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            rows = zip(
-                keys,
-                batch.column("piece").to_pylist(),
-                batch.column("first_doc").to_pylist(),
-                batch.column("first_start").to_pylist(),
-                strict=True,
-            )
-            for key, piece, doc, start in rows:
+            waiting = []
+            for key, piece, many, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if many is None:
+                    waiting.append((piece, places))
+                    continue
                 if key != current:
                     current = key
                     if size > SHARD_UNITS:
-                        yield from settled()
-                        size = 0
+                        yield from settled(held)
+                        held, size = {}, 0
                 seen = held.get(piece)
                 if seen is None:
+                    held[piece] = [key, many, [places]]
                     size += units.window + piece.count(b" ") if units.words else len(piece)
-                    held[piece] = (doc, start)
-                elif (doc, start) < seen:
-                    held[piece] = (doc, start)
+                else:
+                    seen[1] |= many
+                    seen[2].append(places)
+            if waiting:
+                yield emitted(
+                    key=[int.from_bytes(p[:8], "little", signed=True) for p, _ in waiting],
+                    hash=[int.from_bytes(p[8:], "little", signed=True) for p, _ in waiting],
+                    places=[s for _, s in waiting],
+                )
         if held:
-            yield from settled()
+            yield from settled(held)
 
     return run
 
 
-def first_starts(pieces: DataFrame, matcher: Matcher, units: Units) -> DataFrame:
-    """For each distinct piece, the first place of each of its windows."""
-    return (
-        pieces.select("key", "piece", "first_doc", "first_start")
-        .repartition(_partitions(pieces), "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_matched(matcher, units), _FIRSTS)
-    )
-
-
-_RANGES = "_doc long, _sid long, ranges binary"
-
-
-def _range_rows(units: Units):
-    """Covered unit ranges of each place."""
+def _late_ranges(units: Units):
+    """Ranges of the places that waited for the answer to their piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], list] = {}
-            rows = zip(*(batch.column(n).to_pylist() for n in ("places", "docs", "starts")), strict=True)
-            for places, docs, starts in rows:
-                spots = np.frombuffer(places, PLACE)
-                first_doc = np.frombuffer(docs, np.int64)
-                first_start = np.frombuffer(starts, np.int64) if units.within else None
-                windows = np.arange(len(first_doc))
-                for doc, sid, start in spots.tolist():
-                    again = first_doc < doc
-                    if units.within:
-                        again |= (first_doc == doc) & (first_start < start + windows)
-                    at = np.flatnonzero(again)
-                    if not len(at):
-                        continue
-                    splits = np.flatnonzero(np.diff(at) > units.window) + 1
-                    into = found.setdefault((doc, sid), [])
-                    for part in np.split(at, splits) if len(splits) else (at,):
-                        into.append((start + int(part[0]), start + int(part[-1]) + units.window))
-            if found:
+            ranges: dict[tuple[int, int], list[int]] = {}
+            for places, docs, starts in zip(*(batch.column(c).to_pylist() for c in ("places", "docs", "starts")), strict=True):
+                _covered(np.frombuffer(places, PLACE), np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64), units, ranges)
+            if ranges:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([d for d, _ in found], pa.int64()),
-                        pa.array([s for _, s in found], pa.int64()),
-                        pa.array([np.array(r, np.int64).tobytes() for r in found.values()], pa.binary()),
+                        pa.array([d for d, _ in ranges], pa.int64()),
+                        pa.array([s for _, s in ranges], pa.int64()),
+                        pa.array([np.array(r, np.int64).tobytes() for r in ranges.values()], pa.binary()),
                     ],
-                    names=["_doc", "_sid", "ranges"],
+                    names=["doc", "sid", "ranges"],
                 )
 
     return run
 
 
+def matched(pieces: DataFrame, matcher: Matcher, units: Units) -> DataFrame:
+    """All pieces of a key through the matcher, several keys at a time."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        pieces.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_matched_rows(matcher, units), _MATCHED)
+    )
+
+
 def repeated_ranges(docs: DataFrame, matcher: Matcher, units: Units) -> DataFrame:
     """`_doc`, `_sid` and `ranges` (list of packed begin and end units) of texts with repeats."""
     texts = named(docs)
-    pieces = durable(candidate_pieces(texts, candidate_runs(texts, units), units), "pieces")
-    firsts = durable(first_starts(pieces, matcher, units), "firsts")
-    return (
-        pieces.select("pid", "places")
-        .join(firsts, "pid")
-        .drop("pid")
-        .mapInArrow(_range_rows(units), _RANGES)
-        .groupBy("_doc", "_sid")
+    pieces = candidate_pieces(texts, candidate_runs(texts, units), units)
+    found = durable(matched(pieces, matcher, units), "matched")
+    answers = found.where("docs IS NOT NULL").select("key", "hash", "docs", "starts")
+    late = (
+        found.where("places IS NOT NULL")
+        .select("key", "hash", "places")
+        .join(answers, ["key", "hash"])
+        .mapInArrow(_late_ranges(units), "doc long, sid long, ranges binary")
+    )
+    ranges = (
+        found.where("ranges IS NOT NULL")
+        .select("doc", "sid", "ranges")
+        .unionByName(late)
+        .groupBy(F.col("doc").alias("_doc"), F.col("sid").alias("_sid"))
         .agg(F.collect_list("ranges").alias("ranges"))
     )
+    return broadcast_if_small(durable(ranges, "ranges"), BROADCAST_BYTES)
 
 
 def merged(blobs: list[bytes] | None) -> list[tuple[int, int]]:

@@ -117,3 +117,16 @@ def test_automaton_statistics(texts, window):
                 want = words[at - window + 1 : at + 1]
                 holds = [d for d, t in enumerate(texts) if any(t[n : n + window] == want for n in range(len(t)))]
                 assert doc == min(holds)
+
+
+def test_very_common_passage(spark):
+    """Places of a common piece wait apart for its answer."""
+    passage = " ".join(f"p{n}" for n in range(40))
+    rows = [(n, f"a{n} b{n} {passage} c{n}") for n in range(400)] + [(n + 1000, passage) for n in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = substring_dedup.remove_repeats(frame)
+    got = [tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute_words(rows, 13)
+    found = suffix_dedup.remove_repeated_bytes(frame)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found.collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 100)
