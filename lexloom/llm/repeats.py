@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
-from lexloom.session import broadcast_if_small, durable
+from lexloom.session import durable
 
 LAST_ID = 2**63 - 1
 MAX_RUN = 255
@@ -45,8 +45,6 @@ KEY_MASK = np.uint64(2**48 - 1)
 SHARD_UNITS = 400_000
 # Places of one piece in a batch from which they wait apart for its answer.
 MANY_PLACES = 64
-# A side table below this size on disk is broadcast, a larger one is shuffled.
-BROADCAST_BYTES = 16 << 20
 
 RUN = np.dtype([("key", "<u8"), ("start", "<u4"), ("count", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("sid", "<i8"), ("start", "<i8")])
@@ -306,32 +304,50 @@ def candidate_runs(texts: DataFrame, units: Units) -> DataFrame:
     )
 
 
-_PIECES = "key long, piece binary, many boolean, places binary"
+_PIECES = "bucket int, heads binary, texts binary, places binary"
 _PIECES_SCHEMA = pa.schema(
-    [("key", pa.int64()), ("piece", pa.binary()), ("many", pa.bool_()), ("places", pa.binary())]
+    [("bucket", pa.int32()), ("heads", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]
 )
+# Of each piece: key, bytes, number of places, whether more places wait apart.
+HEAD_COLUMNS = [("<u8", 8), ("<u4", 4), ("<u4", 4), ("u1", 1)]
+PLACE_COLUMNS = [("<i8", 8), ("<i8", 8), ("<u4", 4)]
+# Places that wait: hash of their piece in place of its text.
+WAITING = 2
 
 
 def piece_hash(piece: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(piece)).view(np.int64))
+    return xxhash.xxh64_intdigest(piece)
 
 
-def _piece_rows(units: Units):
-    """A row for each distinct piece of a batch, and another with its places if they are many.
+def _piece_rows(units: Units, buckets: int):
+    """The distinct pieces of a batch with their places, packed by bucket of the key.
 
-    The places of such a row have no piece but the hash of it, under a key of
-    their own, so that they spread.
+    Many places of one piece stand apart, with the hash of the piece only, in
+    the bucket of a text's hash, so that they spread; one place stays with it.
     """
 
     def flushed(held: dict[bytes, list]):
-        rows = []
+        dealt: dict[int, list] = {}
         for piece, (key, spots) in held.items():
             many = len(spots) >= MANY_PLACES
             if many:
-                packed_spots = np.array(spots, np.int64).tobytes()
-                rows.append((spots[0][1], key.to_bytes(8, "little", signed=True) + piece_hash(piece).to_bytes(8, "little", signed=True), None, packed_spots))
+                named_piece = piece_hash(piece).to_bytes(8, "little")
+                dealt.setdefault(spots[0][1] % buckets, []).append((key, named_piece, WAITING, spots))
                 spots = [min(spots, key=lambda s: (s[0], s[2]))]
-            rows.append((key, piece, many, np.array(spots, np.int64).tobytes()))
+            dealt.setdefault(key % buckets, []).append((key, piece, int(many), spots))
+        rows = []
+        for bucket, entries in dealt.items():
+            keys, pieces, kinds, places = zip(*entries, strict=True)
+            heads = packed(
+                HEAD_COLUMNS,
+                np.array(keys, np.uint64),
+                np.array([len(p) for p in pieces]),
+                np.array([len(s) for s in places]),
+                np.array(kinds),
+            )
+            flat = np.array([spot for spots in places for spot in spots], np.int64)
+            texts = zstandard.ZstdCompressor(level=3).compress(b"".join(pieces))
+            rows.append((bucket, heads, texts, packed(PLACE_COLUMNS, *flat.T)))
         columns = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(column, field.type) for column, field in zip(columns, _PIECES_SCHEMA, strict=True)],
@@ -353,7 +369,7 @@ def _piece_rows(units: Units):
                 body = text.split() if units.words else text
                 runs = np.frombuffer(blobs[n].as_py(), RUN)
                 for key, start, count in zip(
-                    runs["key"].view(np.int64).tolist(), runs["start"].tolist(), runs["count"].tolist(), strict=True
+                    runs["key"].tolist(), runs["start"].tolist(), runs["count"].tolist(), strict=True
                 ):
                     stop = start + count + units.window - 1
                     piece = b" ".join(body[start:stop]) if units.words else body[start:stop]
@@ -365,7 +381,7 @@ def _piece_rows(units: Units):
                     else:
                         seen[1].append(place)
                         size += 120
-                if size > 48 << 20:
+                if size > 64 << 20:
                     yield from flushed(held)
                     held, size = {}, 0
         if held:
@@ -376,8 +392,9 @@ def _piece_rows(units: Units):
 
 def candidate_pieces(texts: DataFrame, runs: DataFrame, units: Units) -> DataFrame:
     """The distinct pieces of each batch of texts, with the places they stand at."""
-    stored = broadcast_if_small(durable(runs, "runs"), BROADCAST_BYTES)
-    return texts.select("_doc", "_sid", "text").join(stored, "_sid").mapInArrow(_piece_rows(units), _PIECES)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.select("_doc", "_sid", "text").join(durable(runs, "runs"), "_sid")
+    return found.mapInArrow(_piece_rows(units, tasks), _PIECES)
 
 
 _MATCHED = "key long, hash long, places binary, docs binary, starts binary, doc long, sid long, ranges binary"
@@ -419,7 +436,7 @@ def _matched_rows(matcher: Matcher, units: Units):
 
     def settled(held: dict[bytes, list]):
         pieces = list(held)
-        spots = [np.frombuffer(b"".join(held[p][2]), PLACE) for p in pieces]
+        spots = [np.concatenate(held[p][2]) for p in pieces]
         least = [s[np.lexsort((s["start"], s["doc"]))[0]] if len(s) > 1 else s[0] for s in spots]
         firsts = matcher(pieces, np.array([x["doc"] for x in least]), np.array([x["start"] for x in least]))
         ranges: dict[tuple[int, int], list[int]] = {}
@@ -428,7 +445,7 @@ def _matched_rows(matcher: Matcher, units: Units):
             key, many, _ = held[piece]
             _covered(places, docs, starts, units, ranges)
             if many:
-                asked.append((key, piece_hash(piece), docs.tobytes(), starts.tobytes()))
+                asked.append((signed(key), signed(piece_hash(piece)), docs.tobytes(), starts.tobytes()))
         if ranges:
             yield emitted(
                 doc=[d for d, _ in ranges],
@@ -439,33 +456,54 @@ def _matched_rows(matcher: Matcher, units: Units):
             keys, hashes, docs, starts = zip(*asked, strict=True)
             yield emitted(key=keys, hash=hashes, docs=docs, starts=starts)
 
+    def signed(value: int) -> int:
+        return value - 2**64 if value >= 2**63 else value
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, columns, places = [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                blobs.append(zstandard.ZstdDecompressor().decompress(row["texts"]))
+                columns.append(unpacked(HEAD_COLUMNS, row["heads"]))
+                docs, sids, starts = unpacked(PLACE_COLUMNS, row["places"])
+                spots = np.zeros(len(docs), PLACE)
+                spots["doc"], spots["sid"], spots["start"] = docs, sids, starts
+                places.append(spots)
+        if not blobs:
+            return
+        text = b"".join(blobs)
+        blobs.clear()
+        spots = np.concatenate(places)
+        places.clear()
+        keys, sizes, counts, kinds = (np.concatenate(column) for column in zip(*columns, strict=True))
+        ends, stops = np.cumsum(sizes, dtype=np.int64), np.cumsum(counts, dtype=np.int64)
+        waiting = np.flatnonzero(kinds == WAITING)
+        if len(waiting):
+            yield emitted(
+                key=keys[waiting].view(np.int64),
+                hash=[int.from_bytes(text[ends[n] - 8 : ends[n]], "little", signed=True) for n in waiting],
+                places=[spots[stops[n] - counts[n] : stops[n]].tobytes() for n in waiting],
+            )
+        order = np.flatnonzero(kinds != WAITING)
+        order = order[np.argsort(keys[order], kind="stable")]
         held: dict[bytes, list] = {}
         size, current = 0, None
-        for batch in batches:
-            waiting = []
-            for key, piece, many, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if many is None:
-                    waiting.append((piece, places))
-                    continue
-                if key != current:
-                    current = key
-                    if size > SHARD_UNITS:
-                        yield from settled(held)
-                        held, size = {}, 0
-                seen = held.get(piece)
-                if seen is None:
-                    held[piece] = [key, many, [places]]
-                    size += units.window + piece.count(b" ") if units.words else len(piece)
-                else:
-                    seen[1] |= many
-                    seen[2].append(places)
-            if waiting:
-                yield emitted(
-                    key=[int.from_bytes(p[:8], "little", signed=True) for p, _ in waiting],
-                    hash=[int.from_bytes(p[8:], "little", signed=True) for p, _ in waiting],
-                    places=[s for _, s in waiting],
-                )
+        for n in order.tolist():
+            key = int(keys[n])
+            if key != current:
+                current = key
+                if size > SHARD_UNITS:
+                    yield from settled(held)
+                    held, size = {}, 0
+            piece = text[ends[n] - int(sizes[n]) : ends[n]]
+            mine = spots[stops[n] - int(counts[n]) : stops[n]]
+            seen = held.get(piece)
+            if seen is None:
+                held[piece] = [key, bool(kinds[n]), [mine]]
+                size += units.window + piece.count(b" ") if units.words else len(piece)
+            else:
+                seen[1] |= bool(kinds[n])
+                seen[2].append(mine)
         if held:
             yield from settled(held)
 
@@ -496,9 +534,7 @@ def _late_ranges(units: Units):
 def matched(pieces: DataFrame, matcher: Matcher, units: Units) -> DataFrame:
     """All pieces of a key through the matcher, several keys at a time."""
     tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        pieces.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_matched_rows(matcher, units), _MATCHED)
-    )
+    return pieces.repartitionById(tasks, "bucket").mapInArrow(_matched_rows(matcher, units), _MATCHED)
 
 
 def repeated_ranges(docs: DataFrame, matcher: Matcher, units: Units) -> DataFrame:
@@ -520,7 +556,7 @@ def repeated_ranges(docs: DataFrame, matcher: Matcher, units: Units) -> DataFram
         .groupBy(F.col("doc").alias("_doc"), F.col("sid").alias("_sid"))
         .agg(F.collect_list("ranges").alias("ranges"))
     )
-    return broadcast_if_small(durable(ranges, "ranges"), BROADCAST_BYTES)
+    return durable(ranges, "ranges")
 
 
 def merged(blobs: list[bytes] | None) -> list[tuple[int, int]]:
