@@ -78,14 +78,14 @@ def text_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         at = upto
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about `limit` bytes that split no word."""
     at, end = 0, len(data)
     while at < end:
         upto = min(at + limit, end)
         while upto < end:
             ahead = data[upto : upto + limit]
-            gap = np.flatnonzero(IS_SPACE[ahead])
+            gap = np.flatnonzero(breaks[ahead])
             text_end = offsets[np.searchsorted(offsets, upto, "left")]
             stop = min(upto + int(gap[0]) if len(gap) else upto + len(ahead), int(text_end))
             found = len(gap) > 0 or stop == text_end
@@ -96,12 +96,14 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[i
         at = upto
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, hash and text number of every word."""
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, hash and text number of every word; `breaks` tells which bytes stand between words."""
     starts, ends, hashes = [], [], []
-    for low, high in _cuts(data, offsets, BLOCK_BYTES):
+    for low, high in _cuts(data, offsets, BLOCK_BYTES, breaks):
         part = data[low:high]
-        ink = ~IS_SPACE[part]
+        ink = ~breaks[part]
         opens, closes = ink.copy(), ink.copy()
         opens[1:] &= ~ink[:-1]
         closes[:-1] &= ~ink[1:]
