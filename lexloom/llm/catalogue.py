@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing a family registers it."""
 
-from lexloom.llm import dedup_queries, model_queries  # noqa: F401
+from lexloom.llm import corpus_queries, dedup_queries, model_queries, search_queries  # noqa: F401
 from lexloom.llm.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

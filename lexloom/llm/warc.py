@@ -146,7 +146,7 @@ def _archive_rows(folder: str):
                 )
                 if out is None:
                     name, size = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{path}/{name}")
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(data)
                 rows.append((reversed_host_key(url), page, name, size, len(data)))
                 size += len(data)
@@ -209,7 +209,7 @@ def _index_rows(folder: str):
         def flushed():
             nonlocal out, size
             if out is None:
-                out = system.open_output_stream(f"{path}/{name}")
+                out = system.open_output_stream(f"{path}/{name}", compression=None)
             data = gzip.compress("\n".join(json.dumps(line) for line in lines).encode(), LEVEL, mtime=0)
             out.write(data)
             blocks.append({"key": lines[0][0], "offset": size, "length": len(data)})
@@ -351,10 +351,10 @@ def lookup(parts: DataFrame, urls: DataFrame, folder: str) -> DataFrame:
 
     placed = wanted.mapInArrow(parts_of, "wanted string, file string")
     return (
-        placed.join(F.broadcast(parts.select("file", "blocks")), "file")
-        if False
-        else placed.repartition("file").sortWithinPartitions("file", "wanted").join(parts.select("file", "blocks"), "file")
-    ).mapInArrow(_lookup_rows(folder), _FOUND)
+        placed.join(parts.select("file", "blocks"), "file")
+        .sortWithinPartitions("file", "wanted")
+        .mapInArrow(_lookup_rows(folder), _FOUND)
+    )
 
 
 def scan(parts: DataFrame, folder: str) -> DataFrame:
