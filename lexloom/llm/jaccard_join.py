@@ -3,11 +3,12 @@
 A set is the distinct 5-word shingles of a text, as 64-bit hashes; equal sets
 are one set with several documents. If two sets have a Jaccard similarity of
 `percent` or more, they share a token in their prefixes under any global order
-of the tokens. Every order here goes from rare to common by a count of sets
-(cut at `COMMON`), which leaves tokens of a single set first: a set with more
-of them than its prefix is long has no partner. The orders differ in how they
-break ties and in how finely they look at the count. Candidates must share a
-prefix token under each of them, and are then verified exactly.
+of the tokens. Every order here goes from rare to common, so that tokens of a
+single set come first: a set with more of them than its prefix is long has no
+partner. Sets are sifted by this twice, by the tokens that any other set holds
+and by those that another remaining set holds. The orders of the remaining
+tokens differ in how they break ties and in how finely they look at the count.
+Candidates must share a prefix token under each order, and are then verified.
 
 Only which sets are connected is asked for, so pairs of sets that are known to
 be connected are not looked at again: sets are first compared to the first few
@@ -30,14 +31,15 @@ from lexloom.session import durable
 
 SHINGLE = 5
 PERCENT = 75
-# Sets counted for a token; above, tokens count as equally common.
-COMMON = 64
 ORDERS = 3
-STARS = 4
+STARS = 6
 # Sets that a star compares with; the exact stage finds what this misses.
-LEADERS = 4
+LEADERS = 8
 
-TOKEN = np.dtype([("key", "<u8"), ("sets", "u1")])
+# Longs in the sketch of a set's tokens, one bit for each of that many hash values.
+SKETCH = 16
+# Token rows: met in one set of a block, the witness of several sets, and these sets.
+ALONE, WITNESS, KNOWN = range(3)
 _SALTS = [np.uint64(n * 0x9E3779B97F4A7C15 % 2**64) for n in range(1, 33)]
 
 
@@ -104,13 +106,11 @@ def _set_rows(size: int, buckets: int):
                 mine = chosen[text]
                 token, owner = key[mine], text[mine]
                 _, first, where, met = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
-                common = met >= COMMON
-                alone = np.flatnonzero(~common[where])
-                rows += _packed(token, owner, names, alone, buckets, 1)
-                # A token of many sets of this block: one witness, and its sets know already.
-                if common.any():
-                    rows += _packed(token, owner, names, first[common], buckets, COMMON)
-                    rows += _packed(token, owner, names, np.flatnonzero(common[where]), 1, 0)
+                common = met > 1
+                rows += _packed(token, owner, names, np.flatnonzero(~common[where]), buckets, ALONE)
+                # A token of several sets of this block: one witness, and its sets know already.
+                rows += _packed(token, owner, names, first[common], buckets, WITNESS)
+                rows += _packed(token, owner, names, np.flatnonzero(common[where]), 1, KNOWN)
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)], schema=schema
@@ -126,7 +126,7 @@ def _packed(token, owner, names, rows, buckets, held):
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     numbers, first = np.unique(bucket, return_index=True)
-    for number, part in zip(numbers.tolist(), np.split(rows, first[1:]), strict=True):
+    for number, part in zip(numbers.tolist(), np.split(rows, first[1:]), strict=False):
         if len(part):
             texts, owners = np.unique(owner[part], return_inverse=True)
             yield (
@@ -152,41 +152,37 @@ _COUNTED = "name long, n int, doc_id long, tokens binary"
 
 
 def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows as they are; per set the tokens that other sets hold too, with their counts."""
+    """Document rows as they are; per set the tokens that other sets hold too."""
     held = []
 
-    def tokens_of(names, keys, sets):
+    def tokens_of(names, keys):
         order = np.argsort(names, kind="stable")
         names = names[order]
-        packed = np.zeros(len(order), TOKEN)
-        packed["key"], packed["sets"] = keys[order], sets[order]
         opens = np.ones(len(names), bool)
         opens[1:] = names[1:] != names[:-1]
         first = np.flatnonzero(opens)
         counts = np.diff(np.append(first, len(names)))
         empty = pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[first]), *empty, grams.binary_rows(packed, counts)], names=["name", "n", "doc_id", "tokens"]
+            [pa.array(names[first]), *empty, grams.binary_rows(keys[order], counts)], names=["name", "n", "doc_id", "tokens"]
         )
 
     def settled():
         if not held:
             return
-        names, keys, weights = (np.concatenate(c) for c in zip(*held, strict=True))
+        names, keys, witness = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((weights, names, keys))
-        names, keys, weights = names[order], keys[order], weights[order]
-        # A set met twice with a token counts once; a witness counts for all it has seen.
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]) | (weights[1:] != weights[:-1])
-        names, keys, weights = names[fresh], keys[fresh], weights[fresh]
+        order = np.lexsort((names, keys))
+        names, keys, witness = names[order], keys[order], witness[order]
         opens = np.ones(len(keys), bool)
         opens[1:] = keys[1:] != keys[:-1]
+        # Held by several sets: by two names, or seen to be by a block.
+        several = witness.copy()
+        several[1:] |= ~opens[1:] & (names[1:] != names[:-1])
         group = np.cumsum(opens) - 1
-        sets = np.minimum(np.bincount(group, weights=weights), COMMON).astype(np.uint8)[group]
-        kept = (sets > 1) & (weights == 1)
+        kept = (np.bincount(group, weights=several) > 0)[group] & ~witness
         if kept.any():
-            yield from tokens_of(names[kept], keys[kept], sets[kept])
+            yield from tokens_of(names[kept], keys[kept])
 
     for batch in batches:
         docs = []
@@ -196,10 +192,10 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 docs.append((row["name"], row["n"], doc))
                 continue
             names, keys = _unpacked(row)
-            if row["held"] == 0:
-                yield from tokens_of(names, keys, np.full(len(keys), COMMON))
-                continue
-            held.append((names, keys, np.full(len(keys), row["held"], np.int64)))
+            if row["held"] == KNOWN:
+                yield from tokens_of(names, keys)
+            else:
+                held.append((names, keys, np.full(len(keys), row["held"] == WITNESS)))
         if docs:
             columns = list(zip(*docs, strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -214,43 +210,83 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from settled()
 
 
-def order_keys(tokens: np.ndarray, nth: int) -> np.ndarray:
-    """Rank of each token under the `nth` global order, as one number."""
-    sets = tokens["sets"].astype(np.uint64)
-    if nth:
-        sets = np.floor(np.log2(tokens["sets"]) * (3 - nth % 3)).astype(np.uint64)
-    return (sets << np.uint64(56)) | (grams.mixed(tokens["key"] ^ _SALTS[nth]) >> np.uint64(8))
+def order_keys(tokens: np.ndarray, sets: np.ndarray, nth: int) -> np.ndarray:
+    """Rank of each token, held by so many sets, under the `nth` global order, as one number."""
+    fineness = (16, 2, 1)[nth % 3]
+    rarity = np.floor(np.log2(sets) * fineness).astype(np.uint64)
+    return (rarity << np.uint64(48)) | (grams.mixed(tokens ^ _SALTS[nth]) >> np.uint64(16))
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _reach(n: int, held: int, percent: int) -> int:
+    """Tokens of other sets in the prefix of a set of `n` tokens, `held` of which others hold; 0: no partner."""
+    if 100 * held < percent * n:
+        return 0
+    return max(prefix_length(n, percent) - (n - held), 0)
+
+
+def _sifted_rows(percent: int):
+    """Sets whose prefix holds a token of another set, with the tokens that other sets hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, shared = [], [], []
+            columns = (batch.column("name").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"))
+            for name, n, blobs in zip(*columns, strict=True):
+                keys = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in blobs.as_py()]))
+                if _reach(n, len(keys), percent):
+                    names.append(name)
+                    sizes.append(n)
+                    shared.append(keys)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names, pa.int64()),
+                    pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(
+                        np.cumsum([0] + [len(k) for k in shared], dtype=np.int32),
+                        np.concatenate(shared) if shared else np.zeros(0, np.int64),
+                    ),
+                ],
+                names=["name", "n", "shared"],
+            )
+
+    return run
+
+
 def _survivor_rows(percent: int):
-    """Sets whose prefix holds a token of another set: sorted shared tokens, prefixes and star keys."""
+    """Of the sets still left, sorted tokens that others hold, prefixes and star keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, n, blobs in zip(
-                batch.column("name").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"), strict=True
-            ):
-                tokens = np.concatenate([np.frombuffer(b, TOKEN) for b in blobs.as_py()])
-                keys, first = np.unique(tokens["key"], return_index=True)
-                # A token known as common in one block has that count everywhere.
-                tokens = tokens[first]
-                length = prefix_length(n, percent) - (n - len(keys))
-                if length <= 0 or 100 * len(keys) < percent * n:
+            columns = (batch.column(c) for c in ("name", "n", "tokens", "counts"))
+            for name, n, tokens, counts in zip(*columns, strict=True):
+                n = n.as_py()
+                keys = tokens.values.to_numpy().view(np.uint64)
+                sets = counts.values.to_numpy()
+                order = np.argsort(keys)
+                keys, sets = keys[order], sets[order]
+                length = _reach(n, len(keys), percent)
+                if not length:
                     continue
-                prefixes = [keys[np.argsort(order_keys(tokens, nth), kind="stable")[:length]] for nth in range(ORDERS)]
+                prefixes = [
+                    keys[np.argsort(order_keys(keys, sets, nth), kind="stable")[:length]].view(np.int64).tolist()
+                    for nth in range(ORDERS)
+                ]
                 stars = [int(grams.mixed(keys ^ _SALTS[10 + nth]).min()) for nth in range(STARS)]
+                bits = np.zeros(64 * SKETCH, bool)
+                bits[keys % np.uint64(64 * SKETCH)] = True
                 out.append(
                     (
-                        name,
+                        name.as_py(),
                         n,
                         keys.tobytes(),
-                        [p.view(np.int64).tolist() for p in prefixes],
+                        prefixes,
                         np.array(stars, np.uint64).view(np.int64).tolist(),
+                        np.packbits(bits).view(np.int64).tolist(),
                     )
                 )
             if out:
@@ -262,8 +298,9 @@ def _survivor_rows(percent: int):
                         pa.array(columns[2], pa.binary()),
                         pa.array(columns[3], pa.list_(pa.list_(pa.int64()))),
                         pa.array(columns[4], pa.list_(pa.int64())),
+                        pa.array(columns[5], pa.list_(pa.int64())),
                     ],
-                    names=["name", "n", "shared", "prefixes", "stars"],
+                    names=["name", "n", "shared", "prefixes", "stars", "sketch"],
                 )
 
     return run
@@ -273,7 +310,8 @@ def linked(shared_a: np.ndarray, n_a: int, shared_b: np.ndarray, n_b: int, perce
     """Exact test of two sets by their sizes and their tokens held by other sets too."""
     if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
         return False
-    both = len(np.intersect1d(shared_a, shared_b, assume_unique=True))
+    at = np.minimum(shared_b.searchsorted(shared_a), len(shared_b) - 1)
+    both = int((shared_b[at] == shared_a).sum())
     return 100 * both >= percent * (n_a + n_b - both)
 
 
@@ -320,25 +358,47 @@ def _verified_rows(percent: int):
 
 
 def _candidates(survivors: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a prefix token under every order."""
-    labelled = survivors.select("name", "n", "prefixes").join(
+    """Pairs of sets in different components that share a prefix token under every order.
+
+    Both sets of a link hold `percent / (100 + percent)` of their sizes' sum in
+    shared tokens, so the smaller one must hold that share of twice its own
+    size. A bit that only one of two sketches has is a token that the other set
+    lacks, which bounds what they share. This, the sizes and the first order
+    make the pairs; the other orders are looked up in the prefixes of each pair.
+    """
+    bits = [f"s{at}" for at in range(SKETCH)]
+    sets = survivors.select("name", "n", F.expr("octet_length(shared) div 8").alias("held"), "prefixes", "sketch").join(
         labels.withColumnRenamed("node", "name"), "name", "left"
-    ).select("name", "n", "prefixes", F.coalesce("root", "name").alias("root"))
-    found = None
-    for nth in range(ORDERS):
-        tokens = labelled.select("name", "n", "root", F.explode(F.element_at("prefixes", nth + 1)).alias("token"))
-        mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        tokens = tokens.join(mixed.select("token"), "token", "left_semi")
-        a, b = tokens.alias("a"), tokens.alias("b")
-        pairs = (
-            a.join(b, F.col("a.token") == F.col("b.token"))
-            .where("a.name < b.name AND a.root <> b.root")
-            .where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
-            .distinct()
-        )
-        found = pairs if found is None else found.join(pairs, ["a", "b"], "left_semi")
-    return found
+    )
+    sets = durable(sets.withColumn("root", F.coalesce("root", "name")), "labelled")
+    tokens = sets.select(
+        "name",
+        "n",
+        "held",
+        "root",
+        *[F.element_at("sketch", at + 1).alias(bit) for at, bit in enumerate(bits)],
+        F.explode(F.element_at("prefixes", 1)).alias("token"),
+    )
+    mixed = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    tokens = durable(tokens.join(mixed.select("token"), "token", "left_semi"), "tokens")
+    enough = f"{100 + percent} * least(a.held, b.held) >= {percent} * (a.n + b.n)"
+    only_a = " + ".join(f"bit_count(a.{bit} & ~b.{bit})" for bit in bits)
+    only_b = " + ".join(f"bit_count(b.{bit} & ~a.{bit})" for bit in bits)
+    close = f"{100 + percent} * least(a.held - ({only_a}), b.held - ({only_b})) >= {percent} * (a.n + b.n)"
+    a = tokens.where(f"{100 + percent} * held >= {2 * percent} * n").alias("a")
+    b = tokens.alias("b")
+    pairs = (
+        a.join(b, F.col("a.token") == F.col("b.token"))
+        .where("a.n < b.n OR (a.n = b.n AND a.name < b.name)")
+        .where(f"a.root <> b.root AND 100 * a.n >= {percent} * b.n AND {enough} AND {close}")
+        .select(F.col("a.name").alias("a"), F.col("b.name").alias("b"))
+        .distinct()
+    )
+    prefixes = sets.select("name", "prefixes")
+    both = pairs.join(prefixes.toDF("a", "p"), "a").join(prefixes.toDF("b", "q"), "b")
+    for nth in range(1, ORDERS):
+        both = both.where(F.arrays_overlap(F.element_at("p", nth + 1), F.element_at("q", nth + 1)))
+    return both.select("a", "b")
 
 
 def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -367,14 +427,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     counted = durable(document_sets(docs, shingle), "sets")
     rows = counted.where("tokens IS NULL").select("doc_id", "n", "name")
     sets = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"))
-    survivors = (
+    sifted = (
         counted.where("tokens IS NOT NULL")
         .groupBy("name")
         .agg(F.collect_list("tokens").alias("tokens"))
         .join(sets.select("name", "n"), "name")
+        .mapInArrow(_sifted_rows(percent), "name long, n int, shared array<long>")
+    )
+    sifted = durable(sifted, "sifted")
+    tokens = sifted.select("name", "n", F.explode("shared").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    survivors = (
+        tokens.join(durable(counts, "counts"), "token")
+        .groupBy("name", "n")
+        .agg(F.collect_list("token").alias("tokens"), F.collect_list("sets").alias("counts"))
         .mapInArrow(
             _survivor_rows(percent),
-            "name long, n int, shared binary, prefixes array<array<long>>, stars array<long>",
+            "name long, n int, shared binary, prefixes array<array<long>>, stars array<long>, sketch array<long>",
         )
     )
     survivors = durable(survivors, "survivors")
@@ -382,11 +451,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         survivors.select("name", "n", "shared", F.posexplode("stars").alias("nth", "star"))
         .withColumn("part", F.pmod(F.xxhash64("name", "nth"), F.lit(8)))
         .repartition("nth", "star", "part")
-        .sortWithinPartitions("nth", "star", "part", "n", "name")
+        .withColumn("turn", F.when(F.col("nth") % 2 == 0, F.col("n").cast("long")).otherwise(F.xxhash64("nth", "name")))
+        .sortWithinPartitions("nth", "star", "part", "turn", "name")
         .mapInArrow(_star_rows(percent), "a long, b long")
     )
-    near = components(stars)
-    labels = durable(near, "stars")
+    labels = durable(components(stars), "stars")
     shared = survivors.select("name", "n", "shared")
     exact = (
         _candidates(survivors, labels, percent)
