@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import grams
@@ -69,11 +69,12 @@ class Units:
     within: bool
 
 
-def named(docs: DataFrame) -> DataFrame:
+def named(docs: DataFrame, *more: Column) -> DataFrame:
     """`doc_id` and `text` with the numbers that name a text: `_doc` and `_sid`."""
     return docs.select(
         "doc_id",
         "text",
+        *more,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"),
         F.xxhash64(F.col("doc_id"), F.col("text")).alias("_sid"),
     )

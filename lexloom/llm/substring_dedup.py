@@ -184,6 +184,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(_kept_rows("text"), schema)
 
 
+def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs`, all columns, with the kept text in place of `text`.
+
+    As `remove_repeats`; a text that loses nothing stays as it is, a null text
+    stays null. Columns that this operator uses inside may not clash: they are
+    packed away meanwhile.
+    """
+    gram = max(1, min(GRAM, window - 1))
+    units = repeats.Units(words=True, window=window, gram=gram, within=False)
+    ranges = repeats.repeated_ranges(docs.select("doc_id", "text"), shard_matcher(window), units)
+    rows = repeats.named(docs, F.struct(*docs.columns).alias("_row"))
+    cut = rows.join(ranges, ["_doc", "_sid"], "left").select("_row", "text", "ranges")
+    row_type = cut.schema["_row"].dataType.simpleString()
+    schema = f"_row {row_type}, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    kept = cut.mapInArrow(_kept_rows("text"), schema)
+    return kept.select(
+        *[F.col("kept_text").alias("text") if name == "text" else F.col("_row").getField(name).alias(name) for name in docs.columns]
+    )
+
+
 def known_spans(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
     """Maximal word spans of `docs` made of windows that stand in `reference`.
 
