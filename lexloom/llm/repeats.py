@@ -406,20 +406,52 @@ _MATCHED_SCHEMA = pa.schema(
 )
 
 
-def _covered(places: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray, units: Units, into: dict) -> None:
-    """Add the covered unit ranges of each place to `into`, by text."""
-    windows = np.arange(len(first_doc))
-    for doc, sid, start in places.tolist():
-        again = first_doc < doc
+# Windows of places looked at together.
+WINDOWS_AT_ONCE = 2_000_000
+
+
+def _covered(
+    places: np.ndarray, counts: np.ndarray, docs: list[np.ndarray], starts: list[np.ndarray], units: Units
+) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Text (`doc`, `sid`) and packed unit ranges covered at the places of pieces.
+
+    `counts` has the number of places of each piece, `docs` and `starts` the
+    first place of each of its windows.
+    """
+    windows = np.array([len(d) for d in docs])
+    first_doc = np.concatenate(docs)
+    first_start = np.concatenate(starts) if units.within else None
+    piece = np.repeat(np.arange(len(counts)), counts)
+    base, width = (np.cumsum(windows) - windows)[piece], windows[piece]
+    ends = np.cumsum(width)
+    low = 0
+    while low < len(places):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + WINDOWS_AT_ONCE, "right")))
+        mine, w = places[low:high], width[low:high]
+        row = np.repeat(np.arange(high - low), w)
+        off = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        at = base[low:high][row] + off
+        doc = mine["doc"][row]
+        again = first_doc[at] < doc
         if units.within:
-            again |= (first_doc == doc) & (first_start < start + windows)
-        if not again.any():
+            again |= (first_doc[at] == doc) & (first_start[at] < mine["start"][row] + off)
+        row, off = row[again], off[again]
+        low = high
+        if not len(row):
             continue
-        at = np.flatnonzero(again)
-        splits = np.flatnonzero(np.diff(at) > units.window) + 1
-        found = into.setdefault((doc, sid), [])
-        for part in np.split(at, splits) if len(splits) else (at,):
-            found += (start + int(part[0]), start + int(part[-1]) + units.window)
+        opens = np.ones(len(row), bool)
+        opens[1:] = (row[1:] != row[:-1]) | (off[1:] - off[:-1] > units.window)
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(row)) - 1
+        spots = mine[row[first]]
+        ranges = np.column_stack([spots["start"] + off[first], spots["start"] + off[last] + units.window])
+        order = np.lexsort((spots["sid"], spots["doc"]))
+        spots, ranges = spots[order], ranges[order]
+        fresh = np.ones(len(spots), bool)
+        fresh[1:] = (spots["doc"][1:] != spots["doc"][:-1]) | (spots["sid"][1:] != spots["sid"][:-1])
+        heads = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(heads, len(spots)))
+        yield pa.array(spots["doc"][heads]), pa.array(spots["sid"][heads]), grams.binary_rows(ranges.ravel(), 2 * sizes)
 
 
 def _matched_rows(matcher: Matcher, units: Units):
@@ -429,7 +461,11 @@ def _matched_rows(matcher: Matcher, units: Units):
         count = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(columns[field.name], field.type) if field.name in columns else pa.nulls(count, field.type)
+                pa.nulls(count, field.type)
+                if field.name not in columns
+                else columns[field.name]
+                if isinstance(columns[field.name], pa.Array)
+                else pa.array(columns[field.name], field.type)
                 for field in _MATCHED_SCHEMA
             ],
             schema=_MATCHED_SCHEMA,
@@ -440,19 +476,15 @@ def _matched_rows(matcher: Matcher, units: Units):
         spots = [np.concatenate(held[p][2]) for p in pieces]
         least = [s[np.lexsort((s["start"], s["doc"]))[0]] if len(s) > 1 else s[0] for s in spots]
         firsts = matcher(pieces, np.array([x["doc"] for x in least]), np.array([x["start"] for x in least]))
-        ranges: dict[tuple[int, int], list[int]] = {}
+        counts = np.array([len(s) for s in spots])
+        docs, starts = zip(*firsts, strict=True)
+        for doc, sid, ranges in _covered(np.concatenate(spots), counts, docs, starts, units):
+            yield emitted(doc=doc, sid=sid, ranges=ranges)
         asked = []
-        for piece, places, (docs, starts) in zip(pieces, spots, firsts, strict=True):
+        for piece, (docs, starts) in zip(pieces, firsts, strict=True):
             key, many, _ = held[piece]
-            _covered(places, docs, starts, units, ranges)
             if many:
                 asked.append((signed(key), signed(piece_hash(piece)), docs.tobytes(), starts.tobytes()))
-        if ranges:
-            yield emitted(
-                doc=[d for d, _ in ranges],
-                sid=[s for _, s in ranges],
-                ranges=[np.array(r, np.int64).tobytes() for r in ranges.values()],
-            )
         if asked:
             keys, hashes, docs, starts = zip(*asked, strict=True)
             yield emitted(key=keys, hash=hashes, docs=docs, starts=starts)
@@ -516,18 +548,19 @@ def _late_ranges(units: Units):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges: dict[tuple[int, int], list[int]] = {}
-            for places, docs, starts in zip(*(batch.column(c).to_pylist() for c in ("places", "docs", "starts")), strict=True):
-                _covered(np.frombuffer(places, PLACE), np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64), units, ranges)
-            if ranges:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in ranges], pa.int64()),
-                        pa.array([s for _, s in ranges], pa.int64()),
-                        pa.array([np.array(r, np.int64).tobytes() for r in ranges.values()], pa.binary()),
-                    ],
-                    names=["doc", "sid", "ranges"],
-                )
+            places, docs, starts = (batch.column(c).to_pylist() for c in ("places", "docs", "starts"))
+            if not places:
+                continue
+            spots = [np.frombuffer(p, PLACE) for p in places]
+            covered = _covered(
+                np.concatenate(spots),
+                np.array([len(s) for s in spots]),
+                [np.frombuffer(d, np.int64) for d in docs],
+                [np.frombuffer(s, np.int64) for s in starts],
+                units,
+            )
+            for doc, sid, ranges in covered:
+                yield pa.RecordBatch.from_arrays([doc, sid, ranges], names=["doc", "sid", "ranges"])
 
     return run
 

@@ -11,6 +11,7 @@ bytes hold the same string, and the first place in each group of them is known.
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,15 @@ LENGTH = 100
 GRAM = 16
 
 
-def suffix_order(text: bytes, depth: int) -> list[int]:
-    """Starts of all suffixes of `text`, ordered by their first `depth` bytes or more.
+def suffix_order(text: bytes, depth: int, wanted: np.ndarray | None = None) -> list[int]:
+    """Starts of suffixes of `text`, ordered by their first `depth` bytes or more.
 
     Two-stage sorting. A suffix is of the small type if it is smaller than its
     successor; these are sorted directly. A suffix of the large type follows
     its successor in the order, so one scan from the smallest to the largest
-    suffix puts each into the next free place of its bucket.
+    suffix puts each into the next free place of its bucket. `wanted` marks the
+    starts asked for; those that lead from them to the next small suffix take
+    part too. Without it all take part.
     """
     size = len(text)
     if size == 0:
@@ -40,30 +43,38 @@ def suffix_order(text: bytes, depth: int) -> list[int]:
     rises[:-1] = np.sign(units[1:].astype(np.int16) - units[:-1].astype(np.int16))
     rises[-1] = -1
     fixed = np.where(rises != 0, np.arange(size), size)
-    inherits = np.minimum.accumulate(fixed[::-1])[::-1]
-    small = rises[inherits] > 0
-    chosen = np.flatnonzero(small).tolist()
-    chosen.sort(key=lambda at: text[at : at + depth])
+    small = rises[np.minimum.accumulate(fixed[::-1])[::-1]] > 0
+    taken = np.ones(size, bool)
+    if wanted is not None:
+        # From the end of each row of wanted starts on, up to a small suffix.
+        last = np.flatnonzero(wanted & ~small & np.append(~wanted[1:], True))
+        smalls = np.append(np.flatnonzero(small), size - 1)
+        steps = np.zeros(size + 1, np.int64)
+        np.add.at(steps, last, 1)
+        np.add.at(steps, smalls[np.searchsorted(smalls[:-1], last)] + 1, -1)
+        taken = wanted | (np.cumsum(steps[:-1]) > 0)
+    chosen = np.flatnonzero(small & taken).tolist()
+    cuts = [text[at : at + depth] for at in chosen]
+    ranked = np.array(chosen, np.int64)[sorted(range(len(cuts)), key=cuts.__getitem__)] if cuts else np.zeros(0, np.int64)
     # In a bucket the large type comes first, then the small type.
-    counts = np.bincount(units, minlength=256)
+    counts = np.bincount(units[taken], minlength=256)
     begins = np.cumsum(counts) - counts
-    ends = begins + np.bincount(units[~small], minlength=256)
-    order = np.full(size, -1, np.int64)
-    if chosen:
-        ranked = np.array(chosen)
-        bucket = units[ranked].astype(np.int64)
-        opens = np.searchsorted(bucket, np.arange(256))
-        order[ends[bucket] + np.arange(len(ranked)) - opens[bucket]] = ranked
+    ends = begins + np.bincount(units[taken & ~small], minlength=256)
+    order = np.full(int(taken.sum()), -1, np.int64)
+    bucket = units[ranked].astype(np.int64)
+    opens = np.searchsorted(bucket, np.arange(256))
+    order[ends[bucket] + np.arange(len(ranked)) - opens[bucket]] = ranked
     placed = order.tolist()
     free = begins.tolist()
-    large = (~small).tolist()
-    # The empty suffix is the smallest; it induces the last one.
-    last = text[size - 1]
-    placed[free[last]] = size - 1
-    free[last] += 1
-    for at in range(size):
-        before = placed[at] - 1
-        if before >= 0 and large[before]:
+    # Suffixes to induce, by their successor.
+    induced = (taken & ~small)[:-1].tolist()
+    if taken[-1]:
+        # The empty suffix is the smallest; it induces the last one.
+        placed[free[text[-1]]] = size - 1
+        free[text[-1]] += 1
+    for rank in range(len(placed)):
+        before = placed[rank] - 1
+        if before >= 0 and induced[before]:
             byte = text[before]
             placed[free[byte]] = before
             free[byte] += 1
@@ -78,11 +89,11 @@ def shard_matcher(length: int) -> repeats.Matcher:
         owner = np.repeat(np.arange(len(pieces)), sizes)
         inside = np.arange(len(text)) - begins[owner]
         whole = inside + length <= sizes[owner]
-        order = np.array(suffix_order(text, length))
+        order = np.array(suffix_order(text, length, whole))
         order = order[whole[order]]
         strings = [text[at : at + length] for at in order.tolist()]
         # Common prefix with the suffix before: `length` or less.
-        same = np.array([a == b for a, b in zip(strings[1:], strings[:-1], strict=True)], bool)
+        same = np.fromiter(map(operator.eq, strings[1:], strings[:-1]), bool, len(strings) - 1)
         group = np.concatenate([[0], np.cumsum(~same)])
         doc = docs[owner[order]]
         place = starts[owner[order]] + inside[order]

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +103,17 @@ def test_suffix_order(letters, depth):
     assert cut == sorted(cut)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab\x00c"), min_size=1, max_size=40), st.integers(1, 8), st.data())
+def test_order_of_wanted_suffixes(letters, depth, data):
+    text = "".join(letters).encode()
+    wanted = np.array(data.draw(st.lists(st.booleans(), min_size=len(text), max_size=len(text))))
+    order = suffix_dedup.suffix_order(text, depth, wanted)
+    assert len(set(order)) == len(order) and set(np.flatnonzero(wanted)) <= set(order) and -1 not in order
+    cut = [text[at : at + depth] for at in order]
+    assert cut == sorted(cut)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=6), st.integers(1, 5))
 def test_automaton_statistics(texts, window):
