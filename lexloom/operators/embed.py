@@ -18,7 +18,7 @@ def train_vectors(
     epochs: int = 5,
     seed: int = 42,
     partitions: int | None = None,
-    max_sentence: int = 1_000_000,
+    max_sentence: int = 2**31 - 1,
 ) -> Word2VecModel:
     """Skip-gram vectors of a tokenised corpus.
 

@@ -131,8 +131,8 @@ def numbered_pairs(
 
 def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:
     """Numbered pairs with their tokens, other columns kept."""
-    centers = index.select(F.col("word").alias("center"), F.col("token").alias("_center"))
-    contexts = index.select(F.col("word").alias("context"), F.col("token").alias("_context"))
+    centers = broadcast_if_small(index.select(F.col("word").alias("center"), F.col("token").alias("_center")))
+    contexts = broadcast_if_small(index.select(F.col("word").alias("context"), F.col("token").alias("_context")))
     others = [name for name in pairs.columns if name not in ("center", "context")]
     return (
         pairs.join(centers, "center")
@@ -187,7 +187,8 @@ def predict_center(contexts: DataFrame, scores: Scores, topn: int = CANDIDATES)
     """Best center words for each (key, context array).
 
     Candidates are the words counted with at least one context word; every
-    other word scores below all of them.
+    other word scores below all of them, so that a context with fewer than
+    `topn` candidates is filled up with the first other words.
     """
     known = contexts.select("key", F.explode("context").alias("token")).join(scores.words, "token")
     # Written down, a small batch of contexts is known to be small and is
@@ -205,6 +206,16 @@ def predict_center(contexts: DataFrame, scores: Scores, topn: int = CANDIDATES)
         .agg(F.sum("gain").alias("_gain"))
         .select("key", "center", F.round(F.col("_base") + F.col("_gain"), 6).alias("score"))
     )
+    # The first 2 * topn words hold topn that a key with fewer candidates lacks.
+    first = [r.word for r in scores.words.select("word").orderBy("word").limit(2 * topn).collect()]
+    full = scored.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= topn)
+    words = F.array(*map(F.lit, first)).cast("array<int>")
+    others = (
+        based.join(full, "key", "left_anti")
+        .select("key", F.explode(words).alias("center"), F.round("_base", 6).alias("score"))
+        .join(scored.select("key", "center"), ["key", "center"], "left_anti")
+    )
+    scored = scored.unionByName(others)
     # Numbers sort like tokens, so equal scores go by token.
     ranking = Window.partitionBy("key").orderBy(F.desc("score"), "center")
     best = scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)

@@ -176,6 +176,16 @@ def sheet_lines(sheet: DataFrame, languages: list[str]) -> DataFrame:
 # --- keywords ----------------------------------------------------------------
 
 
+def keyword_rows_only(rows: DataFrame) -> DataFrame:
+    """Rows of tokens that belong to a keyword set.
+
+    Before counting, so that only keywords are shuffled; the broadcast side is
+    the fixed list of keywords.
+    """
+    words = keyword_dim(rows.sparkSession).select("token").distinct()
+    return rows.join(F.broadcast(words), "token", "left_semi")
+
+
 def keyword_members(frequency: DataFrame) -> DataFrame:
     """Counted tokens that belong to a keyword set, once per set."""
     return frequency.join(keyword_dim(frequency.sparkSession), "token")

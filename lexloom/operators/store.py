@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.schema import FINISHED_PAGE, MAX_FILE_BYTES, alias_dim, extension_dim
-from lexloom.functions.text import byte_length, file_extension
+from lexloom.functions.text import byte_length, content_hash, file_extension
 from lexloom.session import durable
 
 CODE_COLUMNS = ["language", "url", "content", "hash", "size"]
@@ -61,12 +61,22 @@ def urls_of_content(df: DataFrame, content: Column) -> DataFrame:
 # --- dedup and existence -----------------------------------------------------
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """Fill NULL and blank hashes from the content, where there is one."""
+    if "content" not in df.columns:
+        return df
+    blank = F.col("hash").isNull() | (F.trim("hash") == "")
+    return df.withColumn("hash", F.when(blank, content_hash(F.col("content"))).otherwise(F.col("hash")))
+
+
 def first_arrivals(df: DataFrame, order: str = "id") -> DataFrame:
     """One row per hash, the one that arrived first.
 
-    The rank filter becomes a group limit on both sides of the shuffle, so
-    each map task sends at most one row per hash however many copies exist.
+    A blank hash is taken from the content first. The rank filter becomes a
+    group limit on both sides of the shuffle, so each map task sends at most one
+    row per hash however many copies exist.
     """
+    df = hashed(df)
     arrival = Window.partitionBy("hash").orderBy(order)
     return (
         df.withColumn("_arrival", F.row_number().over(arrival))
@@ -152,6 +162,7 @@ def rank_within(
 
 def merge_corpora(target: DataFrame, source: DataFrame) -> DataFrame:
     """Target plus the source rows whose hash it lacks, under new ids."""
+    target = hashed(target)
     fresh = not_stored(first_arrivals(source), target)
     highest = target.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     renumbered = dense_index(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import decoded
+from lexloom.functions.text import content_hash, decoded
 from lexloom.operators import profile, store
 from lexloom.plans import model
 from lexloom.plans.model import quoted, with_frames
@@ -130,12 +130,19 @@ def s07(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("s08_ingest_raw_files")
+@query(
+    "s08_ingest_raw_files",
+    "SELECT page_id, sha1(html || chr(10)) AS hash, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS size "
+    "FROM pages WHERE octet_length(encode(html)) + 1 <= 262144",
+)
 def s08(spark: SparkSession, sf: str) -> DataFrame:
-    files = corpus.ingest_files(spark, sf, pattern="*.parquet")
-    return files.select(
-        F.substring_index("url", "/", -1).alias("name"), "size", F.col("content").isNull().alias("rejected")
-    )
+    """`pages` as one raw file each, ingested again."""
+    path = scratch_path(spark, "raw")
+    pages = model.table(spark, sf, "pages").select("page_id", "html")
+    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    files = corpus.ingest_files(spark, path, pattern="*.txt")
+    page = F.regexp_extract("url", "page_id=([0-9]+)/", 1).cast("long")
+    return files.select(page.alias("page_id"), content_hash(F.col("content")).alias("hash"), "size")
 
 
 # --- projections and filters -------------------------------------------------
@@ -504,7 +511,7 @@ def r03(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "r04_stream_progress",
     with_frames(
-        "SELECT language, split_part(url, '/', 2) AS query, max(page) AS last_page FROM code GROUP BY ALL", "code"
+        "SELECT language, split_part(url, '/', 2) AS query, max(page) + 1 AS last_page FROM code GROUP BY ALL", "code"
     ),
 )
 def r04(spark: SparkSession, sf: str) -> DataFrame:

@@ -296,23 +296,23 @@ _PARAMETERS_SQL = """
     (h.token = 'def' AND t.pos - h.pos >= 3 AND t.depth = h.depth + 1 AND t.prev IN ('(', ',', '*', '**')
       AND t.lowest > h.depth)
     OR (h.token = 'lambda' AND t.pos > h.pos AND t.depth = h.depth AND t.prev IN ('lambda', ',', '*', '**')
-      AND t.lowest_all >= h.depth AND NOT EXISTS (
-        SELECT 1 FROM depths c WHERE c.doc_id = t.doc_id AND c.header = t.header AND c.token = ':'
-          AND c.depth = h.depth AND c.pos > h.pos AND c.pos <= t.pos)))"""
+      AND t.lowest_all >= h.depth AND NOT t.ended))"""
 _DEPTHS_SQL = """
-  SELECT *, min(CASE WHEN pos >= header + 2 THEN depth END) OVER g AS lowest, min(depth) OVER g AS lowest_all FROM (
+  SELECT *, min(CASE WHEN pos >= header + 2 THEN depth END) OVER g AS lowest, min(depth) OVER g AS lowest_all,
+    bool_or(token = ':' AND pos > header AND depth = opened) OVER g AS ended
+  FROM (SELECT *, first(depth) OVER (PARTITION BY doc_id, header ORDER BY pos) AS opened FROM (
     SELECT *, lag(token) OVER f AS prev,
       max(CASE WHEN token IN ('def', 'lambda') THEN pos END) OVER f AS header,
       sum(CASE WHEN token IN ('(', '[', '{') THEN 1 WHEN token IN (')', ']', '}') THEN -1 ELSE 0 END) OVER f AS depth
-    FROM code_tok WHERE language = 'Python' WINDOW f AS (PARTITION BY doc_id ORDER BY pos))
+    FROM code_tok WHERE language = 'Python' WINDOW f AS (PARTITION BY doc_id ORDER BY pos)))
   WINDOW g AS (PARTITION BY doc_id, header ORDER BY pos)"""
 
 
 @query(
     "t07_mask_declared_names",
     with_frames(
-        "SELECT doc_id, language, pos, CASE WHEN pos >= first_pos THEN 'VARIABLE' ELSE token END AS token "
-        "FROM code_tok LEFT JOIN firsts USING (doc_id, token)",
+        "SELECT doc_id, language, count(*) AS n, string_agg(CASE WHEN pos >= first_pos THEN 'VARIABLE' ELSE token END, ' ' ORDER BY pos) AS tokens "
+        "FROM code_tok LEFT JOIN firsts USING (doc_id, token) GROUP BY ALL",
         "code_tok",
         depths=_DEPTHS_SQL,
         parameters=_PARAMETERS_SQL,
@@ -321,7 +321,9 @@ _DEPTHS_SQL = """
     ),
 )
 def t07(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.token_rows(declared.masked_tokens(model.code_tokens(spark, sf)))
+    return declared.masked_tokens(model.code_tokens(spark, sf)).select(
+        "doc_id", "language", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("tokens")
+    )
 
 
 @query("t08_token_table", with_frames("SELECT doc_id, language, pos, token FROM tok", "tok"))
@@ -338,7 +340,7 @@ def t08(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def t09(spark: SparkSession, sf: str) -> DataFrame:
-    frequency = profile.token_frequency(_code_rows(spark, sf))
+    frequency = profile.token_frequency(profile.keyword_rows_only(_code_rows(spark, sf)))
     return profile.keyword_balance(frequency).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -580,4 +582,4 @@ def j04(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def j07(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.keyword_members(profile.token_frequency(_code_rows(spark, sf)))
+    return profile.keyword_members(profile.token_frequency(profile.keyword_rows_only(_code_rows(spark, sf))))

@@ -60,9 +60,12 @@ def ingest_files(
     pattern: str = "*",
     cap: int = MAX_FILE_BYTES,
 ) -> DataFrame:
-    """Raw files as (url, content, size); content NULL where not decodable.
+    """Raw files as (url, content, size, reject), at most `cap` bytes of UTF-8 text each.
 
-    The size test is pushed into the file source: larger files are not read.
+    `size` counts the decoded text. A file that cannot be decoded has no content
+    and a reason in `reject`. The test pushed into the file source only drops
+    files that are too large in every charset: text shrinks at most to a
+    quarter, and a byte order mark may go.
     """
     files = (
         spark.read.format("binaryFile")
@@ -71,9 +74,10 @@ def ingest_files(
         .load(path)
     )
     if cap:
-        files = files.where(F.col("length") <= cap)
-    return files.select(
-        F.col("path").alias("url"),
-        decoded(F.col("content"), F.lit(charset)).alias("content"),
-        F.col("length").alias("size"),
-    )
+        files = files.where(F.col("length") <= 4 * cap + 4)
+    text = files.select(
+        F.col("path").alias("url"), decoded(F.col("content"), F.lit(charset)).alias("content")
+    ).withColumn("size", F.octet_length("content").cast("long"))
+    if cap:
+        text = text.where(F.col("content").isNull() | (F.col("size") <= cap))
+    return text.withColumn("reject", F.when(F.col("content").isNull(), f"not {charset}"))

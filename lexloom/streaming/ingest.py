@@ -22,7 +22,7 @@ from lexloom.operators.store import (
     pages_within_budget,
     within_size,
 )
-from lexloom.schema import CODE
+from lexloom.schema import CODE, MAX_FILE_BYTES
 from lexloom.session import durable
 
 FETCHED = T.StructType(CODE.fields + [T.StructField("query", T.StringType()), T.StructField("page", T.LongType())])
@@ -41,8 +41,12 @@ class Ingest:
     """Tables of one ingest under `root`: code, bytes and progress, each laid
     out by batch number."""
 
-    def __init__(self, spark: SparkSession, root: str, budget: int = 0) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, budget: int = 0, cap: int = MAX_FILE_BYTES
+    ) -> None:
+        """`budget` bytes per language and `cap` bytes per file; 0 is no limit."""
         self.spark = spark
+        self.cap = cap
         self.root = root.rstrip("/")
         self.budget = budget
 
@@ -69,8 +73,24 @@ class Ingest:
         history = _read_or_empty(self.spark, f"{self.root}/progress", schema)
         return latest_progress(history, "batch")
 
-    def _within_budget(self, files: DataFrame, batch: int) -> DataFrame:
-        """Pages that start below what earlier batches left of the budget."""
+    def _numbers(self, table: str) -> list[int]:
+        """Numbers of the batches written to a table, empty ones included."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        names = [entry.getPath().getName() for entry in files.listStatus(path)]
+        return sorted(int(name[6:]) for name in names if name.startswith("batch="))
+
+    def _deferred(self, batch: int) -> DataFrame:
+        """Files that the batch before had to leave for want of budget."""
+        earlier = [n for n in self._numbers("deferred") if n < batch]
+        if not earlier:
+            return self.spark.createDataFrame([], FETCHED)
+        return self.spark.read.schema(FETCHED).parquet(f"{self.root}/deferred/batch={earlier[-1]}")
+
+    def _cuts(self, files: DataFrame, batch: int) -> DataFrame:
+        """Per language the last page that starts below what earlier batches left of the budget."""
         schema = T.StructType.fromDDL("language string, bytes bigint")
         spent = (
             self._before("bytes", schema, batch)
@@ -80,22 +100,43 @@ class Ingest:
         )
         # What is stored already counts as a page before the first one.
         pages = files.groupBy("language", "page").agg(F.sum("size").alias("size"))
-        cuts = durable(pages_within_budget(pages.unionByName(spent), self.budget), "cuts")
-        return files.join(cuts, "language").where(F.col("page") <= F.col("cut_page")).drop("cut_page")
+        return durable(pages_within_budget(pages.unionByName(spent), self.budget), "cuts")
 
     def store(self, fetched: DataFrame, batch: int) -> None:
-        """One micro-batch: filter, dedup against history, budget, append."""
-        allowed = within_size(allowed_extensions(fetched))
+        """One micro-batch. Numbers are odd; a `resume` after it takes the even one."""
+        self._store(fetched, 2 * batch + 1)
+
+    def resume(self) -> None:
+        """Go on with the pages left for want of budget, for instance under a larger one."""
+        last = max(self._numbers("progress"), default=0)
+        self._store(self.spark.createDataFrame([], FETCHED), last + last % 2)
+
+    def _store(self, fetched: DataFrame, batch: int) -> None:
+        """Filter, dedup against history, budget, append; what the budget cuts off is kept for later."""
+        waiting = fetched.select(FETCHED.names).unionByName(self._deferred(batch))
+        allowed = within_size(allowed_extensions(waiting), self.cap)
         kept = not_stored(first_arrivals(allowed), self._before("code", CODE, batch))
+        late = None
         if self.budget > 0:
             # Read twice: for the page totals and for the files themselves.
-            kept = self._within_budget(durable(kept, "fresh"), batch)
+            kept = durable(kept, "fresh")
+            placed = kept.join(self._cuts(kept, batch), "language", "left")
+            in_time = F.coalesce(F.col("page") <= F.col("cut_page"), F.lit(False))
+            late = placed.where(~in_time).select(FETCHED.names)
+            kept = placed.where(in_time).drop("cut_page")
         self._write(kept.select(CODE.names), "code", batch)
+        self._write(self.spark.createDataFrame([], FETCHED) if late is None else late, "deferred", batch)
         # Sums come from the written files, of which they read two columns.
         written = self.spark.read.schema(CODE).parquet(f"{self.root}/code/batch={batch}")
         self._write(written.groupBy("language").agg(F.sum("size").alias("bytes")), "bytes", batch)
-        pages = fetched.groupBy("language", "query").agg(F.max("page").alias("last_page"))
-        self._write(pages.select("language", "query", "last_page"), "progress", batch)
+        # A query goes on with its first page that was cut off, else behind its last one.
+        left = self.spark.read.schema(FETCHED).parquet(f"{self.root}/deferred/batch={batch}")
+        cut = left.groupBy("language", "query").agg(F.min("page").alias("cut"))
+        pages = waiting.groupBy("language", "query").agg(F.max("page").alias("page"))
+        following = pages.join(cut, ["language", "query"], "left").select(
+            "language", "query", F.coalesce("cut", F.col("page") + 1).alias("last_page")
+        )
+        self._write(following, "progress", batch)
 
     def start(self, path: str, files_per_trigger: int | None = None) -> StreamingQuery:
         """Ingest every file under `path` not yet read, then stop."""

@@ -265,7 +265,52 @@ def test_ingest_files(spark, tmp_path):
     (tmp_path / "d.txt").write_bytes(b"x")
     rows = corpus.ingest_files(spark, str(tmp_path), pattern="*.py", cap=299).collect()
     assert {r.url.rsplit("/", 1)[1]: (r.content, r.size) for r in rows} == {
-        "a.py": ("é = 1", 6), "b.py": (None, 2),
+        "a.py": ("é = 1", 6), "b.py": (None, None),
     }
+    assert [r.reject for r in rows if r.content is None] == ["not UTF-8"]
     latin = corpus.ingest_files(spark, str(tmp_path), "ISO-8859-1", "b.py").first()
-    assert latin.content == "ÿþ"
+    assert (latin.content, latin.size) == ("ÿþ", 4)
+
+
+def test_size_cap_counts_decoded_text(spark, tmp_path):
+    (tmp_path / "wide.py").write_bytes(("a" * 250).encode("utf-16"))
+    (tmp_path / "latin.py").write_bytes("é".encode("latin-1") * 200)
+    wide = corpus.ingest_files(spark, str(tmp_path), "UTF-16", "wide.py", cap=299).collect()
+    assert [(r.content, r.size) for r in wide] == [("a" * 250, 250)]
+    assert corpus.ingest_files(spark, str(tmp_path), "ISO-8859-1", "latin.py", cap=299).count() == 0
+
+
+def test_malformed_files_are_rejected_one_by_one(spark):
+    rows = [
+        ("US-ASCII", b"abc", "abc"),
+        ("US-ASCII", b"a\xe9c", None),
+        ("UTF-16", "a\U0001f600é".encode("utf-16"), "a\U0001f600é"),
+        ("UTF-16BE", b"\xd8\x00\x00a", None),
+        ("UTF-16LE", b"\x00\xdca\x00", None),
+        ("UTF-16LE", "\U0001f600".encode("utf-16-le"), "\U0001f600"),
+        ("UTF-16", b"\xff\xfea", None),
+        ("UTF-32", "é".encode("utf-32-be"), "é"),
+        ("UTF-32", b"\x00\x11\x00\x00", None),
+        ("KOI8-R", b"abc", None),
+        ("utf8", b"", ""),
+        ("UTF-16BE", ("x\U0001f600" * 50_000).encode("utf-16-be"), "x\U0001f600" * 50_000),
+    ]
+    frame = spark.createDataFrame([(n, c, b) for n, (c, b, _) in enumerate(rows)], "n int, charset string, content binary")
+    found = frame.select("n", text.decoded(F.col("content"), F.col("charset")).alias("t")).orderBy("n").collect()
+    assert [r.t for r in found] == [want for _, _, want in rows]
+
+
+def test_blank_hashes_are_taken_from_the_content(spark):
+    rows = [(1, "a", ""), (2, "b", None), (3, "a", "  "), (4, "c", "h"), (5, "d", "h")]
+    frame = spark.createDataFrame(rows, "id long, content string, hash string")
+    assert sorted(r.id for r in store.first_arrivals(frame).collect()) == [1, 2, 4]
+
+
+def test_epoch_text_beyond_four_digit_years(spark):
+    frame = spark.createDataFrame([("253402300800",), ("0" * 30 + "5",), ("9" * 18,)], "s string")
+    found = dict(frame.select("s", text.epoch_text(F.col("s"))).collect())
+    assert found == {
+        "253402300800": "10000-01-01 00:00:00",
+        "0" * 30 + "5": "1970-01-01 00:00:05",
+        "9" * 18: "9" * 18,
+    }

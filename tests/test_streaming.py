@@ -66,7 +66,7 @@ def test_progress_takes_the_last_batch(spark):
     rows = [(1, "Go", "a.go", "x", "web", 7), (2, "Go", "b.go", "y", "web", 3), (3, "C", "c.c", "z", "os", 1)]
     ingest, _ = run_in_batches(spark, rows, 1)
     found = {(r.language, r.query): r.last_page for r in ingest.progress().collect()}
-    assert found == {("Go", "web"): 3, ("C", "os"): 1}
+    assert found == {("Go", "web"): 4, ("C", "os"): 2}
 
 
 def test_several_files_in_one_run(spark):
@@ -76,3 +76,27 @@ def test_several_files_in_one_run(spark):
     ingest.start(path, files_per_trigger=1).awaitTermination()
     hashes = [r.hash for r in ingest.code().collect()]
     assert len(hashes) == len(set(hashes)) == len({r[3] for r in ROWS})
+
+
+def test_pages_beyond_the_budget_wait(spark):
+    rows = [(n, "Go", f"f{n}.go", f"{n:0100d}", "web", n) for n in range(10)]
+    ingest, path = run_in_batches(spark, rows, 10, 300)
+    assert ingest.code().count() == 3
+    assert [r.last_page for r in ingest.progress().collect()] == [3]
+    # A later run, even one without new files, goes on where the budget ended.
+    later = Ingest(spark, ingest.root, 10**9)
+    later.resume()
+    assert sorted(r.id for r in later.code().collect()) == list(range(10))
+    assert [r.last_page for r in later.progress().collect()] == [10]
+    later.resume()
+    assert later.code().count() == 10
+
+
+def test_file_cap_can_be_lifted(spark):
+    rows = [(1, "Go", "f.go", "x" * 300_000, "web", 0)]
+    path = scratch_path(spark, "in")
+    fetched(spark, rows).write.parquet(path)
+    for cap, count in ((262_144, 0), (0, 1)):
+        ingest = Ingest(spark, scratch_path(spark, "out"), cap=cap)
+        ingest.start(path).awaitTermination()
+        assert ingest.code().count() == count
