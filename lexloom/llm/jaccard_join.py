@@ -11,13 +11,14 @@ tokens differ in how they break ties and in how finely they look at the count.
 Candidates must share a prefix token under each order, and are then verified.
 
 Only which sets are connected is asked for, so pairs of sets that are known to
-be connected are not looked at again: sets are first compared to the first few
-sets with the same least hash (stars, each verified), and the exact stage looks
-at token groups that still hold sets of different components.
+be connected are not looked at again: sets are first compared to a few others
+with the same least hash (stars, each verified), and the exact stage looks at
+token groups that still hold sets of different components.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ SHINGLE = 5
 PERCENT = 75
 ORDERS = 3
 STARS = 6
-# Sets that a star compares with; the exact stage finds what this misses.
-LEADERS = 8
+# Latest sets that a star compares with; the exact stage finds what this misses.
+LEADERS = 16
+# A star of very many sets is looked at in so many parts.
+STAR_PARTS = 4
 
 # Longs in the sketch of a set's tokens, one bit for each of that many hash values.
 SKETCH = 16
@@ -110,7 +113,9 @@ def _set_rows(size: int, buckets: int):
                 rows += _packed(token, owner, names, np.flatnonzero(~common[where]), buckets, ALONE)
                 # A token of several sets of this block: one witness, and its sets know already.
                 rows += _packed(token, owner, names, first[common], buckets, WITNESS)
-                rows += _packed(token, owner, names, np.flatnonzero(common[where]), 1, KNOWN)
+                # One row for the latter, dealt by the first token of the block.
+                for _, *rest in _packed(token, owner, names, np.flatnonzero(common[where]), 1, KNOWN):
+                    rows.append((int(token[0] % np.uint64(buckets)), *rest))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, field.type) for column, field in zip(columns, schema, strict=True)], schema=schema
@@ -316,24 +321,23 @@ def linked(shared_a: np.ndarray, n_a: int, shared_b: np.ndarray, n_b: int, perce
 
 
 def _star_rows(percent: int):
-    """Compare each set with the first sets of its star; rows of a star follow each other."""
+    """Compare each set with the latest unlinked sets of its star; rows of a star follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, leaders = None, []
+        current, leaders = None, deque(maxlen=LEADERS)
         for batch in batches:
             edges = []
             columns = (batch.column(c).to_pylist() for c in ("nth", "star", "part", "name", "n", "shared"))
             for nth, star, part, name, n, blob in zip(*columns, strict=True):
                 shared = np.frombuffer(blob, np.uint64)
                 if (nth, star, part) != current:
-                    current, leaders = (nth, star, part), []
+                    current, leaders = (nth, star, part), deque(maxlen=LEADERS)
                 for other, count, tokens in leaders:
                     if linked(shared, n, tokens, count, percent):
                         edges.append((other, name))
                         break
                 else:
-                    if len(leaders) < LEADERS:
-                        leaders.append((name, n, shared))
+                    leaders.append((name, n, shared))
             if edges:
                 a, b = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -448,11 +452,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     )
     survivors = durable(survivors, "survivors")
     stars = (
-        survivors.select("name", "n", "shared", F.posexplode("stars").alias("nth", "star"))
-        .withColumn("part", F.pmod(F.xxhash64("name", "nth"), F.lit(8)))
+        survivors.select("name", "n", "shared", "stars", F.posexplode("stars").alias("nth", "star"))
+        .withColumn("part", F.pmod(F.xxhash64("name", "nth"), F.lit(STAR_PARTS)))
         .repartition("nth", "star", "part")
-        .withColumn("turn", F.when(F.col("nth") % 2 == 0, F.col("n").cast("long")).otherwise(F.xxhash64("nth", "name")))
-        .sortWithinPartitions("nth", "star", "part", "turn", "name")
+        # Sets alike in size, or in another least hash, follow each other.
+        .withColumn("turn", F.when(F.col("nth") % 2 == 0, F.col("n").cast("long")).otherwise(F.get("stars", (F.col("nth") + 1) % STARS)))
+        .drop("stars")
+        .sortWithinPartitions("nth", "star", "part", "turn", "n", "name")
         .mapInArrow(_star_rows(percent), "a long, b long")
     )
     labels = durable(components(stars), "stars")
