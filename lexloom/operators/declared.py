@@ -1,19 +1,22 @@
 """Masking of declared names as VARIABLE.
 
-Declarations are found from neighbouring tokens, per language; a name is
-masked from its first declaration to the end of the file. Everything happens
-on the token list of one file with array functions, so a corpus is masked in
-the stage that tokenised it and no token is shuffled.
+Declarations are found on the token table with windows over each file: from
+neighbouring tokens, from the statement or line a token stands in, and from the
+bracket around it. A name is masked from its declaration to the brace that
+closes the block it was declared in; Python names to the end of the file. All
+windows lie within a file, so one shuffle by file serves them all, and the work
+grows with the length of a file but for its sorting.
+
+The steps are lists of (column, SQL expression); each list may use the columns
+of those before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.lexis import NEWLINE, VARIABLE, bind
+from lexloom.functions.lexis import VARIABLE
 from lexloom.schema import KEYWORD_SETS
 
 # Built-in type words of each language.
@@ -62,245 +65,230 @@ ASCII_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
 UNICODE_NAME = r"^@?[\p{L}\p{Nl}_]"
 
 
-# Token at a distance. Every rule below asks first what most tokens fail.
-Near = Callable[[int], Column]
-
-
-def _among(token: Column, words: list[str]) -> Column:
-    """Membership in a list of words, as one literal in the plan."""
-    return F.find_in_set(token, F.lit(",".join(words))) > 0
-
-
-def _name(token: Column, pattern: str, reserved: list[str]) -> Column:
-    return token.rlike(pattern) & ~_among(token, reserved + LITERALS)
-
-
-def _typed(near: Near, at: int, types: list[str], pattern: str, reserved: list[str]) -> Column:
-    """The token at `at` can be the type of a declaration."""
-    return _among(near(at), types) | _name(near(at), pattern, reserved + types)
-
-
-def cpp_declares(near: Near) -> Column:
-    """`type name` followed by `=`, `;` or `[`, and `type name, name`."""
-    words = CPP_WORDS + CPP_TYPES
-    typed = _typed(near, -1, CPP_TYPES, ASCII_NAME, CPP_WORDS)
-    typed = typed | (near(-1).isin("*", "&") & _among(near(-2), CPP_TYPES))
-    ends = near(1).isin("=", ";", "[")
-    first_of_two = (near(1) == ",") & near(3).isin("=", ";", ",") & _name(near(2), ASCII_NAME, words)
-    second_of_two = (
-        (near(-1) == ",")
-        & near(1).isin("=", ";")
-        & _name(near(-2), ASCII_NAME, words)
-        & _typed(near, -3, CPP_TYPES, ASCII_NAME, CPP_WORDS)
-    )
-    return near(1).isin("=", ";", "[", ",") & _name(near(0), ASCII_NAME, words) & (
-        second_of_two | ((ends | first_of_two) & typed)
-    )
-
-
-def csharp_declares(near: Near) -> Column:
-    """`type name` followed by `=`, `;`, `,` or `)`, parameters included, and
-    `type name, name`."""
-    words = CSHARP_WORDS + CSHARP_TYPES
-    typed = _typed(near, -1, CSHARP_TYPES, UNICODE_NAME, CSHARP_WORDS)
-    typed = typed | (near(-1).isin("]", "?") & _among(near(-2), ["[", *CSHARP_TYPES]))
-    second_of_two = (
-        (near(-1) == ",")
-        & near(1).isin("=", ";")
-        & _name(near(-2), UNICODE_NAME, words)
-        & _typed(near, -3, CSHARP_TYPES, UNICODE_NAME, CSHARP_WORDS)
-    )
-    return near(1).isin("=", ";", ",", ")") & _name(near(0), UNICODE_NAME, words) & (
-        typed | second_of_two
-    )
-
-
-def go_declares(near: Near) -> Column:
-    """`var`/`const` names, `:=` targets except of `range` and of a receiving
-    `case`, `name type` pairs."""
-
-    received = F.coalesce(near(-1) == "case", F.lit(False))
-
-    def assigned(at: int) -> Column:
-        ranged = F.coalesce(near(at + 1) == "range", F.lit(False))
-        return (near(at) == ":=") & ~ranged & ~received
+def _words(words: list[str]) -> str:
+    return ", ".join("'" + word.replace("'", "''") + "'" for word in words)
 
-    first_of_two = (near(1) == ",") & assigned(3) & _name(near(2), UNICODE_NAME, GO_WORDS)
-    starts_type = _among(near(1), GO_TYPE_STARTS) | _name(near(1), UNICODE_NAME, GO_WORDS)
-    starts_type = starts_type | ((near(1) == "[") & (near(2) == "]"))
-    typed = near(-1).isin("(", ",", "{", ";", NEWLINE) & starts_type
-    likely = near(-1).isin("(", ",", "{", ";", NEWLINE, "var", "const") | near(1).isin(":=", ",")
-    return (
-        likely
-        & _name(near(0), UNICODE_NAME, GO_WORDS)
-        & (near(-1).isin("var", "const") | assigned(1) | first_of_two | typed)
-    )
 
+NAME_PATTERNS = {"C++": ASCII_NAME, "C#": UNICODE_NAME, "Go": UNICODE_NAME, "Python": UNICODE_NAME}
+RESERVED = {
+    "C++": CPP_WORDS + CPP_TYPES,
+    "C#": CSHARP_WORDS + CSHARP_TYPES,
+    "Go": GO_WORDS,
+    "Python": PYTHON_WORDS,
+}
 
-def python_declares(near: Near) -> Column:
-    """Assignment targets (one or two names), attributes set, annotated names,
-    `with ... as` and `case` names; not the names of exception handlers."""
-    # A colon starts a statement after these; elsewhere a type may follow it.
-    clause = (near(-1) == ":") & near(-2).isin(PYTHON_CLAUSE_ENDS)
-    starts = F.coalesce(near(-1).isin(NEWLINE, ";", "=", "."), F.lit(True)) | clause
-    assigned = _among(near(1), PYTHON_ASSIGNMENTS) & starts
-    first_of_two = (
-        (near(1) == ",")
-        & (near(3) == "=")
-        & starts
-        & _name(near(2), UNICODE_NAME, PYTHON_WORDS)
-    )
-    second_of_two = (
-        (near(1) == "=")
-        & (near(-1) == ",")
-        & F.coalesce(near(-3).isin(NEWLINE, ";"), F.lit(True))
-        & _name(near(-2), UNICODE_NAME, PYTHON_WORDS)
-    )
-    annotated = (
-        (near(1) == ":")
-        & (near(3) == "=")
-        & F.coalesce(near(-1).isin(NEWLINE, ";"), F.lit(True))
-    )
-    handler = F.coalesce(near(-3) == "except", F.lit(False))
-    captured = ((near(-1) == "as") & (near(1) == ":") & ~handler) | (
-        (near(-1) == "case") & near(1).isin(":", "if")
-    )
-    target = assigned | first_of_two | second_of_two | annotated | captured
-    likely = near(1).isin(",", ":", "if") | near(1).endswith("=")
-    return likely & _name(near(0), UNICODE_NAME, PYTHON_WORDS) & target
-
-
-def _marks(tokens: Column, declares: Callable[[Near], Column]) -> Column:
-    """Declared (name, pos) pairs in order of position."""
-
-    def mark(t, i):
-        found = declares(lambda n: t if n == 0 else F.get(tokens, i + n))
-        return F.when(found, F.struct(t.alias("name"), i.alias("pos")))
-
-    return F.filter(F.transform(tokens, mark), lambda m: m.isNotNull())
 
+def _by_language(choices: dict[str, str], otherwise: str) -> str:
+    cases = " ".join(f"WHEN '{language}' THEN {choice}" for language, choice in choices.items())
+    return f"CASE language {cases} ELSE {otherwise} END"
 
-def _parameters(tokens: Column) -> Column:
-    """Parameters of `def name (...)` and `lambda ... :` as (name, pos) pairs.
 
-    Each header is followed up to the next one; what comes after its closing
-    bracket or colon leaves the state untouched.
-    """
-    headers = F.filter(
-        F.transform(tokens, lambda t, i: F.when(t.isin("def", "lambda"), i)),
-        lambda i: i.isNotNull(),
+def name_test(matches) -> str:
+    """Whether a token is a name that can be declared; `matches(column, pattern)` is the engine's regex test."""
+    return _by_language(
+        {
+            language: f"({matches('token', pattern)} AND token NOT IN ({_words(RESERVED[language] + LITERALS)}))"
+            for language, pattern in NAME_PATTERNS.items()
+        },
+        "false",
     )
 
-    def follow(first: Column, length: Column) -> Column:
-        start = F.struct(
-            F.lit(0).alias("since"),
-            F.lit(0).alias("depth"),
-            F.lit("").alias("before"),
-            F.lit(True).alias("open"),
-            (F.get(tokens, first) == "def").alias("named"),
-            F.array().cast("array<struct<name:string,pos:int>>").alias("found"),
-        )
 
-        def step(state, t):
-            turn = (
-                F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
-            )
-            since, named = state["since"], state["named"]
-
-            def with_depth(depth):
-                closes = F.when(named, (since >= 2) & (depth <= 0)).otherwise(
-                    (since >= 1) & ((depth < 0) | ((t == ":") & (depth == 0)))
-                )
-                entered = F.when(
-                    named, (since >= 3) & (depth == 1) & state["before"].isin("(", ",", "*", "**")
-                ).otherwise(
-                    (since >= 1) & (depth == 0) & state["before"].isin("lambda", ",", "*", "**")
-                )
-                parameter = ~closes & entered & _name(t, UNICODE_NAME, PYTHON_WORDS)
-                pair = F.struct(t.alias("name"), (first + since).alias("pos"))
-                return F.struct(
-                    (since + 1).alias("since"),
-                    depth.alias("depth"),
-                    t.alias("before"),
-                    (~closes).alias("open"),
-                    named.alias("named"),
-                    F.when(parameter, F.concat(state["found"], F.array(pair)))
-                    .otherwise(state["found"])
-                    .alias("found"),
-                )
-
-            return F.when(~state["open"], state).otherwise(
-                bind(state["depth"] + turn, with_depth)
-            )
-
-        return F.aggregate(
-            F.slice(tokens, first + 1, length), start, step, lambda state: state["found"]
-        )
-
-    def all_headers(headers):
-        def one(first, k):
-            following = F.coalesce(F.get(headers, k + 1), F.size(tokens))
-            return follow(first, following - first)
-
-        return F.flatten(F.transform(headers, one))
-
-    return bind(headers, all_headers)
-
-
-def _python_marks(tokens: Column) -> Column:
-    both = F.concat(_marks(tokens, python_declares), _parameters(tokens))
-    return F.array_sort(both, lambda a, b: a["pos"] - b["pos"])
-
-
-MARKS: dict[str, Callable[[Column], Column]] = {
-    "C++": lambda tokens: _marks(tokens, cpp_declares),
-    "C#": lambda tokens: _marks(tokens, csharp_declares),
-    "Go": lambda tokens: _marks(tokens, go_declares),
-    "Python": _python_marks,
-}
-
-
-def masked(language: Column, tokens: Column) -> Column:
-    """Token list with declared names replaced from their declaration on."""
-
-    def firsts(marks):
-        names = F.transform(marks, lambda m: m["name"])
-        return bind(
-            names,
-            lambda names: F.filter(
-                marks, lambda m, k: F.array_position(names, m["name"]) == k + 1
-            ),
-        )
-
-    def replaced(tokens, firsts):
-        names = F.transform(firsts, lambda m: m["name"])
-        places = F.transform(firsts, lambda m: m["pos"])
+_FILE = "PARTITION BY doc_id ORDER BY pos"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_OPENS, _CLOSES = "('(', '[', '{')", "(')', ']', '}')"
+_TYPE_WORD = _by_language({"C++": f"token IN ({_words(CPP_TYPES)})", "C#": f"token IN ({_words(CSHARP_TYPES)})"}, "false")
+# Tokens that a type may be made of.
+_TYPE_MARKS = "('<', '>', '*', '&', '&&', '::', '.', '?', '[', ']', ',', 'const', 'static', 'readonly', 'public', 'private', 'protected', 'internal', 'constexpr', 'unsigned', 'ref', 'out')"
+_GO_TYPE = f"(a1_name OR a1 IN ({_words(GO_TYPE_STARTS)}) OR (a1 = '[' AND a2 = ']'))"
+_STARTS_LINE = "(first_before IS NULL OR first_before IN (chr(10), ';', '{', '('))"
+
+# Neighbours, depths, statements (lines in Python).
+_STEP_NEAR = [
+    *[(f"b{n}", f"lag(token, {n}) OVER ({_FILE})") for n in (1, 2, 3)],
+    *[(f"a{n}", f"lead(token, {n}) OVER ({_FILE})") for n in (1, 2, 3)],
+    *[(f"b{n}_name", f"coalesce(lag(is_name, {n}) OVER ({_FILE}), false)") for n in (1, 2)],
+    *[(f"b{n}_type", f"coalesce(lag(is_type, {n}) OVER ({_FILE}), false)") for n in (1, 2)],
+    ("a1_name", f"coalesce(lead(is_name, 1) OVER ({_FILE}), false)"),
+    ("depth", f"sum(CASE WHEN token IN {_OPENS} THEN 1 WHEN token IN {_CLOSES} THEN -1 ELSE 0 END) OVER ({_FILE})"),
+    ("braces", f"sum(CASE WHEN token = '{{' THEN 1 WHEN token = '}}' THEN -1 ELSE 0 END) OVER ({_FILE})"),
+    (
+        "part",
+        "coalesce(sum(CASE WHEN (language IN ('C++', 'C#') AND token IN (';', '{', '}')) "
+        f"OR (language = 'Python' AND token IN (chr(10), ';')) THEN 1 ELSE 0 END) OVER ({_FILE} {_BEFORE}), 0)",
+    ),
+    (
+        "header",
+        f"max(CASE WHEN language = 'Python' AND token IN ('def', 'lambda') THEN pos END) OVER ({_FILE})",
+    ),
+]
 
-        def with_names(names, places):
-            def replace(t, i):
-                at = F.array_position(names, t).cast("int") - 1
-                return F.when(F.get(places, at) <= i, VARIABLE).otherwise(t)
+# What the bracket around a token is for: 0 anything, 1 parameters, 2 a block of declarations, 3 a group of names.
+_KIND = _by_language(
+    {
+        "C++": "CASE WHEN b1 IN ('catch', 'for') OR (b1_name AND (b2_type OR b2_name OR b2 IN ('void', '*', '&', '>'))) THEN 1 ELSE 0 END",
+        "C#": "CASE WHEN b1 IN ('catch', 'using', 'fixed') OR (b1_name AND (b2_type OR b2_name OR b2 IN ('void', '>', ']', '?'))) THEN 1 ELSE 0 END",
+        "Go": "CASE WHEN b1 IN ('var', 'const') THEN 2 WHEN b1 = 'func' OR (b1_name AND b2 IN ('func', ')')) THEN 1 ELSE 0 END",
+        "Python": "CASE WHEN b1_name OR b1 IN (')', ']', 'STRING_LITERAL') THEN 0 ELSE 3 END",
+    },
+    "0",
+)
+_STEP_PLACE = [
+    (
+        "around",
+        f"coalesce(max(CASE WHEN token IN ('(', '[') THEN CAST(pos AS BIGINT) * 4 + {_KIND} END) OVER (PARTITION BY doc_id, depth ORDER BY pos) % 4, 0)",
+    ),
+    ("ends", "last_value(token) OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    ("starts", "first_value(token) OVER (PARTITION BY doc_id, part ORDER BY pos)"),
+    ("base", "first_value(depth) OVER (PARTITION BY doc_id, part ORDER BY pos)"),
+    (
+        "impure",
+        "coalesce(sum(CASE WHEN is_name OR is_type OR token IN "
+        f"{_TYPE_MARKS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, part ORDER BY pos {_BEFORE}), 0)",
+    ),
+    ("angled", f"coalesce(max(CASE WHEN token = '<' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY pos {_BEFORE}), 0)"),
+    # Python: the first assignment of the line, and of a header the end of its parameters.
+    (
+        "assigned",
+        f"coalesce(max(CASE WHEN token IN ({_words(PYTHON_ASSIGNMENTS)}) AND language = 'Python' THEN 1 ELSE 0 END) "
+        "OVER (PARTITION BY doc_id, part, depth ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+    ),
+    (
+        "assigns",
+        "max(CASE WHEN token = '=' AND language = 'Python' THEN CAST(pos AS BIGINT) * 1000000 + depth END) "
+        "OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    ),
+    ("opened", "CASE WHEN header IS NOT NULL THEN first_value(depth) OVER (PARTITION BY doc_id, header ORDER BY pos) END"),
+    ("opener", "CASE WHEN header IS NOT NULL THEN first_value(token) OVER (PARTITION BY doc_id, header ORDER BY pos) END"),
+    # Go: a name that can stand in a list of names, not in a type.
+    ("member", "coalesce(language = 'Go' AND is_name AND NOT b1_name AND coalesce(b1 NOT IN ('.', '*', ']', 'chan', 'map', '...', '<-'), true), false)"),
+]
+_STEP_HEADS = [
+    ("lowest", "min(CASE WHEN header IS NOT NULL AND pos >= header + 2 THEN depth END) OVER (PARTITION BY doc_id, header ORDER BY pos)"),
+    ("lowest_all", "min(depth) OVER (PARTITION BY doc_id, header ORDER BY pos)"),
+    (
+        "over",
+        "max(CASE WHEN token = ':' AND pos > header AND depth = opened THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, header ORDER BY pos)",
+    ),
+    # The first name of each list: no name and comma before it.
+    ("leads", f"member AND NOT (coalesce(b1 = ',', false) AND coalesce(lag(member, 2) OVER ({_FILE}), false))"),
+]
+_TYPED = (
+    "(b1_type OR b1_name OR (b1 IN ('*', '&', '&&') AND (b2_type OR b2_name OR b2 = '>') AND (impure = 0 OR around = 1)) "
+    "OR (b1 IN (']', '?') AND (b2_type OR b2_name OR b2 = '[')) OR (b1 = '>' AND angled = 1 AND (impure = 0 OR around = 1)))"
+)
+_STEP_RUNS = [
+    ("list", f"sum(CASE WHEN leads THEN 1 ELSE 0 END) OVER ({_FILE})"),
+    (
+        "typed",
+        _by_language(
+            {
+                "C++": f"is_name AND coalesce({_TYPED}, false) AND coalesce(a1 IN ('=', ';', '[') OR (depth = braces AND (a1 = ',' "
+                "OR (a1 = '(' AND ends = ';') OR (a1 = '{' AND a2 <> chr(10)))), false)",
+                "C#": f"is_name AND coalesce({_TYPED}, false) AND coalesce(a1 IN ('=', ';', ',', ')'), false)",
+            },
+            "false",
+        ),
+    ),
+]
+_STEP_LISTS = [
+    ("first_before", "first_value(b1) OVER (PARTITION BY doc_id, list ORDER BY pos)"),
+    (
+        "last_typed",
+        f"max(CASE WHEN member AND coalesce({_GO_TYPE}, false) THEN 1 WHEN member AND a1 = '*' THEN 2 WHEN member AND a1 = ':=' AND coalesce(a2 <> 'range', true) THEN 3 "
+        "WHEN member AND a1 = ',' THEN 0 ELSE -1 END) OVER (PARTITION BY doc_id, list, chain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    ),
+    (
+        "stated",
+        f"coalesce(max(CASE WHEN typed THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part, depth ORDER BY pos {_BEFORE}), 0)",
+    ),
+]
+# Names and commas that follow each other from the first name on.
+_STEP_CHAINS = [
+    (
+        "chain",
+        "CASE WHEN member OR (token = ',' AND language = 'Go') THEN sum(CASE WHEN member OR token = ',' THEN 0 ELSE 1 END) "
+        "OVER (PARTITION BY doc_id, list ORDER BY pos) END",
+    ),
+]
+_GO = (
+    "member AND (coalesce(first_before IN ('var', 'const'), false) "
+    "OR (last_typed = 3 AND coalesce(first_before <> 'case', true)) "
+    "OR (around = 2 AND coalesce(first_before IN ('(', chr(10), ';'), false)) "
+    "OR (last_typed = 1 AND coalesce(first_before IN ('(', ',', '{', ';', chr(10)), false)) "
+    "OR (last_typed = 2 AND (coalesce(first_before IN ('{', ';', chr(10)), false) "
+    "OR (around = 1 AND coalesce(first_before IN ('(', ','), false)))))"
+)
+_LISTED = "is_name AND depth = braces AND stated = 1 AND coalesce(b1 = ',' AND a1 IN (',', ';', '=', '[', '(', '{'), false)"
+_PY_STARTS = f"(b1 IS NULL OR b1 IN (chr(10), ';', '=', '.') OR (b1 = ':' AND b2 IN ({_words(PYTHON_CLAUSE_ENDS)})))"
+_PYTHON = (
+    "is_name AND ("
+    f"coalesce({_PY_STARTS} AND a1 IN ({_words(PYTHON_ASSIGNMENTS)}), false) "
+    # Names of a tuple or list before the line's assignment.
+    "OR coalesce(assigns > CAST(pos AS BIGINT) * 1000000 AND assigns % 1000000 = line_depth AND assigned = 0 AND (depth = line_depth OR around = 3) "
+    "AND starts NOT IN ('def', 'class', 'lambda', 'for', 'if', 'while', 'with', 'return', 'import', 'from', 'assert', 'elif', 'del') "
+    "AND (b1 IS NULL OR b1 IN (chr(10), ';', ',', '(', '[', '*', '.')) AND a1 IN (',', ')', ']', '='), false) "
+    "OR coalesce(a1 = ':' AND a3 = '=' AND (b1 IS NULL OR b1 IN (chr(10), ';')), false) "
+    "OR coalesce(b1 = 'as' AND a1 = ':' AND coalesce(b3 <> 'except', true), false) "
+    "OR coalesce(b1 = 'as' AND a1 = ',' AND starts IN ('with', 'async'), false) "
+    "OR coalesce(b1 = 'case' AND a1 IN (':', 'if'), false) "
+    "OR coalesce(opener = 'def' AND pos - header >= 3 AND depth = opened + 1 AND b1 IN ('(', ',', '*', '**') AND lowest > opened, false) "
+    "OR coalesce(opener = 'lambda' AND pos > header AND depth = opened AND b1 IN ('lambda', ',', '*', '**') "
+    "AND lowest_all >= opened AND over = 0, false))"
+)
+_STEP_DECLARES = [
+    (
+        "declares",
+        "coalesce(" + _by_language({"C++": f"typed OR ({_LISTED})", "C#": f"typed OR ({_LISTED})", "Go": _GO, "Python": _PYTHON}, "false") + ", false)",
+    ),
+    # A closing brace belongs to the level it closes.
+    ("level", "CASE WHEN token = '}' THEN braces + 1 ELSE braces END"),
+]
+_STEP_SCOPES = [
+    (
+        "scope_end",
+        "CASE WHEN language = 'Python' THEN NULL ELSE min(CASE WHEN token = '}' THEN pos END) "
+        "OVER (PARTITION BY doc_id, level ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END",
+    ),
+]
+_STEP_MASKS = [
+    (
+        "hidden",
+        "coalesce(max(CASE WHEN declares THEN coalesce(scope_end, 2147483647) END) OVER (PARTITION BY doc_id, token ORDER BY pos) > pos, false)",
+    ),
+]
 
-            return F.transform(tokens, replace)
 
-        return bind(names, lambda n: bind(places, lambda p: with_names(n, p)))
+def steps(matches) -> list[list[tuple[str, str]]]:
+    """All steps from `doc_id`, `language`, `pos`, `token` to `hidden`."""
+    named = [("is_name", f"coalesce({name_test(matches)}, false)"), ("is_type", f"coalesce({_TYPE_WORD}, false)")]
+    line = [
+        ("line_depth", "CASE WHEN starts IN ('(', '[', '{') THEN base - 1 ELSE base END"),
+    ]
+    return [
+        named, _STEP_NEAR, _STEP_PLACE, line + _STEP_HEADS, _STEP_RUNS, _STEP_CHAINS, _STEP_LISTS,
+        _STEP_DECLARES, _STEP_SCOPES, _STEP_MASKS,
+    ]
 
-    def of_file(tokens):
-        marks = F.when(F.lit(False), None)
-        for name, find in MARKS.items():
-            marks = marks.when(language == name, find(tokens))
-        return bind(
-            marks,
-            lambda marks: F.when(marks.isNull(), tokens).otherwise(
-                bind(firsts(marks), lambda firsts: replaced(tokens, firsts))
-            ),
-        )
 
-    return bind(tokens, of_file)
+def masked_sql(tokens: str, matches) -> str:
+    """The steps as nested SQL over a table of tokens, giving `hidden`."""
+    for step in steps(matches):
+        tokens = f"(SELECT *, {', '.join(f'{expression} AS {name}' for name, expression in step)} FROM {tokens})"
+    return tokens
 
 
 def masked_tokens(tokenised: DataFrame) -> DataFrame:
-    """(doc_id, language, tokens) with declared names masked."""
-    return tokenised.select(
-        "doc_id", "language", masked(F.col("language"), F.col("tokens")).alias("tokens")
+    """(doc_id, language, tokens) with declared names masked; files are told apart by `doc_id`."""
+    rows = tokenised.repartition("doc_id").select(
+        "doc_id", "language", F.col("tokens").isNull().alias("_none"), F.posexplode_outer("tokens").alias("pos", "token")
+    )
+    for step in steps(lambda column, pattern: f"{column} RLIKE r'{pattern}'"):
+        rows = rows.selectExpr("*", *[f"{expression} AS {name}" for name, expression in step])
+    shown = F.when(F.col("hidden"), VARIABLE).otherwise(F.col("token"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", shown.alias("token")))))
+    return (
+        rows.groupBy("doc_id", "language", "_none")
+        .agg(F.transform(listed, lambda item: item["token"]).alias("tokens"))
+        .select("doc_id", "language", F.when(~F.col("_none"), F.col("tokens")).alias("tokens"))
     )

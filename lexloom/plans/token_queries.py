@@ -238,86 +238,15 @@ def t06(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _name_sql(column: str, pattern: str, reserved: list[str]) -> str:
-    return (
-        f"(regexp_matches({column}, {quoted(pattern)}) AND {column} NOT IN "
-        f"({_words(reserved + declared.LITERALS)}))"
-    )
-
-
-_CPP_ALL = declared.CPP_WORDS + declared.CPP_TYPES
-_CS_ALL = declared.CSHARP_WORDS + declared.CSHARP_TYPES
-
-_CPP_TYPED = (
-    f"(b1 IN ({_words(declared.CPP_TYPES)}) OR {_name_sql('b1', declared.ASCII_NAME, _CPP_ALL)} "
-    f"OR (b1 IN ('*', '&') AND b2 IN ({_words(declared.CPP_TYPES)})))"
-)
-_PY_STARTS = (
-    "(b1 IS NULL OR b1 IN (chr(10), ';', '=', '.') "
-    f"OR (b1 = ':' AND b2 IN ({_words(declared.PYTHON_CLAUSE_ENDS)})))"
-)
-
-_MARKED_SQL = f"""
-  SELECT doc_id, language, pos, token, coalesce(CASE language
-    WHEN 'C++' THEN {_name_sql('token', declared.ASCII_NAME, _CPP_ALL)} AND (
-      coalesce(a1 IN ('=', ';', '[') AND {_CPP_TYPED}, false)
-      OR coalesce(a1 = ',' AND a3 IN ('=', ';', ',') AND {_name_sql('a2', declared.ASCII_NAME, _CPP_ALL)} AND {_CPP_TYPED}, false)
-      OR coalesce(b1 = ',' AND a1 IN ('=', ';') AND {_name_sql('b2', declared.ASCII_NAME, _CPP_ALL)}
-        AND (b3 IN ({_words(declared.CPP_TYPES)}) OR {_name_sql('b3', declared.ASCII_NAME, _CPP_ALL)}), false))
-    WHEN 'C#' THEN {_name_sql('token', declared.UNICODE_NAME, _CS_ALL)} AND (
-      coalesce(a1 IN ('=', ';', ',', ')') AND (b1 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b1', declared.UNICODE_NAME, _CS_ALL)}
-        OR (b1 IN (']', '?') AND b2 IN ('[', {_words(declared.CSHARP_TYPES)}))), false)
-      OR coalesce(b1 = ',' AND a1 IN ('=', ';') AND {_name_sql('b2', declared.UNICODE_NAME, _CS_ALL)}
-        AND (b3 IN ({_words(declared.CSHARP_TYPES)}) OR {_name_sql('b3', declared.UNICODE_NAME, _CS_ALL)}), false))
-    WHEN 'Go' THEN {_name_sql('token', declared.UNICODE_NAME, declared.GO_WORDS)} AND (
-      coalesce(b1 IN ('var', 'const'), false)
-      OR coalesce(a1 = ':=' AND coalesce(a2 <> 'range', true) AND coalesce(b1 <> 'case', true), false)
-      OR coalesce(a1 = ',' AND {_name_sql('a2', declared.UNICODE_NAME, declared.GO_WORDS)} AND a3 = ':=' AND coalesce(a4 <> 'range', true) AND coalesce(b1 <> 'case', true), false)
-      OR coalesce(b1 IN ('(', ',', '{{', ';', chr(10)) AND (a1 IN ({_words(declared.GO_TYPE_STARTS)})
-        OR {_name_sql('a1', declared.UNICODE_NAME, declared.GO_WORDS)} OR (a1 = '[' AND a2 = ']')), false))
-    WHEN 'Python' THEN {_name_sql('token', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (
-      coalesce({_PY_STARTS} AND a1 IN ({_words(declared.PYTHON_ASSIGNMENTS)}), false)
-      OR coalesce({_PY_STARTS} AND a1 = ',' AND a3 = '=' AND {_name_sql('a2', declared.UNICODE_NAME, declared.PYTHON_WORDS)}, false)
-      OR coalesce(a1 = '=' AND b1 = ',' AND {_name_sql('b2', declared.UNICODE_NAME, declared.PYTHON_WORDS)} AND (b3 IS NULL OR b3 IN (chr(10), ';')), false)
-      OR coalesce(a1 = ':' AND a3 = '=' AND (b1 IS NULL OR b1 IN (chr(10), ';')), false)
-      OR coalesce(b1 = 'as' AND a1 = ':' AND coalesce(b3 <> 'except', true), false)
-      OR coalesce(b1 = 'case' AND a1 IN (':', 'if'), false)
-      OR (doc_id, pos) IN (SELECT doc_id, pos FROM parameters))
-    ELSE false END, false) AS declares
-  FROM (SELECT *, lag(token, 1) OVER f AS b1, lag(token, 2) OVER f AS b2, lag(token, 3) OVER f AS b3, lead(token, 1) OVER f AS a1,
-      lead(token, 2) OVER f AS a2, lead(token, 3) OVER f AS a3, lead(token, 4) OVER f AS a4
-    FROM code_tok WINDOW f AS (PARTITION BY doc_id ORDER BY pos))"""
-
-# A name is a parameter of the latest header before it if that header is still
-# open: no later position has brought the depth back.
-_PARAMETERS_SQL = """
-  SELECT t.doc_id, t.pos FROM depths t JOIN depths h ON h.doc_id = t.doc_id AND h.pos = t.header
-  WHERE t.language = 'Python' AND (
-    (h.token = 'def' AND t.pos - h.pos >= 3 AND t.depth = h.depth + 1 AND t.prev IN ('(', ',', '*', '**')
-      AND t.lowest > h.depth)
-    OR (h.token = 'lambda' AND t.pos > h.pos AND t.depth = h.depth AND t.prev IN ('lambda', ',', '*', '**')
-      AND t.lowest_all >= h.depth AND NOT t.ended))"""
-_DEPTHS_SQL = """
-  SELECT *, min(CASE WHEN pos >= header + 2 THEN depth END) OVER g AS lowest, min(depth) OVER g AS lowest_all,
-    bool_or(token = ':' AND pos > header AND depth = opened) OVER g AS ended
-  FROM (SELECT *, first(depth) OVER (PARTITION BY doc_id, header ORDER BY pos) AS opened FROM (
-    SELECT *, lag(token) OVER f AS prev,
-      max(CASE WHEN token IN ('def', 'lambda') THEN pos END) OVER f AS header,
-      sum(CASE WHEN token IN ('(', '[', '{') THEN 1 WHEN token IN (')', ']', '}') THEN -1 ELSE 0 END) OVER f AS depth
-    FROM code_tok WHERE language = 'Python' WINDOW f AS (PARTITION BY doc_id ORDER BY pos)))
-  WINDOW g AS (PARTITION BY doc_id, header ORDER BY pos)"""
-
-
 @query(
     "t07_mask_declared_names",
     with_frames(
-        "SELECT doc_id, language, count(*) AS n, string_agg(CASE WHEN pos >= first_pos THEN 'VARIABLE' ELSE token END, ' ' ORDER BY pos) AS tokens "
-        "FROM code_tok LEFT JOIN firsts USING (doc_id, token) GROUP BY ALL",
+        "SELECT doc_id, language, count(*) AS n, string_agg(CASE WHEN hidden THEN 'VARIABLE' ELSE token END, ' ' ORDER BY pos) AS tokens "
+        "FROM masked GROUP BY ALL",
         "code_tok",
-        depths=_DEPTHS_SQL,
-        parameters=_PARAMETERS_SQL,
-        marked=_MARKED_SQL,
-        firsts="SELECT doc_id, token, min(pos) AS first_pos FROM marked WHERE declares GROUP BY ALL",
+        masked=declared.masked_sql(
+            "code_tok", lambda column, pattern: f"regexp_matches({column}, {quoted(pattern)})"
+        ),
     ),
 )
 def t07(spark: SparkSession, sf: str) -> DataFrame:

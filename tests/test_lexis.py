@@ -111,6 +111,13 @@ def test_names_are_masked_from_their_declaration_on(spark):
         ("Go", "select {\ncase a := <-b:\n}\nc := a\n", {"c"}),
         ("Python", "_ = 1\nmatch q:\n  case a: f(_)\ntry: b = 1\nexcept E as c: f(c)\nwith f() as d: f(d)\n", {"a", "b", "d"}),
         ("Python", "def f(a: int = 3, *b): c = 1\nif f(q): d = 2\n", {"a", "b", "c", "d"}),
+        ("Go", "func f(p *T, a, b int) { g(x * y, z) }\nfunc (r *R) m() {}\n", {"p", "a", "b", "r"}),
+        ("Go", "var c, d = 1, 2\nconst (\n\tE = iota\n\tF\n)\nh, i, j := 1, 2, 3\n", {"c", "d", "E", "F", "h", "i", "j"}),
+        ("C#", "List<int> xs = f(); int a, b, c; int d = 1, e = 2; if (q > r) { s = t > u; }", {"xs", "a", "b", "c", "d", "e"}),
+        ("C#", "void M(Map<int, string> m, Foo[] n) { g(v, w); }", {"m", "n"}),
+        ("C++", "std::vector<int> v; Foo* p; int a, b, c; int k(5); int m{6}; f(x * y); z = u * w;", {"v", "p", "a", "b", "c", "k", "m"}),
+        ("Python", "a, b, c = t\n(x, y) = t\nf(q, r).s = 1\ng(u, v=w)\n", {"a", "b", "c", "x", "y", "s"}),
+        ("Python", "with o() as f, p() as g: h(f)\nimport k as l, m as n\n", {"f", "g"}),
     ],
 )
 def test_declared_names(spark, language, text, names):
@@ -121,6 +128,21 @@ def test_declared_names(spark, language, text, names):
     assert set(masked.tokens) - set(plain.tokens) == {"VARIABLE"}
 
 
+@pytest.mark.parametrize(
+    "language,text,shown",
+    [
+        ("C#", "void M(){int z=1; z=3;} void N(){z=2;}", [False, False, True]),
+        ("C++", "void m(){int z=1; { z=3; }} void n(){z=2;}", [False, False, True]),
+        ("Go", "func m() {\nz := 1\nif q { z = 3 }\n}\nfunc n() { z = 2 }\n", [False, False, True]),
+        ("Go", "var z = 1\nfunc m() { z = 3 }\nfunc n() { z = 2 }\n", [False, False, False]),
+    ],
+)
+def test_names_are_masked_to_the_end_of_their_block(spark, language, text, shown):
+    tokenised = tokens_of(spark, [(1, language, text)])
+    (plain,), (masked,) = tokenised.collect(), declared.masked_tokens(tokenised).collect()
+    assert [m == "z" for p, m in zip(plain.tokens, masked.tokens) if p == "z"] == shown
+
+
 def test_files_do_not_share_names(spark):
     rows = [(1, "C++", "int a = 1;"), (2, "C++", "a = 2;")]
     masked = {r.doc_id: r.tokens for r in declared.masked_tokens(tokens_of(spark, rows)).collect()}
