@@ -244,11 +244,12 @@ _STEP_DECLARES = [
     # A closing brace belongs to the level it closes.
     ("level", "CASE WHEN token = '}' THEN braces + 1 ELSE braces END"),
 ]
+# Read backwards: a frame that runs to the end of a file would be summed up anew for each row.
 _STEP_SCOPES = [
     (
         "scope_end",
         "CASE WHEN language = 'Python' THEN NULL ELSE min(CASE WHEN token = '}' THEN pos END) "
-        "OVER (PARTITION BY doc_id, level ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END",
+        "OVER (PARTITION BY doc_id, level ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END",
     ),
 ]
 _STEP_MASKS = [
