@@ -25,7 +25,7 @@ SAMPLE_ROWS = 6_000
 EPOCHS = 4
 TEXTS_PER_STEP = 32
 RATE = 0.01
-CHUNKS_AT_ONCE = 1_024
+CHUNKS_AT_ONCE = 512
 THRESHOLD = 0.5
 PADDING = 256
 
