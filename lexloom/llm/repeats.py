@@ -16,7 +16,10 @@ windows with one key; its piece is the units they cover.
 3. `matched` hands the pieces to a matcher, all pieces of a key together. The
    matcher returns, for each window of each distinct piece, the first place
    where it starts, which gives the covered unit ranges of each place.
-4. `repeated_ranges` gathers these by text.
+4. A key whose pieces exceed a shard is hot. Its pieces are dealt out again as
+   single windows, by the hash of the whole window (`hot_ranges`): equal windows
+   still meet, and no task has to hold the key.
+5. `repeated_ranges` gathers the ranges by text.
 
 Places are ordered by (doc_id, start); a null doc_id counts as the largest. A
 text is known by (doc_id, hash of id and text), so repeated rows are alike.
@@ -41,8 +44,10 @@ from lexloom.session import durable
 LAST_ID = 2**63 - 1
 MAX_RUN = 255
 KEY_MASK = np.uint64(2**48 - 1)
-# Units of pieces given to the matcher at once; a single key may exceed it.
+# Units of pieces given to the matcher at once; a key of more bytes is hot.
 SHARD_UNITS = 400_000
+# Bytes of pieces that a task takes in between two looks for hot keys.
+LOOK_BYTES = 16 << 20
 # Places of one piece in a batch from which they wait apart for its answer.
 MANY_PLACES = 64
 
@@ -398,10 +403,12 @@ def candidate_pieces(texts: DataFrame, runs: DataFrame, units: Units) -> DataFra
     return found.mapInArrow(_piece_rows(units, tasks), _PIECES)
 
 
-_MATCHED = "key long, hash long, places binary, docs binary, starts binary, doc long, sid long, ranges binary"
+_MATCHED = (
+    "key long, hash long, places binary, docs binary, starts binary, piece binary, doc long, sid long, ranges binary"
+)
 _MATCHED_SCHEMA = pa.schema(
     [("key", pa.int64()), ("hash", pa.int64())]
-    + [(name, pa.binary()) for name in ("places", "docs", "starts")]
+    + [(name, pa.binary()) for name in ("places", "docs", "starts", "piece")]
     + [("doc", pa.int64()), ("sid", pa.int64()), ("ranges", pa.binary())]
 )
 
@@ -446,16 +453,73 @@ def _covered(
         spots = mine[row[first]]
         ranges = np.column_stack([spots["start"] + off[first], spots["start"] + off[last] + units.window])
         order = np.lexsort((spots["sid"], spots["doc"]))
-        spots, ranges = spots[order], ranges[order]
-        fresh = np.ones(len(spots), bool)
-        fresh[1:] = (spots["doc"][1:] != spots["doc"][:-1]) | (spots["sid"][1:] != spots["sid"][:-1])
-        heads = np.flatnonzero(fresh)
-        sizes = np.diff(np.append(heads, len(spots)))
-        yield pa.array(spots["doc"][heads]), pa.array(spots["sid"][heads]), grams.binary_rows(ranges.ravel(), 2 * sizes)
+        yield _by_text(spots[order], ranges[order])
+
+
+def _by_text(spots: np.ndarray, ranges: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Ranges in the order of their texts, a row for each text."""
+    heads = np.flatnonzero(_new_texts(spots))
+    sizes = np.diff(np.append(heads, len(spots)))
+    return pa.array(spots["doc"][heads]), pa.array(spots["sid"][heads]), grams.binary_rows(ranges.ravel(), 2 * sizes)
+
+
+def _new_texts(spots: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(spots), bool)
+    fresh[1:] = (spots["doc"][1:] != spots["doc"][:-1]) | (spots["sid"][1:] != spots["sid"][:-1])
+    return fresh
+
+
+@dataclass
+class _Pieces:
+    """Pieces of a bucket: their bytes one after the other, and their places likewise."""
+
+    text: bytes
+    keys: np.ndarray
+    sizes: np.ndarray
+    counts: np.ndarray
+    kinds: np.ndarray
+    spots: np.ndarray
+
+    @classmethod
+    def of_row(cls, row: dict) -> _Pieces:
+        docs, sids, starts = unpacked(PLACE_COLUMNS, row["places"])
+        spots = np.zeros(len(docs), PLACE)
+        spots["doc"], spots["sid"], spots["start"] = docs, sids, starts
+        text = zstandard.ZstdDecompressor().decompress(row["texts"])
+        return cls(text, *unpacked(HEAD_COLUMNS, row["heads"]), spots)
+
+    @classmethod
+    def joined(cls, held: list[_Pieces]) -> _Pieces:
+        if len(held) == 1:
+            return held[0]
+        arrays = ([getattr(h, name) for h in held] for name in ("keys", "sizes", "counts", "kinds", "spots"))
+        return cls(b"".join(h.text for h in held), *map(np.concatenate, arrays))
+
+    def where(self, kept: np.ndarray) -> _Pieces:
+        if kept.all():
+            return self
+        text = np.frombuffer(self.text, np.uint8)[np.repeat(kept, self.sizes)].tobytes()
+        columns = (column[kept] for column in (self.keys, self.sizes, self.counts, self.kinds))
+        return _Pieces(text, *columns, self.spots[np.repeat(kept, self.counts)])
+
+    def each(self, order: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, int]]:
+        ends, stops = np.cumsum(self.sizes, dtype=np.int64), np.cumsum(self.counts, dtype=np.int64)
+        for n in order.tolist():
+            piece = self.text[ends[n] - int(self.sizes[n]) : ends[n]]
+            yield int(self.keys[n]), piece, self.spots[stops[n] - int(self.counts[n]) : stops[n]], int(self.kinds[n])
+
+    def hot_keys(self) -> np.ndarray:
+        keys, where = np.unique(self.keys, return_inverse=True)
+        return keys[np.bincount(where, weights=self.sizes, minlength=len(keys)) > SHARD_UNITS]
 
 
 def _matched_rows(matcher: Matcher, units: Units):
-    """Ranges of places, answers to pieces whose places wait apart, and these places as they are."""
+    """Ranges of places, answers to pieces whose places wait apart, and these places as they are.
+
+    All pieces of a key are met in one task, so that a key becomes hot for all
+    of them. They leave the task as they are: with their places, or with their
+    hash if these wait.
+    """
 
     def emitted(**columns) -> pa.RecordBatch:
         count = len(next(iter(columns.values())))
@@ -492,50 +556,73 @@ def _matched_rows(matcher: Matcher, units: Units):
     def signed(value: int) -> int:
         return value - 2**64 if value >= 2**63 else value
 
+    def waiting(pieces: _Pieces):
+        hashes, places = [], []
+        for _, name, spots, _ in pieces.each(np.arange(len(pieces.keys))):
+            hashes.append(int.from_bytes(name, "little", signed=True))
+            places.append(spots.tobytes())
+        yield emitted(key=pieces.keys.view(np.int64), hash=hashes, places=places)
+
+    def passed(pieces: _Pieces, asked: set[int]):
+        rows = []
+        for key, piece, spots, many in pieces.each(np.arange(len(pieces.keys))):
+            if not many:
+                rows.append((signed(key), None, piece, spots.tobytes()))
+                continue
+            name = signed(piece_hash(piece))
+            if name not in asked:
+                asked.add(name)
+                rows.append((signed(key), name, piece, None))
+        for low in range(0, len(rows), HOT_AT_ONCE):
+            keys, hashes, texts, places = zip(*rows[low : low + HOT_AT_ONCE], strict=True)
+            yield emitted(key=keys, hash=hashes, piece=texts, places=places)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, columns, places = [], [], []
+        taken: list[_Pieces] = []
+        hot, asked = np.zeros(0, np.uint64), set()
+        size, look = 0, LOOK_BYTES
         for batch in batches:
             for row in batch.to_pylist():
-                blobs.append(zstandard.ZstdDecompressor().decompress(row["texts"]))
-                columns.append(unpacked(HEAD_COLUMNS, row["heads"]))
-                docs, sids, starts = unpacked(PLACE_COLUMNS, row["places"])
-                spots = np.zeros(len(docs), PLACE)
-                spots["doc"], spots["sid"], spots["start"] = docs, sids, starts
-                places.append(spots)
-        if not blobs:
+                pieces = _Pieces.of_row(row)
+                apart = pieces.kinds == WAITING
+                if apart.any():
+                    yield from waiting(pieces.where(apart))
+                    pieces = pieces.where(~apart)
+                taken.append(pieces)
+                size += len(pieces.text)
+                if size > look:
+                    pieces = _Pieces.joined(taken)
+                    hot = np.union1d(hot, pieces.hot_keys())
+                    known = np.isin(pieces.keys, hot)
+                    yield from passed(pieces.where(known), asked)
+                    taken = [pieces.where(~known)]
+                    size = len(taken[0].text)
+                    look = 2 * size + LOOK_BYTES
+        if not taken:
             return
-        text = b"".join(blobs)
-        blobs.clear()
-        spots = np.concatenate(places)
-        places.clear()
-        keys, sizes, counts, kinds = (np.concatenate(column) for column in zip(*columns, strict=True))
-        ends, stops = np.cumsum(sizes, dtype=np.int64), np.cumsum(counts, dtype=np.int64)
-        waiting = np.flatnonzero(kinds == WAITING)
-        if len(waiting):
-            yield emitted(
-                key=keys[waiting].view(np.int64),
-                hash=[int.from_bytes(text[ends[n] - 8 : ends[n]], "little", signed=True) for n in waiting],
-                places=[spots[stops[n] - counts[n] : stops[n]].tobytes() for n in waiting],
-            )
-        order = np.flatnonzero(kinds != WAITING)
-        order = order[np.argsort(keys[order], kind="stable")]
+        pieces = _Pieces.joined(taken)
+        taken.clear()
+        known = np.isin(pieces.keys, np.union1d(hot, pieces.hot_keys()))
+        yield from passed(pieces.where(known), asked)
+        pieces = pieces.where(~known)
+        order = np.argsort(pieces.keys, kind="stable")
+        _, where = np.unique(pieces.keys, return_inverse=True)
+        bound = np.bincount(where, weights=pieces.sizes)[where][order].tolist() if len(order) else []
         held: dict[bytes, list] = {}
         size, current = 0, None
-        for n in order.tolist():
-            key = int(keys[n])
+        for (key, piece, mine, many), key_bytes in zip(pieces.each(order), bound, strict=True):
             if key != current:
                 current = key
-                if size > SHARD_UNITS:
+                # No text has more units than bytes.
+                if held and size + key_bytes > SHARD_UNITS:
                     yield from settled(held)
                     held, size = {}, 0
-            piece = text[ends[n] - int(sizes[n]) : ends[n]]
-            mine = spots[stops[n] - int(counts[n]) : stops[n]]
             seen = held.get(piece)
             if seen is None:
-                held[piece] = [key, bool(kinds[n]), [mine]]
+                held[piece] = [key, bool(many), [mine]]
                 size += units.window + piece.count(b" ") if units.words else len(piece)
             else:
-                seen[1] |= bool(kinds[n])
+                seen[1] |= bool(many)
                 seen[2].append(mine)
         if held:
             yield from settled(held)
@@ -543,6 +630,138 @@ def _matched_rows(matcher: Matcher, units: Units):
     return run
 
 
+_WINDOWS = "bucket int, hashes binary, places binary, doc long, sid long, ranges binary"
+_WINDOWS_SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary())]
+    + [("doc", pa.int64()), ("sid", pa.int64()), ("ranges", pa.binary())]
+)
+# Hot pieces in one batch, and windows of them looked at together.
+HOT_AT_ONCE = 4_000
+HOT_WINDOWS = 500_000
+
+
+def _window_hashes(piece: bytes, units: Units) -> np.ndarray:
+    """128-bit hash of each window of a piece."""
+    if units.words:
+        words = piece.split(b" ")
+        windows = (b" ".join(words[at : at + units.window]) for at in range(len(words) - units.window + 1))
+    else:
+        windows = (piece[at : at + units.window] for at in range(len(piece) - units.window + 1))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, windows)), np.uint64).reshape(-1, 2)
+
+
+def _met_before(hashes: np.ndarray, spots: np.ndarray, units: Units) -> np.ndarray:
+    """Which windows also start earlier, among those given."""
+    order = np.lexsort((spots["start"], spots["doc"], hashes[:, 1], hashes[:, 0]))
+    opens = np.ones(len(order), bool)
+    opens[1:] = (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)
+    mine = spots[order]
+    least = mine[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+    again = np.zeros(len(order), bool)
+    again[order] = least["doc"] < mine["doc"]
+    if units.within:
+        again[order] |= (least["doc"] == mine["doc"]) & (least["start"] < mine["start"])
+    return again
+
+
+def _window_ranges(spots: np.ndarray, units: Units) -> pa.RecordBatch:
+    """Ranges covered by single windows, a row for each text."""
+    spots = spots[np.lexsort((spots["start"], spots["sid"], spots["doc"]))]
+    opens = _new_texts(spots)
+    opens[1:] |= spots["start"][1:] - spots["start"][:-1] > units.window
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(spots)) - 1
+    ranges = np.column_stack([spots["start"][first], spots["start"][last] + units.window])
+    doc, sid, ranges = _by_text(spots[first], ranges)
+    none = pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.nulls(len(doc), pa.binary())
+    return pa.RecordBatch.from_arrays([*none, doc, sid, ranges], schema=_WINDOWS_SCHEMA)
+
+
+def _window_rows(units: Units, buckets: int):
+    """Windows of hot pieces by bucket of their hash, without those that are met before in a batch.
+
+    The latter are covered for certain and leave as ranges, so that a window
+    met everywhere sends few places.
+    """
+
+    def settled(held: list[tuple[np.ndarray, np.ndarray]]):
+        hashes = np.concatenate([np.tile(h, (len(s), 1)) for h, s in held])
+        spots = np.concatenate([np.repeat(s, len(h)) for h, s in held])
+        spots["start"] += np.concatenate([np.tile(np.arange(len(h)), len(s)) for h, s in held])
+        again = _met_before(hashes, spots, units)
+        if again.any():
+            yield _window_ranges(spots[again], units)
+        hashes, spots = hashes[~again], spots[~again]
+        bucket = (hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        numbers, first = np.unique(bucket[order], return_index=True)
+        sent = [
+            (number, hashes[rows].tobytes(), packed(PLACE_COLUMNS, *(spots[name][rows] for name in ("doc", "sid", "start"))))
+            for number, rows in zip(numbers.tolist(), np.split(order, first[1:]), strict=False)
+        ]
+        columns = [pa.array(column, field.type) for column, field in zip(zip(*sent, strict=True), _WINDOWS_SCHEMA)]
+        yield pa.RecordBatch.from_arrays(
+            columns + [pa.nulls(len(sent), field.type) for field in list(_WINDOWS_SCHEMA)[3:]], schema=_WINDOWS_SCHEMA
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for piece, places in zip(batch.column("piece"), batch.column("places"), strict=True):
+                hashes = _window_hashes(piece.as_py(), units)
+                spots = np.frombuffer(places.as_py(), PLACE)
+                step = max(1, HOT_WINDOWS // len(hashes))
+                for low in range(0, len(spots), step):
+                    held.append((hashes, spots[low : low + step]))
+                    size += len(hashes) * len(held[-1][1])
+                    if size >= HOT_WINDOWS:
+                        yield from settled(held)
+                        held, size = [], 0
+        if held:
+            yield from settled(held)
+
+    return run
+
+
+def _first_windows(units: Units):
+    """Ranges of the windows of a bucket that also start earlier; known ranges as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, places = [], []
+        for batch in batches:
+            known = batch.filter(batch.column("ranges").is_valid())
+            if known.num_rows:
+                yield known.select(["doc", "sid", "ranges"])
+            sent = batch.filter(batch.column("ranges").is_null())
+            for blob, packed_places in zip(sent.column("hashes").to_pylist(), sent.column("places").to_pylist(), strict=True):
+                docs, sids, starts = unpacked(PLACE_COLUMNS, packed_places)
+                spots = np.zeros(len(docs), PLACE)
+                spots["doc"], spots["sid"], spots["start"] = docs, sids, starts
+                hashes.append(np.frombuffer(blob, np.uint64).reshape(-1, 2))
+                places.append(spots)
+        if not places:
+            return
+        spots = np.concatenate(places)
+        again = _met_before(np.concatenate(hashes), spots, units)
+        if again.any():
+            yield _window_ranges(spots[again], units).select(["doc", "sid", "ranges"])
+
+    return run
+
+
+def hot_ranges(pieces: DataFrame, units: Units) -> DataFrame:
+    """Ranges of hot pieces (`piece`, `places`), whose windows are dealt singly by their hash."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        pieces.repartition(tasks)
+        .mapInArrow(_window_rows(units, tasks), _WINDOWS)
+        # Known ranges have no bucket and stay spread.
+        .withColumn("bucket", F.coalesce("bucket", F.pmod(F.xxhash64("sid"), F.lit(tasks)).cast("int")))
+        .repartitionById(tasks, "bucket")
+        .mapInArrow(_first_windows(units), "doc long, sid long, ranges binary")
+    )
+
+
 def _late_ranges(units: Units):
     """Ranges of the places that waited for the answer to their piece."""
 
@@ -577,12 +796,16 @@ def repeated_ranges(docs: DataFrame, matcher: Matcher, units: Units) -> DataFram
     pieces = candidate_pieces(texts, candidate_runs(texts, units), units)
     found = durable(matched(pieces, matcher, units), "matched")
     answers = found.where("docs IS NOT NULL").select("key", "hash", "docs", "starts")
+    waiting = found.where("places IS NOT NULL AND piece IS NULL").select("key", "hash", "places")
     late = (
-        found.where("places IS NOT NULL")
-        .select("key", "hash", "places")
-        .join(answers, ["key", "hash"])
+        waiting.join(answers, ["key", "hash"])
         .mapInArrow(_late_ranges(units), "doc long, sid long, ranges binary")
     )
+    hot = found.where("piece IS NOT NULL")
+    if not hot.isEmpty():
+        crowds = hot.where("places IS NULL").select("key", "hash", "piece").join(waiting, ["key", "hash"])
+        pieces = hot.where("places IS NOT NULL").select("piece", "places").unionByName(crowds.select("piece", "places"))
+        late = late.unionByName(hot_ranges(pieces, units))
     ranges = (
         found.where("ranges IS NOT NULL")
         .select("doc", "sid", "ranges")

@@ -1,6 +1,7 @@
 """Removal of repeated passages against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexloom.llm import substring_dedup, suffix_dedup
+from lexloom.llm import grams, repeats, substring_dedup, suffix_dedup
 from tests.llm.fixtures import awkward_texts
 
 LAST = 2**63
@@ -142,3 +143,77 @@ def test_very_common_passage(spark):
     found = suffix_dedup.remove_repeated_bytes(frame)
     got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found.collect()]
     assert sorted(got, key=str) == brute_bytes(rows, 100)
+
+
+def hot_texts(words):
+    """Texts around a phrase that is the key of all windows that hold it, and copies of some of them."""
+    rng = random.Random(5)
+    draw = (lambda: f"w{rng.randrange(10**6)}") if words else (lambda: chr(rng.randrange(97, 123)))
+    units = [draw() for _ in range(20_000)]
+    gap, size = (" ", 6) if words else ("", 16)
+    data = np.frombuffer(gap.join(units).encode(), np.uint8)
+    if words:
+        _, _, hashes, _ = grams.words_of(data, np.array([0, len(data)]))
+        at = int(grams.word_grams(hashes, size).argmin())
+    else:
+        at = int(grams.byte_grams(data, size).argmin())
+    phrase = units[at : at + size]
+    around = 15 if words else 100
+    texts = [[draw() for _ in range(around)] + phrase + [draw() for _ in range(around)] for _ in range(5_000)]
+    rows = [(n, gap.join(t)) for n, t in enumerate(texts)]
+    # Text behind the phrase, before it, whole texts, one text often, one twice in itself, an id twice, null ids.
+    behind, before = (slice(around // 2, None), slice(None, around + size + around // 2))
+    rows += [(10_000 + n, gap.join(["x", *texts[n][behind]])) for n in range(300)]
+    rows += [(n - 20_000, gap.join([*texts[n][before], "y"])) for n in range(300, 600)]
+    rows += [(30_000 + n, gap.join(texts[n])) for n in range(600, 800)]
+    rows += [(40_000 + n, gap.join(texts[800])) for n in range(300)]
+    rows += [(50_000, gap.join([*texts[801], *texts[801]])), (802, gap.join(texts[803])), (None, gap.join(texts[804])), (None, gap.join(texts[804]))]
+    return rows
+
+
+def test_hot_key(spark, monkeypatch):
+    """A key whose pieces exceed a shard is split by windows, and no window is lost."""
+    calls, split = [], repeats.hot_ranges
+    monkeypatch.setattr(repeats, "hot_ranges", lambda pieces, units: calls.append(units.words) or split(pieces, units))
+    rows = hot_texts(words=True)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = substring_dedup.remove_repeats(frame)
+    got = [tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute_words(rows, 13)
+    rows = hot_texts(words=False)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = suffix_dedup.remove_repeated_bytes(frame)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found.collect()]
+    assert sorted(got, key=str) == brute_bytes(rows, 100)
+    assert calls == [True, False]
+
+
+@pytest.mark.parametrize("words", [True, False])
+@pytest.mark.parametrize("look", [1, 1 << 24])
+def test_shards_are_bounded(monkeypatch, words, look):
+    """The matcher never gets more than a shard, and all pieces reach it or leave as hot ones."""
+    monkeypatch.setattr(repeats, "SHARD_UNITS", 2_000)
+    monkeypatch.setattr(repeats, "LOOK_BYTES", look)
+    units = repeats.Units(words=words, window=13, gram=6, within=not words)
+    seen = []
+
+    def matcher(pieces, docs, starts):
+        counts = [len(p.split()) if words else len(p) for p in pieces]
+        assert sum(counts) <= 2_000
+        seen.extend(pieces)
+        return [(np.zeros(n - 12, np.int64), np.zeros(n - 12, np.int64)) for n in counts]
+
+    rng = random.Random(1)
+    batches, sent = [], []
+    for _ in range(6):
+        entries = [(7 if n % 2 else n, " ".join(f"v{rng.randrange(10**6)}" for _ in range(16)).encode()) for n in range(60)]
+        sent += [piece for _, piece in entries]
+        keys, pieces = zip(*entries)
+        heads = repeats.packed(repeats.HEAD_COLUMNS, np.array(keys), np.array([len(p) for p in pieces]), np.ones(60), np.zeros(60))
+        places = repeats.packed(repeats.PLACE_COLUMNS, *np.arange(180).reshape(3, 60))
+        blob = repeats.zstandard.ZstdCompressor().compress(b"".join(pieces))
+        batches.append(repeats.pa.RecordBatch.from_pylist([{"bucket": 0, "heads": heads, "texts": blob, "places": places}], repeats._PIECES_SCHEMA))
+    hot = []
+    for batch in repeats._matched_rows(matcher, units)(iter(batches)):
+        hot += [p for p in batch.column("piece").to_pylist() if p is not None]
+    assert sorted(seen + hot) == sorted(sent) and len(hot) == 180
