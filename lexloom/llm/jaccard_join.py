@@ -154,14 +154,24 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 _COUNTED = "name long, n int, doc_id long, tokens binary"
+# Tokens known by blocks that a task folds at once: copies in many blocks send the same ones.
+KNOWN_AT_ONCE = 2_000_000
+
+
+def _distinct(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which entries to keep for each name and token once."""
+    order = np.lexsort((keys, names))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (names[order[1:]] != names[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
+    return order[fresh]
 
 
 def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document rows as they are; per set the tokens that other sets hold too."""
-    held = []
+    """Document rows as they are; per set the tokens that other sets hold too, none twice in a row."""
+    held, known, size = [], [], 0
 
     def tokens_of(names, keys):
-        order = np.argsort(names, kind="stable")
+        order = _distinct(names, keys)
         names = names[order]
         opens = np.ones(len(names), bool)
         opens[1:] = names[1:] != names[:-1]
@@ -198,7 +208,16 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             names, keys = _unpacked(row)
             if row["held"] == KNOWN:
-                yield from tokens_of(names, keys)
+                known.append((names, keys))
+                size += len(keys)
+                if size > KNOWN_AT_ONCE:
+                    names, keys = (np.concatenate(c) for c in zip(*known, strict=True))
+                    once = _distinct(names, keys)
+                    known, size = [(names[once], keys[once])], len(once)
+                    # Few repeats: nothing is gained by holding on to them.
+                    if size > KNOWN_AT_ONCE // 2:
+                        yield from tokens_of(*known[0])
+                        known, size = [], 0
             else:
                 held.append((names, keys, np.full(len(keys), row["held"] == WITNESS)))
         if docs:
@@ -212,6 +231,8 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ],
                 names=["name", "n", "doc_id", "tokens"],
             )
+    if known:
+        yield from tokens_of(*(np.concatenate(c) for c in zip(*known, strict=True)))
     yield from settled()
 
 
@@ -234,29 +255,57 @@ def _reach(n: int, held: int, percent: int) -> int:
 
 
 def _sifted_rows(percent: int):
-    """Sets whose prefix holds a token of another set, with the tokens that other sets hold."""
+    """Sets whose prefix holds a token of another set, with the tokens that other sets hold.
+
+    Rows of a set follow each other: its size, then its tokens in any number of
+    rows, which are folded as they come, so that one set is held at a time and
+    each of its tokens about twice at most.
+    """
+
+    def folded(parts: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    def emitted(names: list[int], sizes: list[int], shared: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(names, pa.int64()),
+                pa.array(sizes, pa.int32()),
+                pa.ListArray.from_arrays(
+                    np.cumsum([0] + [len(k) for k in shared], dtype=np.int32),
+                    np.concatenate(shared) if shared else np.zeros(0, np.int64),
+                ),
+            ],
+            names=["name", "n", "shared"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, size, parts, held, bound = None, 0, [], 0, 0
         for batch in batches:
             names, sizes, shared = [], [], []
             columns = (batch.column("name").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"))
-            for name, n, blobs in zip(*columns, strict=True):
-                keys = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in blobs.as_py()]))
-                if _reach(n, len(keys), percent):
-                    names.append(name)
-                    sizes.append(n)
-                    shared.append(keys)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names, pa.int64()),
-                    pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(
-                        np.cumsum([0] + [len(k) for k in shared], dtype=np.int32),
-                        np.concatenate(shared) if shared else np.zeros(0, np.int64),
-                    ),
-                ],
-                names=["name", "n", "shared"],
-            )
+            for name, n, blob in zip(*columns, strict=True):
+                if name != current:
+                    keys = folded(parts)
+                    if current is not None and _reach(size, len(keys), percent):
+                        names.append(current)
+                        sizes.append(size)
+                        shared.append(keys)
+                    current, size, parts, held, bound = name, 0, [], 0, 0
+                if n is not None:
+                    size = n
+                    continue
+                parts.append(np.frombuffer(blob.as_buffer(), np.int64))
+                held += len(parts[-1])
+                if held > 2 * max(bound, size):
+                    parts = [folded(parts)]
+                    held = bound = len(parts[0])
+            # Parts of a set that goes on must not keep the batch.
+            parts = [folded(parts)] if parts else []
+            held = bound = len(parts[0]) if parts else 0
+            yield emitted(names, sizes, shared)
+        keys = folded(parts)
+        if current is not None and _reach(size, len(keys), percent):
+            yield emitted([current], [size], [keys])
 
     return run
 
@@ -431,11 +480,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     counted = durable(document_sets(docs, shingle), "sets")
     rows = counted.where("tokens IS NULL").select("doc_id", "n", "name")
     sets = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None)
     sifted = (
         counted.where("tokens IS NOT NULL")
-        .groupBy("name")
-        .agg(F.collect_list("tokens").alias("tokens"))
-        .join(sets.select("name", "n"), "name")
+        .select("name", none.cast("int").alias("n"), "tokens")
+        .unionByName(sets.select("name", "n", none.cast("binary").alias("tokens")))
+        .repartition(tasks, "name")
+        # The size of a set first, then its tokens.
+        .sortWithinPartitions("name", F.col("n").desc_nulls_last())
         .mapInArrow(_sifted_rows(percent), "name long, n int, shared array<long>")
     )
     sifted = durable(sifted, "sifted")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import jaccard_join
@@ -81,3 +83,34 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.sql("select 900L, 500L"))
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {n: 0 for n in range(201)} | {900: 500, 500: 500}
+
+
+@pytest.mark.parametrize("at_once", [50, 2_000_000])
+def test_copies_in_many_blocks_send_their_tokens_once(monkeypatch, at_once):
+    """However many blocks hold a text, a row of it has each token once, and a set is one row."""
+    monkeypatch.setattr(jaccard_join, "KNOWN_AT_ONCE", at_once, raising=False)
+    token, owner, names = np.arange(40, dtype=np.uint64), np.repeat([0, 1], 20), np.array([5, 6])
+    columns = ["bucket", "name", "n", "docs", "names", "owners", "keys", "held"]
+    rows = []
+    for _ in range(300):
+        for held, part in ((jaccard_join.KNOWN, np.arange(0, 30)), (jaccard_join.ALONE, np.arange(30, 40)), (jaccard_join.WITNESS, np.arange(30, 31))):
+            rows += [dict(zip(columns, row)) for row in jaccard_join._packed(token, owner, names, part, 1, held)]
+    counted = list(jaccard_join._counted_rows(pa.RecordBatch.from_pylist(rows[at : at + 50]) for at in range(0, len(rows), 50)))
+    sent = [(name, np.frombuffer(blob, np.uint64)) for batch in counted for name, blob in zip(batch.column("name").to_pylist(), batch.column("tokens").to_pylist())]
+    assert all(len(set(keys.tolist())) == len(keys) for _, keys in sent)
+    assert set(np.concatenate([k for name, k in sent if name == 6]).tolist()) == set(range(20, 31))
+    assert len([name for name, _ in sent if name == 5]) <= 2 or at_once == 50
+
+
+def test_repeated_tokens_of_a_set_fold_as_they_come():
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+    some = [np.arange(low, low + 10, dtype=np.int64).tobytes() for low in (0, 5, 10)]
+    rows = [(1, 20, None)] + [(1, None, blob) for blob in some * 100] + [(2, 9, None), (3, 10, None), (3, None, some[0])]
+    batches = [
+        pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows[at : at + 7]], schema) for at in range(0, len(rows), 7)
+    ]
+    found = [row for batch in jaccard_join._sifted_rows(75)(iter(batches)) for row in batch.to_pylist()]
+    assert found == [
+        {"name": 1, "n": 20, "shared": list(range(20))},
+        {"name": 3, "n": 10, "shared": list(range(10))},
+    ]
