@@ -61,3 +61,9 @@ def test_unchecked_query_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 40
+
+
+def test_word_map_has_every_vector(spark, con):
+    """No label and no rank is left out of the map."""
+    found = entry.queries()["e12_word_map"](spark, SF).select("language", "keyword", "x").collect()
+    assert len(found) == con.sql("SELECT count(*) AS n FROM embeddings").fetchall()[0][0]
