@@ -4,6 +4,7 @@ from lexloom.llm import (  # noqa: F401
     chat_queries,
     corpus_queries,
     dedup_queries,
+    embedding_queries,
     model_queries,
     packing_queries,
     search_queries,

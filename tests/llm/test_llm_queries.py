@@ -21,7 +21,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_equals_check(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = QUERIES[name](spark, SF)
     names = sorted(found.columns)
