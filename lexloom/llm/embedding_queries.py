@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import hard_negatives
+from lexloom.llm import hard_negatives, whitening
 from lexloom.llm.registry import query, table
 
 SCALE = 256
@@ -42,3 +42,8 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf, "embeddings").withColumn("label", noisy)
     return hard_negatives.mine(hard_negatives.quantised(vectors, SCALE), ANCHOR_EVERY)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
