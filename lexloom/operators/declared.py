@@ -1,20 +1,23 @@
 """Masking of declared names as VARIABLE.
 
-Declarations are found on the token table with windows over each file: from
-neighbouring tokens, from the statement or line a token stands in, and from the
-bracket around it. A name is masked from its declaration to the brace that
-closes the block it was declared in; Python names to the end of the file. All
-windows lie within a file, so one shuffle by file serves them all, and the work
-grows with the length of a file but for its sorting.
-
-The steps are lists of (column, SQL expression); each list may use the columns
-of those before it.
+Files are masked inside the scan: a batch of token lists becomes arrays of small
+numbers, one per word, and every rule is a pass over these arrays. Declarations
+are found from neighbouring tokens, from the statement or line a token stands in,
+and from the bracket around it. A name is masked from its declaration to the
+brace that closes the block it was declared in; Python names to the end of the
+file. Nothing is exploded or shuffled. A list is masked by itself, however many
+rows share an id; null lists and lists of other languages stay as they are.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lexloom.functions.lexis import VARIABLE
 from lexloom.schema import KEYWORD_SETS
@@ -64,12 +67,6 @@ LITERALS = ["STRING_LITERAL", "INT_LITERAL", "FLOAT_LITERAL", "BOOL_LITERAL"]
 ASCII_NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
 UNICODE_NAME = r"^@?[\p{L}\p{Nl}_]"
 
-
-def _words(words: list[str]) -> str:
-    return ", ".join("'" + word.replace("'", "''") + "'" for word in words)
-
-
-NAME_PATTERNS = {"C++": ASCII_NAME, "C#": UNICODE_NAME, "Go": UNICODE_NAME, "Python": UNICODE_NAME}
 RESERVED = {
     "C++": CPP_WORDS + CPP_TYPES,
     "C#": CSHARP_WORDS + CSHARP_TYPES,
@@ -77,219 +74,347 @@ RESERVED = {
     "Python": PYTHON_WORDS,
 }
 
+# Tokens masked at once; a longer file is masked alone.
+CHUNK_TOKENS = 500_000
+
+# Tokens a type may be made of.
+TYPE_MARKS = [
+    "<", ">", "*", "&", "&&", "::", ".", "?", "[", "]", ",", "const", "static", "readonly", "public", "private",
+    "protected", "internal", "constexpr", "unsigned", "ref", "out",
+]
+
+# --- words as numbers --------------------------------------------------------
+
+_LANGUAGES = ["C++", "C#", "Go", "Python"]
+_CPP, _CSHARP, _GO, _PYTHON = range(4)
+_OTHER = 4
+
+# Words that a rule names have a number; all others are 0, and -1 stands beyond the ends of a file.
+_NUMBERS: dict[str, int] = {}
+_MANY = 1 << 10
+
+
+def _one(word: str) -> int:
+    return _NUMBERS.setdefault(word, len(_NUMBERS) + 1)
+
+
+def _any(*words: str) -> np.ndarray:
+    """Table to look up by number whether a word is among `words`."""
+    table = np.zeros(_MANY, bool)
+    table[[_one(word) for word in words]] = True
+    return table
+
+
+_COMMA, _COLON, _ASSIGN, _STAR, _ANGLE, _BRACE = map(_one, [",", ":", "=", "*", "<", "}"])
+_LINE, _CALL, _BLOCK, _SHORT, _RANGE, _CASE, _AS = map(_one, ["\n", "(", "{", ":=", "range", "case", "as"])
+_DEF, _LAMBDA, _EXCEPT, _SEMICOLON, _SQUARE, _END = map(_one, ["def", "lambda", "except", ";", "]", ")"])
+_STEPS = np.zeros(_MANY, np.int64)
+_BRACES = np.zeros(_MANY, np.int64)
+for _word, _step in {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.items():
+    _STEPS[_one(_word)] = _step
+    _BRACES[_one(_word)] = _step * (_word in "{}")
+_ENDS_PART = np.zeros((_OTHER + 1, _MANY), bool)
+_ENDS_PART[_CPP] = _ENDS_PART[_CSHARP] = _any(";", "{", "}")
+_ENDS_PART[_PYTHON] = _any("\n", ";")
+_IS_RESERVED = np.stack([_any(*RESERVED[name], *LITERALS) for name in _LANGUAGES] + [np.ones(_MANY, bool)])
+_IS_TYPE = np.zeros((_OTHER + 1, _MANY), bool)
+_IS_TYPE[_CPP], _IS_TYPE[_CSHARP] = _any(*CPP_TYPES), _any(*CSHARP_TYPES)
+_IS_MARK, _IS_ASSIGNMENT = _any(*TYPE_MARKS), _any(*PYTHON_ASSIGNMENTS)
+_OPENS_GROUP, _OPENS_ANY = _any("(", "["), _any("(", "[", "{")
+_IS_GO_TYPE = _any(*GO_TYPE_STARTS)
+
+# Words that a rule asks for beside a name, a bracket or a statement.
+_CPP_HEADS = _any("catch", "for")
+_CPP_RESULTS = _any("void", "*", "&", ">")
+_CSHARP_HEADS = _any("catch", "using", "fixed")
+_CSHARP_RESULTS = _any("void", ">", "]", "?")
+_FUNC = _any("func")
+_FUNC_OR_RECEIVER = _any("func", ")")
+_GO_DECLARES = _any("var", "const")
+_VALUE_ENDS = _any(")", "]", "STRING_LITERAL")
+_POINTERS = _any("*", "&", "&&")
+_CLOSED_ANGLE = _any(">")
+_SUFFIXES = _any("]", "?")
+_SQUARE_OPEN = _any("[")
+_CPP_AFTER = _any("=", ";", "[")
+_CSHARP_AFTER = _any("=", ";", ",", ")")
+_LIST_AFTER = _any(",", ";", "=", "[", "(", "{")
+_GO_NOT_BEFORE = _any(".", "*", "]", "chan", "map", "...", "<-")
+_GROUP_STARTS = _any("(", "\n", ";")
+_TYPED_STARTS = _any("(", ",", "{", ";", "\n")
+_STATEMENT_STARTS = _any("{", ";", "\n")
+_PARAMETER_STARTS = _any("(", ",")
+_LINE_ENDS = _any("\n", ";")
+_TARGET_BEFORE = _any("=", ".")
+_CLAUSE_ENDS = _any(*PYTHON_CLAUSE_ENDS)
+_TUPLE_BEFORE = _any("\n", ";", ",", "(", "[", "*", ".")
+_TUPLE_AFTER = _any(",", ")", "]", "=")
+_DEF_BEFORE = _any("(", ",", "*", "**")
+_LAMBDA_BEFORE = _any("lambda", ",", "*", "**")
+_WITH = _any("with", "async")
+_CASE_AFTER = _any(":", "if")
+_PYTHON_HEADS = _any("def", "class", "lambda", "for", "if", "while", "with", "return", "import", "from", "assert", "elif", "del")
+
+_FULL_NAME = re.compile(ASCII_NAME.rstrip("$"))
+
+
+def _ascii_name(word: str) -> bool:
+    return _FULL_NAME.fullmatch(word) is not None
+
+
+def _unicode_name(word: str) -> bool:
+    """Whether a word begins like UNICODE_NAME."""
+    first = word[1:2] if word[:1] == "@" else word[:1]
+    return first == "_" or (first != "" and unicodedata.category(first)[:2] in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl"))
+
+
+# --- passes over rows in order -----------------------------------------------
+
+
+class _Runs:
+    """Rows in runs: contiguous ones that begin at `first`, or those of equal `key`, in order."""
+
+    def __init__(self, first: np.ndarray | None = None, key: np.ndarray | None = None):
+        self.order = None
+        if first is None:
+            self.order = np.argsort(key, kind="stable")
+            ordered = key[self.order]
+            first = np.append(True, ordered[1:] != ordered[:-1])
+        self.first = first
+        self.begin = np.flatnonzero(first)
+        self.number = np.cumsum(first) - 1
+
+    def _in(self, values: np.ndarray) -> np.ndarray:
+        return values if self.order is None else values[self.order]
+
+    def _out(self, values: np.ndarray) -> np.ndarray:
+        if self.order is None:
+            return values
+        out = np.empty_like(values)
+        out[self.order] = values
+        return out
+
+    def _largest(self, values: np.ndarray) -> np.ndarray:
+        least = int(values.min())
+        # Each run lies above the one before it.
+        raised = self.number * (int(values.max()) - least + 1)
+        return np.maximum.accumulate(values + raised) - raised
+
+    def largest(self, values: np.ndarray) -> np.ndarray:
+        """The largest value of the run so far."""
+        return self._out(self._largest(self._in(values).astype(np.int64)))
+
+    def before(self, flags: np.ndarray) -> np.ndarray:
+        """Whether an earlier row of the run has the flag."""
+        so_far = self._largest(self._in(flags).astype(np.int64))
+        earlier = np.append(0, so_far[:-1])
+        earlier[self.first] = 0
+        return self._out(earlier > 0)
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """The running sum."""
+        sums = np.cumsum(self._in(values))
+        base = sums[self.begin] - self._in(values)[self.begin]
+        return self._out(sums - base[self.number])
+
+    def head(self, values: np.ndarray) -> np.ndarray:
+        """The first value of the run."""
+        return self._out(self._in(values)[self.begin][self.number])
+
+    def tail(self, values: np.ndarray) -> np.ndarray:
+        """The last value of the run."""
+        ends = np.append(self.begin[1:], len(self.first)) - 1
+        return self._out(self._in(values)[ends][self.number])
+
+    def most(self, values: np.ndarray) -> np.ndarray:
+        """The largest value of the whole run."""
+        return self._out(np.maximum.reduceat(self._in(values), self.begin)[self.number])
 
-def _by_language(choices: dict[str, str], otherwise: str) -> str:
-    cases = " ".join(f"WHEN '{language}' THEN {choice}" for language, choice in choices.items())
-    return f"CASE language {cases} ELSE {otherwise} END"
+    def next(self, flags: np.ndarray) -> np.ndarray:
+        """Row of the next later one of the run that has the flag, or the number of rows."""
+        n = len(self.first)
+        at = np.where(self._in(flags), np.arange(n), n)
+        later = np.append(np.minimum.accumulate(at[::-1])[::-1][1:], n)
+        ends = np.append(self.begin[1:], n)[self.number]
+        rows = np.append(np.arange(n) if self.order is None else self.order, n)
+        return self._out(np.where(later < ends, rows[np.minimum(later, n)], n))
 
 
-def name_test(matches) -> str:
-    """Whether a token is a name that can be declared; `matches(column, pattern)` is the engine's regex test."""
-    return _by_language(
-        {
-            language: f"({matches('token', pattern)} AND token NOT IN ({_words(RESERVED[language] + LITERALS)}))"
-            for language, pattern in NAME_PATTERNS.items()
-        },
-        "false",
+class _Near:
+    """Values of neighbouring rows of the same file."""
+
+    def __init__(self, first: np.ndarray):
+        self.n = len(first)
+        begin = np.flatnonzero(first)
+        number = np.cumsum(first) - 1
+        self.low, self.high = begin[number], np.append(begin[1:], self.n)[number]
+
+    def __call__(self, values: np.ndarray, step: int, beyond) -> np.ndarray:
+        at = np.arange(self.n) + step
+        inside = (at >= self.low) & (at < self.high)
+        return np.where(inside, values[np.clip(at, 0, self.n - 1)], beyond)
+
+
+# --- rules -------------------------------------------------------------------
+
+
+def _bracket_kinds(language, b1, b2, b1_name, b2_named) -> np.ndarray:
+    """What a bracket is for: 0 anything, 1 parameters, 2 a block of declarations, 3 a group of names."""
+    kind = np.zeros(len(language), np.int64)
+    cpp = _CPP_HEADS[b1] | (b1_name & (b2_named | _CPP_RESULTS[b2]))
+    csharp = _CSHARP_HEADS[b1] | (b1_name & (b2_named | _CSHARP_RESULTS[b2]))
+    go = _FUNC[b1] | (b1_name & _FUNC_OR_RECEIVER[b2])
+    kind[((language == _CPP) & cpp) | ((language == _CSHARP) & csharp) | ((language == _GO) & go)] = 1
+    kind[(language == _GO) & _GO_DECLARES[b1]] = 2
+    kind[(language == _PYTHON) & ~(b1_name | _VALUE_ENDS[b1])] = 3
+    return kind
+
+
+def hidden(first: np.ndarray, language: np.ndarray, word: np.ndarray, name: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which tokens are masked.
+
+    One entry a token: whether it begins a file, its language, its word's number,
+    whether it can be a declared name, and a number of its own for each token.
+    """
+    row = np.arange(len(word))
+    near, files = _Near(first), _Runs(first)
+    python = language == _PYTHON
+    b1, b2, b3 = (near(word, -n, -1) for n in (1, 2, 3))
+    a1, a2, a3 = (near(word, n, -1) for n in (1, 2, 3))
+    is_type = _IS_TYPE[language, word]
+    b1_name, b2_name = near(name, -1, False), near(name, -2, False)
+    b1_type, b2_type = near(is_type, -1, False), near(is_type, -2, False)
+    a1_name = near(name, 1, False)
+    b2_named = b2_type | b2_name
+
+    # Depths, statements (lines in Python), and the bracket around a token.
+    depth, braces = files.total(_STEPS[word]), files.total(_BRACES[word])
+    parts = _Runs(first | near(_ENDS_PART[language, word], -1, False))
+    low, width = int(depth.min()), int(depth.max() - depth.min()) + 1
+    level_parts = _Runs(key=parts.number * width + depth - low)
+    kind = np.where(_OPENS_GROUP[word], row * 4 + _bracket_kinds(language, b1, b2, b1_name, b2_named), -1)
+    around = _Runs(key=files.number * width + depth - low).largest(kind)
+    around = np.where(around >= 0, around % 4, 0)
+    ends, starts, base = parts.tail(word), parts.head(word), parts.head(depth)
+    impure = parts.before(~(name | is_type | _IS_MARK[word]))
+    angled = parts.before(word == _ANGLE)
+
+    # C++ and C#: a type before the name, and what may follow it.
+    pointed = _POINTERS[b1] & (b2_named | _CLOSED_ANGLE[b2]) & (~impure | (around == 1))
+    wrapped = _SUFFIXES[b1] & (b2_named | _SQUARE_OPEN[b2])
+    generic = _CLOSED_ANGLE[b1] & angled & (~impure | (around == 1))
+    typed = name & (b1_type | b1_name | pointed | wrapped | generic)
+    opened_by = (a1 == _COMMA) | ((a1 == _CALL) & (ends == _SEMICOLON)) | ((a1 == _BLOCK) & (a2 != _LINE) & (a2 != -1))
+    typed &= np.where(
+        language == _CPP,
+        _CPP_AFTER[a1] | ((depth == braces) & opened_by),
+        (language == _CSHARP) & _CSHARP_AFTER[a1],
     )
+    listed = name & (depth == braces) & level_parts.before(typed) & (b1 == _COMMA)
+    c_like = typed | (listed & _LIST_AFTER[a1])
 
+    # Go: lists of names, from the first one on.
+    member = (language == _GO) & name & ~b1_name & ~_GO_NOT_BEFORE[b1]
+    leads = member & ~((b1 == _COMMA) & near(member, -2, False))
+    lists = _Runs(first | leads)
+    first_before = lists.head(b1)
+    chains = _Runs(lists.first | ~(member | (word == _COMMA)))
+    go_type = a1_name | _IS_GO_TYPE[a1] | (_SQUARE_OPEN[a1] & (a2 == _SQUARE))
+    last = np.select(
+        [go_type, a1 == _STAR, (a1 == _SHORT) & (a2 != _RANGE), a1 == _COMMA], [1, 2, 3, 0], default=-1
+    )
+    last = chains.most(np.where(member, last, -1))
+    go = member & (
+        _GO_DECLARES[first_before]
+        | ((last == 3) & (first_before != _CASE))
+        | ((around == 2) & _GROUP_STARTS[first_before])
+        | ((last == 1) & _TYPED_STARTS[first_before])
+        | ((last == 2) & (_STATEMENT_STARTS[first_before] | ((around == 1) & _PARAMETER_STARTS[first_before])))
+    )
 
-_FILE = "PARTITION BY doc_id ORDER BY pos"
-_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-_OPENS, _CLOSES = "('(', '[', '{')", "(')', ']', '}')"
-_TYPE_WORD = _by_language({"C++": f"token IN ({_words(CPP_TYPES)})", "C#": f"token IN ({_words(CSHARP_TYPES)})"}, "false")
-# Tokens that a type may be made of.
-_TYPE_MARKS = "('<', '>', '*', '&', '&&', '::', '.', '?', '[', ']', ',', 'const', 'static', 'readonly', 'public', 'private', 'protected', 'internal', 'constexpr', 'unsigned', 'ref', 'out')"
-_GO_TYPE = f"(a1_name OR a1 IN ({_words(GO_TYPE_STARTS)}) OR (a1 = '[' AND a2 = ']'))"
-_STARTS_LINE = "(first_before IS NULL OR first_before IN (chr(10), ';', '{', '('))"
-
-# Neighbours, depths, statements (lines in Python).
-_STEP_NEAR = [
-    *[(f"b{n}", f"lag(token, {n}) OVER ({_FILE})") for n in (1, 2, 3)],
-    *[(f"a{n}", f"lead(token, {n}) OVER ({_FILE})") for n in (1, 2, 3)],
-    *[(f"b{n}_name", f"coalesce(lag(is_name, {n}) OVER ({_FILE}), false)") for n in (1, 2)],
-    *[(f"b{n}_type", f"coalesce(lag(is_type, {n}) OVER ({_FILE}), false)") for n in (1, 2)],
-    ("a1_name", f"coalesce(lead(is_name, 1) OVER ({_FILE}), false)"),
-    ("depth", f"sum(CASE WHEN token IN {_OPENS} THEN 1 WHEN token IN {_CLOSES} THEN -1 ELSE 0 END) OVER ({_FILE})"),
-    ("braces", f"sum(CASE WHEN token = '{{' THEN 1 WHEN token = '}}' THEN -1 ELSE 0 END) OVER ({_FILE})"),
-    (
-        "part",
-        "coalesce(sum(CASE WHEN (language IN ('C++', 'C#') AND token IN (';', '{', '}')) "
-        f"OR (language = 'Python' AND token IN (chr(10), ';')) THEN 1 ELSE 0 END) OVER ({_FILE} {_BEFORE}), 0)",
-    ),
-    (
-        "header",
-        f"max(CASE WHEN language = 'Python' AND token IN ('def', 'lambda') THEN pos END) OVER ({_FILE})",
-    ),
-]
+    # Python: assignments, and parameters up to the end of their header.
+    starts_line = (b1 == -1) | _LINE_ENDS[b1]
+    target = starts_line | _TARGET_BEFORE[b1] | ((b1 == _COLON) & _CLAUSE_ENDS[b2])
+    line_depth = np.where(_OPENS_ANY[starts], base - 1, base)
+    equals = parts.most(np.where(python & (word == _ASSIGN), row, -1))
+    equals_depth = np.where(equals >= 0, depth[equals], -1)
+    assigned = level_parts.before(_IS_ASSIGNMENT[word] & python)
+    tupled = (
+        (equals > row) & (equals_depth >= 0) & (equals_depth == line_depth) & ~assigned
+        & ((depth == line_depth) | (around == 3)) & ~_PYTHON_HEADS[starts]
+        & ((b1 == -1) | _TUPLE_BEFORE[b1]) & _TUPLE_AFTER[a1]
+    )
+    heads = python & ((word == _DEF) | (word == _LAMBDA))
+    headers = _Runs(first | heads)
+    header, opener, opened = headers.head(row), headers.head(np.where(heads, word, -1)), headers.head(depth)
+    far = int(depth.max()) + 1
+    lowest = -headers.largest(-np.where(row >= header + 2, depth, far))
+    lowest_all = -headers.largest(-depth)
+    over = headers.largest((word == _COLON) & (row > header) & (depth == opened)) > 0
+    parameter = (
+        (opener == _DEF) & (row - header >= 3) & (depth == opened + 1) & _DEF_BEFORE[b1] & (lowest > opened)
+    )
+    of_lambda = (
+        (opener == _LAMBDA) & (row > header) & (depth == opened) & _LAMBDA_BEFORE[b1]
+        & (lowest_all >= opened) & ~over
+    )
+    bound = (b1 == _AS) & (
+        ((a1 == _COLON) & (b3 != _EXCEPT)) | ((a1 == _COMMA) & _WITH[starts])
+    )
+    matched = (b1 == _CASE) & _CASE_AFTER[a1]
+    annotated = (a1 == _COLON) & (a3 == _ASSIGN) & starts_line
+    pythonic = name & (
+        (target & _IS_ASSIGNMENT[a1]) | tupled | annotated | bound | matched | parameter | of_lambda
+    )
 
-# What the bracket around a token is for: 0 anything, 1 parameters, 2 a block of declarations, 3 a group of names.
-_KIND = _by_language(
-    {
-        "C++": "CASE WHEN b1 IN ('catch', 'for') OR (b1_name AND (b2_type OR b2_name OR b2 IN ('void', '*', '&', '>'))) THEN 1 ELSE 0 END",
-        "C#": "CASE WHEN b1 IN ('catch', 'using', 'fixed') OR (b1_name AND (b2_type OR b2_name OR b2 IN ('void', '>', ']', '?'))) THEN 1 ELSE 0 END",
-        "Go": "CASE WHEN b1 IN ('var', 'const') THEN 2 WHEN b1 = 'func' OR (b1_name AND b2 IN ('func', ')')) THEN 1 ELSE 0 END",
-        "Python": "CASE WHEN b1_name OR b1 IN (')', ']', 'STRING_LITERAL') THEN 0 ELSE 3 END",
-    },
-    "0",
-)
-_STEP_PLACE = [
-    (
-        "around",
-        f"coalesce(max(CASE WHEN token IN ('(', '[') THEN CAST(pos AS BIGINT) * 4 + {_KIND} END) OVER (PARTITION BY doc_id, depth ORDER BY pos) % 4, 0)",
-    ),
-    ("ends", "last_value(token) OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-    ("starts", "first_value(token) OVER (PARTITION BY doc_id, part ORDER BY pos)"),
-    ("base", "first_value(depth) OVER (PARTITION BY doc_id, part ORDER BY pos)"),
-    (
-        "impure",
-        "coalesce(sum(CASE WHEN is_name OR is_type OR token IN "
-        f"{_TYPE_MARKS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, part ORDER BY pos {_BEFORE}), 0)",
-    ),
-    ("angled", f"coalesce(max(CASE WHEN token = '<' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part ORDER BY pos {_BEFORE}), 0)"),
-    # Python: the first assignment of the line, and of a header the end of its parameters.
-    (
-        "assigned",
-        f"coalesce(max(CASE WHEN token IN ({_words(PYTHON_ASSIGNMENTS)}) AND language = 'Python' THEN 1 ELSE 0 END) "
-        "OVER (PARTITION BY doc_id, part, depth ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
-    ),
-    (
-        "assigns",
-        "max(CASE WHEN token = '=' AND language = 'Python' THEN CAST(pos AS BIGINT) * 1000000 + depth END) "
-        "OVER (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    ),
-    ("opened", "CASE WHEN header IS NOT NULL THEN first_value(depth) OVER (PARTITION BY doc_id, header ORDER BY pos) END"),
-    ("opener", "CASE WHEN header IS NOT NULL THEN first_value(token) OVER (PARTITION BY doc_id, header ORDER BY pos) END"),
-    # Go: a name that can stand in a list of names, not in a type.
-    ("member", "coalesce(language = 'Go' AND is_name AND NOT b1_name AND coalesce(b1 NOT IN ('.', '*', ']', 'chan', 'map', '...', '<-'), true), false)"),
-]
-_STEP_HEADS = [
-    ("lowest", "min(CASE WHEN header IS NOT NULL AND pos >= header + 2 THEN depth END) OVER (PARTITION BY doc_id, header ORDER BY pos)"),
-    ("lowest_all", "min(depth) OVER (PARTITION BY doc_id, header ORDER BY pos)"),
-    (
-        "over",
-        "max(CASE WHEN token = ':' AND pos > header AND depth = opened THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, header ORDER BY pos)",
-    ),
-    # The first name of each list: no name and comma before it.
-    ("leads", f"member AND NOT (coalesce(b1 = ',', false) AND coalesce(lag(member, 2) OVER ({_FILE}), false))"),
-]
-_TYPED = (
-    "(b1_type OR b1_name OR (b1 IN ('*', '&', '&&') AND (b2_type OR b2_name OR b2 = '>') AND (impure = 0 OR around = 1)) "
-    "OR (b1 IN (']', '?') AND (b2_type OR b2_name OR b2 = '[')) OR (b1 = '>' AND angled = 1 AND (impure = 0 OR around = 1)))"
-)
-_STEP_RUNS = [
-    ("list", f"sum(CASE WHEN leads THEN 1 ELSE 0 END) OVER ({_FILE})"),
-    (
-        "typed",
-        _by_language(
-            {
-                "C++": f"is_name AND coalesce({_TYPED}, false) AND coalesce(a1 IN ('=', ';', '[') OR (depth = braces AND (a1 = ',' "
-                "OR (a1 = '(' AND ends = ';') OR (a1 = '{' AND a2 <> chr(10)))), false)",
-                "C#": f"is_name AND coalesce({_TYPED}, false) AND coalesce(a1 IN ('=', ';', ',', ')'), false)",
-            },
-            "false",
-        ),
-    ),
-]
-_STEP_LISTS = [
-    ("first_before", "first_value(b1) OVER (PARTITION BY doc_id, list ORDER BY pos)"),
-    (
-        "last_typed",
-        f"max(CASE WHEN member AND coalesce({_GO_TYPE}, false) THEN 1 WHEN member AND a1 = '*' THEN 2 WHEN member AND a1 = ':=' AND coalesce(a2 <> 'range', true) THEN 3 "
-        "WHEN member AND a1 = ',' THEN 0 ELSE -1 END) OVER (PARTITION BY doc_id, list, chain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    ),
-    (
-        "stated",
-        f"coalesce(max(CASE WHEN typed THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, part, depth ORDER BY pos {_BEFORE}), 0)",
-    ),
-]
-# Names and commas that follow each other from the first name on.
-_STEP_CHAINS = [
-    (
-        "chain",
-        "CASE WHEN member OR (token = ',' AND language = 'Go') THEN sum(CASE WHEN member OR token = ',' THEN 0 ELSE 1 END) "
-        "OVER (PARTITION BY doc_id, list ORDER BY pos) END",
-    ),
-]
-_GO = (
-    "member AND (coalesce(first_before IN ('var', 'const'), false) "
-    "OR (last_typed = 3 AND coalesce(first_before <> 'case', true)) "
-    "OR (around = 2 AND coalesce(first_before IN ('(', chr(10), ';'), false)) "
-    "OR (last_typed = 1 AND coalesce(first_before IN ('(', ',', '{', ';', chr(10)), false)) "
-    "OR (last_typed = 2 AND (coalesce(first_before IN ('{', ';', chr(10)), false) "
-    "OR (around = 1 AND coalesce(first_before IN ('(', ','), false)))))"
-)
-_LISTED = "is_name AND depth = braces AND stated = 1 AND coalesce(b1 = ',' AND a1 IN (',', ';', '=', '[', '(', '{'), false)"
-_PY_STARTS = f"(b1 IS NULL OR b1 IN (chr(10), ';', '=', '.') OR (b1 = ':' AND b2 IN ({_words(PYTHON_CLAUSE_ENDS)})))"
-_PYTHON = (
-    "is_name AND ("
-    f"coalesce({_PY_STARTS} AND a1 IN ({_words(PYTHON_ASSIGNMENTS)}), false) "
-    # Names of a tuple or list before the line's assignment.
-    "OR coalesce(assigns > CAST(pos AS BIGINT) * 1000000 AND assigns % 1000000 = line_depth AND assigned = 0 AND (depth = line_depth OR around = 3) "
-    "AND starts NOT IN ('def', 'class', 'lambda', 'for', 'if', 'while', 'with', 'return', 'import', 'from', 'assert', 'elif', 'del') "
-    "AND (b1 IS NULL OR b1 IN (chr(10), ';', ',', '(', '[', '*', '.')) AND a1 IN (',', ')', ']', '='), false) "
-    "OR coalesce(a1 = ':' AND a3 = '=' AND (b1 IS NULL OR b1 IN (chr(10), ';')), false) "
-    "OR coalesce(b1 = 'as' AND a1 = ':' AND coalesce(b3 <> 'except', true), false) "
-    "OR coalesce(b1 = 'as' AND a1 = ',' AND starts IN ('with', 'async'), false) "
-    "OR coalesce(b1 = 'case' AND a1 IN (':', 'if'), false) "
-    "OR coalesce(opener = 'def' AND pos - header >= 3 AND depth = opened + 1 AND b1 IN ('(', ',', '*', '**') AND lowest > opened, false) "
-    "OR coalesce(opener = 'lambda' AND pos > header AND depth = opened AND b1 IN ('lambda', ',', '*', '**') "
-    "AND lowest_all >= opened AND over = 0, false))"
-)
-_STEP_DECLARES = [
-    (
-        "declares",
-        "coalesce(" + _by_language({"C++": f"typed OR ({_LISTED})", "C#": f"typed OR ({_LISTED})", "Go": _GO, "Python": _PYTHON}, "false") + ", false)",
-    ),
+    declares = np.select([language <= _CSHARP, language == _GO, python], [c_like, go, pythonic], default=False)
     # A closing brace belongs to the level it closes.
-    ("level", "CASE WHEN token = '}' THEN braces + 1 ELSE braces END"),
-]
-# Read backwards: a frame that runs to the end of a file would be summed up anew for each row.
-_STEP_SCOPES = [
-    (
-        "scope_end",
-        "CASE WHEN language = 'Python' THEN NULL ELSE min(CASE WHEN token = '}' THEN pos END) "
-        "OVER (PARTITION BY doc_id, level ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END",
-    ),
-]
-_STEP_MASKS = [
-    (
-        "hidden",
-        "coalesce(max(CASE WHEN declares THEN coalesce(scope_end, 2147483647) END) OVER (PARTITION BY doc_id, token ORDER BY pos) > pos, false)",
-    ),
-]
+    closes = word == _BRACE
+    level = braces + closes
+    low, width = int(level.min()), int(level.max() - level.min()) + 1
+    scope_end = _Runs(key=files.number * width + level - low).next(closes)
+    until = np.where(declares, np.where(python, len(row), scope_end), -1)
+    return _Runs(key=files.number * (int(code.max()) + 1) + code).largest(until) > row
 
 
-def steps(matches) -> list[list[tuple[str, str]]]:
-    """All steps from `doc_id`, `language`, `pos`, `token` to `hidden`."""
-    named = [("is_name", f"coalesce({name_test(matches)}, false)"), ("is_type", f"coalesce({_TYPE_WORD}, false)")]
-    line = [
-        ("line_depth", "CASE WHEN starts IN ('(', '[', '{') THEN base - 1 ELSE base END"),
-    ]
-    return [
-        named, _STEP_NEAR, _STEP_PLACE, line + _STEP_HEADS, _STEP_RUNS, _STEP_CHAINS, _STEP_LISTS,
-        _STEP_DECLARES, _STEP_SCOPES, _STEP_MASKS,
-    ]
+# --- batches -----------------------------------------------------------------
 
 
-def masked_sql(tokens: str, matches) -> str:
-    """The steps as nested SQL over a table of tokens, giving `hidden`."""
-    for step in steps(matches):
-        tokens = f"(SELECT *, {', '.join(f'{expression} AS {name}' for name, expression in step)} FROM {tokens})"
-    return tokens
+def _masked(lists: pa.ListArray, languages: list[str | None]) -> pa.ListArray:
+    """Token lists with declared names replaced."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy()
+    known = {name: number for number, name in enumerate(_LANGUAGES)}
+    language = np.repeat(np.array([known.get(name, _OTHER) for name in languages], np.int64), lengths)
+    flat = lists.flatten()
+    if not len(flat) or (language == _OTHER).all():
+        return lists
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy().astype(np.int64)
+    number = np.array([_NUMBERS.get(word, 0) for word in words], np.int64)
+    named = np.array([[_ascii_name(word), _unicode_name(word)] for word in words])
+    word = number[code]
+    name = np.where(language == _CPP, named[code, 0], named[code, 1]) & ~_IS_RESERVED[language, word]
+    begin = np.zeros(len(code), bool)
+    begin[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    shown = np.where(hidden(begin, language, word, name, code), len(words), code)
+    values = pa.concat_arrays([coded.dictionary, pa.array([VARIABLE], coded.dictionary.type)]).take(pa.array(shown))
+    offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, type=lists.type, mask=lists.is_null())
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths = batch.column("tokens").value_lengths().fill_null(0).to_numpy()
+        chunk = (np.cumsum(lengths) - lengths) // CHUNK_TOKENS
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist() + [batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            part = batch.slice(low, high - low)
+            masked = _masked(part.column("tokens"), part.column("language").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), masked], schema=batch.schema)
 
 
 def masked_tokens(tokenised: DataFrame) -> DataFrame:
-    """(doc_id, language, tokens) with declared names masked; files are told apart by `doc_id`."""
-    rows = tokenised.repartition("doc_id").select(
-        "doc_id", "language", F.col("tokens").isNull().alias("_none"), F.posexplode_outer("tokens").alias("pos", "token")
-    )
-    for step in steps(lambda column, pattern: f"{column} RLIKE r'{pattern}'"):
-        rows = rows.selectExpr("*", *[f"{expression} AS {name}" for name, expression in step])
-    shown = F.when(F.col("hidden"), VARIABLE).otherwise(F.col("token"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", shown.alias("token")))))
-    return (
-        rows.groupBy("doc_id", "language", "_none")
-        .agg(F.transform(listed, lambda item: item["token"]).alias("tokens"))
-        .select("doc_id", "language", F.when(~F.col("_none"), F.col("tokens")).alias("tokens"))
-    )
+    """(doc_id, language, tokens) with declared names masked."""
+    rows = tokenised.select("doc_id", "language", "tokens")
+    return rows.mapInArrow(_batches, rows.schema)

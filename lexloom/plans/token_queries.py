@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import lexis, text
 from lexloom.operators import declared, frames, profile, similarity, store
-from lexloom.plans import model
+from lexloom.plans import declared_sql, model
 from lexloom.plans.model import PROSE_KEYWORDS, quoted, with_frames
 from lexloom.plans.registry import query
 from lexloom.schema import FREQUENCY_STEPS, KEYWORD_COUNTS, fixed_rows, keyword_rows
@@ -244,7 +244,7 @@ def t06(spark: SparkSession, sf: str) -> DataFrame:
         "SELECT doc_id, language, count(*) AS n, string_agg(CASE WHEN hidden THEN 'VARIABLE' ELSE token END, ' ' ORDER BY pos) AS tokens "
         "FROM masked GROUP BY ALL",
         "code_tok",
-        masked=declared.masked_sql(
+        masked=declared_sql.masked_sql(
             "code_tok", lambda column, pattern: f"regexp_matches({column}, {quoted(pattern)})"
         ),
     ),
