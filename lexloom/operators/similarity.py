@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import joined_document, label_keyword, label_language
 from lexloom.functions.vectors import dot, unit
+from lexloom.operators.pivots import nearest
 from lexloom.operators.profile import token_rows
 from lexloom.session import broadcast_if_small, durable
 
-# Rows per block of the batched similarity; a pair of blocks fills
-# BLOCK_ROWS * BLOCK_ROWS * 8 bytes of one task's memory.
-BLOCK_ROWS = 4096
-
 
 def known_words(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return words.join(vocabulary.select("token"), "token", "left_semi")
@@ -47,67 +41,6 @@ def label_grid(languages: DataFrame, keywords: list[str], extra: list[str]) -> D
 # --- nearest neighbours ------------------------------------------------------
 
 
-def _best_in_block(topn: int):
-    def best(_key, queries: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        columns = {"query": [], "token": [], "score": []}
-        if len(queries) and len(words):
-            words = words.sort_values("token", ignore_index=True)
-            scores = np.round(np.stack(queries["vec"]) @ np.stack(words["vec"]).T, 6)
-            position = {token: n for n, token in enumerate(words["token"])}
-            for row, banned in enumerate(queries["excluded"]):
-                for token in banned:
-                    if token in position:
-                        scores[row, position[token]] = -np.inf
-            tokens = words["token"].to_numpy()
-            nth = min(topn, len(tokens))
-            least = np.partition(scores, -nth, axis=1)[:, -nth]
-            for row, query in enumerate(queries["query"]):
-                # Everything that ties with the last place is ordered by token.
-                best = np.flatnonzero((scores[row] >= least[row]) & np.isfinite(scores[row]))
-                order = best[np.argsort(-scores[row][best], kind="stable")][:topn]
-                columns["query"].extend([query] * len(order))
-                columns["token"].extend(tokens[order])
-                columns["score"].extend(scores[row][order])
-        return pd.DataFrame(columns)
-
-    return best
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, topn: int = 10) -> DataFrame:
-    """The `topn` tokens of highest cosine for each query.
-
-    `queries` has (query, vec, excluded) and `vectors` (token, vec), both of
-    unit length. Both sides are hashed into blocks of about BLOCK_ROWS rows;
-    each pair of blocks is one matrix product that keeps `topn` tokens per
-    query, and the blocks' winners are ranked at the end. The result is exact;
-    no pair of rows leaves a task except winners.
-    """
-    queries = durable(queries, "queries")
-    vectors = durable(vectors, "vectors")
-    query_blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
-    word_blocks = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
-
-    def block_of(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = queries.select(
-        "*", block_of("query", query_blocks).alias("qb"), every(word_blocks).alias("wb")
-    )
-    right = vectors.select(
-        "token", "vec", block_of("token", word_blocks).alias("wb"), every(query_blocks).alias("qb")
-    )
-    winners = (
-        left.groupBy("qb", "wb")
-        .cogroup(right.groupBy("qb", "wb"))
-        .applyInPandas(_best_in_block(topn), "query string, token string, score double")
-    )
-    ranking = Window.partitionBy("query").orderBy(F.desc("score"), "token")
-    return winners.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)
-
-
 def nearest_tokens(vectors: DataFrame) -> DataFrame:
     """The nearest other token of every token: (token, neighbour, score)."""
     units = durable(unit_vectors(vectors), "units")

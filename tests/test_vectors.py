@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import embed, frames, profile, similarity
+from lexloom.operators import embed, frames, pivots, profile, similarity
 
 RNG = random.Random(7)
 WORDS = [f"w{n}" for n in range(12)]
@@ -140,7 +140,7 @@ def test_unit_vectors(vectors):
 
 @pytest.mark.parametrize("block", [2048, 16])
 def test_nearest_in_one_or_many_blocks(vectors, monkeypatch, block):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", block)
     units = as_units(vectors)
     found = {r.token: r.neighbour for r in similarity.nearest_tokens(vectors).collect()}
     assert set(found) == set(units)
@@ -150,7 +150,7 @@ def test_nearest_in_one_or_many_blocks(vectors, monkeypatch, block):
 
 @pytest.mark.parametrize("block", [2048, 16])
 def test_most_similar(vectors, spark, monkeypatch, block):
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", block)
     units = as_units(vectors)
     terms = [("q1", "t001", 1.0), ("q1", "t002", -1.0), ("q2", "t003", 1.0), ("q2", "t004", 1.0), ("q2", "none", 1.0)]
     frame = spark.createDataFrame(terms, "query string, token string, sign double")
