@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lexloom.session import durable
 
 MAX_PIVOTS = 4_096
+PIVOT_ROWS = 256
 SAMPLE_PER_PIVOT = 8
 # Vectors of a block in one task, queries of a block in one group, queries multiplied at once.
 BLOCK_ROWS = 4_096
@@ -90,7 +91,7 @@ def blocks_of(vectors: DataFrame, name: str = "token") -> tuple[DataFrame, Block
     spark = vectors.sparkSession
     # The check of a zero vector is exact: unit vectors have no other.
     nonzero = F.exists("vec", lambda v: v != 0)
-    many = min(MAX_PIVOTS, math.isqrt(max(1, vectors.count())) + 1)
+    many = min(MAX_PIVOTS, math.ceil(vectors.count() / PIVOT_ROWS) + 1)
     drawn = vectors.where(nonzero).select("vec", name).orderBy(F.xxhash64(F.lit(1), name), name)
     sample = np.array([row["vec"] for row in drawn.limit(SAMPLE_PER_PIVOT * many).collect()], float)
     pivots = spread_pivots(sample, many)
@@ -120,49 +121,43 @@ def blocks_of(vectors: DataFrame, name: str = "token") -> tuple[DataFrame, Block
     return stored, Blocks(pivots, radius, rows)
 
 
-def home_blocks(queries: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
-    """(query, met): the blocks that each query meets first."""
+def _with_blocks(queries: DataFrame, blocks: Blocks, choose, column: str) -> DataFrame:
+    """`queries` and a column with the blocks that `choose(blocks, x, rows)` gives for each."""
     shared = queries.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, QUERY_ROWS):
-            banned = piece.column("excluded").value_lengths().fill_null(0).to_numpy()
-            found = shared.value.home(_wide(piece, shared.value), banned + topn)
+            x = _matrix(piece.column("vec"))
+            chosen = choose(shared.value, x if len(shared.value.pivots) else x[:, :0], piece)
+            lists = pa.array([line.tolist() for line in chosen], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("query"), pa.array([line.tolist() for line in found], pa.list_(pa.int32()))],
-                names=["query", "met"],
+                [piece.column("query"), piece.column("vec"), piece.column("excluded"), lists],
+                names=["query", "vec", "excluded", column],
             )
 
-    return queries.mapInArrow(run, "query string, met array<int>")
+    return queries.mapInArrow(run, f"query string, vec array<double>, excluded array<string>, {column} array<int>")
 
 
-def further_blocks(queries: DataFrame, blocks: Blocks) -> DataFrame:
-    """(query, block): blocks not `met` that may hold vectors as near as the `least` score of a query."""
-    shared = queries.sparkSession.sparkContext.broadcast(blocks)
+def home_blocks(queries: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
+    """(query, vec, excluded, met): the blocks that each query meets first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches, QUERY_ROWS):
-            known, x = shared.value, _wide(piece, shared.value)
-            least = piece.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
-            open_ = (known.bounds(x) + 2 / _UNIT >= least[:, None]) & (known.rows > 0)
-            for row, seen in enumerate(piece.column("met").to_pylist()):
-                open_[row, seen] = False
-            yield _listed(piece, [np.flatnonzero(line) for line in open_])
+    def choose(known: Blocks, x: np.ndarray, piece: pa.RecordBatch) -> list[np.ndarray]:
+        return known.home(x, piece.column("excluded").value_lengths().fill_null(0).to_numpy() + topn)
 
-    return queries.mapInArrow(run, "query string, block int")
+    return _with_blocks(queries, blocks, choose, "met")
 
 
-def _wide(piece: pa.RecordBatch, blocks: Blocks) -> np.ndarray:
-    x = _matrix(piece.column("vec"))
-    return x if len(blocks.pivots) else x[:, :0]
+def further_blocks(queries: DataFrame, blocks: Blocks) -> DataFrame:
+    """(query, vec, excluded, blocks): those not `met` that may hold vectors as near as the `least` score of a query."""
 
+    def choose(known: Blocks, x: np.ndarray, piece: pa.RecordBatch) -> list[np.ndarray]:
+        least = piece.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False)
+        open_ = (known.bounds(x) + 2 / _UNIT >= least[:, None]) & (known.rows > 0)
+        for row, seen in enumerate(piece.column("met").to_pylist()):
+            open_[row, seen] = False
+        return [np.flatnonzero(line) for line in open_]
 
-def _listed(piece: pa.RecordBatch, blocks: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.repeat(np.arange(len(blocks)), [len(line) for line in blocks])
-    numbers = np.concatenate(blocks) if blocks else np.zeros(0)
-    return pa.RecordBatch.from_arrays(
-        [piece.column("query").take(pa.array(rows)), pa.array(numbers.astype(np.int32))], names=["query", "block"]
-    )
+    return _with_blocks(queries, blocks, choose, "blocks")
 
 
 # --- meetings ----------------------------------------------------------------
@@ -215,8 +210,8 @@ def _meet(topn: int):
     return run
 
 
-def met(wanted: DataFrame, queries: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
-    """(query, token, score) of the best vectors of each wanted (query, block), of a stored table."""
+def met(wanted: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
+    """(query, token, score) of the best vectors for each row of a stored table (query, vec, excluded, block)."""
     spark = wanted.sparkSession
     # At most a row for each block.
     needed = {row["block"]: row["n"] for row in wanted.groupBy("block").agg(F.count("*").alias("n")).collect()}
@@ -239,7 +234,7 @@ def met(wanted: DataFrame, queries: DataFrame, stored: DataFrame, blocks: Blocks
         "block", one_of("token", "parts").alias("part"), all_of("groups").alias("group"), F.lit(0).alias("kind"),
         F.col("token").alias("name"), "vec", F.array().cast("array<string>").alias("excluded"),
     )
-    asked = wanted.join(queries, "query").join(F.broadcast(dealt), "block").select(
+    asked = wanted.join(F.broadcast(dealt), "block").select(
         "block", all_of("parts").alias("part"), one_of("query", "groups").alias("group"), F.lit(1).alias("kind"),
         F.col("query").alias("name"), "vec", "excluded",
     )
@@ -262,12 +257,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, topn: int = 10) -> DataFrame
     token.
     """
     stored, blocks = blocks_of(vectors)
-    queries = durable(queries.select("query", "vec", "excluded"), "queries")
-    home = durable(home_blocks(queries, blocks, topn), "home")
-    wanted = home.select("query", F.explode("met").alias("block"))
-    first = durable(ranked(met(wanted, queries, stored, blocks, topn), topn), "first")
+    home = durable(home_blocks(queries.select("query", "vec", "excluded"), blocks, topn), "home")
+    asked = ["query", "vec", "excluded"]
+    first = met(home.select(*asked, F.explode("met").alias("block")), stored, blocks, topn)
+    first = durable(ranked(first, topn), "first")
     least = first.where(F.col("rank") == topn).select("query", F.col("score").alias("least"))
-    known = queries.join(home, "query").join(least, "query", "left")
-    more = durable(further_blocks(known, blocks), "further")
-    both = first.drop("rank").unionByName(met(more, queries, stored, blocks, topn))
+    more = durable(further_blocks(home.join(least, "query", "left"), blocks), "further")
+    both = first.drop("rank").unionByName(
+        met(more.select(*asked, F.explode("blocks").alias("block")), stored, blocks, topn)
+    )
     return ranked(both, topn)

@@ -47,6 +47,7 @@ def clustered(seed, clusters, each, size=16, width=0.02):
 def test_equals_all_pairs(spark, monkeypatch, block, group, topn):
     monkeypatch.setattr(pivots, "BLOCK_ROWS", block)
     monkeypatch.setattr(pivots, "GROUP_ROWS", group)
+    monkeypatch.setattr(pivots, "PIVOT_ROWS", 12)
     rng = np.random.default_rng(topn)
     x = np.concatenate([clustered(1, 12, 8), units(rng.normal(size=(60, 16))), np.zeros((2, 16))])
     x = np.concatenate([x, np.repeat(x[5:6], 80, axis=0), -x[:3]])
@@ -66,20 +67,20 @@ def test_without_vectors_or_with_zero_ones_only(spark):
     assert pivots.nearest(asked.limit(0), spark.createDataFrame([("a", [1.0, 0.0])], WIDE)).count() == 0
 
 
-def test_far_blocks_are_skipped(spark):
+def test_far_blocks_are_skipped(spark, monkeypatch):
     """Of 40 tight clusters a query meets few blocks, and the rest of the pairs are never made."""
+    monkeypatch.setattr(pivots, "PIVOT_ROWS", 50)
     x = clustered(2, 40, 50)
     frame = spark.createDataFrame([(f"t{n:04d}", v.tolist()) for n, v in enumerate(x)], WIDE)
     stored, blocks = pivots.blocks_of(frame)
     queries = stored.select(F.col("token").alias("query"), "vec", F.array("token").alias("excluded"))
     home = pivots.home_blocks(queries, blocks, 5)
-    first = pivots.ranked(
-        pivots.met(home.select("query", F.explode("met").alias("block")), queries, stored, blocks, 5), 5
-    )
+    wanted = home.select("query", "vec", "excluded", F.explode("met").alias("block"))
+    first = pivots.ranked(pivots.met(wanted, stored, blocks, 5), 5)
     least = first.where("rank = 5").select("query", F.col("score").alias("least"))
-    more = pivots.further_blocks(queries.join(home, "query").join(least, "query"), blocks)
-    pairs = sum(int(blocks.rows[row["block"]]) for row in more.collect())
-    pairs += sum(int(blocks.rows[b]) for row in home.collect() for b in row["met"])
+    more = pivots.further_blocks(home.join(least, "query"), blocks)
+    pairs = sum(int(blocks.rows[b]) for row in home.collect() for b in row["met"])
+    pairs += sum(int(blocks.rows[b]) for row in more.collect() for b in row["blocks"])
     assert pairs < 0.1 * len(x) ** 2
     plan = first._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
