@@ -7,15 +7,20 @@ aggregation, which halves both the pairs folded and the groups kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.lexis import bind
 from lexloom.operators.profile import token_rows
 from lexloom.operators.store import dense_index
-from lexloom.session import broadcast_if_small, durable
+from lexloom.session import BROADCAST_BYTES, broadcast_if_small, durable, stored_bytes
 
 # Tokens that may repeat within the recent tokens of a
 # continuation, how many tokens are recent, candidates per step, and steps.
@@ -24,6 +29,10 @@ RECENT = 5
 CANDIDATES = 10
 STEPS = 20
 
+# Tokens whose pairs are folded at once; centers in a block of falling gains.
+CHUNK_TOKENS = 500_000
+BLOCK_CENTERS = 256
+
 
 def context_frames(tokenised: DataFrame, window: int = 5) -> DataFrame:
     """Neighbours within +-window of each token, the token itself left out."""
@@ -102,6 +111,11 @@ def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
     unordered = ahead.groupBy(
         F.least("center", "context").alias("low"), F.greatest("center", "context").alias("high")
     ).agg(F.count("*").alias("n"))
+    return _mirrored(unordered)
+
+
+def _mirrored(unordered: DataFrame) -> DataFrame:
+    """(center, context, n) both ways of unordered pairs (low, high, n)."""
     # Two equal tokens are each other's context, which is twice the same pair.
     low, high, n = F.col("low"), F.col("high"), F.col("n")
 
@@ -114,19 +128,72 @@ def pair_counts(tokenised: DataFrame, window: int = 5) -> DataFrame:
     return unordered.select(F.inline(both))
 
 
+def _counted_windows(window: int):
+    """Unordered pairs of numbers within `window` of each other, folded in each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
+            chunk = (np.cumsum(lengths) - lengths) // CHUNK_TOKENS
+            cuts = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist() + [len(lists)]
+            for low, high in zip(cuts, cuts[1:]):
+                numbers = lists.slice(low, high - low).flatten().to_numpy().astype(np.int64)
+                yield _folded(numbers, np.repeat(np.arange(high - low), lengths[low:high]), window)
+
+    return run
+
+
+def _folded(numbers: np.ndarray, files: np.ndarray, window: int) -> pa.RecordBatch:
+    keys = [np.zeros(0, np.int64)]
+    for step in range(1, window + 1):
+        left, right = numbers[:-step], numbers[step:]
+        same = files[:-step] == files[step:]
+        keys.append((np.minimum(left, right) << 32 | np.maximum(left, right))[same])
+    found, times = np.unique(np.concatenate(keys), return_counts=True)
+    return pa.RecordBatch.from_pydict(
+        {"low": (found >> 32).astype(np.int32), "high": (found & 0xFFFFFFFF).astype(np.int32), "n": times.astype(np.int64)}
+    )
+
+
+def _looked_up(words: pa.Array):
+    """Token lists as lists of the words' positions, other tokens left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            places = pc.index_in(coded.dictionary, value_set=words.value).take(coded.indices)
+            kept = places.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(lengths))]
+            numbers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places.drop_null())
+            yield pa.RecordBatch.from_arrays([numbers], names=["tokens"])
+
+    return run
+
+
 def numbered_pairs(
     tokenised: DataFrame, frequent: DataFrame, window: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Pair counts over the tokens of `frequent` only, as numbers.
 
-    Returns (word, token) and (center, context, n). The join that drops the
-    other tokens also turns tokens into numbers, so that pairs are shuffled and
-    compared as numbers. Numbers sort like the tokens they stand for.
+    Returns (word, token) and (center, context, n). Numbers sort like the tokens
+    they stand for. Tokens become numbers in the batches of the scan while the
+    vocabulary is within the size of a broadcast, else by a join; pairs are counted
+    in the same batches, so that only counts are shuffled.
     """
     numbered = dense_index(frequent.select("token"), [F.col("token")], "word")
     index = durable(numbered.select(F.col("word").cast("int").alias("word"), "token"), "index")
-    rows = token_rows(tokenised.repartition("doc_id")).join(broadcast_if_small(index), "token")
-    return index, durable(pair_counts(_regrouped(rows, "word"), window), "pairs")
+    if stored_bytes(index) <= BROADCAST_BYTES:
+        words = index.orderBy("word").select("token").toArrow().column("token").combine_chunks()
+        shared = index.sparkSession.sparkContext.broadcast(words)
+        lists = tokenised.select("tokens").mapInArrow(_looked_up(shared), "tokens array<int>")
+    else:
+        rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
+        lists = _regrouped(rows, "word").select("tokens")
+    counts = lists.mapInArrow(_counted_windows(window), "low int, high int, n long")
+    return index, durable(_mirrored(counts.groupBy("low", "high").agg(F.sum("n").alias("n"))), "pairs")
 
 
 def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -165,22 +232,102 @@ class Scores(NamedTuple):
     """Smoothed log probabilities of counted pairs.
 
     log P(center | context) is the context's `floor` for a pair never seen and
-    `floor + gain` for a counted one.
+    `floor + gain` for a counted one. The gains of a context word are also kept
+    as blocks in falling order, so that a search can stop early.
     """
 
     words: DataFrame  # token, word, floor
     gains: DataFrame  # context, center (numbers), gain
+    blocks: DataFrame  # context, block, top (its largest gain), centers
 
 
-def score_tables(index: DataFrame, pairs: DataFrame, alpha: float = 0.1) -> Scores:
+def score_tables(index: DataFrame, pairs: DataFrame, alpha: float = 0.1, block: int = BLOCK_CENTERS) -> Scores:
     totals = durable(pairs.groupBy("context").agg(F.sum("n").alias("total")), "totals")
     words = totals.select(F.count("*").cast("double")).scalar()
     floors = totals.select(
         F.col("context").alias("word"),
         F.log(alpha / (F.col("total") + alpha * words)).alias("floor"),
     )
-    gains = pairs.select("context", "center", F.log((F.col("n") + alpha) / alpha).alias("gain"))
-    return Scores(durable(index.join(floors, "word"), "words"), durable(gains, "gains"))
+    gains = durable(pairs.select("context", "center", F.log((F.col("n") + alpha) / alpha).alias("gain")), "gains")
+    falling = Window.partitionBy("context").orderBy(F.desc("gain"), "center")
+    blocks = (
+        gains.withColumn("block", F.floor((F.row_number().over(falling) - 1) / block).cast("int"))
+        .groupBy("context", "block")
+        .agg(F.max("gain").alias("top"), F.collect_list("center").alias("centers"))
+    )
+    return Scores(durable(index.join(floors, "word"), "words"), gains, durable(blocks, "blocks"))
+
+
+def _known_contexts(contexts: DataFrame, scores: Scores) -> DataFrame:
+    """(key, words): the known words of each context, sorted, as numbers."""
+    known = contexts.select("key", F.explode("context").alias("token")).join(scores.words, "token")
+    return known.groupBy("key").agg(F.array_sort(F.collect_list("word")).alias("words"))
+
+
+def best_centers(asked: DataFrame, scores: Scores, topn: int = CANDIDATES) -> DataFrame:
+    """(words, center, score, rank) for each (words), a stored table of distinct sorted lists of numbers.
+
+    Blocks of gains are read in falling order, twice as many in each round. Every
+    center met is scored exactly. A list of words is done when its last place
+    exceeds what the unread blocks' largest gains add up to, since no center
+    that was never met can score more.
+    """
+    floors = scores.words.select(F.col("word").alias("context"), "floor")
+    based = asked.select("words", F.explode("words").alias("context")).join(floors, "context")
+    waiting = durable(based.groupBy("words").agg(F.sum("floor").alias("base")), "waiting")
+    ranking = Window.partitionBy("words").orderBy(F.desc("score"), "center")
+    done, met, low, high = [], None, 0, 1
+    while True:
+        terms = waiting.select("words", F.explode("words").alias("context"))
+        read = scores.blocks.where((F.col("block") >= low) & (F.col("block") < high))
+        fresh = (
+            terms.distinct().join(read, "context").select("words", F.explode("centers").alias("center")).distinct()
+        )
+        gained = (
+            fresh.select("words", "center", F.explode("words").alias("context"))
+            .join(scores.gains, ["context", "center"])
+            .groupBy("words", "center")
+            .agg(F.sum("gain").alias("gain"))
+        )
+        scored = gained.join(waiting, "words").select(
+            "words", "center", F.round(F.col("base") + F.col("gain"), 6).alias("score")
+        )
+        if met is not None:
+            scored = scored.unionByName(met.join(waiting, "words", "left_semi").drop("rank"))
+            scored = scored.groupBy("words", "center").agg(F.max("score").alias("score"))
+        met = durable(
+            scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn), "met"
+        )
+        unread = scores.blocks.where(F.col("block") == high).select("context", "top")
+        most = (
+            terms.join(unread, "context", "left")
+            .groupBy("words")
+            .agg(F.count("top").alias("_more"), F.sum(F.coalesce("top", F.lit(0.0))).alias("_most"))
+        )
+        last = met.where(F.col("rank") == topn).select("words", F.col("score").alias("_last"))
+        # One unit of rounding more, so that equal scores are compared by their words.
+        beaten = F.coalesce(F.col("_last") > F.round(F.col("base") + F.col("_most"), 6) + 1e-6, F.lit(False))
+        open_ = waiting.join(most, "words").join(last, "words", "left").where((F.col("_more") > 0) & ~beaten)
+        still = durable(open_.select("words", "base"), "waiting")
+        done.append(met.join(still, "words", "left_anti"))
+        if still.isEmpty():
+            return _filled(reduce(DataFrame.unionByName, done), asked, based, scores, topn)
+        waiting, low, high = still, high, 3 * high - 2 * low
+
+
+def _filled(best: DataFrame, asked: DataFrame, based: DataFrame, scores: Scores, topn: int) -> DataFrame:
+    """Lists with fewer than `topn` centers filled up with the first other words, which score the base."""
+    # The first 2 * topn words hold topn that a list with fewer centers lacks.
+    first = [r.word for r in scores.words.select("word").orderBy("word").limit(2 * topn).collect()]
+    short = best.groupBy("words").agg(F.collect_list("center").alias("_centers")).where(F.size("_centers") < topn)
+    base = based.groupBy("words").agg(F.sum("floor").alias("base"))
+    words = F.array(*map(F.lit, first)).cast("array<int>")
+    others = F.slice(F.array_except(words, "_centers"), 1, topn)
+    more = short.join(base, "words").select(
+        "words", F.posexplode(others).alias("pos", "center"), F.round("base", 6).alias("score"), "_centers"
+    )
+    more = more.withColumn("rank", (F.size("_centers") + F.col("pos") + 1).cast("int")).where(F.col("rank") <= topn)
+    return best.select("words", "center", "score", "rank").unionByName(more.select("words", "center", "score", "rank"))
 
 
 def predict_center(contexts: DataFrame, scores: Scores, topn: int = CANDIDATES) -> DataFrame:
@@ -188,39 +335,13 @@ def predict_center(contexts: DataFrame, scores: Scores, topn: int = CANDIDATES)
 
     Candidates are the words counted with at least one context word; every
     other word scores below all of them, so that a context with fewer than
-    `topn` candidates is filled up with the first other words.
+    `topn` candidates is filled up with the first other words. Equal contexts are
+    scored once.
     """
-    known = contexts.select("key", F.explode("context").alias("token")).join(scores.words, "token")
-    # Written down, a small batch of contexts is known to be small and is
-    # broadcast to the pairs instead of shuffling them.
-    based = durable(
-        known.groupBy("key").agg(
-            F.sum("floor").alias("_base"), F.collect_list("word").alias("_words")
-        ),
-        "contexts",
-    )
-    scored = (
-        based.select("key", "_base", F.explode("_words").alias("context"))
-        .join(scores.gains, "context")
-        .groupBy("key", "_base", "center")
-        .agg(F.sum("gain").alias("_gain"))
-        .select("key", "center", F.round(F.col("_base") + F.col("_gain"), 6).alias("score"))
-    )
-    # The first 2 * topn words hold topn that a key with fewer candidates lacks.
-    first = [r.word for r in scores.words.select("word").orderBy("word").limit(2 * topn).collect()]
-    full = scored.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= topn)
-    words = F.array(*map(F.lit, first)).cast("array<int>")
-    others = (
-        based.join(full, "key", "left_anti")
-        .select("key", F.explode(words).alias("center"), F.round("_base", 6).alias("score"))
-        .join(scored.select("key", "center"), ["key", "center"], "left_anti")
-    )
-    scored = scored.unionByName(others)
-    # Numbers sort like tokens, so equal scores go by token.
-    ranking = Window.partitionBy("key").orderBy(F.desc("score"), "center")
-    best = scored.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)
+    known = durable(_known_contexts(contexts, scores), "contexts")
+    best = best_centers(durable(known.select("words").distinct(), "asked"), scores, topn)
     names = scores.words.select(F.col("word").alias("center"), "token")
-    return best.join(names, "center").select("key", F.col("token").alias("center"), "score", "rank")
+    return known.join(best, "words").join(names, "center").select("key", F.col("token").alias("center"), "score", "rank")
 
 
 def _append_allowed(recent: Column, candidates: Column) -> Column:
@@ -248,26 +369,35 @@ def continue_prompts(
 ) -> DataFrame:
     """Extend every prompt (key, tokens) step by step, all prompts at once.
 
-    Each step is one scoring join over the prompt table, written down so that
-    the next step does not run it again. Prompts without a known word stay as
-    they are.
+    A context scored in one step is remembered for all later ones, so that a step
+    scores new contexts only. Prompts without a known word stay as they are.
     """
     state = durable(prompts.select("key", "tokens"), "prompts")
+    names = scores.words.select(F.col("word").alias("center"), "token")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "token")))
+    memo: list[DataFrame] = []
     for _ in range(steps):
         last = F.slice(
             F.col("tokens"), F.greatest(F.size("tokens") - RECENT, F.lit(0)) + 1, F.lit(RECENT)
         )
-        contexts = state.select("key", last.alias("context"))
-        best = predict_center(contexts, scores)
-        ordered = F.array_sort(F.collect_list(F.struct("rank", "center")))
-        candidates = best.groupBy("key").agg(
-            F.transform(ordered, lambda s: s["center"]).alias("candidates")
-        )
-        extended = state.join(candidates, "key", "left").select(
-            "key",
-            F.when(F.col("candidates").isNull(), F.col("tokens"))
-            .otherwise(_append_allowed(F.col("tokens"), F.col("candidates")))
-            .alias("tokens"),
-        )
-        state = durable(extended, "prompts")
+        known = durable(_known_contexts(state.select("key", last.alias("context")), scores), "contexts")
+        asked = known.select("words").distinct()
+        for earlier in memo:
+            asked = asked.join(earlier, "words", "left_anti")
+        asked = durable(asked, "asked")
+        if not asked.isEmpty():
+            best = best_centers(asked, scores).join(names, "center")
+            listed = best.groupBy("words").agg(F.transform(ordered, lambda s: s["token"]).alias("candidates"))
+            memo.append(durable(listed, "memo"))
+        if memo:
+            candidates = known.join(reduce(DataFrame.unionByName, memo), "words")
+            state = durable(
+                state.join(candidates.select("key", "candidates"), "key", "left").select(
+                    "key",
+                    F.when(F.col("candidates").isNull(), F.col("tokens"))
+                    .otherwise(_append_allowed(F.col("tokens"), F.col("candidates")))
+                    .alias("tokens"),
+                ),
+                "prompts",
+            )
     return state

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import prefix_words
-from lexloom.operators import embed, frames, profile, similarity, store
+from lexloom.operators import dense, embed, frames, profile, similarity, store
 from lexloom.plans import model
 from lexloom.plans.model import PROSE_KEYWORDS, quoted, with_frames
 from lexloom.plans.registry import query
@@ -16,6 +18,8 @@ from lexloom.session import durable
 MIN_COUNT = 10
 WINDOW = 5
 ALPHA = 0.1
+DENSE = 32
+DENSE_ROUNDS = 4
 EXTRA_WORDS = ["foreach", "dataclass"]
 
 
@@ -190,6 +194,15 @@ def e04(spark: SparkSession, sf: str) -> DataFrame:
     return frames.named_pairs(index, ppmi)
 
 
+@query("e04_dense_vectors")
+def e04_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of DENSE numbers per word, whose products approximate the PPMI table."""
+    index, pairs = _pairs(spark, sf)
+    weights = frames.positive_pmi(pairs).withColumnRenamed("ppmi", "weight")
+    found = dense.dense_vectors(weights, DENSE, rounds=DENSE_ROUNDS)
+    return index.join(found.vectors, "word").select("token", "vec")
+
+
 def _scores(spark: SparkSession, sf: str) -> frames.Scores:
     return frames.score_tables(*_pairs(spark, sf), ALPHA)
 
@@ -210,7 +223,39 @@ def e09(spark: SparkSession, sf: str) -> DataFrame:
     return frames.predict_center(contexts, _scores(spark, sf)).select("key", "center", "rank")
 
 
-@query("e10_continue_prompts")
+def _step_sql(number: int) -> dict[str, str]:
+    """Frames that extend the prompts of `state{number}` by one step."""
+    repeatable = ", ".join(quoted(word) for word in frames.REPEATABLE)
+    recent, many = frames.RECENT, frames.CANDIDATES
+    return {
+        f"terms{number}": f"SELECT key, token FROM (SELECT key, unnest(tokens[-{recent}:]) AS token FROM state{number}) "
+        "WHERE token IN (SELECT context FROM sums)",
+        f"best{number}": "SELECT key, center, row_number() OVER (PARTITION BY key ORDER BY round(base + gain, 6) DESC, center) AS rank "
+        f"FROM (SELECT key, center, sum(ln((n + {ALPHA}) / {ALPHA})) AS gain FROM terms{number} JOIN pairs ON context = token GROUP BY ALL) "
+        f"JOIN (SELECT key, sum(ln({ALPHA} / (t + {ALPHA} * v))) AS base FROM terms{number} JOIN sums ON context = token, "
+        "(SELECT count(*) AS v FROM sums) GROUP BY key) USING (key)",
+        f"grown{number}": "SELECT key, tokens, words, CASE WHEN words IS NULL THEN tokens ELSE "
+        "list_reduce(list_transform(words, lambda w: [w]), lambda grown, word: "
+        f"CASE WHEN list_contains(grown[-{recent}:], word[1]) AND word[1] NOT IN ({repeatable}) THEN grown ELSE list_concat(grown, word) END, tokens) "
+        f"END AS grown FROM state{number} LEFT JOIN (SELECT key, list(center ORDER BY rank) AS words FROM best{number} "
+        f"WHERE rank <= {many} GROUP BY key) USING (key)",
+        f"state{number + 1}": "SELECT key, CASE WHEN len(grown) = len(tokens) AND words IS NOT NULL THEN list_concat(tokens, words[1:1]) "
+        f"ELSE grown END AS tokens FROM grown{number}",
+    }
+
+
+def _continued_sql() -> str:
+    steps = {"state0": f"SELECT item_id AS key, {model.sql_generic('text')} AS tokens FROM benchmark"}
+    for number in range(frames.STEPS):
+        steps |= _step_sql(number)
+    sums = {"sums": "SELECT context, sum(n) AS t FROM pairs GROUP BY context"}
+    body = f"SELECT key, array_to_string(tokens, ' ') AS text FROM state{frames.STEPS}"
+    sql = with_frames(body, "tok", "total", **_PAIR_FRAMES, **sums, **steps)
+    # Each step is used twice by the next one.
+    return re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.MULTILINE)
+
+
+@query("e10_continue_prompts", _continued_sql())
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     prompts = benchmark_tokens(spark, sf).select(F.col("doc_id").alias("key"), "tokens")
     continued = frames.continue_prompts(prompts, _scores(spark, sf))

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,50 @@ def test_predict_and_continue(docs, spark):
         assert continued[key] == recent
 
 
+def test_a_hot_word_is_not_read_whole(spark, monkeypatch):
+    """A context word with 600 centers in 150 blocks: the first blocks settle the best ones."""
+    rows = [(0, c, 1 + (5000 // c)) for c in range(1, 600)] + [(1, c, 2000 - 100 * c) for c in range(2, 16)]
+    rows = [(a, b, n) for a, b, n in rows] + [(b, a, n) for a, b, n in rows]
+    pairs = spark.createDataFrame(rows, "center int, context int, n long")
+    index = spark.createDataFrame([(n, f"w{n:03d}") for n in range(600)], "word int, token string")
+    scores = frames.score_tables(index, pairs, block=4)
+    asked = frames.durable(spark.createDataFrame([([0, 1],), ([0],), ([0, 0, 1],)], "words array<int>"))
+    rounds = []
+    plain = frames.durable
+    monkeypatch.setattr(frames, "durable", lambda df, name="": rounds.append(name) or plain(df, name))
+    found = defaultdict(list)
+    for row in frames.best_centers(asked, scores).orderBy("rank").collect():
+        found[tuple(row.words)].append(row.center)
+    assert rounds.count("met") <= 3 < math.log2(150)
+    gains = {(a, b): math.log((n + 0.1) / 0.1) for b, a, n in rows}
+    for words, centers in found.items():
+        totals = defaultdict(float)
+        for word in words:
+            for (context, center), gain in gains.items():
+                if context == word:
+                    totals[center] += gain
+        assert centers == sorted(totals, key=lambda c: (-round(totals[c], 6), c))[:10]
+
+
+def test_numbers_beyond_a_broadcast_are_joined(docs, spark, monkeypatch):
+    words = profile.vocabulary(profile.token_rows(docs))
+    for limit in (frames.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(frames, "BROADCAST_BYTES", limit)
+        found = {(r.center, r.context): r.n for r in frames.corpus_pairs(docs, words, 3).collect()}
+        assert found == counted(window=3)
+
+
+def test_folding_of_pairs_in_small_chunks(monkeypatch):
+    lists = pa.array([[1, 2, 2], None, [], [3], [1, 2, 3, 1]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([lists], names=["tokens"])
+    monkeypatch.setattr(frames, "CHUNK_TOKENS", 2)
+    found = Counter()
+    for part in frames._counted_windows(2)(iter([batch, batch.slice(4)])):
+        for row in part.to_pylist():
+            found[row["low"], row["high"]] += row["n"]
+    assert found == {(1, 2): 6, (2, 2): 1, (2, 3): 2, (1, 3): 4}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
