@@ -89,8 +89,12 @@ def average_tokens(tokenised: DataFrame) -> DataFrame:
     )
 
 
-def training_files(tokenised: DataFrame) -> DataFrame:
-    return tokenised.where(F.col("tokens").isNotNull()).agg(F.count("*").alias("corpus_count"))
+def training_files(files: DataFrame, ignored: list[str] | None = None) -> DataFrame:
+    """Number of files that tokenise to a list, told without tokenising them."""
+    kept = files.where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    if ignored:
+        kept = kept.where(~F.col("language").isin(ignored))
+    return kept.agg(F.count("*").alias("corpus_count"))
 
 
 # --- vocabulary --------------------------------------------------------------

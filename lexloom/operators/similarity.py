@@ -27,15 +27,13 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vec", unit(F.col("vec")))
 
 
-def label_grid(languages: DataFrame, keywords: list[str], extra: list[str]) -> DataFrame:
-    """`language_keyword` for every language and keyword, plus extra words."""
-    words = F.array(*[F.lit(word) for word in keywords])
-    grid = languages.select("language", F.explode(words).alias("keyword")).select(
-        F.concat_ws("_", "language", "keyword").alias("token")
-    )
-    more = F.array(*[F.lit(word) for word in extra])
-    spark = languages.sparkSession
-    return grid.unionByName(spark.range(1).select(F.explode(more).alias("token")))
+def label_grid(keywords: DataFrame, languages: list[str], extra: list[str]) -> DataFrame:
+    """`language_keyword` for every language and distinct keyword, plus extra words."""
+    names = F.array(*[F.lit(name) for name in languages]).cast("array<string>")
+    pairs = keywords.select("keyword").distinct().select(F.explode(names).alias("language"), "keyword")
+    grid = pairs.select(F.concat_ws("_", "language", "keyword").alias("token"))
+    more = F.array(*[F.lit(word) for word in extra]).cast("array<string>")
+    return grid.unionByName(keywords.sparkSession.range(1).select(F.explode(more).alias("token")))
 
 
 # --- nearest neighbours ------------------------------------------------------

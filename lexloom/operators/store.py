@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexloom.schema import FINISHED_PAGE, MAX_FILE_BYTES, alias_dim, extension_dim
@@ -39,6 +41,45 @@ def canonical_language(df: DataFrame, alias: str = "alias") -> DataFrame:
     return df.join(names, F.lower(F.col(alias)) == F.col("_alias"), "left").drop("_alias")
 
 
+def with_reason(df: DataFrame, cap: int = MAX_FILE_BYTES, alias: str = "alias", path: str = "url") -> DataFrame:
+    """Add `language` and the `reason` why a file is rejected, NULL for a good one.
+
+    In this order: its language is unknown, its extension is not one of its
+    language, it is larger than `cap` bytes. All three are told in one pass.
+    """
+    known = extension_dim(df.sparkSession).select(
+        F.col("language").alias("_of"), F.col("ext").alias("_ext"), F.lit(True).alias("_allowed")
+    )
+    named = canonical_language(df, alias).withColumn("_found", file_extension(F.col(path)))
+    joined = named.join(known, (F.col("language") == F.col("_of")) & (F.col("_found") == F.col("_ext")), "left")
+    reason = (
+        F.when(F.col("language").isNull(), "language")
+        .when(F.col("_allowed").isNull(), "extension")
+        .when((F.lit(cap) > 0) & (F.col("size") > cap), "size")
+    )
+    return joined.withColumn("reason", reason).drop("_found", "_of", "_ext", "_allowed")
+
+
+class Sorted(NamedTuple):
+    good: DataFrame
+    rejects: DataFrame  # with `reason`
+    counts: dict[str, int]  # files, and rejects by reason
+
+
+REASONS = ["language", "extension", "size"]
+
+
+def sort_out(df: DataFrame, cap: int = MAX_FILE_BYTES, alias: str = "alias", path: str = "url") -> Sorted:
+    """Good files and rejects from one pass, which also counts them."""
+    seen = Observation()
+    marked = with_reason(df, cap, alias, path).observe(
+        seen, F.count("*").alias("files"), *[F.count_if(F.col("reason") == reason).alias(reason) for reason in REASONS]
+    )
+    stored = durable(marked, "sorted")
+    good, rejects = stored.where(F.col("reason").isNull()).drop("reason"), stored.where(F.col("reason").isNotNull())
+    return Sorted(good, rejects, dict(seen.get))
+
+
 def open_work(items: DataFrame, progress: DataFrame) -> DataFrame:
     """Work items with a query that is not finished, with their resume page."""
     return last_page(items.where(F.col("query") != ""), progress).where(
@@ -106,29 +147,26 @@ def dense_index(
 ) -> DataFrame:
     """Add consecutive numbers in global order without a one-task window.
 
-    Rows are range-partitioned and written once, which fixes the ranges; the
-    range sizes (one row per partition) are summed up, and each range numbers
-    its own rows from its offset.
+    Rows are range-partitioned, sorted and written once. A row's number is its
+    place in its file, which the file's reader knows, after the rows of all files
+    before it: the files are in the order of the ranges, and their lengths (one
+    row per file) are summed up. Nothing is shuffled or sorted a second time.
     """
-    ranged = durable(
-        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
-        "ranges",
-    )
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = durable(df.repartitionByRange(*order).sortWithinPartitions(*order), "ranges")
+    # The number of the range is part of the file's name.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)-", 1).cast("int")
+    placed = ranges.withColumns({"_file": number, "_row": F.col("_metadata.row_index")})
+    sizes = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
+        "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy("_range").orderBy(*order)
     base = first if isinstance(first, Column) else F.lit(first)
     # One offset per range partition: at most spark.sql.shuffle.partitions rows.
     return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(
-            name,
-            (F.row_number().over(within) - 1 + F.col("_offset") + base).cast("long"),
-        )
-        .drop("_range", "_offset")
+        placed.join(F.broadcast(offsets), "_file")
+        .withColumn(name, (F.col("_row") + F.col("_offset") + base).cast("long"))
+        .drop("_file", "_row", "_offset")
     )
 
 
@@ -161,16 +199,25 @@ def rank_within(
 
 
 def merge_corpora(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Target plus the source rows whose hash it lacks, under new ids."""
-    target = hashed(target)
-    fresh = not_stored(first_arrivals(source), target)
+    """Target plus the source rows whose hash it lacks, under new ids.
+
+    What is new, and its ids, is settled on ids and hashes alone; the contents of
+    the source are moved once, to meet their new ids.
+    """
+    target, source = hashed(target), hashed(source)
+    keys = durable(not_stored(first_arrivals(source.select("id", "hash")), target), "keys")
     highest = target.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    renumbered = dense_index(
-        fresh.withColumnRenamed("id", "_source_id"), [F.col("_source_id")], "id", 1
-    )
-    appended = renumbered.withColumn("id", F.col("id") + highest)
+    numbered = dense_index(keys, [F.col("id"), F.col("hash")], "_new", 1)
+    settled = durable(
+        numbered.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("_new") + highest), "settled"
+    ).toDF("_id", "_hash", "_new")
+    # Rows without a hash are all new; they share a key with their equals only.
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("hash").eqNullSafe(F.col("_hash"))
+    appended = source.join(settled, same)
+    if not source.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        appended = appended.dropDuplicates(["_new"])
     columns = ["id", *CODE_COLUMNS]
-    return target.select(columns).unionByName(appended.select(columns))
+    return target.select(columns).unionByName(appended.withColumn("id", F.col("_new")).select(columns))
 
 
 def merge_progress(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ def a10(spark: SparkSession, sf: str) -> DataFrame:
     with_frames("SELECT count(*) AS corpus_count FROM prose_tokens WHERE language <> 'Go'", "prose_tokens"),
 )
 def a11(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.training_files(profile.tokenise(model.prose(spark, sf), ignored=["Go"]))
+    return profile.training_files(model.prose(spark, sf), ignored=["Go"])
 
 
 def _sheet_column(language: str) -> str:

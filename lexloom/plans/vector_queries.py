@@ -47,15 +47,17 @@ _PAIR_FRAMES = {
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    """`language_keyword` labels for the prose keywords and k1, k2, ..."""
-    languages = model.code(spark, sf).select("language").distinct()
-    return similarity.label_grid(languages, PROSE_KEYWORDS + _RANKED, EXTRA_WORDS)
+    """`language_keyword` labels for the prose keywords and every keyword of the vectors."""
+    prose = spark.createDataFrame([(word,) for word in PROSE_KEYWORDS], "keyword string")
+    keywords = prose.unionByName(model.vectors(spark, sf).select("keyword"))
+    # At most one row per language.
+    languages = sorted(row["language"] for row in model.code(spark, sf).select("language").distinct().collect())
+    return similarity.label_grid(keywords, languages, EXTRA_WORDS)
 
 
-_RANKED = [f"k{n}" for n in range(1, 13)]
 _GRID_SQL = (
     "SELECT language || '_' || keyword AS token FROM (SELECT DISTINCT language FROM code) l, "
-    f"(SELECT unnest([{', '.join(quoted(w) for w in PROSE_KEYWORDS + _RANKED)}]) AS keyword) k "
+    f"(SELECT unnest([{', '.join(quoted(w) for w in PROSE_KEYWORDS)}]) AS keyword UNION SELECT keyword FROM vectors) k "
     f"UNION ALL SELECT unnest([{', '.join(quoted(w) for w in EXTRA_WORDS)}])"
 )
 
@@ -70,7 +72,7 @@ def j05(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("token", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("j06_label_grid", with_frames("SELECT token FROM grid", "code", grid=_GRID_SQL))
+@query("j06_label_grid", with_frames("SELECT token FROM grid", "code", "vectors", grid=_GRID_SQL))
 def j06(spark: SparkSession, sf: str) -> DataFrame:
     return _labels(spark, sf)
 
@@ -149,16 +151,66 @@ def e13(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.language_closeness(labelled).withColumn("closeness", F.round("closeness", 4))
 
 
-@query("e11_plane")
+def _axis_frames(number: int, squarings: int = 18) -> dict[str, str]:
+    """Frames for the leading axis of `matrix{number}` (i, j, v): its powers, by squaring, tend to the axis times itself."""
+    power = f"power{number}_"
+    found = {f"{power}0": f"SELECT i, j, v / (SELECT sum(v) FROM matrix{number} WHERE i = j) AS v FROM matrix{number}"}
+    for step in range(1, squarings + 1):
+        found[f"square{number}_{step}"] = (
+            f"SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {power}{step - 1} a JOIN {power}{step - 1} b ON a.j = b.i GROUP BY ALL"
+        )
+        found[f"{power}{step}"] = (
+            f"SELECT i, j, v / (SELECT sum(v) FROM square{number}_{step} WHERE i = j) AS v FROM square{number}_{step}"
+        )
+    # The column of the largest loading, which is positive.
+    last = f"{power}{squarings}"
+    found[f"axis{number}"] = (
+        f"SELECT p.i, p.v / sqrt(c.v) AS v FROM {last} p JOIN (SELECT i, v FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1) c ON p.j = c.i"
+    )
+    found[f"size{number}"] = (
+        f"SELECT sum(a.v * m.v * b.v) AS v FROM matrix{number} m JOIN axis{number} a ON m.i = a.i JOIN axis{number} b ON m.j = b.i"
+    )
+    found[f"matrix{number + 1}"] = (
+        f"SELECT m.i, m.j, m.v - s.v * a.v * b.v AS v FROM matrix{number} m JOIN axis{number} a ON m.i = a.i "
+        f"JOIN axis{number} b ON m.j = b.i, size{number} s"
+    )
+    return found
+
+
+_PLANE_FRAMES = {
+    "entries": "SELECT token, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM units",
+    "centred": "SELECT token, i, x - avg(x) OVER (PARTITION BY i) AS x FROM entries",
+    "matrix1": "SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM centred a JOIN centred b USING (token) GROUP BY ALL",
+    **_axis_frames(1),
+    **_axis_frames(2),
+    "plane": "SELECT token, sum(x * a.v) AS x, sum(x * b.v) AS y FROM centred JOIN axis1 a USING (i) JOIN axis2 b USING (i) GROUP BY token",
+}
+
+
+def _stepwise(sql: str) -> str:
+    """Frames written down, as each is used more than once."""
+    return re.sub(r"^(\w+) AS \(|^WITH (\w+) AS \(", _materialized, sql, flags=re.MULTILINE)
+
+
+def _materialized(found: re.Match) -> str:
+    return f"WITH {found[2]} AS MATERIALIZED (" if found[2] else f"{found[1]} AS MATERIALIZED ("
+
+
+@query("e11_plane", _stepwise(with_frames("SELECT token, round(x, 4) AS x, round(y, 4) AS y FROM plane", "units", **_PLANE_FRAMES)))
 def e11(spark: SparkSession, sf: str) -> DataFrame:
     vectors = similarity.unit_vectors(model.vectors(spark, sf).select("token", "vec"))
     return similarity.plane(vectors).select("token", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("e12_word_map")
+@query("e12_word_map", _stepwise(with_frames(
+    "SELECT token, CASE WHEN len(p) = 2 THEN p[1] ELSE '' END AS language, CASE WHEN len(p) = 2 THEN p[2] ELSE token END AS keyword, round(x, 4) AS x, round(y, 4) AS y, "
+    "round(x + 0.005 * (SELECT max(x) - min(x) FROM plane), 4) AS label_x FROM (SELECT *, string_split(token, '_') AS p FROM plane)",
+    "units", **_PLANE_FRAMES,
+)))
 def e12(spark: SparkSession, sf: str) -> DataFrame:
     vectors = durable(model.vectors(spark, sf).select("token", "vec"), "vectors")
-    return similarity.word_map(vectors.select("token").distinct(), vectors)
+    words = similarity.word_map(vectors.select("token").distinct(), vectors)
+    return words.withColumns({name: F.round(name, 4) for name in ("x", "y", "label_x")})
 
 
 @query("a13_coordinate_ranges", with_frames(
@@ -251,8 +303,7 @@ def _continued_sql() -> str:
     sums = {"sums": "SELECT context, sum(n) AS t FROM pairs GROUP BY context"}
     body = f"SELECT key, array_to_string(tokens, ' ') AS text FROM state{frames.STEPS}"
     sql = with_frames(body, "tok", "total", **_PAIR_FRAMES, **sums, **steps)
-    # Each step is used twice by the next one.
-    return re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", sql, flags=re.MULTILINE)
+    return _stepwise(sql)
 
 
 @query("e10_continue_prompts", _continued_sql())

@@ -2,8 +2,11 @@
 
 The file source and its checkpoint remember what has been read, so a run picks
 up where the last one stopped. Dedup state is the corpus table itself, not the
-state store. Every step may be replayed after a lost executor or driver: batch
-tables are overwritten by batch number and inserts skip stored hashes.
+state store; its hashes are looked up through filters. A row of page FINISHED_PAGE,
+without a file, says that its query has no more pages; the query is marked as
+finished once all of them are stored. Every step may be replayed after a lost
+executor or driver: batch tables are overwritten by batch number and inserts skip
+stored hashes.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from lexloom.operators.store import (
     pages_within_budget,
     within_size,
 )
-from lexloom.schema import CODE, MAX_FILE_BYTES
+from lexloom.schema import CODE, FINISHED_PAGE, MAX_FILE_BYTES
 from lexloom.session import durable
+from lexloom.streaming.history import History
 
 FETCHED = T.StructType(CODE.fields + [T.StructField("query", T.StringType()), T.StructField("page", T.LongType())])
 
@@ -49,6 +53,7 @@ class Ingest:
         self.cap = cap
         self.root = root.rstrip("/")
         self.budget = budget
+        self.history = History(spark, self.root)
 
     # Each batch rewrites only its own folder, hence replays are harmless.
     def _write(self, rows: DataFrame, table: str, batch: int) -> None:
@@ -113,9 +118,14 @@ class Ingest:
 
     def _store(self, fetched: DataFrame, batch: int) -> None:
         """Filter, dedup against history, budget, append; what the budget cuts off is kept for later."""
-        waiting = fetched.select(FETCHED.names).unionByName(self._deferred(batch))
+        arrived = fetched.select(FETCHED.names).unionByName(self._deferred(batch))
+        is_end = F.coalesce(F.col("page") == FINISHED_PAGE, F.lit(False))
+        ends, waiting = arrived.where(is_end), arrived.where(~is_end)
         allowed = within_size(allowed_extensions(waiting), self.cap)
-        kept = not_stored(first_arrivals(allowed), self._before("code", CODE, batch))
+        # Read twice: to ask the history and to be stored.
+        fresh = durable(first_arrivals(allowed), "arrived")
+        earlier = [n for n in self._numbers("hashes") if n < batch]
+        kept = not_stored(fresh, self.history.stored_among(fresh, earlier))
         late = None
         if self.budget > 0:
             # Read twice: for the page totals and for the files themselves.
@@ -125,16 +135,25 @@ class Ingest:
             late = placed.where(~in_time).select(FETCHED.names)
             kept = placed.where(in_time).drop("cut_page")
         self._write(kept.select(CODE.names), "code", batch)
+        if late is not None:
+            late = durable(late, "late")
+            # The end of a query waits for its pages.
+            held = ends.join(late.select("language", "query").distinct(), ["language", "query"], "left_semi")
+            late = late.unionByName(held.select(FETCHED.names))
         self._write(self.spark.createDataFrame([], FETCHED) if late is None else late, "deferred", batch)
         # Sums come from the written files, of which they read two columns.
         written = self.spark.read.schema(CODE).parquet(f"{self.root}/code/batch={batch}")
+        self.history.add(written, batch)
         self._write(written.groupBy("language").agg(F.sum("size").alias("bytes")), "bytes", batch)
-        # A query goes on with its first page that was cut off, else behind its last one.
+        # A query goes on with its first page that was cut off, else is finished or goes on behind its last page.
         left = self.spark.read.schema(FETCHED).parquet(f"{self.root}/deferred/batch={batch}")
-        cut = left.groupBy("language", "query").agg(F.min("page").alias("cut"))
-        pages = waiting.groupBy("language", "query").agg(F.max("page").alias("page"))
+        cut = left.where(~is_end).groupBy("language", "query").agg(F.min("page").alias("cut"))
+        pages = arrived.groupBy("language", "query").agg(
+            F.max("page").alias("page"), F.max(is_end).alias("ended")
+        )
+        behind = F.when(F.col("ended"), FINISHED_PAGE).otherwise(F.col("page") + 1)
         following = pages.join(cut, ["language", "query"], "left").select(
-            "language", "query", F.coalesce("cut", F.col("page") + 1).alias("last_page")
+            "language", "query", F.coalesce("cut", behind).cast("long").alias("last_page")
         )
         self._write(following, "progress", batch)
 

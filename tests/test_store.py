@@ -136,6 +136,44 @@ def test_merge(spark):
     assert sorted(twice.collect()) == sorted(once.collect())
 
 
+def test_merge_keeps_rows_apart_that_share_keys(spark):
+    target = code(spark, [(5, "Go", "a", "one")])
+    rows = [(2, "Go", "c", "two"), (2, "Go", "c", "two"), (2, "Go", "d", "three"), (1, "C", "e", None), (9, "Go", "f", "one")]
+    merged = sorted((r.id, r.url) for r in store.merge_corpora(target, code(spark, rows)).collect())
+    assert [name for name, _ in merged] == [5, 6, 7, 8]
+    assert sorted(url for _, url in merged) == ["a", "c", "d", "e"]
+
+
+def test_numbering_sorts_once(spark):
+    frame = spark.range(1000).select(F.xxhash64("id").alias("x"), F.lit("y").alias("text"))
+    plans, plain = [], store.durable
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(store, "durable", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or plain(df, name))
+        numbered = store.dense_index(frame, [F.col("x")], "n", 10)
+    first = plans[0].split("== Physical Plan ==")[1]
+    assert first.count("Exchange rangepartitioning") == 1 and first.count("Sort [") == 1
+    last = numbered._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    # The offsets of the files are all that is sorted and shuffled again.
+    assert "rangepartitioning" not in last and last.count("Sort [") == 1 and "BroadcastHashJoin" in last
+    rows = numbered.collect()
+    assert [r.n for r in sorted(rows, key=lambda r: r.x)] == list(range(10, 1010))
+
+
+def test_rejects_have_a_reason(spark):
+    rows = [
+        (1, "py3", "a.py", 5), (2, "cobol", "b.py", 5), (3, None, "c.py", 5), (4, "CPP", "d.py", 5), (5, "golang", "e", 5),
+        (6, "golang", "f.go", 50), (7, "golang", "g.go", 10), (8, "cobol", "h", 50),
+    ]
+    files = spark.createDataFrame(rows, "id long, alias string, url string, size long")
+    found = store.sort_out(files, 10)
+    assert sorted(r.id for r in found.good.collect()) == [1, 7]
+    assert {r.id: r.reason for r in found.rejects.collect()} == {
+        2: "language", 3: "language", 4: "extension", 5: "extension", 6: "size", 8: "language",
+    }
+    assert found.counts == {"files": 8, "language": 3, "extension": 2, "size": 1}
+    assert store.with_reason(files, 0).where("reason = 'size'").count() == 0
+
+
 def test_merge_progress_takes_the_source(spark):
     target = progress(spark, [("Go", "web", 9), ("Go", "cli", 1)])
     source = progress(spark, [("Go", "web", 3), ("C", "os", 2)])

@@ -1,10 +1,15 @@
 """Streamed ingest equals the batch operators."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text
 from lexloom.operators import store
 from lexloom.session import scratch_path
+from lexloom.streaming import history
 from lexloom.streaming.ingest import FETCHED, Ingest
 
 
@@ -100,3 +105,66 @@ def test_file_cap_can_be_lifted(spark):
         ingest = Ingest(spark, scratch_path(spark, "out"), cap=cap)
         ingest.start(path).awaitTermination()
         assert ingest.code().count() == count
+
+
+def test_a_query_is_finished_when_its_pages_are_stored(spark):
+    rows = [(n, "Go", f"f{n}.go", f"{n:0100d}", "web", n) for n in range(6)]
+    end = [(None, "Go", None, None, "web", -1)]
+    ingest, path = run_in_batches(spark, rows, 3, 400)
+    assert [r.last_page for r in ingest.progress().collect()] == [4]
+    fetched(spark, end).write.mode("append").parquet(path)
+    ingest.start(path).awaitTermination()
+    assert [r.last_page for r in ingest.progress().collect()] == [4]
+    later = Ingest(spark, ingest.root, 10**9)
+    later.resume()
+    assert [r.last_page for r in later.progress().collect()] == [-1]
+    assert later.code().count() == 6
+    fetched(spark, [(None, "C", None, None, "os", -1)]).write.mode("append").parquet(path)
+    later.start(path).awaitTermination()
+    assert {(r.language, r.last_page) for r in later.progress().collect()} == {("Go", -1), ("C", -1)}
+
+
+def test_filters_miss_no_stored_hash(spark, monkeypatch):
+    rng = random.Random(5)
+    for bits_per_hash in (16, 3_000):
+        monkeypatch.setattr(history, "BITS_PER_HASH", bits_per_hash)
+        past = history.History(spark, scratch_path(spark, "past"))
+        stored, pool = {}, [f"{rng.getrandbits(160):040x}" for _ in range(900)]
+        for batch, size in ((1, 200), (3, 0), (5, 90), (8, 1)):
+            stored[batch] = rng.sample(pool, size)
+            rows = [(h,) for h in stored[batch]] + [(None,)] + [(h,) for h in stored[batch][:9]]
+            past.add(spark.createDataFrame(rows, "hash string"), batch)
+        asked = rng.sample(pool, 500)
+        frame = spark.createDataFrame([(h,) for h in asked] + [(None,)], "hash string")
+        for numbers in ([1, 3, 5, 8], [3], [5, 8], []):
+            known = {h for n in numbers for h in stored[n]}
+            found = [r.hash for r in past.stored_among(frame, numbers).collect()]
+            assert sorted(found) == sorted(known & set(asked))
+        possible = {(r.hash, r.batch) for r in past.possible(frame, [1, 3, 5, 8]).collect()}
+        true = {(h, n) for n, hashes in stored.items() for h in hashes if h in asked}
+        assert true <= possible and len(possible) < len(true) + 20
+
+
+def test_history_is_neither_shuffled_nor_read_whole(spark):
+    past = history.History(spark, scratch_path(spark, "past"))
+    for batch in (1, 3, 5):
+        past.add(spark.range(2_000).select(F.sha1(F.concat(F.lit(f"{batch}:"), F.col("id").cast("string"))).alias("hash")), batch)
+    asked = spark.createDataFrame([("3:7",)], "text string").select(F.sha1("text").alias("hash"))
+    read = []
+    plain = type(spark.read).parquet
+
+    def recorded(self, *paths, **options):
+        read.extend(p for p in paths if "/hashes/" in p)
+        return plain(self, *paths, **options)
+
+    plans = []
+    stored = history.durable
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.read), "parquet", recorded)
+        patch.setattr(history, "durable", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or stored(df, name))
+        assert past.stored_among(asked, [1, 3, 5]).count() == 1
+    assert read == [f"{past.hashes}/batch=3"]
+    (plan,) = [text.split("== Physical Plan ==")[1] for name, text in plans if name == "stored"]
+    assert "BroadcastHashJoin" in plan and re.search(r"PartitionFilters: \[[^\]]*bucket#", plan)
+    # What is shuffled are the hashes found, after the join.
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin") and plan.count("Exchange hashpartitioning") == 1
