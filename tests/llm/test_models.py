@@ -1,11 +1,12 @@
 """Classifiers and neighbour search."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from lexloom.llm import neighbours, quality, toxicity
+from lexloom.llm import neighbours, quality, toxicity, training
 from tests.llm.fixtures import awkward_texts
 
 
@@ -52,6 +53,26 @@ def test_quality_on_held_out_documents(spark):
     assert scored.columns == ["doc_id", "text", "source", "y", "score"]
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """150,000 rows of one id, some of them long: one row each, and no more bytes than stated."""
+    many = spark.range(150_000).selectExpr("7 as doc_id", "concat('text ', id) as text")
+    others = spark.range(300).selectExpr("id + 100 as doc_id", "repeat('ab ', 100) as text")
+    long = spark.createDataFrame([(8, "x" * 3_000), (9, None)], "doc_id long, text string")
+    docs = many.unionByName(others).unionByName(long)
+    labels = docs.select("doc_id").distinct().selectExpr("doc_id", "0 as toxic").unionByName(
+        spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    )
+    found = training.labelled_sample(docs, labels, "toxic", 10_000).collect()
+    trained = [n for n in [7, 8, *range(100, 400)] if zlib.crc32(str(n).encode()) % 3 != 1]
+    assert len(found) == len(trained) and len({r.order for r in found}) == len(found)
+    assert sum(r.y for r in found) == sum(n == 7 for n in trained)
+    monkeypatch.setattr(training, "TEXT_BYTES", 2_000)
+    monkeypatch.setattr(training, "SAMPLE_BYTES", 6_000)
+    some = training.labelled_sample(docs, labels, "toxic", 10_000).collect()
+    assert 0 < sum(len(r.text) for r in some) <= 6_000
+    assert {r.order for r in some} == set(sorted(r.order for r in found if len(r.text) <= 2_000)[: len(some)])
+
+
 def test_models_without_rows(spark):
     _, frame, labels = labelled(spark, lambda words, rng: words, 8)
     for run in (toxicity.score, quality.judged):
