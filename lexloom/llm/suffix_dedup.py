@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from lexloom.llm import repeats
 
 LENGTH = 100
-GRAM = 16
+GRAM = 48
 
 
 def suffix_order(text: bytes, depth: int, wanted: np.ndarray | None = None) -> list[int]:
