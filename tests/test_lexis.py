@@ -1,5 +1,7 @@
 """Golden token lists, and the generic tokeniser against another regex engine."""
 
+import random
+
 import pytest
 import regex
 from hypothesis import HealthCheck, given, settings
@@ -204,3 +206,30 @@ def test_python_line_ends(spark, texts):
                 assert depth <= 0 and before != "\n"
             depth += (token in "([{") - (token in ")]}")
             before = token
+
+
+def test_fast_python_pattern_finds_the_same_tokens(spark):
+    rng = random.Random(5)
+    pieces = ["f", "rb", "Br", "u", "x", "é", "9", "_", "'", '"', "'''", "\\", "#", "\n", " ", "(", "0x1f", ".5", "namé", "uf"]
+    rows = [(n, "".join(rng.choices(pieces, k=rng.randrange(1, 30)))) for n in range(3_000)]
+    frame = spark.createDataFrame(rows, "doc_id int, content string")
+    fast = lexis.find_all(F.col("content"), lexis._PYTHON_FAST_TOKEN)
+    plain = lexis.find_all(F.col("content"), lexis.PYTHON_TOKEN)
+    assert frame.where(fast != plain).count() == 0
+
+
+def test_python_line_ends_inside_brackets(spark):
+    rng = random.Random(6)
+    rows, expected = [], {}
+    for number in range(200):
+        words = rng.choices(["(", ")", "[", "]", "{", "}", "\n", "ab", "c"], k=rng.choice([0, 1, 5, 60, 900]))
+        kept, depth = [], 0
+        for at, word in enumerate(words):
+            depth += (word in "([{") - (word in ")]}") if len(word) == 1 else 0
+            if word != "\n" or (depth <= 0 and not (at and words[at - 1] == "\n")):
+                kept.append(word)
+        rows.append((number, " ".join(words)))
+        expected[number] = kept
+    frame = spark.createDataFrame(rows, "doc_id int, content string")
+    found = frame.select("doc_id", lexis.python_tokens(F.col("content"))).collect()
+    assert dict(map(tuple, found)) == expected
