@@ -27,6 +27,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
     return durable(marked.mapInArrow(_archive_rows(folder), _CAPTURES), "captures")
 
 
-_PARTS = "file string, first string, blocks array<struct<key:string,offset:long,length:long>>"
+_PARTS = "nth int, file string, first string, blocks array<struct<key:string,offset:long,length:long>>"
 
 
 def _index_rows(folder: str):
@@ -227,19 +228,31 @@ def _index_rows(folder: str):
             out.close()
             kind = pa.list_(pa.struct([("key", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([blocks[0]["key"]]), pa.array([blocks], kind)],
-                names=["file", "first", "blocks"],
+                [
+                    pa.array([TaskContext.get().partitionId()], pa.int32()),
+                    pa.array([name]),
+                    pa.array([blocks[0]["key"]]),
+                    pa.array([blocks], kind),
+                ],
+                names=["nth", "file", "first", "blocks"],
             )
 
     return run
 
 
+def _tasks(frame: DataFrame) -> int:
+    """A number stated to a shuffle, so that small keys of large records are not gathered into one task."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort captures into index parts; returns `file`, `first` key and block directory of each part.
+    """Sort captures into index parts; returns `nth`, `file`, `first` key and block directory of each part.
 
-    Captures of one URL or host may fill several parts: ties go by page_id.
+    Captures of one URL or host may fill several parts: ties go by page_id. Parts
+    may then begin with one key; `nth` tells their order. There are at most as
+    many parts as shuffle partitions, without captures none.
     """
-    ordered = captures.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    ordered = captures.repartitionByRange(_tasks(captures), "surt", "page_id").sortWithinPartitions("surt", "page_id")
     return durable(ordered.mapInArrow(_index_rows(folder), _PARTS), "parts")
 
 
@@ -270,42 +283,75 @@ def _read_record(handle, offset: int, length: int) -> tuple:
     )
 
 
+_PLACED = "file string, offset long, length long, wanted string"
+
+
+def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each wanted key and block that may hold it; a part's directory comes before its keys."""
+    blocks, keys, out = [], [], []
+
+    def emitted() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
+            names=["file", "offset", "length", "wanted"],
+        )
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for file, directory, key in zip(*(batch.column(c) for c in ("file", "blocks", "wanted")), strict=True):
+            if directory.is_valid:
+                blocks = directory.as_py()
+                keys = [b["key"] for b in blocks]
+                continue
+            file, key = file.as_py(), key.as_py()
+            # A key's first line may stand in the block before the first one that begins with it.
+            for at in range(max(bisect.bisect_left(keys, key) - 1, 0), bisect.bisect_right(keys, key)):
+                out.append((file, blocks[at]["offset"], blocks[at]["length"], key))
+                if len(out) == 10_000:
+                    yield emitted()
+    if out:
+        yield emitted()
+
+
 def _lookup_rows(folder: str):
-    """Captures of the wanted keys; the rows of an index part follow each other in key order."""
+    """Captures of the wanted keys; the keys of a block follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _opened(folder)
-        part, index, keys, blocks = None, None, [], []
-        block_no, lines, line_keys = -1, [], []
-        archive_name, archive = None, None
+        current, lines, keys, places = None, [], [], []
+
+        def read() -> Iterator[pa.RecordBatch]:
+            """The records of a block's wanted lines, archive by archive in the order they lie there."""
+            places.sort()
+            found, name, archive = [], None, None
+            for wanted, offset, length in places:
+                if wanted != name:
+                    if archive is not None:
+                        archive.close()
+                    name, archive = wanted, system.open_input_file(f"{path}/{wanted}")
+                found.append(_read_record(archive, offset, length))
+            if archive is not None:
+                archive.close()
+            places.clear()
+            if found:
+                yield _found(found)
+
         for batch in batches:
-            for file, directory, wanted in zip(*(batch.column(c) for c in ("file", "blocks", "wanted")), strict=True):
-                if file.as_py() != part:
-                    part = file.as_py()
-                    index = system.open_input_file(f"{path}/{part}")
-                    blocks, block_no = directory.as_py(), -1
-                    keys = [b["key"] for b in blocks]
-                found = []
-                key = wanted.as_py()
-                # A key's first line may stand in the block before the first one that begins with it.
-                at = max(bisect.bisect_left(keys, key) - 1, 0)
-                while at < len(blocks) and keys[at] <= key:
-                    if at != block_no:
-                        index.seek(blocks[at]["offset"])
-                        data = zlib.decompress(index.read(blocks[at]["length"]), 31)
-                        lines = [json.loads(line) for line in data.decode().split("\n")]
-                        line_keys, block_no = [line[0] for line in lines], at
-                    for line in lines[bisect.bisect_left(line_keys, key) : bisect.bisect_right(line_keys, key)]:
-                        _, _, name, offset, length = line
-                        if name != archive_name:
-                            archive_name, archive = name, system.open_input_file(f"{path}/{name}")
-                        found.append(_read_record(archive, offset, length))
-                        if len(found) == 1_000:
-                            yield _found(found)
-                            found = []
-                    at += 1
-                if found:
-                    yield _found(found)
+            columns = (batch.column(c).to_pylist() for c in ("file", "offset", "length", "wanted"))
+            for file, offset, length, key in zip(*columns, strict=True):
+                if (file, offset) != current:
+                    yield from read()
+                    current = (file, offset)
+                    with system.open_input_file(f"{path}/{file}") as index:
+                        index.seek(offset)
+                        data = zlib.decompress(index.read(length), 31)
+                    lines = [json.loads(line) for line in data.decode().split("\n")]
+                    keys = [line[0] for line in lines]
+                places += [tuple(x[2:]) for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+        yield from read()
 
     return run
 
@@ -328,15 +374,19 @@ def _key_rows(column: str):
 
 
 def lookup(parts: DataFrame, urls: DataFrame, folder: str) -> DataFrame:
-    """All captures of the distinct URL keys of `urls` (`url`).
+    """All captures of the distinct URL keys of `urls` (`url`); repeated URLs count once.
 
     Keys meet the parts that may hold them by range: the last part whose first
     key is smaller, and all parts that begin with the key. The list of first
     keys has one entry for each index part, so its size is set by the number of
-    shuffle partitions that wrote the index.
+    shuffle partitions that wrote the index. In a part its block directory,
+    carried once, turns a key into blocks. Blocks are then dealt over all tasks,
+    those of one hot URL too, and each is read once. Without parts or urls the
+    result is empty; other columns of `urls` are ignored.
     """
-    wanted = urls.mapInArrow(_key_rows("url"), "wanted string").distinct()
-    firsts = parts.select("first", "file").orderBy("first", "file").collect()
+    tasks = _tasks(parts)
+    wanted = urls.select("url").mapInArrow(_key_rows("url"), "wanted string").distinct()
+    firsts = parts.select("first", "file").orderBy("nth").collect()
     names, keys = [r.file for r in firsts], [r["first"] for r in firsts]
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +400,27 @@ def lookup(parts: DataFrame, urls: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["wanted", "file"])
 
     placed = wanted.mapInArrow(parts_of, "wanted string, file string")
+    directories = parts.select("file", "blocks", F.lit(None).cast("string").alias("wanted"))
     return (
-        placed.join(parts.select("file", "blocks"), "file")
-        .sortWithinPartitions("file", "wanted")
+        placed.select("file", F.lit(None).cast(parts.schema["blocks"].dataType).alias("blocks"), "wanted")
+        .unionByName(directories)
+        .repartition(tasks, "file")
+        .sortWithinPartitions("file", F.col("blocks").isNull(), "wanted")
+        .select("file", "blocks", "wanted")
+        .mapInArrow(_block_keys, _PLACED)
+        .repartition(tasks, "file", "offset")
+        .sortWithinPartitions("file", "offset", "wanted")
         .mapInArrow(_lookup_rows(folder), _FOUND)
     )
 
 
 def scan(parts: DataFrame, folder: str) -> DataFrame:
-    """All captures, read by way of the index: a row for each block, then its records."""
+    """All captures, read by way of the index: a row for each block, then its records.
+
+    Without parts the result is empty.
+    """
     blocks = parts.select("file", F.explode("blocks").alias("block")).select("file", "block.*")
-    return blocks.repartition("file", "offset").mapInArrow(_block_rows(folder), _FOUND)
+    return blocks.repartition(_tasks(parts), "file", "offset").mapInArrow(_block_rows(folder), _FOUND)
 
 
 def _block_rows(folder: str):

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, mixing, transcripts, warc
 from tests.llm.fixtures import awkward_texts
@@ -60,6 +61,23 @@ def test_lookup_of_one_url(spark):
     assert warc.lookup(parts, wanted, folder).count() == 120
 
 
+def test_lookup_is_dealt_by_block(spark, monkeypatch):
+    """A URL with a third of all captures is read by several tasks, and no key carries a directory there."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 50)
+    rows = [(n, "http://hot.test/" if n % 3 == 0 else f"http://h{n % 40}.test/{n}", f"page {n}") for n in range(6_000)]
+    rows.append((6_000, None, "none"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = warc.archive_folder(spark)
+    parts = warc.build_index(warc.write_archives(pages, folder), folder)
+    assert parts.count() > 1
+    urls = pages.select("url", F.lit("x").alias("blocks"), F.lit(1).alias("file"))
+    found = warc.lookup(parts, urls, folder).select("page_id", F.spark_partition_id().alias("task"))
+    held = found.toPandas()
+    assert sorted(held.page_id) == list(range(6_001))
+    assert held[held.page_id % 3 == 0].task.nunique() > 1
+    assert warc.lookup(parts, urls.where("false"), folder).count() == 0
+
+
 def test_empty_archive(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = warc.archive_folder(spark)
