@@ -207,17 +207,28 @@ def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
+def best_of_each(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every id once with its best score; best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])
+    return ids[first], scores[first]
+
+
 def nearest_of(query: int, scores: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids of one query, ties to the smaller id, without the query itself."""
     take = min(k + 1, len(scores))
-    floor = np.partition(scores, len(scores) - take)[len(scores) - take]
-    chosen = np.flatnonzero(scores >= floor)
-    every = np.concatenate([ids[n] for n in chosen])
-    values = np.repeat(scores[chosen], [len(ids[n]) for n in chosen])
-    other = every != query
-    every, values = every[other], values[other]
-    order = np.lexsort((every, -values))[:k]
-    return every[order], values[order]
+    while True:
+        floor = np.partition(scores, len(scores) - take)[len(scores) - take]
+        chosen = np.flatnonzero(scores >= floor)
+        every = np.concatenate([ids[n] for n in chosen])
+        values = np.repeat(scores[chosen], [len(ids[n]) for n in chosen])
+        other = every != query
+        every, values = best_of_each(every[other], values[other])
+        # What was not chosen scores less; ids with several vectors may leave too few of them.
+        if len(every) >= k or take == len(scores):
+            return every[:k], values[:k]
+        take = min(2 * take, len(scores))
 
 
 def _ranked_rows(k: int):
@@ -279,11 +290,9 @@ def _merged_rows(k: int):
                 return
             ids = np.concatenate([np.frombuffer(i, np.int64) for i, _ in held])
             scores = np.concatenate([np.frombuffer(s, np.float64) for _, s in held])
-            # One id has one score here, so the first of each is enough.
-            ids, first = np.unique(ids, return_index=True)
-            scores = scores[first]
-            order = np.lexsort((ids, -scores))[:k]
-            out.extend((current, rank + 1, int(ids[n]), float(scores[n])) for rank, n in enumerate(order))
+            ids, scores = best_of_each(ids, scores)
+            best = zip(ids[:k].tolist(), scores[:k].tolist(), strict=True)
+            out.extend((current, rank, n, score) for rank, (n, score) in enumerate(best, 1))
             held[:] = []
 
         def emitted():
@@ -317,7 +326,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     Both take `vec_id` and `embedding`. Vectors without id, null, zero or with
     null or non-finite components take no part, nor do those whose length is not
     the commonest one. Candidates are all vectors but those with the query's own
-    id; repeated rows count once. Equal vectors are searched as one with its
+    id; repeated rows count once. An id with several vectors is one candidate, or
+    one query, with the best score of them. Equal vectors are searched as one with its
     smallest `k + 1` ids, which is all that can be among the nearest. Scores are
     inner products in double precision, ties go to the smaller id. If the leaves
     visited hold fewer than `k` others, so many are returned.

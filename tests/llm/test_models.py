@@ -173,6 +173,26 @@ def test_recall_on_many_vectors(spark):
     assert len(found) == 60 and hits / (60 * 20) >= 0.9
 
 
+def test_an_id_with_several_vectors(spark):
+    """Such an id counts once, with the best score of its vectors, as candidate and as query."""
+    rng = np.random.default_rng(8)
+    rows = [(n, rng.normal(size=4).tolist()) for n in range(39)]
+    rows += [(100, (rng.normal(size=4) + 3 * n).tolist()) for n in range(30)] + [(7, rows[7][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(vectors, vectors.where("vec_id IN (3, 100)"), 3).collect()
+    for query in (3, 100):
+        best = {}
+        for vec_id, x in rows:
+            for mine, y in rows:
+                if mine == query and vec_id != query:
+                    score = sum(a * b for a, b in zip(x, y, strict=True))
+                    best[vec_id] = max(score, best.get(vec_id, score))
+        expected = sorted(best, key=lambda n: (-best[n], n))[:3]
+        mine = sorted(r for r in found if r.query_id == query)
+        assert [(r["rank"], r.vec_id) for r in mine] == list(enumerate(expected, 1))
+        assert [r.score for r in mine] == pytest.approx([best[n] for n in expected])
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.nearest(none, none).count() == 0
