@@ -1,36 +1,59 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Trees are fitted on a bounded sample: each split projects on a random direction
-and cuts at the median. Every vector is then put into one leaf of each tree. A
-query goes down all trees with one shared priority queue, nearest cuts first,
-and visits `VISITS` leaves in all. The vectors of these leaves are ranked by
-their exact inner product.
-
-Inner products are searched as distances: a vector gets one more component that
-brings all to the length of the longest, a query gets 0 there.
+A tree has one random direction for each level and cuts every node of a level at
+its median along that direction. The depth grows with the table, so that leaves
+keep about `LEAF_VECTORS` vectors; directions and cuts are fitted on a bounded
+sample, and every vector is put into one leaf of each tree. A query goes down all
+trees with one shared priority queue, nearest cuts first. The vectors of the
+leaves it visits are ranked by their exact inner product.
+
+How many leaves are visited is measured, not guessed: the true neighbours of a
+few queries are found in one pass over the table, and the smallest number of
+visits that meets `RECALL` of them is used for all queries. Clustered vectors
+need few leaves, vectors without structure many.
+
+Trees cut the vectors as they are, without the component that turns inner products
+into distances: with it queries lie far from their own cluster where lengths differ.
+The measured number of visits answers for lengths too.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.session import durable
 
 NEIGHBOURS = 20
 TREES = 8
-# Fitted on at most about this many vectors.
-SAMPLE_VECTORS = 8_192
-LEAF_VECTORS = 64
-VISITS = 128
-# Vectors of a leaf that meet a query in one task.
-BLOCK_VECTORS = 2_048
+# Vectors of the table that a leaf is meant to hold.
+LEAF_VECTORS = 256
+# Cuts are medians of at most SAMPLE_VECTORS vectors, SAMPLE_OF_LEAF of them for each leaf.
+SAMPLE_VECTORS = 65_536
+SAMPLE_OF_LEAF = 16
+# Share of the true neighbours of JUDGES queries that the visited leaves must hold.
+RECALL = 0.97
+JUDGES = 128
+# A query meets the leaves below one node of this height in one task, vectors in blocks.
+GROUP_LEVELS = 6
+BLOCK_VECTORS = 16_384
+QUERIES_AT_ONCE = 128
 _HASH_RANGE = 1 << 30
+_EPSILON = float(np.finfo(float).eps)
+
+
+class Forest(NamedTuple):
+    """Directions by tree and level; cuts by tree, nodes numbered level by level."""
+
+    depth: int
+    directions: np.ndarray
+    cuts: list[list[float]]
 
 
 def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -44,82 +67,115 @@ def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
     return kept if dimension is None else kept.where(F.size("x") == dimension)
 
 
-def _squared(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda total, v: total + v * v)
-
-
-def fit(sample: np.ndarray) -> list[list]:
-    """A tree is a list of nodes: (direction, cut, left, right), or the number of a leaf."""
-    forest = []
-    for number in range(TREES):
-        rng = np.random.default_rng(1000 + number)
-        nodes: list = []
-        waiting = [(np.arange(len(sample)), None)]
-        leaves = 0
-        while waiting:
-            rows, parent = waiting.pop()
-            me = len(nodes)
-            if parent is not None:
-                nodes[parent[0]][parent[1]] = me
-            if len(rows) > LEAF_VECTORS:
-                direction = rng.normal(size=sample.shape[1])
-                direction /= np.linalg.norm(direction)
-                along = sample[rows] @ direction
-                cut = float(np.median(along))
-                left = along <= cut
-                if left.any() and not left.all():
-                    nodes.append([direction, cut, None, None])
-                    waiting += [(rows[~left], (me, 3)), (rows[left], (me, 2))]
-                    continue
-            nodes.append(leaves)
-            leaves += 1
-        forest.append(nodes)
-    return forest
-
-
-def leaves_of(nodes: list, points: np.ndarray) -> np.ndarray:
-    """Leaf number of every point."""
-    found = np.zeros(len(points), np.int64)
-    waiting = [(0, np.arange(len(points)))]
-    while waiting:
-        at, rows = waiting.pop()
-        if not len(rows):
-            continue
-        node = nodes[at]
-        if isinstance(node, int):
-            found[rows] = node
-            continue
-        direction, cut, left, right = node
-        below = points[rows] @ direction <= cut
-        waiting += [(left, rows[below]), (right, rows[~below])]
-    return found
-
-
-def visited(forest: list[list], query: np.ndarray, visits: int = VISITS) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of one queue over all trees: the smallest cut crossed comes first."""
-    queue = [(0.0, tree, 0) for tree in range(len(forest))]
+def depth_for(vectors: int) -> int:
+    """Levels that bring leaves to LEAF_VECTORS, as far as the sample can carry them."""
+    levels = 0
+    while vectors > LEAF_VECTORS << levels and SAMPLE_OF_LEAF << (levels + 1) <= SAMPLE_VECTORS:
+        levels += 1
+    return levels
+
+
+def fit(sample: np.ndarray, depth: int) -> Forest:
+    """Trees of `depth` levels, cut at the medians of the sample."""
+    directions = np.zeros((TREES, depth, sample.shape[1]))
+    cuts = []
+    for tree in range(TREES):
+        rng = np.random.default_rng(1000 + tree)
+        node = np.zeros(len(sample), np.int64)
+        mine: list[float] = []
+        for level in range(depth):
+            direction = rng.normal(size=sample.shape[1])
+            directions[tree, level] = direction / np.linalg.norm(direction)
+            along = sample @ directions[tree, level]
+            order = np.lexsort((along, node))
+            bounds = np.searchsorted(node[order], np.arange((1 << level) + 1))
+            middle = (bounds[:-1] + bounds[1:] - 1) // 2
+            filled = bounds[1:] > bounds[:-1]
+            median = np.where(filled, along[order][np.minimum(middle, len(sample) - 1)], 0.0) if len(sample) else np.zeros(1 << level)
+            mine += median.tolist()
+            node = 2 * node + (along > median[node])
+        cuts.append(mine)
+    return Forest(depth, directions, cuts)
+
+
+def leaves_of(forest: Forest, tree: int, points: np.ndarray) -> np.ndarray:
+    """Leaf number of every point in a tree."""
+    along = points @ forest.directions[tree].T
+    cuts = np.array(forest.cuts[tree])
+    node = np.zeros(len(points), np.int64)
+    for level in range(forest.depth):
+        node = 2 * node + (along[:, level] > cuts[(1 << level) - 1 + node])
+    return node
+
+
+def visited(forest: Forest, query: np.ndarray, visits: int, counts: list[dict[int, int]], least: int) -> list[tuple[int, int]]:
+    """(tree, leaf) in the order of one queue over all trees: what crosses the least comes first.
+
+    Goes on beyond `visits` until the leaves of some tree hold `least` vectors.
+    """
+    along = (forest.directions @ query).tolist()
+    queue = [(0.0, tree, 0, 0) for tree in range(TREES)]
+    held = [0] * TREES
     found = []
-    while queue and len(found) < visits:
-        crossed, tree, at = heapq.heappop(queue)
-        node = forest[tree][at]
-        if isinstance(node, int):
+    while queue and (len(found) < visits or max(held) < least):
+        crossed, tree, level, node = heapq.heappop(queue)
+        if level == forest.depth:
             found.append((tree, node))
+            held[tree] += counts[tree].get(node, 0)
             continue
-        direction, cut, left, right = node
-        margin = float(query @ direction) - cut
-        near, far = (left, right) if margin <= 0 else (right, left)
-        heapq.heappush(queue, (crossed, tree, near))
-        heapq.heappush(queue, (max(crossed, abs(margin)), tree, far))
+        margin = along[tree][level] - forest.cuts[tree][(1 << level) - 1 + node]
+        near = 2 * node + (margin > 0)
+        heapq.heappush(queue, (crossed, tree, level + 1, near))
+        heapq.heappush(queue, (crossed + margin * margin, tree, level + 1, near ^ 1))
     return found
 
 
-_CELL = "cell long, block long, kind int, id long, ids binary, x binary"
+def crossings(forest: Forest, query: np.ndarray) -> np.ndarray:
+    """By tree and leaf, what the queue of `visited` orders leaves by."""
+    along = forest.directions @ query
+    crossed = np.zeros((TREES, 1))
+    for level in range(forest.depth):
+        cuts = np.array([mine[(1 << level) - 1 : (2 << level) - 1] for mine in forest.cuts])
+        margin = along[:, level, None] - cuts
+        below = crossed + np.where(margin > 0, margin * margin, 0.0)
+        above = crossed + np.where(margin > 0, 0.0, margin * margin)
+        crossed = np.stack([below, above], axis=2).reshape(TREES, -1)
+    return crossed
+
+
+def visits_needed(forest: Forest, queries: list[np.ndarray], neighbours: list[np.ndarray], recall: float = RECALL) -> int:
+    """The smallest number of visits whose leaves hold that share of the neighbours."""
+    ranks = []
+    for query, near in zip(queries, neighbours, strict=True):
+        if len(near):
+            crossed = crossings(forest, query)
+            own = np.min([crossed[tree, leaves_of(forest, tree, near)] for tree in range(TREES)], axis=0)
+            ranks.append(np.searchsorted(np.sort(crossed.ravel()), own, side="right"))
+    if not ranks:
+        return TREES
+    every = np.sort(np.concatenate(ranks))
+    return max(TREES, int(every[int(np.ceil(recall * len(every))) - 1]))
+
+
+_CELL = "cell long, block long, kind int, id long, leaves binary, ids binary, x binary"
 _CELL_SCHEMA = pa.schema(
-    [("cell", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())]
+    [
+        ("cell", pa.int64()),
+        ("block", pa.int64()),
+        ("kind", pa.int32()),
+        ("id", pa.int64()),
+        ("leaves", pa.binary()),
+        ("ids", pa.binary()),
+        ("x", pa.binary()),
+    ]
 )
 _CELLS = 1 << 32
 
 
+def _group_shift(forest: Forest) -> int:
+    return min(forest.depth, GROUP_LEVELS)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
@@ -129,18 +185,17 @@ def _entry_rows(shared):
     """A row for each vector and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, longest, blocks = shared.value
+        forest, blocks = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 1_000):
                 part = batch.slice(low, 1_000)
                 x = _matrix(part.column("x"))
-                rest = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))
-                wide = np.column_stack([x, rest])
                 ids = [np.array(v, np.int64).tobytes() for v in part.column("ids").to_pylist()]
                 raw = [row.tobytes() for row in x]
                 spread = part.column("spread").to_numpy()
-                for tree, nodes in enumerate(forest):
-                    cell = leaves_of(nodes, wide) + tree * _CELLS
+                for tree in range(TREES):
+                    leaf = leaves_of(forest, tree, x)
+                    cell = (leaf >> _group_shift(forest)) + tree * _CELLS
                     count = np.array([blocks.get(c, 1) for c in cell.tolist()])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -148,6 +203,7 @@ def _entry_rows(shared):
                             pa.array(spread % count),
                             pa.array(np.zeros(len(x), np.int32)),
                             pa.array(np.zeros(len(x), np.int64)),
+                            pa.array([n.tobytes() for n in leaf.astype(np.int32)], pa.binary()),
                             pa.array(ids, pa.binary()),
                             pa.array(raw, pa.binary()),
                         ],
@@ -159,37 +215,98 @@ def _entry_rows(shared):
 
 def _cell_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, longest = shared.value
+        forest = shared.value
         for batch in batches:
             x = _matrix(batch.column("x"))
             if not len(x):
                 continue
-            wide = np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))])
-            cells = [leaves_of(nodes, wide) + tree * _CELLS for tree, nodes in enumerate(forest)]
+            cells = [leaves_of(forest, tree, x) + tree * _CELLS for tree in range(TREES)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells))], names=["cell"])
 
     return run
 
 
+def _judge_rows(shared, k: int):
+    """Of the vectors of a task the best `k` of each judging query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, judges = shared.value
+        best = [(np.zeros(0), np.zeros((0, judges.shape[1]))) for _ in numbers]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4_096):
+                part = batch.slice(low, 4_096)
+                x = _matrix(part.column("x"))
+                ids = part.column("ids").to_pylist()
+                products = judges @ x.T
+                alone = {mine[0]: at for at, mine in enumerate(ids) if len(mine) == 1}
+                for at, number in enumerate(numbers):
+                    row = products[at]
+                    if number in alone:
+                        row[alone[number]] = -np.inf
+                    take = np.argsort(-row)[:k]
+                    take = take[row[take] > -np.inf]
+                    scores = np.concatenate([best[at][0], row[take]])
+                    order = np.argsort(-scores, kind="stable")[:k]
+                    best[at] = scores[order], np.concatenate([best[at][1], x[take]])[order]
+        at = [n for n, (scores, _) in enumerate(best) for _ in scores]
+        if at:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(at, pa.int32()),
+                    pa.array(np.concatenate([scores for scores, _ in best])),
+                    pa.array([row.tobytes() for _, rows in best for row in rows], pa.binary()),
+                ],
+                names=["judge", "score", "x"],
+            )
+
+    return run
+
+
+def calibrated(groups: DataFrame, queries: DataFrame, forest: Forest, k: int) -> int:
+    """Visits that meet RECALL of the `k` nearest vectors of JUDGES queries, chosen by a hash of their id."""
+    judges = queries.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(JUDGES).collect()
+    if not judges or not forest.depth:
+        return TREES
+    spark = groups.sparkSession
+    points = np.array([r.x for r in judges])
+    shared = spark.sparkContext.broadcast(([r.vec_id for r in judges], points))
+    order = Window.partitionBy("judge").orderBy(F.desc("score"), "x")
+    near = (
+        groups.select("ids", "x")
+        .mapInArrow(_judge_rows(shared, k), "judge int, score double, x binary")
+        .withColumn("_nth", F.row_number().over(order))
+        .where(F.col("_nth") <= k)
+        .collect()
+    )
+    found: list[list[np.ndarray]] = [[] for _ in judges]
+    for r in near:
+        found[r.judge].append(np.frombuffer(r.x, np.float64))
+    return visits_needed(forest, list(points), [np.array(rows).reshape(len(rows), points.shape[1]) for rows in found])
+
+
 def _visit_rows(shared):
-    """A row for each query, leaf it visits and block of that leaf."""
+    """A row for each query, node whose leaves it visits and block of that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, _, blocks = shared.value
+        forest, counts, blocks, visits, least = shared.value
         for batch in batches:
             x = _matrix(batch.column("x"))
             for query, row in zip(batch.column("vec_id").to_pylist(), x, strict=True):
-                cells = [tree * _CELLS + leaf for tree, leaf in visited(forest, np.append(row, 0.0))]
-                places = [(cell, block) for cell in cells for block in range(blocks.get(cell, 0))]
+                mine: dict[int, list[int]] = {}
+                for tree, leaf in visited(forest, row, visits, counts, least):
+                    mine.setdefault(tree * _CELLS + (leaf >> _group_shift(forest)), []).append(leaf)
+                places = [(cell, block) for cell in mine for block in range(blocks.get(cell, 0))]
                 if not places:
                     continue
                 count = len(places)
+                leaves = {cell: np.array(sorted(found), np.int32).tobytes() for cell, found in mine.items()}
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([c for c, _ in places], pa.int64()),
                         pa.array([b for _, b in places], pa.int64()),
                         pa.array([1] * count, pa.int32()),
                         pa.array([query] * count, pa.int64()),
+                        pa.array([leaves[c] for c, _ in places], pa.binary()),
                         pa.nulls(count, pa.binary()),
                         pa.array([row.tobytes()] * count, pa.binary()),
                     ],
@@ -215,37 +332,64 @@ def best_of_each(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids[first], scores[first]
 
 
-def nearest_of(query: int, scores: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids of one query, ties to the smaller id, without the query itself."""
-    take = min(k + 1, len(scores))
+def nearest_of(
+    query: int, x: np.ndarray, estimates: np.ndarray, matrix: np.ndarray, ids: list[np.ndarray], k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids of one query, ties to the smaller id, without the query itself.
+
+    `estimates` are products that may be summed in any order; whatever rounding
+    could lift among the best is scored exactly.
+    """
+    slack = 4 * len(x) * _EPSILON * np.linalg.norm(x) * np.sqrt((matrix * matrix).sum(axis=1).max())
+    take = min(k + 1, len(estimates))
     while True:
-        floor = np.partition(scores, len(scores) - take)[len(scores) - take]
-        chosen = np.flatnonzero(scores >= floor)
+        floor = np.partition(estimates, len(estimates) - take)[len(estimates) - take] - slack
+        chosen = np.flatnonzero(estimates >= floor)
+        scores = exact_products(x[None], matrix[chosen])[0]
         every = np.concatenate([ids[n] for n in chosen])
-        values = np.repeat(scores[chosen], [len(ids[n]) for n in chosen])
+        values = np.repeat(scores, [len(ids[n]) for n in chosen])
         other = every != query
         every, values = best_of_each(every[other], values[other])
         # What was not chosen scores less; ids with several vectors may leave too few of them.
-        if len(every) >= k or take == len(scores):
+        if len(every) >= k or take == len(estimates):
             return every[:k], values[:k]
-        take = min(2 * take, len(scores))
+        take = min(2 * take, len(estimates))
 
 
 def _ranked_rows(k: int):
-    """Per query and leaf block the best candidates; a block's vectors come before its queries."""
+    """Per query and block of a node the best candidates; a block's vectors come before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, rows, matrix, waiting, out = None, [], [], None, [], []
+        current, ids, rows, leaves, matrix, bounds, waiting, out = None, [], [], [], None, {}, [], []
+
+        def arranged():
+            """Vectors in the order of their leaves."""
+            nonlocal ids, matrix, bounds
+            order = np.argsort(leaves, kind="stable")
+            ids = [ids[n] for n in order]
+            matrix = np.stack([rows[n] for n in order])
+            found, start = np.unique(np.array(leaves)[order], return_index=True)
+            bounds = dict(zip(found.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True), strict=True))
 
         def settled():
-            nonlocal matrix
             if waiting and rows:
                 if matrix is None:
-                    matrix = np.stack(rows)
-                products = exact_products(np.stack([x for _, x in waiting]), matrix)
-                for (query, _), scores in zip(waiting, products, strict=True):
-                    found, values = nearest_of(query, scores, ids, k)
-                    out.append((query, found.tobytes(), values.tobytes()))
+                    arranged()
+                points = np.stack([x for _, _, x in waiting])
+                asking: dict[int, list[int]] = {}
+                for at, (_, mine, _) in enumerate(waiting):
+                    for leaf in mine:
+                        asking.setdefault(leaf, []).append(at)
+                estimates = np.full((len(waiting), len(ids)), -np.inf)
+                for leaf, queries in asking.items():
+                    if leaf in bounds:
+                        low, high = bounds[leaf]
+                        estimates[queries, low:high] = points[queries] @ matrix[low:high].T
+                for (query, _, x), mine in zip(waiting, estimates, strict=True):
+                    met = np.flatnonzero(mine > -np.inf)
+                    if len(met):
+                        found, values = nearest_of(query, x, mine[met], matrix[met], [ids[n] for n in met], k)
+                        out.append((query, found.tobytes(), values.tobytes()))
             waiting.clear()
 
         def emitted():
@@ -258,17 +402,19 @@ def _ranked_rows(k: int):
             return batch
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("cell", "block", "kind", "id", "ids", "x"))
-            for cell, block, kind, query, mine, raw in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("cell", "block", "kind", "id", "leaves", "ids", "x"))
+            for cell, block, kind, query, met, mine, raw in zip(*columns, strict=True):
                 if (cell, block) != current:
                     settled()
-                    current, ids, rows, matrix = (cell, block), [], [], None
+                    current, ids, rows, leaves, matrix = (cell, block), [], [], [], None
+                places = np.frombuffer(met, np.int32)
                 if kind == 0:
                     ids.append(np.frombuffer(mine, np.int64))
                     rows.append(np.frombuffer(raw, np.float64))
+                    leaves.append(int(places[0]))
                 else:
-                    waiting.append((query, np.frombuffer(raw, np.float64)))
-                    if len(waiting) == 256:
+                    waiting.append((query, places.tolist(), np.frombuffer(raw, np.float64)))
+                    if len(waiting) == QUERIES_AT_ONCE:
                         settled()
             if len(out) > 5_000:
                 yield emitted()
@@ -320,7 +466,7 @@ def _merged_rows(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, visits: int | None = None) -> DataFrame:
     """`query_id`, `rank`, `vec_id`, `score`: the `k` nearest found of each query.
 
     Both take `vec_id` and `embedding`. Vectors without id, null, zero or with
@@ -329,14 +475,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     id; repeated rows count once. An id with several vectors is one candidate, or
     one query, with the best score of them. Equal vectors are searched as one with its
     smallest `k + 1` ids, which is all that can be among the nearest. Scores are
-    inner products in double precision, ties go to the smaller id. If the leaves
-    visited hold fewer than `k` others, so many are returned.
+    inner products in double precision, ties go to the smaller id.
+
+    `visits` is the number of leaves a query visits, by default what `calibrated`
+    measures; as many as there are leaves (TREES << depth_for(vectors)) is exact.
+    A query goes on until it has met `k + 1` different vectors, if there are so many.
     """
     spark = vectors.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = usable(vectors).groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dimension = common.n if common else 0
     mine = usable(vectors, dimension).distinct()
+    asked = usable(queries, dimension).distinct()
     first = Window.partitionBy("x").orderBy("vec_id")
     groups = (
         mine.withColumn("_nth", F.row_number().over(first))
@@ -346,23 +496,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
         .withColumn("spread", F.pmod(F.xxhash64("x"), F.lit(_HASH_RANGE)))
     )
     groups = durable(groups, "vectors")
-    size = groups.agg(F.count("*").alias("n"), F.max(_squared(F.col("x"))).alias("longest")).first()
-    share = min(1.0, SAMPLE_VECTORS / max(size.n, 1))
-    sample = groups.where(F.col("spread") < int(share * _HASH_RANGE)).select("x").collect()
-    longest = size.longest or 0.0
-    points = np.array([r.x for r in sample], float).reshape(len(sample), dimension)
-    points = points[np.lexsort(points.T)] if dimension else points
-    wide = np.column_stack([points, np.sqrt(np.maximum(longest - (points * points).sum(axis=1), 0))])
-    forest = fit(wide)
-    trees = spark.sparkContext.broadcast((forest, longest))
+    size = groups.count()
+    depth = depth_for(size)
+    share = min(1.0, (SAMPLE_OF_LEAF << depth) / max(size, 1))
+    sample = groups.where(F.col("spread") < int(share * _HASH_RANGE)).select("x").toArrow()
+    points = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.zeros((0, dimension))
+    points = points[np.lexsort(points.T)] if len(points) else points
+    forest = fit(points, depth)
+    if visits is None:
+        visits = calibrated(groups, asked, forest, k)
+    trees = spark.sparkContext.broadcast(forest)
     counted = groups.select("x").mapInArrow(_cell_rows(trees), "cell long").groupBy("cell").count()
     # One entry for each leaf: bounded by the sample.
-    blocks = {r.cell: -(-r["count"] // BLOCK_VECTORS) for r in counted.collect()}
-    shared = spark.sparkContext.broadcast((forest, longest, blocks))
-    entries = groups.select("ids", "x", "spread").mapInArrow(_entry_rows(shared), _CELL)
-    visits = usable(queries, dimension).distinct().mapInArrow(_visit_rows(shared), _CELL)
+    counts: list[dict[int, int]] = [{} for _ in range(TREES)]
+    sizes: dict[int, int] = {}
+    for r in counted.collect():
+        tree, leaf = divmod(r.cell, _CELLS)
+        counts[tree][leaf] = r["count"]
+        node = tree * _CELLS + (leaf >> _group_shift(forest))
+        sizes[node] = sizes.get(node, 0) + r["count"]
+    blocks = {node: -(-n // BLOCK_VECTORS) for node, n in sizes.items()}
+    entry = spark.sparkContext.broadcast((forest, blocks))
+    plan = spark.sparkContext.broadcast((forest, counts, blocks, visits, k + 1))
+    entries = groups.select("ids", "x", "spread").mapInArrow(_entry_rows(entry), _CELL)
     return (
-        entries.unionByName(visits)
+        entries.unionByName(asked.mapInArrow(_visit_rows(plan), _CELL))
         .repartition(tasks, "cell", "block")
         .sortWithinPartitions("cell", "block", "kind")
         .mapInArrow(_ranked_rows(k), "query_id long, ids binary, scores binary")

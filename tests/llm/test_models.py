@@ -198,3 +198,63 @@ def test_no_vectors(spark):
     assert neighbours.nearest(none, none).count() == 0
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in neighbours.nearest(few, few).orderBy("query_id").collect()] == [(1, 2), (2, 1)]
+
+
+def test_visits_grow_slower_than_clustered_vectors():
+    """Enough leaves for the recall asked, and a smaller share of the vectors of a larger table."""
+    shares = []
+    for count in (4_000, 40_000):
+        rng = np.random.default_rng(1)
+        centres = rng.normal(size=(count // 200, 32))
+        x = centres[rng.integers(0, len(centres), count)] + 0.1 * rng.normal(size=(count, 32))
+        depth = neighbours.depth_for(count)
+        forest = neighbours.fit(x[: neighbours.SAMPLE_OF_LEAF << depth], depth)
+        leaves = [neighbours.leaves_of(forest, tree, x) for tree in range(neighbours.TREES)]
+        sizes = [np.bincount(found, minlength=1 << depth) for found in leaves]
+        assert all(size.sum() == count for size in sizes)
+        counts = [dict(enumerate(size.tolist())) for size in sizes]
+        products = x[:160] @ x.T
+        products[np.arange(160), np.arange(160)] = -np.inf
+        near = np.argsort(-products, axis=1)[:, :20]
+        points = list(x[:160])
+        visits = neighbours.visits_needed(forest, points[:80], [x[rows] for rows in near[:80]])
+        hits = scored = 0
+        for point, wanted in zip(points[80:], near[80:], strict=True):
+            met = np.zeros(count, bool)
+            for tree, leaf in neighbours.visited(forest, point, visits, counts, 21):
+                met |= leaves[tree] == leaf
+                scored += sizes[tree][leaf]
+            hits += met[wanted].sum()
+        assert hits / (80 * 20) >= 0.9
+        shares.append(scored / 80 / count)
+    assert shares[1] < 0.2 and shares[1] < shares[0] / 2
+
+
+def test_visits_follow_the_queue():
+    rng = np.random.default_rng(4)
+    forest = neighbours.fit(rng.normal(size=(256, 5)), 4)
+    point = rng.normal(size=5)
+    order = neighbours.visited(forest, point, neighbours.TREES << 4, [{} for _ in range(neighbours.TREES)], 0)
+    crossed = neighbours.crossings(forest, point)
+    values = [crossed[place] for place in order]
+    assert len(set(order)) == neighbours.TREES << 4 and values == sorted(values)
+    home = {(tree, int(neighbours.leaves_of(forest, tree, point[None])[0])) for tree in range(neighbours.TREES)}
+    assert set(order[: neighbours.TREES]) == home
+
+
+def test_all_leaves_are_exact(spark, monkeypatch):
+    """Several levels and blocks, with ids of equal and of several vectors."""
+    monkeypatch.setattr(neighbours, "LEAF_VECTORS", 8)
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 16)
+    monkeypatch.setattr(neighbours, "QUERIES_AT_ONCE", 7)
+    rows = vectors_of(240, seed=9)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = frame.where("vec_id % 4 = 0")
+    found = {}
+    every = neighbours.TREES << neighbours.depth_for(240)
+    for r in neighbours.nearest(frame, asked, 20, visits=every).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    want = brute(rows, 20)
+    assert found == {query: best for query, best in want.items() if query % 4 == 0}
+    few = neighbours.nearest(frame, asked, 20, visits=1).groupBy("query_id").count().collect()
+    assert len(few) == 60 and all(r["count"] == 20 for r in few)
