@@ -316,12 +316,9 @@ def _visit_rows(shared):
     return run
 
 
-def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def exact_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products, each summed from the first component to the last, whatever the shapes."""
-    total = np.zeros((len(queries), len(vectors)))
-    for at in range(queries.shape[1]):
-        total += queries[:, at, None] * vectors[None, :, at]
-    return total
+    return np.add.accumulate(vectors * query, axis=1)[:, -1] + 0.0
 
 
 def best_of_each(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,41 +330,45 @@ def best_of_each(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def nearest_of(
-    query: int, x: np.ndarray, estimates: np.ndarray, matrix: np.ndarray, ids: list[np.ndarray], k: int
+    query: int, x: np.ndarray, estimates: np.ndarray, matrix: np.ndarray, longest: float, ids: list[np.ndarray], k: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids of one query, ties to the smaller id, without the query itself.
 
-    `estimates` are products that may be summed in any order; whatever rounding
-    could lift among the best is scored exactly.
+    `estimates` are products that may be summed in any order, minus infinity for
+    vectors that the query does not meet; whatever rounding could lift among the
+    best is scored exactly. `longest` is the greatest length of a vector.
     """
-    slack = 4 * len(x) * _EPSILON * np.linalg.norm(x) * np.sqrt((matrix * matrix).sum(axis=1).max())
-    take = min(k + 1, len(estimates))
+    slack = 4 * len(x) * _EPSILON * np.linalg.norm(x) * longest
+    met = np.flatnonzero(estimates > -np.inf)
+    estimates = estimates[met]
+    take = min(k + 1, len(met))
     while True:
         floor = np.partition(estimates, len(estimates) - take)[len(estimates) - take] - slack
-        chosen = np.flatnonzero(estimates >= floor)
-        scores = exact_products(x[None], matrix[chosen])[0]
+        chosen = met[estimates >= floor]
+        scores = exact_products(x, matrix[chosen])
         every = np.concatenate([ids[n] for n in chosen])
         values = np.repeat(scores, [len(ids[n]) for n in chosen])
         other = every != query
         every, values = best_of_each(every[other], values[other])
         # What was not chosen scores less; ids with several vectors may leave too few of them.
-        if len(every) >= k or take == len(estimates):
+        if len(every) >= k or take == len(met):
             return every[:k], values[:k]
-        take = min(2 * take, len(estimates))
+        take = min(2 * take, len(met))
 
 
 def _ranked_rows(k: int):
     """Per query and block of a node the best candidates; a block's vectors come before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, rows, leaves, matrix, bounds, waiting, out = None, [], [], [], None, {}, [], []
+        current, ids, rows, leaves, matrix, longest, bounds, waiting, out = None, [], [], [], None, 0.0, {}, [], []
 
         def arranged():
             """Vectors in the order of their leaves."""
-            nonlocal ids, matrix, bounds
+            nonlocal ids, matrix, longest, bounds
             order = np.argsort(leaves, kind="stable")
             ids = [ids[n] for n in order]
             matrix = np.stack([rows[n] for n in order])
+            longest = float(np.sqrt((matrix * matrix).sum(axis=1).max()))
             found, start = np.unique(np.array(leaves)[order], return_index=True)
             bounds = dict(zip(found.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True), strict=True))
 
@@ -386,9 +387,8 @@ def _ranked_rows(k: int):
                         low, high = bounds[leaf]
                         estimates[queries, low:high] = points[queries] @ matrix[low:high].T
                 for (query, _, x), mine in zip(waiting, estimates, strict=True):
-                    met = np.flatnonzero(mine > -np.inf)
-                    if len(met):
-                        found, values = nearest_of(query, x, mine[met], matrix[met], [ids[n] for n in met], k)
+                    if mine.max() > -np.inf:
+                        found, values = nearest_of(query, x, mine, matrix, longest, ids, k)
                         out.append((query, found.tobytes(), values.tobytes()))
             waiting.clear()
 
