@@ -59,7 +59,8 @@ def chunk_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     inside = at < end[:, None]
     if not len(data):
         return np.full(at.shape, PADDING, np.int16)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], PADDING).astype(np.int16)
+    # PADDING is beyond the range of a byte.
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int16), np.int16(PADDING))
 
 
 def responses(model: Model, units: np.ndarray):

@@ -1,9 +1,11 @@
 """Archives, mixtures, test items and transcripts."""
 
 import gzip
+import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,6 +251,33 @@ def test_decoding_does_not_depend_on_partitions(spark):
     assert {(c, t, n): (role, begins) for c, t, n, role, begins, _ in results[0]} == want
 
 
+def test_decoding_equals_all_state_paths(spark):
+    """Every path of states of short conversations is scored by the model's own counts."""
+    model = model_of(lines_of(spark))
+    kinds = [*model["kinds"], "never met"]
+    rng = random.Random(12)
+    size = range(len(transcripts.STATES))
+    for length in (1, 2, 3, 4, 5):
+        for _ in range(4):
+            seen = [rng.choice(kinds) for _ in range(length)]
+            shown = [[model["show"][s, model["kinds"].get(kind, len(kinds) - 1)] for s in size] for kind in seen]
+
+            def worth(path, shown=shown):
+                moves = sum(model["move"][a, b] for a, b in zip(path, path[1:], strict=False))
+                return model["start"][path[0]] + moves + sum(line[s] for line, s in zip(shown, path, strict=True))
+
+            best = max(worth(path) for path in itertools.product(size, repeat=length))
+            found = transcripts.decoded(model, transcripts._shown(model, seen), None, None)
+            assert worth(found) == pytest.approx(best) and best > -np.inf
+            # A text cut in two parts with their edge scores gives a path as good.
+            for cut in range(1, length):
+                head, tail = (transcripts._shown(model, part) for part in (seen[:cut], seen[cut:]))
+                after = transcripts.passage(model, tail, False).max(axis=1)
+                entry = transcripts.passage(model, head, True).max(axis=0)
+                halves = transcripts.decoded(model, head, None, after) + transcripts.decoded(model, tail, entry, None)
+                assert worth(halves) == pytest.approx(best)
+
+
 def test_roles_are_recovered(spark):
     lines = lines_of(spark, seed=6)
     found = transcripts.parse(lines.drop("role", "first"), model_of(lines))

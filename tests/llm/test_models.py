@@ -1,5 +1,6 @@
 """Classifiers and neighbour search."""
 
+import math
 import random
 import zlib
 
@@ -258,3 +259,93 @@ def test_all_leaves_are_exact(spark, monkeypatch):
     assert found == {query: best for query, best in want.items() if query % 4 == 0}
     few = neighbours.nearest(frame, asked, 20, visits=1).groupBy("query_id").count().collect()
     assert len(few) == 60 and all(r["count"] == 20 for r in few)
+
+
+# --- models against plain Python ----------------------------------------------
+
+
+def plain_ftrl(examples, labels):
+    """FTRL-proximal, a coordinate at a time."""
+    bias = 2**toxicity.BITS
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for columns, y in zip(examples, labels, strict=True):
+            at = [*columns, bias]
+            w = {i: weight(i) for i in at}
+            slope = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                before = n.get(i, 0.0)
+                n[i] = before + slope**2
+                z[i] = z.get(i, 0.0) + slope - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * w[i]
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_a_coordinate_at_a_time():
+    rng = random.Random(11)
+    examples, labels = [], []
+    for _ in range(300):
+        y = rng.random() < 0.4
+        columns = sorted(rng.sample(range(200), rng.randrange(0, 9)) + ([500] if y and rng.random() < 0.9 else []))
+        examples.append(columns)
+        labels.append(int(y))
+    found = toxicity.fit([np.array(c, np.int32) for c in examples], labels)
+    want = plain_ftrl(examples, labels)
+    assert set(np.flatnonzero(found).tolist()) == set(want) and 500 in want
+    assert [found[i] for i in want] == pytest.approx(list(want.values()))
+    assert len(want) < 50  # the L1 term leaves few weights
+
+
+def test_features_are_words_pairs_and_skips():
+    texts = ["One two, three", "two three", "", "ein Über x1y"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    column, text = toxicity.features(np.frombuffer(data, np.uint8), offsets)
+    met = [set(column[text == n].tolist()) for n in range(len(texts))]
+    # three words, two pairs, one pair with a word between
+    assert [len(m) for m in met] == [6, 3, 0, 4 + 3 + 2 + 1]
+    assert met[1] < met[0]  # two, three and their pair
+
+
+def plain_logit(model, text):
+    """Mean over the chunks of a text of what its filters' largest responses give."""
+    step = quality.CHUNK - quality.OVERLAP
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(text):
+        starts.append(starts[-1] + step)
+    total = 0.0
+    for start in starts:
+        units = list(text[start : start + quality.CHUNK])
+        units += [quality.PADDING] * (quality.CHUNK - len(units))
+        value = float(model["bias"][0])
+        for f in range(quality.FILTERS):
+            best = max(
+                sum(
+                    float(model["table"][units[at + w], c]) * float(model["filters"][w * quality.TABLE + c, f])
+                    for w in range(quality.WIDTH)
+                    for c in range(quality.TABLE)
+                )
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+            )
+            value += max(best + float(model["shift"][f]), 0.0) * float(model["out"][f])
+        total += value
+    return total / len(starts)
+
+
+def test_quality_logits_equal_plain_python(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 48)
+    monkeypatch.setattr(quality, "OVERLAP", 16)
+    monkeypatch.setattr(quality, "CHUNKS_AT_ONCE", 3)
+    rng = random.Random(3)
+    model = quality.fresh_model(9)
+    model["shift"] += 0.1
+    texts = [bytes(rng.randrange(256) for _ in range(size)) for size in (0, 1, 7, 47, 48, 49, 80, 81, 200)]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    found = quality.logits(model, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert found.tolist() == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-4)
