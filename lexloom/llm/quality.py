@@ -19,7 +19,7 @@ from lexloom.llm import grams
 from lexloom.llm.training import held_out, labelled_sample
 
 CHUNK, OVERLAP = 512, 64
-WIDTH, STRIDE = 8, 4
+WIDTH, STRIDE = 8, 1
 TABLE, FILTERS = 4, 24
 SAMPLE_ROWS = 6_000
 EPOCHS = 4
