@@ -2,9 +2,9 @@
 
 Every tokeniser is one `regexp_extract_all` over the whole text followed by
 array functions, so a corpus is tokenised inside the scan stage without a
-shuffle and without Python. Quantifiers are possessive wherever a literal or a
-comment may be long: the JVM matches those in a loop, while nested greedy
-groups recurse and overflow the stack on large files.
+shuffle; only the logical lines of Python are settled in Arrow batches. Quantifiers
+are possessive wherever a literal or a comment may be long: the JVM matches those in
+a loop, while nested greedy groups recurse and overflow the stack on large files.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ GENERIC_TOKEN = (
     r"|[^a-zA-Z0-9_ \t\n.<>/\\{}\[\]()'\"]++"
 )
 
+# The FAST patterns find the same tokens as those they end in. They first try what
+# most tokens are: names of ASCII letters, and marks that begin no longer token.
+_GENERIC_FAST_TOKEN = r"[a-z0-9_]++[\p{L}\p{N}_]*+|" + GENERIC_TOKEN
+
 
 def greedy(pattern: str) -> str:
     """The same pattern without possessive marks, for engines that lack them."""
@@ -45,8 +51,13 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def find_all(text: Column, pattern: str, blanks: str = r" \t") -> Column:
+    """All matches of `pattern`, none of which may begin with one of `blanks`.
+
+    A run of blanks is passed over at its first character, so that the alternatives
+    are not tried at each one, nor the run read again where nothing follows it.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"(?:(?<![{blanks}])[{blanks}]++)?({pattern})"), F.lit(1))
 
 
 def replace_all(text: Column, replacements: list[tuple[str, str]]) -> Column:
@@ -57,7 +68,7 @@ def replace_all(text: Column, replacements: list[tuple[str, str]]) -> Column:
 
 def generic_tokens(text: Column) -> Column:
     """Lower-case, fold literals to class tokens, split."""
-    return find_all(replace_all(F.lower(text), GENERIC_REPLACEMENTS), GENERIC_TOKEN)
+    return find_all(replace_all(F.lower(text), GENERIC_REPLACEMENTS), _GENERIC_FAST_TOKEN, r" \t\n")
 
 
 # --- C++ ---------------------------------------------------------------------
@@ -91,6 +102,7 @@ CPP_TOKEN = "|".join(
         r"[(){}\[\],.:;<>=!?&|^~%*/+-]",
     ]
 )
+_CPP_FAST_TOKEN = r"[A-Za-z_&&[^uULR]][A-Za-z0-9_]*+|[(){}\[\],;?~]|" + CPP_TOKEN
 CPP_INTEGER_LITERAL = (
     rf"^(?:{_CPP_INTEGER})(?:[uU](?:ll|LL|[lL])?|(?:ll|LL|[lL])[uU]?)?$"
 )
@@ -140,7 +152,7 @@ def cpp_tokens(text: Column) -> Column:
             .otherwise(t)
         )
 
-    return F.transform(F.filter(find_all(text, CPP_TOKEN), kept), folded)
+    return F.transform(F.filter(find_all(text, _CPP_FAST_TOKEN, r" \t\r\n"), kept), folded)
 
 
 # --- C# ----------------------------------------------------------------------
@@ -176,6 +188,9 @@ CSHARP_TOKEN = "|".join(
         r"[(){}\[\],.:;<>=!?&|^~%*/+-]",
     ]
 )
+_CSHARP_FAST_TOKEN = (
+    r"[A-Za-z_][A-Za-z0-9_]*+[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\p{Cf}]*+|[(){}\[\],;~]|" + CSHARP_TOKEN
+)
 CSHARP_REAL_LITERAL = rf"^(?:{_CS_REAL})$"
 CSHARP_ACCESS = rf"^{_CS_DIGITS}{_CS_SUFFIX}\.@?{_CS_NAME}$"
 
@@ -199,7 +214,7 @@ def csharp_tokens(text: Column) -> Column:
             .otherwise(t)
         )
 
-    return F.transform(F.filter(find_all(text, CSHARP_TOKEN), kept), folded)
+    return F.transform(F.filter(find_all(text, _CSHARP_FAST_TOKEN, r" \t\r\n"), kept), folded)
 
 
 # --- Go ----------------------------------------------------------------------
@@ -233,6 +248,7 @@ GO_TOKEN = "|".join(
         r"[(){}\[\],.:;<>=!&|^%*/+-]",
     ]
 )
+_GO_FAST_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*+[\p{L}\p{Nd}_]*+|[(){}\[\],;]|" + GO_TOKEN
 GO_FLOAT_LITERAL = rf"^(?:{_GO_FLOAT})$"
 # A line end closes the statement only after one of these, or
 # after a name or a literal.
@@ -278,7 +294,7 @@ def go_tokens(text: Column) -> Column:
             | F.coalesce(go_closes_statement(F.get(tokens, i - 1)), F.lit(False)),
         )
 
-    folded_tokens = F.transform(F.filter(find_all(text, GO_TOKEN), kept), folded)
+    folded_tokens = F.transform(F.filter(find_all(text, _GO_FAST_TOKEN), kept), folded)
     return bind(folded_tokens, statement_ends)
 
 
@@ -337,102 +353,66 @@ PYTHON_TOKEN = "|".join(
 )
 
 
-# Most tokens are names that cannot begin a string; tried first, they skip the
-# alternatives for strings and numbers. Finds the same tokens as PYTHON_TOKEN.
-_PYTHON_FAST_TOKEN = (
-    r"[a-zA-Z_&&[^fFrRbBuU]][A-Za-z0-9_\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*+|" + PYTHON_TOKEN
+# Names that may begin a string are taken as names unless a quote follows them.
+_PYTHON_FAST_TOKEN = "|".join(
+    [
+        r"[a-zA-Z_&&[^fFrRbBuU]][A-Za-z0-9_]*+[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*+",
+        r"[(){},:;~\[\]]",
+        r"[a-zA-Z_][A-Za-z0-9_]*+(?![\"'\P{ASCII}])",
+        r"=(?!=)",
+        r"\r?\n",
+        PYTHON_TOKEN,
+    ]
 )
 
+_PY_BRACKETS = {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda total, v: total + v)
 
+def _python_folded(token: str) -> str | None:
+    """A token as its class; None for comments and joined lines."""
+    first = token[:1]
+    if first == "#" or (first == "\\" and token != "\\"):
+        return None
+    if token[-1:] in ("'", '"') and (len(token) > 1):
+        return STRING_LITERAL
+    if token in ("True", "False"):
+        return BOOL_LITERAL
+    if "0" <= first <= "9" or (first == "." and "0" <= token[1:2] <= "9"):
+        return FLOAT_LITERAL
+    return NEWLINE if first in ("\r", "\n", "\f") else token
 
-def _outside_brackets(tokens: Column, body: Callable[..., Column]) -> Column:
-    """Give `body` a test "no bracket is open before position i".
 
-    A file's brackets are a byte string, "o", "c" or "." for each token, in which
-    opened and closed ones are counted by string functions. Depths are prefix
-    sums over runs of about 4 * sqrt(n) tokens, so that a test counts in one
-    short slice and a file costs n * sqrt(n) bytes at worst.
-    """
-    marks = F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(F.octet_length(t) != 1, ".")
-            .when(t.isin("(", "[", "{"), "o")
-            .when(t.isin(")", "]", "}"), "c")
-            .otherwise("."),
-        ),
-        "",
-    )
-
-    def depth(marks, start, length):
-        run = F.substring(marks, start, length).cast("string")
-        return F.octet_length(F.replace(run, F.lit("c"), F.lit(""))) - F.octet_length(
-            F.replace(run, F.lit("o"), F.lit(""))
-        )
+def _logical_lines(found: pa.Array) -> pa.Array:
+    """Token lists folded, with the line ends that no bracket encloses, one of each run.
 
-    def with_runs(marks, run, sums):
-        def outside(i):
-            nth = F.floor(i / run).cast("int")
-            return F.get(sums, nth) + depth(marks, nth * run + 1, i - nth * run) <= 0
-
-        return body(outside)
-
-    def with_marks(marks):
-        count = F.octet_length(marks)
-        run = F.greatest(F.ceil(F.sqrt(count) * 4), F.lit(1)).cast("int")
-
-        def with_run(run):
-            starts = F.sequence(F.lit(0), F.floor(count / run).cast("int"))
-            totals = F.transform(starts, lambda n: depth(marks, n * run + 1, run))
-            sums = bind(
-                totals,
-                lambda totals: F.transform(
-                    starts, lambda n: _total(F.slice(totals, F.lit(1), n))
-                ),
-            )
-            return bind(sums, lambda sums: with_runs(marks, run, sums))
-
-        return bind(run, with_run)
-
-    return bind(marks.cast("binary"), with_marks)
+    Tokens are folded once for each different one of a batch; brackets are counted
+    by running sums.
+    """
+    lengths = found.value_lengths().fill_null(0).to_numpy()
+    coded = found.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    folded = [_python_folded(word) for word in words]
+    code = coded.indices.to_numpy()
+    kept = np.array([text is not None for text in folded], bool)[code]
+    code, file = code[kept], np.repeat(np.arange(len(lengths)), lengths)[kept]
+    line_end = np.array([text == NEWLINE for text in folded], bool)[code]
+    step = np.array([_PY_BRACKETS.get(word, 0) for word in words], np.int64)[code]
+    first = np.append(True, file[1:] != file[:-1])[: len(file)]
+    # Brackets opened before a token, less those opened before its file.
+    before = np.cumsum(step) - step
+    before -= before[first][np.cumsum(first) - 1]
+    repeated = np.append(False, line_end[:-1])[: len(file)] & ~first
+    shown = ~line_end | (~repeated & (before <= 0))
+    tokens = pa.array(folded, pa.string()).take(pa.array(code[shown]))
+    counts = np.bincount(file[shown], minlength=len(lengths))
+    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, tokens, mask=found.is_null())
 
 
 def python_tokens(text: Column) -> Column:
     """Python: one line-end token per logical line, every number one class."""
-
-    def kept(t):
-        return ~_starts(t, "#", "\\") | (t == "\\")
-
-    def folded(t):
-        # Names sort after "A", where neither numbers nor line ends lie.
-        name = (
-            F.when(_is_quoted(t), STRING_LITERAL)
-            .when(t.isin("True", "False"), BOOL_LITERAL)
-            .otherwise(t)
-        )
-        return (
-            F.when(t >= "A", name)
-            .when(_is_quoted(t) & (F.octet_length(t) > 1), STRING_LITERAL)
-            .when(_is_number(t), FLOAT_LITERAL)
-            .when(_starts(t, "\r", "\n", "\f"), NEWLINE)
-            .otherwise(t)
-        )
-
-    def logical_lines(tokens):
-        def kept_lines(outside):
-            def ends_line(i):
-                repeated = F.coalesce(F.get(tokens, i - 1) == NEWLINE, F.lit(False))
-                return ~repeated & outside(i)
-
-            return F.filter(tokens, lambda t, i: (t != NEWLINE) | ends_line(i))
-
-        return _outside_brackets(tokens, kept_lines)
-
-    folded_tokens = F.transform(F.filter(find_all(text, _PYTHON_FAST_TOKEN), kept), folded)
-    return bind(folded_tokens, logical_lines)
+    settled = F.arrow_udf(_logical_lines, "array<string>")
+    return settled(find_all(text, _PYTHON_FAST_TOKEN))
 
 
 # --- dispatch ----------------------------------------------------------------
@@ -453,5 +433,6 @@ def tokens_by_language(
     if ignored:
         chosen = chosen.when(language.isin(ignored), None)
     for name, tokenise in TOKENISERS.items():
-        chosen = chosen.when(language == name, tokenise(text))
+        # Batches of one language hold no text of another.
+        chosen = chosen.when(language == name, tokenise(F.when(language == name, text)))
     return chosen.otherwise(generic_tokens(text))

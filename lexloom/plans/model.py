@@ -104,6 +104,11 @@ def prose(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _whole_words(pattern: str) -> str:
+    """The same matches, tried once at the beginning of each run of letters."""
+    return pattern.replace("([a-z]+)", "(?<![a-z])([a-z]++)", 1).replace("([a-z]+)", "([a-z]++)")
+
+
 def shaped(text: Column, language: str) -> Column:
     for pattern, written in CODE_SHAPES[language]:
         escaped = written.replace("\\", "\\\\").replace("$", "\\$")
@@ -114,7 +119,7 @@ def shaped(text: Column, language: str) -> Column:
         elif pattern == "$":
             text = F.concat(text, F.lit(written))
         else:
-            text = F.regexp_replace(text, pattern, escaped)
+            text = F.regexp_replace(text, _whole_words(pattern), escaped)
     return text
 
 

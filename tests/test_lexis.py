@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import lexis
 from lexloom.operators import declared, profile
+from lexloom.plans import model
 
 GOLDEN = [
     (
@@ -218,6 +219,35 @@ def test_fast_python_pattern_finds_the_same_tokens(spark):
     assert frame.where(fast != plain).count() == 0
 
 
+@pytest.mark.parametrize("language", ["C++", "C#", "Go", "Python", "generic"])
+def test_fast_patterns_find_the_same_tokens(spark, language):
+    """Blanks passed over in runs and names tried first change no token."""
+    plain, fast, blanks = {
+        "C++": (lexis.CPP_TOKEN, lexis._CPP_FAST_TOKEN, r" \t\r\n"),
+        "C#": (lexis.CSHARP_TOKEN, lexis._CSHARP_FAST_TOKEN, r" \t\r\n"),
+        "Go": (lexis.GO_TOKEN, lexis._GO_FAST_TOKEN, r" \t"),
+        "Python": (lexis.PYTHON_TOKEN, lexis._PYTHON_FAST_TOKEN, r" \t"),
+        "generic": (lexis.GENERIC_TOKEN, lexis._GENERIC_FAST_TOKEN, r" \t\n"),
+    }[language]
+    rng = random.Random(8)
+    pieces = ["u8", "R", "L", "x", "é", "9", "_", "'", '"', "$", "@", "`", "\\", "#", "\n", "\r", " ", "\t ", "(", "]", "?", "=", ":", "0x1f", ".5", "namé", "½"]
+    rows = [(n, "".join(rng.choices(pieces, k=rng.randrange(1, 30)))) for n in range(3_000)]
+    rows.append((3_000, " " * 200_000 + "½" + " " * 200_000))
+    frame = spark.createDataFrame(rows, "doc_id int, content string")
+    found = lexis.find_all(F.col("content"), fast, blanks)
+    assert frame.where(found != F.regexp_extract_all("content", F.lit(plain), F.lit(0))).count() == 0
+
+
+def test_shaping_patterns_start_at_words(spark):
+    """Patterns tried once a word write the same text as those tried at every letter."""
+    rng = random.Random(9)
+    rows = [("".join(rng.choices(["a", "bc", "D", " ", ". ", ", ", ".", "é"], k=40)),) for _ in range(2_000)]
+    frame = spark.createDataFrame(rows, "text string")
+    for pattern in ("([a-z]+) ([a-z]+)\\.", "([a-z]+), "):
+        whole = model._whole_words(pattern)
+        assert frame.where(F.regexp_replace("text", pattern, "<$1>") != F.regexp_replace("text", whole, "<$1>")).count() == 0
+
+
 def test_python_line_ends_inside_brackets(spark):
     rng = random.Random(6)
     rows, expected = [], {}
