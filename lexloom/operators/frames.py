@@ -32,6 +32,8 @@ STEPS = 20
 # Tokens whose pairs are folded at once; centers in a block of falling gains.
 CHUNK_TOKENS = 500_000
 BLOCK_CENTERS = 256
+# Pairs sent to every task to pick their gains, as a table on disk.
+SOUGHT_BYTES = 8 * 1024 * 1024
 
 
 def context_frames(tokenised: DataFrame, window: int = 5) -> DataFrame:
@@ -283,9 +285,11 @@ def best_centers(asked: DataFrame, scores: Scores, topn: int = CANDIDATES) -> Da
         fresh = (
             terms.distinct().join(read, "context").select("words", F.explode("centers").alias("center")).distinct()
         )
+        wanted = durable(fresh.select("words", "center", F.explode("words").alias("context")), "wanted")
+        # All gains are read, but only wanted ones are shuffled while the wanted pairs fit a broadcast.
+        sought = broadcast_if_small(durable(wanted.select("context", "center").distinct(), "sought"), SOUGHT_BYTES)
         gained = (
-            fresh.select("words", "center", F.explode("words").alias("context"))
-            .join(scores.gains, ["context", "center"])
+            wanted.join(scores.gains.join(sought, ["context", "center"], "left_semi"), ["context", "center"])
             .groupBy("words", "center")
             .agg(F.sum("gain").alias("gain"))
         )

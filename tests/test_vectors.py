@@ -115,6 +115,21 @@ def test_predict_and_continue(docs, spark):
         assert continued[key] == recent
 
 
+@pytest.mark.parametrize("limit", [0, 8 * 1024 * 1024])
+def test_wanted_gains_by_broadcast_and_by_shuffle(docs, spark, monkeypatch, limit):
+    """Gains are picked alike whether or not the wanted pairs fit a broadcast."""
+    monkeypatch.setattr(frames, "SOUGHT_BYTES", limit)
+    sent, send = [], frames.broadcast_if_small
+    monkeypatch.setattr(frames, "broadcast_if_small", lambda df, *most: sent.append((df.columns, *most)) or send(df, *most))
+    scores = frames.score_tables(*frames.numbered_pairs(docs, profile.vocabulary(profile.token_rows(docs))))
+    contexts = spark.createDataFrame([(0, ["w1", "w2"]), (1, ["w2", "w2", "w3"])], "key long, context array<string>")
+    found = defaultdict(list)
+    for row in frames.predict_center(contexts, scores).orderBy("key", "rank").collect():
+        found[row.key].append(row.center)
+    assert found == {key: predicted(counted(), words) for key, words in enumerate([["w1", "w2"], ["w2", "w2", "w3"]])}
+    assert (["context", "center"], limit) in sent
+
+
 def test_a_hot_word_is_not_read_whole(spark, monkeypatch):
     """A context word with 600 centers in 150 blocks: the first blocks settle the best ones."""
     rows = [(0, c, 1 + (5000 // c)) for c in range(1, 600)] + [(1, c, 2000 - 100 * c) for c in range(2, 16)]
