@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexloom import schema
 from lexloom.functions import text
 from lexloom.operators import store
+from lexloom.plans import store_queries
 from lexloom.session import (
     broadcast_if_small,
     drop_run_folder,
@@ -352,3 +353,12 @@ def test_epoch_text_beyond_four_digit_years(spark):
         "0" * 30 + "5": "1970-01-01 00:00:05",
         "9" * 18: "9" * 18,
     }
+
+
+def test_raw_files_are_written_by_many_tasks(spark, tmp_path):
+    """Short pages are not folded into one task that would write all files."""
+    rows = [(n, f"<p>{n}</p>") for n in range(60)] + [(60, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = store_queries.s08(spark, str(tmp_path))
+    assert len({path.rsplit("part-", 1)[1][:5] for path in found.inputFiles()}) > 1
+    assert {row.page_id: row.size for row in found.where("page_id < 60").collect()} == {n: len(h) + 1 for n, h in rows[:60]}
