@@ -32,47 +32,39 @@ STEPS = 20
 # Tokens whose pairs are folded at once; centers in a block of falling gains.
 CHUNK_TOKENS = 500_000
 BLOCK_CENTERS = 256
+# Parts of all pairs by hash, each summed at once.
+PAIR_SLICES = 1024
+# Odd number whose products spread pairs over the slices.
+_SPREAD = np.int64(-7046029254386353131)
 # Pairs sent to every task to pick their gains, as a table on disk.
 SOUGHT_BYTES = 8 * 1024 * 1024
 
 
-def context_frames(tokenised: DataFrame, window: int = 5) -> DataFrame:
-    """Neighbours within +-window of each token, the token itself left out."""
+def _rows_with_tokens(tokenised: DataFrame) -> DataFrame:
+    """A row for each token with its file's list beside it.
 
-    def frame(tokens: Column):
-        def at(t, i):
-            left = F.slice(
-                tokens, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))
-            )
-            right = F.slice(tokens, i + 2, F.lit(window))
-            return F.struct(t.alias("token"), F.concat(left, right).alias("context"))
+    The list is no copy: slices of it are taken in the same stage as the rows are made.
+    """
+    rows = tokenised.select("doc_id", "language", "tokens", F.posexplode_outer("tokens").alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull())
 
-        return F.transform(tokens, at)
 
-    return tokenised.select(
-        "doc_id", "language", F.posexplode_outer(bind(F.col("tokens"), frame)).alias("pos", "frame")
-    ).select("doc_id", "language", "pos", "frame.token", "frame.context").where(
-        F.col("token").isNotNull()
+def _before(many: int) -> Column:
+    pos = F.col("pos")
+    return F.slice("tokens", F.greatest(pos - many, F.lit(0)) + 1, F.least(pos, F.lit(many)))
+
+
+def context_frames(tokenised: DataFrame, window: int = 5) -> DataFrame:
+    """Neighbours within +-window of each token, the token itself left out."""
+    right = F.slice("tokens", F.col("pos") + 2, F.lit(window))
+    return _rows_with_tokens(tokenised).select(
+        "doc_id", "language", "pos", "token", F.concat(_before(window), right).alias("context")
     )
 
 
 def recent_frames(tokenised: DataFrame, recent: int = RECENT) -> DataFrame:
     """The up to `recent` tokens before each token."""
-
-    def frame(tokens: Column):
-        def at(t, i):
-            before = F.slice(
-                tokens, F.greatest(i - recent, F.lit(0)) + 1, F.least(i, F.lit(recent))
-            )
-            return F.struct(t.alias("token"), before.alias("recent"))
-
-        return F.transform(tokens, at)
-
-    return tokenised.select(
-        "doc_id", "language", F.posexplode_outer(bind(F.col("tokens"), frame)).alias("pos", "frame")
-    ).select("doc_id", "language", "pos", "frame.token", "frame.recent").where(
-        F.col("token").isNotNull()
-    )
+    return _rows_with_tokens(tokenised).select("doc_id", "language", "pos", "token", _before(recent).alias("recent"))
 
 
 def _regrouped(rows: DataFrame, column: str) -> DataFrame:

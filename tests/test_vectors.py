@@ -42,6 +42,20 @@ def test_frames(docs):
         assert row.recent == DOCS[row.doc_id][: row.pos][-5:]
 
 
+def test_frames_are_not_interpreted(docs):
+    """No function runs over the tokens of a list: rows are made and sliced in generated code."""
+    for framed in (frames.context_frames(docs, 3), frames.recent_frames(docs)):
+        assert "lambda" not in framed._jdf.queryExecution().toString()
+
+
+def test_frames_of_odd_lists(spark):
+    rows = [(1, "Go", ["a", None, "b"]), (1, "Go", ["a", None, "b"]), (2, None, []), (None, "C", None), (None, "C", ["z"])]
+    odd = spark.createDataFrame(rows, "doc_id long, language string, tokens array<string>")
+    found = sorted(map(tuple, frames.context_frames(odd, 1).collect()), key=str)
+    twice = [(1, "Go", 0, "a", [None]), (1, "Go", 2, "b", [None])] * 2
+    assert found == sorted([*twice, (None, "C", 0, "z", [])], key=str)
+
+
 @pytest.mark.parametrize("window", [1, 5, 10])
 def test_pair_counts(docs, window):
     found = {(r.center, r.context): r.n for r in frames.pair_counts(docs, window).collect()}
