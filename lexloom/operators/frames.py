@@ -150,6 +150,70 @@ def _folded(numbers: np.ndarray, files: np.ndarray, window: int) -> pa.RecordBat
     )
 
 
+def _sliced(window: int):
+    """Counts of a chunk as a row for each slice, so that few rows are shuffled: (slice, pair, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in _counted_windows(window)(batches):
+            pair = counts.column("low").to_numpy().astype(np.int64) << 32 | counts.column("high").to_numpy()
+            place = (pair * _SPREAD).view(np.uint64) >> np.uint64(40)
+            place = (place % np.uint64(PAIR_SLICES)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[order][starts]),
+                    pa.ListArray.from_arrays(ends, pa.array(pair[order])),
+                    pa.ListArray.from_arrays(ends, pa.array(counts.column("n").to_numpy()[order])),
+                ],
+                names=["slice", "pair", "n"],
+            )
+
+    return run
+
+
+def _summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(center, context, n) both ways of the rows of `_sliced`, which come slice by slice."""
+    place, held = None, []
+    for batch in batches:
+        places = batch.column("slice").to_numpy()
+        cuts = np.flatnonzero(places[1:] != places[:-1]) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(places)]):
+            if low == high:
+                continue
+            if held and places[low] != place:
+                yield _both_ways(held)
+                held = []
+            place = places[low]
+            held.append([batch.column(name).slice(low, high - low).flatten().to_numpy().copy() for name in ("pair", "n")])
+    if held:
+        yield _both_ways(held)
+
+
+def _both_ways(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    pair, times = (np.concatenate(column) for column in zip(*parts))
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    pair, n = pair[starts], np.add.reduceat(times[order], starts) if len(starts) else times
+    low, high = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+    # Two equal tokens are each other's context, which is twice the same pair.
+    other = low != high
+    both = np.concatenate([pair, high[other].astype(np.int64) << 32 | low[other]])
+    n = np.concatenate([np.where(other, n, 2 * n), n[other]])
+    # Runs of one center are stored in little space.
+    order = np.argsort(both)
+    both = both[order]
+    return pa.RecordBatch.from_pydict(
+        {
+            "center": (both >> 32).astype(np.int32),
+            "context": (both & 0xFFFFFFFF).astype(np.int32),
+            "n": n[order],
+        }
+    )
+
+
 def _looked_up(words: pa.Array):
     """Token lists as lists of the words' positions, other tokens left out."""
 
@@ -175,7 +239,8 @@ def numbered_pairs(
     Returns (word, token) and (center, context, n). Numbers sort like the tokens
     they stand for. Tokens become numbers in the batches of the scan while the
     vocabulary is within the size of a broadcast, else by a join; pairs are counted
-    in the same batches, so that only counts are shuffled.
+    in the same batches, so that only counts are shuffled. Counts travel as arrays, one
+    for each chunk and slice of the pairs, and a slice is summed at once.
     """
     numbered = dense_index(frequent.select("token"), [F.col("token")], "word")
     index = durable(numbered.select(F.col("word").cast("int").alias("word"), "token"), "index")
@@ -186,8 +251,9 @@ def numbered_pairs(
     else:
         rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
         lists = _regrouped(rows, "word").select("tokens")
-    counts = lists.mapInArrow(_counted_windows(window), "low int, high int, n long")
-    return index, durable(_mirrored(counts.groupBy("low", "high").agg(F.sum("n").alias("n"))), "pairs")
+    counts = lists.mapInArrow(_sliced(window), "slice int, pair array<long>, n array<long>")
+    dealt = counts.repartition("slice").sortWithinPartitions("slice")
+    return index, durable(dealt.mapInArrow(_summed_slices, "center int, context int, n long"), "pairs")
 
 
 def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -188,6 +188,22 @@ def test_folding_of_pairs_in_small_chunks(monkeypatch):
     assert found == {(1, 2): 6, (2, 2): 1, (2, 3): 2, (1, 3): 4}
 
 
+def test_counts_travel_as_few_rows(docs, monkeypatch):
+    """A chunk sends a row for each slice and not one for each pair, and slices sum to all pairs both ways."""
+    monkeypatch.setattr(frames, "PAIR_SLICES", 4)
+    lists = pa.array([[WORDS.index(t) for t in tokens] for tokens in DOCS] + [None, []], pa.list_(pa.int32()))
+    for size in (7, 500_000):
+        monkeypatch.setattr(frames, "CHUNK_TOKENS", size)
+        batch = pa.RecordBatch.from_arrays([lists], names=["tokens"])
+        sent = pa.Table.from_batches(frames._sliced(5)(iter([batch, batch.slice(0, 0)])))
+        assert size == 7 or len(sent) == 4 < len(counted())
+        dealt = sent.sort_by("slice").combine_chunks()
+        pieces = [part for n in range(0, len(dealt), 3) for part in dealt.slice(n, 3).to_batches()]
+        rows = [row for part in frames._summed_slices(iter(pieces)) for row in part.to_pylist()]
+        found = {(WORDS[row["center"]], WORDS[row["context"]]): row["n"] for row in rows}
+        assert len(found) == len(rows) and found == counted()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
