@@ -8,8 +8,10 @@ the angle to the pivot less the radius; blocks that cannot beat the score are
 never met. The result is exact, whatever the vectors; how many blocks are skipped
 depends on how much they cluster. Pivots are spread over a bounded sample.
 
-Large blocks are dealt into parts, and the queries of a block that many need into
-groups, so that no task holds more than a part of the vectors and few queries.
+Blocks lie on shelves of bounded size. A query is sent once to a shelf, with the
+list of the blocks that it meets there, and brings back its best of the whole shelf. A
+block larger than a shelf is dealt into parts, and the queries of a shelf into groups, so
+that no task holds more than a part of the vectors and few queries.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from lexloom.session import durable
 MAX_PIVOTS = 4_096
 PIVOT_ROWS = 256
 SAMPLE_PER_PIVOT = 8
-# Vectors of a block in one task, queries of a block in one group, queries multiplied at once.
-BLOCK_ROWS = 4_096
+# Vectors of a shelf and their bytes, queries of a shelf in one group, queries multiplied at once.
+BLOCK_ROWS = 65_536
+SHELF_BYTES = 64 * 1024 * 1024
 GROUP_ROWS = 65_536
 QUERY_ROWS = 512
 # Scores are compared to this many digits; angles are trusted to ANGLE_ERROR.
@@ -177,11 +180,46 @@ def best(scores: np.ndarray, allowed: np.ndarray, topn: int) -> tuple[np.ndarray
     return row, scores.shape[1] - 1 - (found & ((1 << shift) - 1)), (found >> shift) / _UNIT
 
 
+def _banned(queries: pa.RecordBatch, position: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and position of the excluded tokens that are held."""
+    found = [
+        (row, position[token])
+        for row, tokens in enumerate(queries.column("excluded").to_pylist())
+        for token in tokens or []
+        if token in position
+    ]
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def _met_on_shelf(queries: pa.RecordBatch, words: np.ndarray, block: np.ndarray, rank: np.ndarray, banned, topn: int):
+    """Query row, word and score of the best for each query, over the blocks that it names; words lie block by block."""
+    x = _matrix(queries.column("vec"))
+    lists = queries.column("blocks")
+    asked, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for name in np.unique(asked):
+        low, high = np.searchsorted(block, [name, name + 1])
+        if low == high:
+            continue
+        rows = np.unique(of[asked == name])
+        scores = x[rows] @ words[low:high].T
+        allowed = np.ones(scores.shape, bool)
+        here = (banned[1] >= low) & (banned[1] < high) & np.isin(banned[0], rows)
+        allowed[np.searchsorted(rows, banned[0][here]), banned[1][here] - low] = False
+        row, column, score = best(scores, allowed, topn)
+        found.append((rows[row], column + low, score))
+    row, column, score = (np.concatenate(parts) for parts in zip(*found))
+    order = np.lexsort((rank[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < topn
+    return row[kept], column[kept], score[kept]
+
+
 def _meet(topn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, tokens, words, position = None, [], None, None, {}
+        place, held, tokens, words, block, rank, position = None, [], None, None, None, None, {}
         for batch in batches:
-            keys = np.column_stack([batch.column(name).to_numpy() for name in ("block", "part", "group", "kind")])
+            keys = np.column_stack([batch.column(name).to_numpy() for name in ("shelf", "part", "group", "kind")])
             cuts = np.flatnonzero(np.append(True, (np.diff(keys, axis=0) != 0).any(axis=1))[: len(keys)]).tolist()
             for low, high in zip(cuts, cuts[1:] + [batch.num_rows]):
                 part = batch.slice(low, high - low)
@@ -193,15 +231,14 @@ def _meet(topn: int):
                 if words is None and held:
                     table = pa.Table.from_batches(held)
                     tokens, words = table.column("name").combine_chunks(), _matrix(table.column("vec").combine_chunks())
-                    position = {token: n for n, token in enumerate(tokens.to_pylist())}
+                    block, names = table.column("block").to_numpy(), tokens.to_pylist()
+                    rank = np.empty(len(names), np.int64)
+                    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                    position, held = {token: n for n, token in enumerate(names)}, []
                 if words is None:
                     continue
                 for queries in _pieces(iter([part]), QUERY_ROWS):
-                    scores = _matrix(queries.column("vec")) @ words.T
-                    allowed = np.ones(scores.shape, bool)
-                    for row, banned in enumerate(queries.column("excluded").to_pylist()):
-                        allowed[row, [position[token] for token in banned or [] if token in position]] = False
-                    row, column, score = best(scores, allowed, topn)
+                    row, column, score = _met_on_shelf(queries, words, block, rank, _banned(queries, position), topn)
                     yield pa.RecordBatch.from_arrays(
                         [queries.column("name").take(pa.array(row)), tokens.take(pa.array(column)), pa.array(score)],
                         schema=_WINNERS,
@@ -210,19 +247,63 @@ def _meet(topn: int):
     return run
 
 
-def met(wanted: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
-    """(query, token, score) of the best vectors for each row of a stored table (query, vec, excluded, block)."""
+def _room(blocks: Blocks, tasks: int) -> int:
+    """Vectors on a shelf: bounded, and fewer in a small table, so that few copies of either side give all tasks work."""
+    bound = min(BLOCK_ROWS, SHELF_BYTES // (8 * max(1, blocks.pivots.shape[1])))
+    return max(1, min(bound, math.ceil(blocks.rows.sum() / math.sqrt(tasks))))
+
+
+def _shelves(blocks: Blocks, limit: int) -> np.ndarray:
+    """Of each block its shelf: neighbours share one while they fit."""
+    found, held = np.zeros(len(blocks.rows), np.int32), 0
+    for block, rows in enumerate(blocks.rows.tolist()):
+        new = block > 0 and held + rows > limit
+        found[block] = found[block - 1] + new if block else 0
+        held = rows if new else held + rows
+    return found
+
+
+def _by_shelf(shelves: np.ndarray):
+    """A row for each query and shelf, with the blocks it meets there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches, QUERY_ROWS):
+            lists = piece.column("blocks")
+            named = lists.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            order = np.lexsort((named, shelves[named], row))
+            row, named = row[order], named[order]
+            shelf = shelves[named]
+            starts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(shelf) != 0))[: len(row)])
+            ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+            at = pa.array(row[starts])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(name).take(at) for name in ("query", "vec", "excluded")]
+                + [pa.array(shelf[starts]), pa.ListArray.from_arrays(ends, pa.array(named.astype(np.int32)))],
+                names=["query", "vec", "excluded", "shelf", "blocks"],
+            )
+
+    return run
+
+
+def met_lists(wanted: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
+    """(query, token, score) of the best vectors on each shelf for rows of a stored table (query, vec, excluded, blocks)."""
     spark = wanted.sparkSession
-    # At most a row for each block.
-    needed = {row["block"]: row["n"] for row in wanted.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = _room(blocks, tasks)
+    shelves = _shelves(blocks, limit)
+    held = np.bincount(shelves, weights=blocks.rows).astype(np.int64)
+    schema = "query string, vec array<double>, excluded array<string>, shelf int, blocks array<int>"
+    asked = wanted.select("query", "vec", "excluded", "blocks").mapInArrow(_by_shelf(shelves), schema)
+    # At most a row for each shelf. Few shelves have their queries in more groups, so that all tasks have work.
+    needed = {row["shelf"]: row["n"] for row in asked.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    parts = {shelf: -(-int(held[shelf]) // limit) for shelf in needed if held[shelf]}
+    least = -(-tasks // max(1, sum(parts.values())))
     dealt = spark.createDataFrame(
-        [
-            (block, -(-int(blocks.rows[block]) // BLOCK_ROWS), -(-n // GROUP_ROWS))
-            for block, n in needed.items()
-            if blocks.rows[block]
-        ],
-        "block int, parts int, groups int",
+        [(shelf, many, max(least, -(-needed[shelf] // GROUP_ROWS))) for shelf, many in parts.items()],
+        "shelf int, parts int, groups int",
     )
+    placed = spark.createDataFrame([(n, int(shelf)) for n, shelf in enumerate(shelves)], "block int, shelf int")
 
     def all_of(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -230,20 +311,25 @@ def met(wanted: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> Data
     def one_of(name: str, count: str):
         return F.pmod(F.xxhash64(name), F.col(count)).cast("int")
 
-    words = stored.join(F.broadcast(dealt), "block").select(
-        "block", one_of("token", "parts").alias("part"), all_of("groups").alias("group"), F.lit(0).alias("kind"),
+    words = stored.join(F.broadcast(placed.join(dealt, "shelf")), "block").select(
+        "shelf", one_of("token", "parts").alias("part"), all_of("groups").alias("group"), F.lit(0).alias("kind"), "block",
         F.col("token").alias("name"), "vec", F.array().cast("array<string>").alias("excluded"),
+        F.array().cast("array<int>").alias("blocks"),
     )
-    asked = wanted.join(F.broadcast(dealt), "block").select(
-        "block", all_of("parts").alias("part"), one_of("query", "groups").alias("group"), F.lit(1).alias("kind"),
-        F.col("query").alias("name"), "vec", "excluded",
+    queries = asked.join(F.broadcast(dealt), "shelf").select(
+        "shelf", all_of("parts").alias("part"), one_of("query", "groups").alias("group"), F.lit(1).alias("kind"),
+        F.lit(0).alias("block"), F.col("query").alias("name"), "vec", "excluded", "blocks",
     )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = words.unionByName(asked).repartition(tasks, "block", "part", "group")
-    ordered = together.sortWithinPartitions("block", "part", "group", "kind", "name")
+    together = words.unionByName(queries).repartition(tasks, "shelf", "part", "group")
+    ordered = together.sortWithinPartitions("shelf", "part", "group", "kind", "block", "name")
     return ordered.mapInArrow(_meet(topn), "query string, token string, score double")
 
 
+def met(wanted: DataFrame, stored: DataFrame, blocks: Blocks, topn: int) -> DataFrame:
+    """As `met_lists`, for rows of one block each (query, vec, excluded, block)."""
+    return met_lists(wanted.withColumn("blocks", F.array("block")), stored, blocks, topn)
+
+
 def ranked(winners: DataFrame, topn: int) -> DataFrame:
     ranking = Window.partitionBy("query").orderBy(F.desc("score"), "token")
     return winners.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= topn)
@@ -258,12 +344,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, topn: int = 10) -> DataFrame
     """
     stored, blocks = blocks_of(vectors)
     home = durable(home_blocks(queries.select("query", "vec", "excluded"), blocks, topn), "home")
-    asked = ["query", "vec", "excluded"]
-    first = met(home.select(*asked, F.explode("met").alias("block")), stored, blocks, topn)
+    first = met_lists(home.withColumnRenamed("met", "blocks"), stored, blocks, topn)
     first = durable(ranked(first, topn), "first")
     least = first.where(F.col("rank") == topn).select("query", F.col("score").alias("least"))
     more = durable(further_blocks(home.join(least, "query", "left"), blocks), "further")
     both = first.drop("rank").unionByName(
-        met(more.select(*asked, F.explode("blocks").alias("block")), stored, blocks, topn)
+        met_lists(more, stored, blocks, topn)
     )
     return ranked(both, topn)

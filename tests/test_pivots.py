@@ -86,6 +86,24 @@ def test_far_blocks_are_skipped(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_query_is_sent_once_to_a_shelf(spark):
+    """Vectors without structure meet all blocks, but travel once for each shelf and come back once."""
+    x = units(np.random.default_rng(6).normal(size=(3000, 8)))
+    frame = spark.createDataFrame([(f"t{n:04d}", v.tolist()) for n, v in enumerate(x)], WIDE)
+    stored, blocks = pivots.blocks_of(frame)
+    many = len(blocks.rows)
+    queries = stored.limit(50).select(F.col("token").alias("query"), "vec", F.array().cast("array<string>").alias("excluded"))
+    every = queries.withColumn("blocks", F.array(*[F.lit(n) for n in range(many)]))
+    shelves = pivots._shelves(blocks, pivots._room(blocks, 8))
+    assert 1 < shelves.max() + 1 <= 4 < many
+    sent = every.mapInArrow(
+        pivots._by_shelf(shelves), "query string, vec array<double>, excluded array<string>, shelf int, blocks array<int>"
+    )
+    assert sent.count() == 50 * (shelves.max() + 1)
+    assert sum(len(row["blocks"]) for row in sent.collect()) == 50 * many
+    assert pivots.met_lists(every, stored, blocks, 1).count() <= 50 * (shelves.max() + 1)
+
+
 def test_bounds_hold():
     x = np.concatenate([clustered(3, 5, 20), np.zeros((1, 16))])
     chosen = pivots.spread_pivots(x[:-1], 7)
