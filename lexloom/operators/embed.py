@@ -1,13 +1,201 @@
-"""Training of token vectors."""
+"""Training of token vectors.
+
+Skip-gram with negative sampling. Windows are counted once: a pair of words weighs as
+much as skip-gram's random windows would give it on average, and each epoch goes over all
+pairs. Vectors lie in parts; a task trains two of them on a block of pairs (see
+`grid`), and copies of a part are averaged after each epoch. Neither the driver
+nor a task holds the model.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators import frames, grid, profile
 from lexloom.operators.store import of_language
+from lexloom.session import durable
+
+# Wrong contexts per pair, contexts drawn for a chunk of pairs, step, power of the frequency by which they are drawn.
+NEGATIVES = 5
+DRAWN = 32
+RATE = 0.1
+NOISE_POWER = 0.75
+# Words of a part in a row; pairs that move the vectors at once.
+ROW_WORDS = 1024
+STEP_PAIRS = 2048
+# Rows summed side by side; longer runs of rows are summed one by one.
+FEW_ROWS = 6
+UNBOUNDED = 2**31 - 1
+_TINY = np.float32(1e-12)
+
+# Columns of a part: the vector, its sum of squared steps, its weight as a wrong context.
+_EXTRA = 2
+_STATE = "kind int, part int, seq int, data binary"
+_COPIES = "kind int, part int, seq int, copy int, data binary, moved binary"
+
+
+class Trained(NamedTuple):
+    vectors: DataFrame  # token, vec
+
+
+def _fields(schema: str) -> pa.Schema:
+    types = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, types[kind]) for name, kind in (field.split() for field in schema.split(", "))])
+
+
+def _started(size: int, seed: int):
+    """First vectors of rows (part, seq, freqs): small random centers, contexts of zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                centers, contexts = np.zeros((2, len(row["freqs"]), size + _EXTRA), np.float32)
+                drawn = np.random.default_rng([seed % 2**63, row["part"], row["seq"]])
+                centers[:, :size] = (drawn.random((len(centers), size)) - 0.5) / size
+                contexts[:, -1] = np.array(row["freqs"], float) ** NOISE_POWER
+                yield grid.record(
+                    [(kind, row["part"], row["seq"], grid.binary(data)) for kind, data in ((grid.CENTERS, centers), (grid.CONTEXTS, contexts))],
+                    _fields(_STATE),
+                )
+
+    return run
+
+
+def _move(table: np.ndarray, moved: np.ndarray, places: np.ndarray, gradient: np.ndarray) -> None:
+    """A step along the gradient whose length falls with the steps that a word has made (Adagrad by row)."""
+    size = gradient.shape[1]
+    squares = table[places, size] + np.einsum("ij,ij->i", gradient, gradient) / size
+    table[places, size] = squares
+    table[places, :size] += gradient * (RATE / np.sqrt(squares + _TINY))[:, None]
+    moved[places] = 1
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys without repeats and the sums of their rows (numpy's `reduceat` takes each column by itself)."""
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    sizes = np.diff(starts, append=len(keys))
+    total, few = rows[starts], sizes <= FEW_ROWS
+    for n in range(1, FEW_ROWS):
+        more = np.flatnonzero(few & (sizes > n))
+        total[more] += rows[starts[more] + n]
+    for many in np.flatnonzero(~few):
+        total[many] = rows[starts[many] : starts[many] + sizes[many]].sum(axis=0)
+    return keys[starts], total
+
+
+def _step(tables: list[np.ndarray], moved: list[np.ndarray], pairs: tuple, wrong: np.ndarray) -> None:
+    """Raise the likelihood of pairs, sorted by center, and lower that of the centers with wrong contexts."""
+    center, context, weight = pairs
+    size = tables[0].shape[1] - _EXTRA
+    starts = np.flatnonzero(np.diff(center, prepend=-1))
+    words, total = center[starts], np.add.reduceat(weight, starts)
+    vectors = tables[0][words, :size]
+    ours = np.repeat(vectors, np.diff(starts, append=len(center)), axis=0)
+    theirs = tables[1][context, :size]
+    pull = (weight * _sigmoid(-np.einsum("ij,ij->i", ours, theirs)))[:, None]
+    others = tables[1][wrong, :size]
+    push = _sigmoid(vectors @ others.T) * (total * np.float32(-NEGATIVES / len(wrong)))[:, None]
+    theirs *= pull
+    ours *= pull
+    up = _sums(theirs, center)[1] + push @ others
+    order = np.argsort(context, kind="stable")
+    found, down = _sums(ours[order], context[order])
+    places = np.union1d(found, wrong)
+    gradient = np.zeros((len(places), size), np.float32)
+    gradient[np.searchsorted(places, found)] = down
+    np.add.at(gradient, np.searchsorted(places, wrong), push.T @ vectors)
+    _move(tables[0], moved[0], words, up)
+    _move(tables[1], moved[1], places, gradient)
+
+
+def _trained(side: int, size: int, seed: int, epoch: int):
+    """Train the parts of a block on its pairs; returns their copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, tables, moved, noise, drawn = None, ([], []), [], [], None, None
+        for block, kind, a, b, c in grid.meeting_rows(batches):
+            if kind != grid.PAIRS:
+                held[kind].append(np.frombuffer(a, np.float32).reshape(-1, size + _EXTRA))
+                continue
+            if not tables:
+                tables = [np.concatenate(rows) for rows in held]
+                held = ([], [])
+                moved = [np.zeros(len(table), np.uint8) for table in tables]
+                noise = np.cumsum(tables[1][:, -1], dtype=float)
+                drawn = np.random.default_rng([seed % 2**63, epoch, int(block)])
+            pairs = np.frombuffer(a, np.int32) // side, np.frombuffer(b, np.int32) // side, np.frombuffer(c, np.float32)
+            for low in range(0, len(pairs[0]), STEP_PAIRS):
+                wrong = np.searchsorted(noise, drawn.random(DRAWN) * noise[-1], side="right")
+                _step(tables, moved, tuple(column[low : low + STEP_PAIRS] for column in pairs), wrong)
+        if not tables:
+            tables = [np.concatenate(rows) for rows in held if rows]
+            moved = [np.zeros(len(table), np.uint8) for table in tables]
+        if len(tables) == 2:
+            parts = divmod(int(block), side)
+            for kind, (table, changed) in enumerate(zip(tables, moved)):
+                for seq, low in enumerate(range(0, len(table), ROW_WORDS)):
+                    high = low + ROW_WORDS
+                    row = kind, parts[kind], seq, parts[1 - kind], grid.binary(table[low:high]), grid.binary(changed[low:high])
+                    yield grid.record([row], _fields(_COPIES))
+
+    return run
+
+
+def _averaged(width: int):
+    """Rows of parts from their copies, which come together: the mean of the copies that moved a word."""
+
+    def mean(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        first = held[0][0]
+        total, times = np.zeros(first.shape), np.zeros(len(first))
+        for table, moved in held:
+            total += table * moved[:, None]
+            times += moved
+        still = times == 0
+        total[still], times[still] = first[still], 1
+        return grid.record([(*key, grid.binary((total / times[:, None]).astype(np.float32)))], _fields(_STATE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            names = list(zip(*(batch.column(name).to_pylist() for name in ("kind", "part", "seq"))))
+            data, moved = batch.column("data"), batch.column("moved")
+            for n, name in enumerate(names):
+                if held and name != key:
+                    yield mean(key, held)
+                    held = []
+                key = name
+                copy = np.frombuffer(data[n].as_buffer(), np.float32).reshape(-1, width).copy()
+                held.append((copy, np.frombuffer(moved[n].as_buffer(), np.uint8).copy()))
+        if held:
+            yield mean(key, held)
+
+    return run
+
+
+def _unpacked(side: int, size: int):
+    """(word, vec) of the rows of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, seqs, data = batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("data")
+            for n, (part, seq) in enumerate(zip(parts, seqs)):
+                table = np.frombuffer(data[n].as_buffer(), np.float32).reshape(-1, size + _EXTRA)[:, :size]
+                words = part + side * (seq * ROW_WORDS + np.arange(len(table)))
+                ends = pa.array(np.arange(len(table) + 1, dtype=np.int32) * size)
+                vectors = pa.ListArray.from_arrays(ends, pa.array(table.astype(float).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), vectors], names=["word", "vec"])
+
+    return run
 
 
 def train_vectors(
@@ -18,35 +206,51 @@ def train_vectors(
     epochs: int = 5,
     seed: int = 42,
     partitions: int | None = None,
-    max_sentence: int = 2**31 - 1,
-) -> Word2VecModel:
-    """Skip-gram vectors of a tokenised corpus.
+    max_sentence: int = UNBOUNDED,
+) -> Trained:
+    """Skip-gram vectors of a tokenised corpus (doc_id, language, tokens).
 
-    Partitions train in parallel and are averaged after each pass; one per core
-    unless given, and only a single one repeats exactly. The trained model has
-    one row per frequent token and is held by the driver, as MLlib does it.
+    At least `partitions` blocks of pairs train in parallel and are averaged after
+    each pass; one per core unless given. Reruns with the same number agree. Every
+    token that occurs `min_count` times has a vector; rarer ones are left out before
+    windows are taken, and lists are cut after `max_sentence` of the others.
     """
-    corpus = tokenised.where(F.col("tokens").isNotNull()).select("tokens")
-    if partitions is None:
-        partitions = corpus.sparkSession.sparkContext.defaultParallelism
-    return Word2Vec(
-        vectorSize=size,
-        windowSize=window,
-        minCount=min_count,
-        maxIter=epochs,
-        seed=seed,
-        numPartitions=partitions,
-        maxSentenceLength=max_sentence,
-        inputCol="tokens",
-        outputCol="vector",
-    ).fit(corpus)
-
-
-def train_language_vectors(tokenised: DataFrame, language: str, **options) -> Word2VecModel:
+    spark = tokenised.sparkSession
+    corpus = tokenised.where(F.col("tokens").isNotNull())
+    frequent = durable(profile.frequent_tokens(profile.token_rows(corpus), min_count), "frequent")
+    index, lists = frames.numbered_lists(corpus, frequent)
+    if max_sentence < UNBOUNDED:
+        starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(max_sentence))
+        cut = F.transform(starts, lambda start: F.slice("tokens", start, F.lit(max_sentence)))
+        lists = lists.where(F.size("tokens") > 0).select(F.explode(cut).alias("tokens"))
+    words, width = index.count(), size + _EXTRA
+    tasks = spark.sparkContext.defaultParallelism if partitions is None else partitions
+    side = grid.side_of(words, 4 * width, tasks)
+    pairs = durable(frames.near_pairs(lists, window).mapInArrow(grid.pair_blocks(side, np.float32), grid.MEETING), "pairs")
+    place = F.floor(F.col("word") / side)
+    numbered = index.join(frequent, "token").select(
+        "word", "freq", (F.col("word") % side).alias("part"), F.floor(place / ROW_WORDS).cast("int").alias("seq")
+    )
+    rows = numbered.groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("word", "freq"))).alias("words"))
+    state = durable(rows.select("part", "seq", F.col("words.freq").alias("freqs")).mapInArrow(_started(size, seed), _STATE), "vectors")
+    none = F.lit(None).cast("binary")
+    for epoch in range(epochs):
+        blocks = F.when(F.col("kind") == grid.CENTERS, grid.blocks_of(grid.CENTERS, F.col("part"), side)).otherwise(
+            grid.blocks_of(grid.CONTEXTS, F.col("part"), side)
+        )
+        sent = state.select(
+            F.explode(blocks).alias("block"), "kind", F.col("seq").cast("long"), F.col("data").alias("a"), none.alias("b"), none.alias("c")
+        )
+        copies = grid.meet(sent.unionByName(pairs), side, _trained(side, size, seed, epoch), _COPIES)
+        together = copies.repartition("kind", "part", "seq").sortWithinPartitions("kind", "part", "seq", "copy")
+        state = durable(together.mapInArrow(_averaged(width), _STATE), "vectors")
+    vectors = state.where(F.col("kind") == grid.CENTERS).mapInArrow(_unpacked(side, size), "word int, vec array<double>")
+    return Trained(index.join(vectors, "word").select("token", "vec"))
+
+
+def train_language_vectors(tokenised: DataFrame, language: str, **options) -> Trained:
     return train_vectors(of_language(tokenised, language), **options)
 
 
-def vectors_of(model: Word2VecModel) -> DataFrame:
-    return model.getVectors().select(
-        F.col("word").alias("token"), vector_to_array("vector").alias("vec")
-    )
+def vectors_of(model: Trained) -> DataFrame:
+    return model.vectors

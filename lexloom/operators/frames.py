@@ -122,7 +122,7 @@ def _mirrored(unordered: DataFrame) -> DataFrame:
     return unordered.select(F.inline(both))
 
 
-def _counted_windows(window: int):
+def _counted_windows(window: int, near: bool = False):
     """Unordered pairs of numbers within `window` of each other, folded in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,28 +133,47 @@ def _counted_windows(window: int):
             cuts = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist() + [len(lists)]
             for low, high in zip(cuts, cuts[1:]):
                 numbers = lists.slice(low, high - low).flatten().to_numpy().astype(np.int64)
-                yield _folded(numbers, np.repeat(np.arange(high - low), lengths[low:high]), window)
+                yield _folded(numbers, np.repeat(np.arange(high - low), lengths[low:high]), window, near)
 
     return run
 
 
-def _folded(numbers: np.ndarray, files: np.ndarray, window: int) -> pa.RecordBatch:
+def _folded(numbers: np.ndarray, files: np.ndarray, window: int, near: bool = False) -> pa.RecordBatch:
     keys = [np.zeros(0, np.int64)]
     for step in range(1, window + 1):
         left, right = numbers[:-step], numbers[step:]
         same = files[:-step] == files[step:]
         keys.append((np.minimum(left, right) << 32 | np.maximum(left, right))[same])
-    found, times = np.unique(np.concatenate(keys), return_counts=True)
+    if near:
+        # A neighbour counts `window` times, a word `window` away once.
+        parts = np.repeat(np.arange(window + 1, 0, -1), [len(some) for some in keys])
+        found, times = _sorted_pairs(np.concatenate(keys), parts)
+        starts = np.flatnonzero(np.diff(found, prepend=-1))
+        found, times = found[starts], np.add.reduceat(times, starts) if len(starts) else times
+    else:
+        found, times = np.unique(np.concatenate(keys), return_counts=True)
     return pa.RecordBatch.from_pydict(
         {"low": (found >> 32).astype(np.int32), "high": (found & 0xFFFFFFFF).astype(np.int32), "n": times.astype(np.int64)}
     )
 
 
-def _sliced(window: int):
+def _sorted_pairs(pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers in order with what belongs to them; sorted as one number where they fit, which is faster."""
+    bits, more = int(pair.max(initial=0) >> 32).bit_length(), int(times.max(initial=0)).bit_length()
+    bits = max(bits, int((pair & 0xFFFFFFFF).max(initial=0)).bit_length())
+    if 2 * bits + more > 63:
+        order = np.argsort(pair, kind="stable")
+        return pair[order], times[order]
+    packed = np.sort((pair >> 32 << bits | pair & 0xFFFFFFFF) << more | times)
+    pair = packed >> more
+    return pair >> bits << 32 | pair & ((1 << bits) - 1), packed & ((1 << more) - 1)
+
+
+def _sliced(window: int, near: bool = False):
     """Counts of a chunk as a row for each slice, so that few rows are shuffled: (slice, pair, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for counts in _counted_windows(window)(batches):
+        for counts in _counted_windows(window, near)(batches):
             pair = counts.column("low").to_numpy().astype(np.int64) << 32 | counts.column("high").to_numpy()
             place = (pair * _SPREAD).view(np.uint64) >> np.uint64(40)
             place = (place % np.uint64(PAIR_SLICES)).astype(np.int32)
@@ -231,29 +250,47 @@ def _looked_up(words: pa.Array):
     return run
 
 
-def numbered_pairs(
-    tokenised: DataFrame, frequent: DataFrame, window: int = 5
-) -> tuple[DataFrame, DataFrame]:
-    """Pair counts over the tokens of `frequent` only, as numbers.
+def numbered_lists(tokenised: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, token) of the tokens of `frequent`, and the token lists (tokens) as such numbers, without the others.
 
-    Returns (word, token) and (center, context, n). Numbers sort like the tokens
-    they stand for. Tokens become numbers in the batches of the scan while the
-    vocabulary is within the size of a broadcast, else by a join; pairs are counted
-    in the same batches, so that only counts are shuffled. Counts travel as arrays, one
-    for each chunk and slice of the pairs, and a slice is summed at once.
+    Numbers sort like the tokens they stand for. Tokens become numbers in the batches of
+    the scan while the vocabulary is within the size of a broadcast, else by a join.
     """
     numbered = dense_index(frequent.select("token"), [F.col("token")], "word")
     index = durable(numbered.select(F.col("word").cast("int").alias("word"), "token"), "index")
     if stored_bytes(index) <= BROADCAST_BYTES:
         words = index.orderBy("word").select("token").toArrow().column("token").combine_chunks()
         shared = index.sparkSession.sparkContext.broadcast(words)
-        lists = tokenised.select("tokens").mapInArrow(_looked_up(shared), "tokens array<int>")
-    else:
-        rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
-        lists = _regrouped(rows, "word").select("tokens")
-    counts = lists.mapInArrow(_sliced(window), "slice int, pair array<long>, n array<long>")
+        return index, tokenised.select("tokens").mapInArrow(_looked_up(shared), "tokens array<int>")
+    rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
+    return index, _regrouped(rows, "word").select("tokens")
+
+
+def _pair_sums(lists: DataFrame, window: int, near: bool = False) -> DataFrame:
+    counts = lists.mapInArrow(_sliced(window, near), "slice int, pair array<long>, n array<long>")
     dealt = counts.repartition("slice").sortWithinPartitions("slice")
-    return index, durable(dealt.mapInArrow(_summed_slices, "center int, context int, n long"), "pairs")
+    return dealt.mapInArrow(_summed_slices, "center int, context int, n long")
+
+
+def near_pairs(lists: DataFrame, window: int) -> DataFrame:
+    """(center, context, n) of lists of numbers: nearer words count more, from `window` down to 1.
+
+    This is `window` times what windows of a random size up to `window` count on average.
+    """
+    return _pair_sums(lists, window, near=True)
+
+
+def numbered_pairs(
+    tokenised: DataFrame, frequent: DataFrame, window: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Pair counts over the tokens of `frequent` only, as numbers.
+
+    Returns (word, token) and (center, context, n). Pairs are counted in the batches
+    that number the tokens, so that only counts are shuffled. They travel as arrays, one
+    for each chunk and slice of the pairs, and a slice is summed at once.
+    """
+    index, lists = numbered_lists(tokenised, frequent)
+    return index, durable(_pair_sums(lists, window), "pairs")
 
 
 def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import embed, frames, pivots, profile, similarity
+from lexloom.operators import embed, frames, grid, pivots, profile, similarity
 
 RNG = random.Random(7)
 WORDS = [f"w{n}" for n in range(12)]
@@ -288,6 +288,69 @@ def test_training(docs):
     assert {r.token for r in one.collect()} == {t for n, d in enumerate(DOCS) if n % 2 for t in d}
 
 
+def topics(spark, files=200):
+    """Files of one topic each: words of a topic, and words of all topics."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in range(files):
+        drawn = zip(rng.integers(0, 20, 60).tolist(), rng.random(60).tolist())
+        rows.append((n, "Go", [f"t{n % 4}_{k}" if u < 0.8 else f"all_{k}" for k, u in drawn]))
+    return spark.createDataFrame(rows, "doc_id long, language string, tokens array<string>")
+
+
+def test_training_learns_topics_in_blocks(spark):
+    """Vectors dealt over blocks: words of a topic are nearest to each other, and reruns agree."""
+    files = topics(spark)
+    first, again = (dict(embed.vectors_of(embed.train_vectors(files.repartition(n), size=16, partitions=6)).collect()) for n in (3, 3))
+    assert first == again
+    names = sorted(word for word in first if word.startswith("t"))
+    units = np.array([first[word] for word in names])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    scores = units @ units.T - 9 * np.eye(len(names))
+    assert all(names[a][:2] == names[b][:2] for a, b in enumerate(scores.argmax(axis=1)))
+
+
+def test_training_leaves_the_model_off_the_driver(spark, monkeypatch):
+    """Parts are small: more parts than tasks ask for are made, and the driver fits no MLlib model."""
+    monkeypatch.setattr(grid, "PART_BYTES", 1000)
+    met, meet = [], grid.meet
+    monkeypatch.setattr(grid, "meet", lambda rows, side, *rest: met.append(side) or meet(rows, side, *rest))
+    trained = embed.train_vectors(topics(spark, 40), size=6, min_count=2, epochs=1, partitions=1)
+    assert not hasattr(trained, "getVectors") and met[0] >= 100 * 8 * 4 // 1000
+    assert {len(vec) for _, vec in embed.vectors_of(trained).collect()} == {6}
+
+
+def test_lists_are_cut(spark, monkeypatch):
+    """Lists are cut after rare words have left."""
+    seen, counted = [], frames.near_pairs
+    monkeypatch.setattr(frames, "near_pairs", lambda lists, window: seen.extend(lists.collect()) or counted(lists, window))
+    rows = [(n, "Go", ["a", "b", "rare" + str(n), "c", "d"]) for n in range(3)]
+    files = spark.createDataFrame(rows, "doc_id long, language string, tokens array<string>")
+    trained = embed.train_vectors(files, size=4, window=2, min_count=3, epochs=0, max_sentence=2)
+    assert {token for token, _ in embed.vectors_of(trained).collect()} == set("abcd")
+    assert sorted(row.tokens for row in seen) == [[0, 1]] * 3 + [[2, 3]] * 3
+
+
+def test_training_of_nothing(spark):
+    files = spark.createDataFrame([(1, "Go", None), (2, "Go", [])], "doc_id long, language string, tokens array<string>")
+    assert embed.vectors_of(embed.train_vectors(files, size=4, epochs=1)).count() == 0
+
+
+@pytest.mark.parametrize("big", [0, 1 << 30])
+def test_near_pairs(spark, big):
+    """A pair weighs what windows of each size up to the largest count of it."""
+    rng = np.random.default_rng(3)
+    lists = [(rng.integers(0, 6, n) + big).tolist() for n in (0, 1, 30, 40)]
+    want = {}
+    for words in lists:
+        for width in range(1, 4):
+            for i, center in enumerate(words):
+                for context in words[max(i - width, 0) : i] + words[i + 1 : i + 1 + width]:
+                    want[center, context] = want.get((center, context), 0) + 1
+    frame = spark.createDataFrame([(words,) for words in lists], "tokens array<int>")
+    assert {(r.center, r.context): r.n for r in frames.near_pairs(frame, 3).collect()} == want
+
+
 def test_vocabulary_sizes(spark):
     rows = [("Go", f"t{n}", n) for n in (1, 9, 10, 11, 25, 130, 1000, 5000)]
     frequency = spark.createDataFrame(rows, "language string, token string, freq long")
