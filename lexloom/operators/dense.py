@@ -1,7 +1,9 @@
 """Dense vectors of a counted table by randomised subspace iteration.
 
 The table is sparse and symmetric: (center, context, weight). A thin basis, one row of
-few numbers per word, is multiplied with it by a join and sums; it is made
+few numbers per word, is multiplied with it block by block (see `grid`): a task
+meets the pairs of a block with one part of the basis and sums them up. The basis is
+sent once for each part of it, and so are the sums, whatever the number of pairs. It is made
 orthonormal again from its Gram matrix, which has one row per column of the basis.
 Only such small matrices reach the driver; table, basis and vectors stay tables.
 """
@@ -13,14 +15,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import broadcast_if_small, durable
+from lexloom.operators import grid
+from lexloom.session import durable
 
 EXTRA = 10
 ROUNDS = 8
 TOLERANCE = 1e-3
+# Words of a part in a row; pairs multiplied at once.
+ROW_WORDS = 1024
+STEP_PAIRS = 16_384
 # Directions with less of the largest one than this are rounding errors.
 _LEAST = 1e-12
 
@@ -78,17 +84,115 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return vectors[:, kept] / np.sqrt(values[kept])
 
 
-def _times(table: DataFrame, basis: DataFrame, wide: int) -> DataFrame:
-    """(word, image): the table times the basis."""
-    sides = table.join(broadcast_if_small(basis), F.col("context") == F.col("word"))
-    sums = [F.sum(F.col("weight") * F.get("row", F.lit(n))).alias(f"c{n}") for n in range(wide)]
-    return sides.groupBy("center").agg(*sums).select(
-        F.col("center").alias("word"), F.array(*[f"c{n}" for n in range(wide)]).alias("image")
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The centers of blocks of pairs."""
+    for batch in batches:
+        for centers in batch.column("a"):
+            words = np.unique(np.frombuffer(centers.as_buffer(), np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(words)], names=["word"])
+
+
+def _packed(side: int):
+    """Rows (word, row) as a row for each part of the words: (part, seq, words, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").to_numpy()
+            rows = _matrix(batch.column("row")) if len(words) else None
+            for part in np.unique(words % side):
+                some = np.flatnonzero(words % side == part)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "part": pa.array([part], pa.int32()),
+                        "seq": pa.array([words[some[0]]], pa.int64()),
+                        "words": [grid.binary(words[some])],
+                        "data": [grid.binary(rows[some])],
+                    }
+                )
+
+    return run
+
+
+def _places(words: np.ndarray, sorted_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among the sorted ones, and where."""
+    places = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
+    known = np.flatnonzero(sorted_words[places] == words)
+    return known, places[known]
+
+
+def _multiplied(side: int, wide: int):
+    """Of each block the product of its pairs and the part of the basis: (part, seq, copy, words, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words, data, image = None, ([], []), [], None
+        for block, kind, a, b, c in grid.meeting_rows(batches):
+            if kind != grid.PAIRS:
+                words[kind].append(np.frombuffer(a, np.int32))
+                if kind == grid.CONTEXTS:
+                    data.append(np.frombuffer(b).reshape(-1, wide))
+                continue
+            if image is None:
+                centers, contexts = (np.concatenate(some) for some in words)
+                order = np.argsort(contexts)
+                centers, contexts, basis = np.sort(centers), contexts[order], np.concatenate(data)[order]
+                data, image = [], np.zeros((len(centers), wide))
+            pairs = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), np.frombuffer(c)
+            for low in range(0, len(pairs[0]), STEP_PAIRS):
+                center, context, weight = (column[low : low + STEP_PAIRS] for column in pairs)
+                known, places = _places(context, contexts)
+                found, sums = grid.sums(basis[places] * weight[known, None], center[known])
+                image[np.searchsorted(centers, found)] += sums
+        if image is not None:
+            part, copy = divmod(int(block), side)
+            for seq, low in enumerate(range(0, len(image), ROW_WORDS)):
+                high = low + ROW_WORDS
+                numbers = {name: pa.array([n], pa.int32()) for name, n in (("part", part), ("seq", seq), ("copy", copy))}
+                yield pa.RecordBatch.from_pydict(
+                    numbers | {"words": [grid.binary(centers[low:high])], "data": [grid.binary(image[low:high])]}
+                )
+
+    return run
+
+
+def _summed(wide: int):
+    """(word, image) of the products of the blocks with the same centers, which come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in grid.runs(batches, ["part", "seq"], ["words", "data"]):
+            image = sum(np.frombuffer(data) for _, data in held)
+            words = np.frombuffer(held[0][0], np.int32)
+            ends = pa.array(np.arange(len(words) + 1, dtype=np.int32) * wide)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.ListArray.from_arrays(ends, pa.array(image))], names=["word", "image"])
+
+    return run
+
+
+def _times(blocks: DataFrame, basis: DataFrame, side: int, wide: int) -> DataFrame:
+    """(word, image): the table, as blocks of pairs, times the basis."""
+    parts = basis.mapInArrow(_packed(side), "part int, seq long, words binary, data binary")
+    part, none = F.col("part"), F.lit(None).cast("binary")
+
+    def sent(kind: int, data: Column) -> Column:
+        numbers = grid.blocks_of(kind, part, side)
+        return F.transform(numbers, lambda block: F.struct(block.alias("block"), F.lit(kind).alias("kind"), data.alias("b")))
+
+    both = F.concat(sent(grid.CENTERS, none), sent(grid.CONTEXTS, F.col("data")))
+    rows = parts.select(F.inline(both), "seq", F.col("words").alias("a"), none.alias("c"))
+    products = grid.meet(
+        rows.select(*blocks.columns).unionByName(blocks), side, _multiplied(side, wide),
+        "part int, seq int, copy int, words binary, data binary",
     )
+    together = products.repartition("part", "seq").sortWithinPartitions("part", "seq", "copy")
+    return together.mapInArrow(_summed(wide), "word int, image array<double>")
 
 
 def dense_vectors(
-    table: DataFrame, size: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE, power: float = 0.5
+    table: DataFrame,
+    size: int,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+    power: float = 0.5,
+    words: int | None = None,
 ) -> Dense:
     """The `size` leading eigenvectors of a stored symmetric table as vectors of its words.
 
@@ -96,19 +200,25 @@ def dense_vectors(
     vectors whose products approximate the table. Iterates until no residual
     exceeds `tolerance` of the largest eigenvalue, `rounds` times at most. A table
     of lower rank gives shorter vectors, an empty one none. Words without an entry
-    above zero have no vector.
+    above zero have no vector. `words` is about how many words there are, counted if not given.
     """
-    table = durable(table.where("weight <> 0").select("center", "context", "weight"), "weights")
-    words = table.select(F.col("center").cast("int").alias("word")).distinct()
+    entries = table.where("weight <> 0 AND center IS NOT NULL AND context IS NOT NULL")
+    entries = entries.select(F.col("center").cast("int"), F.col("context").cast("int"), F.col("weight").cast("double"))
+    if words is None:
+        words = entries.select(F.approx_count_distinct("center")).first()[0]
+    tasks = table.sparkSession.sparkContext.defaultParallelism
+    side = grid.side_of(words, 8 * (size + EXTRA), tasks)
+    blocks = durable(entries.mapInArrow(grid.pair_blocks(side, np.float64), grid.MEETING), "blocks")
+    centers = blocks.select("a").mapInArrow(_words_of, "word int").distinct()
     # The hash of word and column as a number from -1 to 1, so that reruns agree.
     drawn = [(F.xxhash64("word", F.lit(n)) / float(1 << 63)).alias(f"c{n}") for n in range(size + EXTRA)]
-    start = durable(words.select("word", F.array(*drawn).alias("row")), "start")
+    start = durable(centers.select("word", F.array(*drawn).alias("row")), "start")
     turn = _orthonormal(_grams(start, ("row", "row"))[0])
     if not turn.shape[1]:
         return Dense(start.select("word", F.col("row").alias("vec")).limit(0), [], [])
     basis = durable(_turned(start, "row", turn, "row"), "basis")
     for number in range(rounds):
-        image = durable(_times(table, basis, turn.shape[1]), "image")
+        image = durable(_times(blocks, basis, side, turn.shape[1]), "image")
         both = basis.join(image, "word")
         inner, gram = _grams(both, ("row", "image"), ("image", "image"))
         values, ritz = np.linalg.eigh((inner + inner.T) / 2)

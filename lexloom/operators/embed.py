@@ -29,8 +29,6 @@ NOISE_POWER = 0.75
 # Words of a part in a row; pairs that move the vectors at once.
 ROW_WORDS = 1024
 STEP_PAIRS = 2048
-# Rows summed side by side; longer runs of rows are summed one by one.
-FEW_ROWS = 6
 UNBOUNDED = 2**31 - 1
 _TINY = np.float32(1e-12)
 
@@ -80,19 +78,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys without repeats and the sums of their rows (numpy's `reduceat` takes each column by itself)."""
-    starts = np.flatnonzero(np.diff(keys, prepend=-1))
-    sizes = np.diff(starts, append=len(keys))
-    total, few = rows[starts], sizes <= FEW_ROWS
-    for n in range(1, FEW_ROWS):
-        more = np.flatnonzero(few & (sizes > n))
-        total[more] += rows[starts[more] + n]
-    for many in np.flatnonzero(~few):
-        total[many] = rows[starts[many] : starts[many] + sizes[many]].sum(axis=0)
-    return keys[starts], total
-
-
 def _step(tables: list[np.ndarray], moved: list[np.ndarray], pairs: tuple, wrong: np.ndarray) -> None:
     """Raise the likelihood of pairs, sorted by center, and lower that of the centers with wrong contexts."""
     center, context, weight = pairs
@@ -107,9 +92,9 @@ def _step(tables: list[np.ndarray], moved: list[np.ndarray], pairs: tuple, wrong
     push = _sigmoid(vectors @ others.T) * (total * np.float32(-NEGATIVES / len(wrong)))[:, None]
     theirs *= pull
     ours *= pull
-    up = _sums(theirs, center)[1] + push @ others
+    up = grid.sums(theirs, center)[1] + push @ others
     order = np.argsort(context, kind="stable")
-    found, down = _sums(ours[order], context[order])
+    found, down = grid.sums(ours[order], context[order])
     places = np.union1d(found, wrong)
     gradient = np.zeros((len(places), size), np.float32)
     gradient[np.searchsorted(places, found)] = down
@@ -154,30 +139,17 @@ def _trained(side: int, size: int, seed: int, epoch: int):
 def _averaged(width: int):
     """Rows of parts from their copies, which come together: the mean of the copies that moved a word."""
 
-    def mean(key: tuple, held: list[tuple]) -> pa.RecordBatch:
-        first = held[0][0]
-        total, times = np.zeros(first.shape), np.zeros(len(first))
-        for table, moved in held:
-            total += table * moved[:, None]
-            times += moved
-        still = times == 0
-        total[still], times[still] = first[still], 1
-        return grid.record([(*key, grid.binary((total / times[:, None]).astype(np.float32)))], _fields(_STATE))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            names = list(zip(*(batch.column(name).to_pylist() for name in ("kind", "part", "seq"))))
-            data, moved = batch.column("data"), batch.column("moved")
-            for n, name in enumerate(names):
-                if held and name != key:
-                    yield mean(key, held)
-                    held = []
-                key = name
-                copy = np.frombuffer(data[n].as_buffer(), np.float32).reshape(-1, width).copy()
-                held.append((copy, np.frombuffer(moved[n].as_buffer(), np.uint8).copy()))
-        if held:
-            yield mean(key, held)
+        for key, held in grid.runs(batches, ["kind", "part", "seq"], ["data", "moved"]):
+            first = np.frombuffer(held[0][0], np.float32).reshape(-1, width)
+            total, times = np.zeros(first.shape), np.zeros(len(first))
+            for data, changed in held:
+                moved = np.frombuffer(changed, np.uint8)
+                total += np.frombuffer(data, np.float32).reshape(-1, width) * moved[:, None]
+                times += moved
+            still = times == 0
+            total[still], times[still] = first[still], 1
+            yield grid.record([(*key, grid.binary((total / times[:, None]).astype(np.float32)))], _fields(_STATE))
 
     return run
 

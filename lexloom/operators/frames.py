@@ -318,9 +318,11 @@ def positive_pmi(pairs: DataFrame) -> DataFrame:
     totals = durable(pairs.groupBy("center").agg(F.sum("n").alias("total")), "totals")
     whole = totals.select(F.sum("total").cast("double")).scalar()
     score = F.log(F.col("n") * whole / (F.col("_a").cast("double") * F.col("_b")))
+    centers = broadcast_if_small(totals.select("center", F.col("total").alias("_a")))
+    contexts = broadcast_if_small(totals.select(F.col("center").alias("context"), F.col("total").alias("_b")))
     return (
-        pairs.join(totals.select("center", F.col("total").alias("_a")), "center")
-        .join(totals.select(F.col("center").alias("context"), F.col("total").alias("_b")), "context")
+        pairs.join(centers, "center")
+        .join(contexts, "context")
         .select("center", "context", F.greatest(score, F.lit(0.0)).alias("ppmi"))
     )
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 PART_BYTES = 64 * 1024 * 1024
 CHUNK_PAIRS = 32_768
 _HELD_PAIRS = 1 << 20
+# Rows summed side by side; longer runs of rows are summed one by one.
+_FEW_ROWS = 6
 # What meets in a block: rows of a kind in the order of `seq`, with arrays as bytes.
 MEETING = "block int, kind int, seq long, a binary, b binary, c binary"
 CENTERS, CONTEXTS, PAIRS = range(3)
@@ -103,3 +105,32 @@ def meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         columns = [batch.column(name) for name in "abc"]
         for n in range(batch.num_rows):
             yield block[n], kind[n], *(column[n].as_buffer() for column in columns)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each key with the bytes of its rows, which come together."""
+    key, held = None, []
+    for batch in batches:
+        names = zip(*(batch.column(name).to_pylist() for name in keys))
+        columns = [batch.column(name) for name in values]
+        for n, name in enumerate(names):
+            if held and name != key:
+                yield key, held
+                held = []
+            key = name
+            held.append(tuple(column[n].as_buffer() for column in columns))
+    if held:
+        yield key, held
+
+
+def sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys without repeats and the sums of their rows (numpy's `reduceat` takes each column by itself)."""
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    sizes = np.diff(starts, append=len(keys))
+    total, few = rows[starts], sizes <= _FEW_ROWS
+    for n in range(1, _FEW_ROWS):
+        more = np.flatnonzero(few & (sizes > n))
+        total[more] += rows[starts[more] + n]
+    for many in np.flatnonzero(~few):
+        total[many] = rows[starts[many] : starts[many] + sizes[many]].sum(axis=0)
+    return keys[starts], total

@@ -251,7 +251,7 @@ def e04_dense(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of DENSE numbers per word, whose products approximate the PPMI table."""
     index, pairs = _pairs(spark, sf)
     weights = frames.positive_pmi(pairs).withColumnRenamed("ppmi", "weight")
-    found = dense.dense_vectors(weights, DENSE, rounds=DENSE_ROUNDS)
+    found = dense.dense_vectors(weights, DENSE, rounds=DENSE_ROUNDS, words=index.count())
     return index.join(found.vectors, "word").select("token", "vec")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lexloom.operators import dense
+from lexloom.operators import dense, grid
 
 
 def table_of(spark, matrix):
@@ -60,3 +60,29 @@ def test_residuals_are_those_of_the_table(spark, rounds):
     np.testing.assert_allclose(np.linalg.norm(got, axis=0), 1, atol=1e-9)
     measured = np.linalg.norm(matrix @ got - got * np.array(found.values), axis=0)
     np.testing.assert_allclose(found.residuals, measured, atol=1e-6)
+
+
+def test_table_times_basis_in_blocks(spark, monkeypatch):
+    """Many parts, words that are no full range of numbers, long runs of one center: the product is exact, and rows that
+    are shuffled are those of parts, so that no more travel than parts meet parts."""
+    rng = np.random.default_rng(4)
+    numbers = np.sort(rng.choice(5000, 60, replace=False))
+    matrix = rng.random((60, 60)) * (rng.random((60, 60)) < 0.3)
+    matrix = matrix + matrix.T + np.eye(60)
+    matrix[5] = matrix[:, 5] = 1
+    rows = [(int(numbers[i]), int(numbers[j]), float(v)) for (i, j), v in np.ndenumerate(matrix) if v]
+    table = spark.createDataFrame(rows, "center int, context int, weight double").repartition(3)
+    basis = rng.random((60, 7))
+    side = 4
+    blocks = table.mapInArrow(grid.pair_blocks(side, np.float64), grid.MEETING)
+    held = spark.createDataFrame([(int(n), row.tolist()) for n, row in zip(numbers, basis)], "word int, row array<double>")
+    met, meet = [], grid.meet
+    monkeypatch.setattr(grid, "meet", lambda rows, *rest: met.append(rows.where(f"kind <> {grid.PAIRS}").count()) or meet(rows, *rest))
+    found = {r.word: r.image for r in dense._times(blocks, held.coalesce(1), side, 7).collect()}
+    assert sorted(found) == numbers.tolist() and met == [2 * side * side]
+    np.testing.assert_allclose([found[int(n)] for n in numbers], matrix @ basis, rtol=1e-12)
+
+
+@pytest.mark.parametrize("tasks, words, want", [(1, 10, 1), (8, 10, 4), (12, 10, 6), (8, 1_000_000, 12)])
+def test_side_of_blocks(tasks, words, want):
+    assert grid.side_of(words, 804, tasks) == want
