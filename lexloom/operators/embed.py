@@ -189,7 +189,9 @@ def train_vectors(
     """
     spark = tokenised.sparkSession
     corpus = tokenised.where(F.col("tokens").isNotNull())
-    frequent = durable(profile.frequent_tokens(profile.token_rows(corpus), min_count), "frequent")
+    # Null within a list is a token, as it is to MLlib.
+    rows = corpus.select(F.posexplode_outer("tokens").alias("pos", "token")).where("pos IS NOT NULL")
+    frequent = durable(profile.frequent_tokens(rows, min_count), "frequent")
     index, lists = frames.numbered_lists(corpus, frequent)
     if max_sentence < UNBOUNDED:
         starts = F.sequence(F.lit(1), F.size("tokens"), F.lit(max_sentence))
@@ -200,7 +202,7 @@ def train_vectors(
     side = grid.side_of(words, 4 * width, tasks)
     pairs = durable(frames.near_pairs(lists, window).mapInArrow(grid.pair_blocks(side, np.float32), grid.MEETING), "pairs")
     place = F.floor(F.col("word") / side)
-    numbered = index.join(frequent, "token").select(
+    numbered = index.join(frequent.withColumnRenamed("token", "_token"), F.col("token").eqNullSafe(F.col("_token"))).select(
         "word", "freq", (F.col("word") % side).alias("part"), F.floor(place / ROW_WORDS).cast("int").alias("seq")
     )
     rows = numbered.groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("word", "freq"))).alias("words"))

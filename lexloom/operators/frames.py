@@ -240,7 +240,7 @@ def _looked_up(words: pa.Array):
         for batch in batches:
             lists = batch.column("tokens")
             lengths = lists.value_lengths().fill_null(0).to_numpy()
-            coded = lists.flatten().dictionary_encode()
+            coded = lists.flatten().dictionary_encode("encode")
             places = pc.index_in(coded.dictionary, value_set=words.value).take(coded.indices)
             kept = places.is_valid().to_numpy(zero_copy_only=False)
             ends = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(lengths))]
@@ -253,8 +253,9 @@ def _looked_up(words: pa.Array):
 def numbered_lists(tokenised: DataFrame, frequent: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, token) of the tokens of `frequent`, and the token lists (tokens) as such numbers, without the others.
 
-    Numbers sort like the tokens they stand for. Tokens become numbers in the batches of
-    the scan while the vocabulary is within the size of a broadcast, else by a join.
+    Numbers sort like the tokens they stand for; null is a token like others if `frequent`
+    holds it. Tokens become numbers in the batches of the scan while the vocabulary is
+    within the size of a broadcast, else by a join.
     """
     numbered = dense_index(frequent.select("token"), [F.col("token")], "word")
     index = durable(numbered.select(F.col("word").cast("int").alias("word"), "token"), "index")
@@ -262,7 +263,8 @@ def numbered_lists(tokenised: DataFrame, frequent: DataFrame) -> tuple[DataFrame
         words = index.orderBy("word").select("token").toArrow().column("token").combine_chunks()
         shared = index.sparkSession.sparkContext.broadcast(words)
         return index, tokenised.select("tokens").mapInArrow(_looked_up(shared), "tokens array<int>")
-    rows = token_rows(tokenised.repartition("doc_id")).join(index, "token")
+    rows = tokenised.repartition("doc_id").select("doc_id", "language", F.posexplode_outer("tokens").alias("pos", "_token"))
+    rows = rows.where("pos IS NOT NULL").join(index, F.col("_token").eqNullSafe(F.col("token")))
     return index, _regrouped(rows, "word").select("tokens")
 
 

@@ -331,6 +331,19 @@ def test_lists_are_cut(spark, monkeypatch):
     assert sorted(row.tokens for row in seen) == [[0, 1]] * 3 + [[2, 3]] * 3
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_training_with_null_tokens(spark, monkeypatch, limit):
+    """A frequent null is a token, whether tokens are numbered by a join or by a broadcast."""
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", limit)
+    seen, counted = [], frames.near_pairs
+    monkeypatch.setattr(frames, "near_pairs", lambda lists, window: seen.extend(lists.collect()) or counted(lists, window))
+    rows = [(n, None, ["a", None, "rare" + str(n), "b"]) for n in range(3)] + [(4, "Go", None)]
+    files = spark.createDataFrame(rows, "doc_id long, language string, tokens array<string>")
+    trained = embed.train_vectors(files, size=4, min_count=3, epochs=1)
+    assert {token for token, _ in embed.vectors_of(trained).collect()} == {"a", None, "b"}
+    assert sorted(row.tokens for row in seen if row.tokens) == [[1, 0, 2]] * 3
+
+
 def test_training_of_nothing(spark):
     files = spark.createDataFrame([(1, "Go", None), (2, "Go", [])], "doc_id long, language string, tokens array<string>")
     assert embed.vectors_of(embed.train_vectors(files, size=4, epochs=1)).count() == 0
