@@ -1,9 +1,9 @@
 """Dense vectors of a counted table by randomised subspace iteration.
 
 The table is sparse and symmetric: (center, context, weight). A thin basis, one row of
-few numbers per word, is multiplied with it block by block (see `grid`): a task
-meets the pairs of a block with one part of the basis and sums them up. The basis is
-sent once for each part of it, and so are the sums, whatever the number of pairs. It is made
+few numbers per word, is multiplied with it block by block (see `grid`): a task sums one
+part of the product and reads the parts of the basis and the pairs one after
+another. Pairs are stored once, one way, and not shuffled again. The basis is made
 orthonormal again from its Gram matrix, which has one row per column of the basis.
 Only such small matrices reach the driver; table, basis and vectors stay tables.
 """
@@ -15,11 +15,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators import grid
-from lexloom.session import durable
+from lexloom.session import drop, durable
 
 EXTRA = 10
 ROUNDS = 8
@@ -29,6 +29,7 @@ ROW_WORDS = 1024
 STEP_PAIRS = 16_384
 # Directions with less of the largest one than this are rounding errors.
 _LEAST = 1e-12
+_PARTS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("words", pa.binary()), ("data", pa.binary())])
 
 
 class Dense(NamedTuple):
@@ -85,32 +86,30 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The centers of blocks of pairs."""
+    """The words of blocks of pairs."""
     for batch in batches:
-        for centers in batch.column("a"):
-            words = np.unique(np.frombuffer(centers.as_buffer(), np.int32))
+        for row in zip(batch.column("a"), batch.column("b")):
+            words = np.unique(np.concatenate([np.frombuffer(numbers.as_buffer(), np.int32) for numbers in row]))
             yield pa.RecordBatch.from_arrays([pa.array(words)], names=["word"])
 
 
-def _packed(side: int):
-    """Rows (word, row) as a row for each part of the words: (part, seq, words, data)."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, word, row) of a part, which come together, as (part, seq, words, data)."""
+    for batch in batches:
+        parts, words = batch.column("part").to_numpy(), batch.column("word").to_numpy()
+        starts = np.flatnonzero(np.diff(parts, prepend=-1))
+        for low, high in zip(starts, np.append(starts[1:], len(parts))):
+            rows = _matrix(batch.column("row").slice(low, high - low))
+            yield grid.record([(parts[low], words[low], grid.binary(words[low:high]), grid.binary(rows))], _PARTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("word").to_numpy()
-            rows = _matrix(batch.column("row")) if len(words) else None
-            for part in np.unique(words % side):
-                some = np.flatnonzero(words % side == part)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part], pa.int32()),
-                        "seq": pa.array([words[some[0]]], pa.int64()),
-                        "words": [grid.binary(words[some])],
-                        "data": [grid.binary(rows[some])],
-                    }
-                )
 
-    return run
+def _parts(basis: DataFrame, side: int) -> DataFrame:
+    """Rows (word, row) stored in parts, as a basis is if it has been stored before."""
+    if "data" in basis.columns:
+        return basis
+    rows = basis.select((F.col("word") % side).alias("part"), "word", "row")
+    dealt = rows.repartitionById(side, F.col("part")).sortWithinPartitions("part", "word")
+    return durable(dealt.mapInArrow(_packed, "part int, seq int, words binary, data binary"), "basis", by="part")
 
 
 def _places(words: np.ndarray, sorted_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,69 +120,43 @@ def _places(words: np.ndarray, sorted_words: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _multiplied(side: int, wide: int):
-    """Of each block the product of its pairs and the part of the basis: (part, seq, copy, words, data)."""
+    """Of a part its words, its rows of the basis, and the product of its pairs and the basis."""
+
+    def stored(files: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, rows = zip(*grid.stored_rows(files, "words", "data"))
+        return np.concatenate([np.frombuffer(some, np.int32) for some in words]), np.concatenate([np.frombuffer(some) for some in rows]).reshape(-1, wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, data, image = None, ([], []), [], None
-        for block, kind, a, b, c in grid.meeting_rows(batches):
-            if kind != grid.PAIRS:
-                words[kind].append(np.frombuffer(a, np.int32))
-                if kind == grid.CONTEXTS:
-                    data.append(np.frombuffer(b).reshape(-1, wide))
-                continue
+        image = None
+        for i, j, own, other, pairs in grid.blocks_met(batches, side):
             if image is None:
-                centers, contexts = (np.concatenate(some) for some in words)
-                order = np.argsort(contexts)
-                centers, contexts, basis = np.sort(centers), contexts[order], np.concatenate(data)[order]
-                data, image = [], np.zeros((len(centers), wide))
-            pairs = np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), np.frombuffer(c)
-            for low in range(0, len(pairs[0]), STEP_PAIRS):
-                center, context, weight = (column[low : low + STEP_PAIRS] for column in pairs)
-                known, places = _places(context, contexts)
-                found, sums = grid.sums(basis[places] * weight[known, None], center[known])
-                image[np.searchsorted(centers, found)] += sums
+                words, rows = stored(own)
+                image = np.zeros(rows.shape)
+            if not pairs or not other:
+                continue
+            contexts, basis = stored(other)
+            for center, context, weight in grid.pairs_met(i, j, pairs, np.float64):
+                for low in range(0, len(center), STEP_PAIRS):
+                    high = low + STEP_PAIRS
+                    known, places = _places(context[low:high], contexts)
+                    found, sums = grid.sums(basis[places] * weight[low:high][known, None], center[low:high][known])
+                    ours, places = _places(found, words)
+                    image[places] += sums[ours]
         if image is not None:
-            part, copy = divmod(int(block), side)
-            for seq, low in enumerate(range(0, len(image), ROW_WORDS)):
-                high = low + ROW_WORDS
-                numbers = {name: pa.array([n], pa.int32()) for name, n in (("part", part), ("seq", seq), ("copy", copy))}
-                yield pa.RecordBatch.from_pydict(
-                    numbers | {"words": [grid.binary(centers[low:high])], "data": [grid.binary(image[low:high])]}
-                )
-
-    return run
-
-
-def _summed(wide: int):
-    """(word, image) of the products of the blocks with the same centers, which come together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in grid.runs(batches, ["part", "seq"], ["words", "data"]):
-            image = sum(np.frombuffer(data) for _, data in held)
-            words = np.frombuffer(held[0][0], np.int32)
-            ends = pa.array(np.arange(len(words) + 1, dtype=np.int32) * wide)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.ListArray.from_arrays(ends, pa.array(image))], names=["word", "image"])
+            for low in range(0, len(words), ROW_WORDS):
+                high = min(low + ROW_WORDS, len(words))
+                ends = pa.array(np.arange(high - low + 1, dtype=np.int32) * wide)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(table[low:high].ravel())) for table in (rows, image)]
+                yield pa.RecordBatch.from_arrays([pa.array(words[low:high]), *lists], names=["word", "row", "image"])
 
     return run
 
 
 def _times(blocks: DataFrame, basis: DataFrame, side: int, wide: int) -> DataFrame:
-    """(word, image): the table, as blocks of pairs, times the basis."""
-    parts = basis.mapInArrow(_packed(side), "part int, seq long, words binary, data binary")
-    part, none = F.col("part"), F.lit(None).cast("binary")
-
-    def sent(kind: int, data: Column) -> Column:
-        numbers = grid.blocks_of(kind, part, side)
-        return F.transform(numbers, lambda block: F.struct(block.alias("block"), F.lit(kind).alias("kind"), data.alias("b")))
-
-    both = F.concat(sent(grid.CENTERS, none), sent(grid.CONTEXTS, F.col("data")))
-    rows = parts.select(F.inline(both), "seq", F.col("words").alias("a"), none.alias("c"))
-    products = grid.meet(
-        rows.select(*blocks.columns).unionByName(blocks), side, _multiplied(side, wide),
-        "part int, seq int, copy int, words binary, data binary",
-    )
-    together = products.repartition("part", "seq").sortWithinPartitions("part", "seq", "copy")
-    return together.mapInArrow(_summed(wide), "word int, image array<double>")
+    """(word, row, image): the basis, and the table, as blocks of pairs, times the basis."""
+    parts = _parts(basis, side)
+    met = grid.plan(side, parts, parts, grid.stored_blocks(blocks, side, np.float64))
+    return grid.meet(met, side, _multiplied(side, wide), "word int, row array<double>, image array<double>")
 
 
 def dense_vectors(
@@ -207,20 +180,22 @@ def dense_vectors(
     if words is None:
         words = entries.select(F.approx_count_distinct("center")).first()[0]
     tasks = table.sparkSession.sparkContext.defaultParallelism
-    side = grid.side_of(words, 8 * (size + EXTRA), tasks)
-    blocks = durable(entries.mapInArrow(grid.pair_blocks(side, np.float64), grid.MEETING), "blocks")
-    centers = blocks.select("a").mapInArrow(_words_of, "word int").distinct()
+    side = grid.parts_of(words, 8 * (size + EXTRA), tasks)
+    blocks = grid.blocks_of(entries, side, np.float64)
+    centers = blocks.select("a", "b").mapInArrow(_words_of, "word int").distinct()
     # The hash of word and column as a number from -1 to 1, so that reruns agree.
     drawn = [(F.xxhash64("word", F.lit(n)) / float(1 << 63)).alias(f"c{n}") for n in range(size + EXTRA)]
     start = durable(centers.select("word", F.array(*drawn).alias("row")), "start")
     turn = _orthonormal(_grams(start, ("row", "row"))[0])
     if not turn.shape[1]:
         return Dense(start.select("word", F.col("row").alias("vec")).limit(0), [], [])
-    basis = durable(_turned(start, "row", turn, "row"), "basis")
+    last, column = start, "row"
     for number in range(rounds):
+        basis = _parts(_turned(last, column, turn, "row"), side)
+        drop(last)
         image = durable(_times(blocks, basis, side, turn.shape[1]), "image")
-        both = basis.join(image, "word")
-        inner, gram = _grams(both, ("row", "image"), ("image", "image"))
+        drop(basis)
+        inner, gram = _grams(image, ("row", "image"), ("image", "image"))
         values, ritz = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-np.abs(values), kind="stable")[:size]
         values, ritz = values[order], ritz[:, order]
@@ -228,8 +203,9 @@ def dense_vectors(
         if number + 1 == rounds or not len(values) or residuals.max() <= tolerance * abs(values[0]):
             break
         turn = _orthonormal(gram)
-        basis = durable(_turned(image, "image", turn, "row"), "basis")
+        last, column = image, "image"
+    drop(blocks)
     kept = np.abs(values) > 1e-9 * np.abs(values).max(initial=0.0)
     scaled = ritz[:, kept] * np.abs(values[kept]) ** power
-    vectors = _turned(basis, "row", scaled, "vec")
+    vectors = _turned(image, "row", scaled, "vec")
     return Dense(vectors, values[kept].tolist(), residuals[kept].tolist())

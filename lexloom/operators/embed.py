@@ -2,8 +2,9 @@
 
 Skip-gram with negative sampling. Windows are counted once: a pair of words weighs as
 much as skip-gram's random windows would give it on average, and each epoch goes over all
-pairs. Vectors lie in parts; a task trains two of them on a block of pairs (see
-`grid`), and copies of a part are averaged after each epoch. Neither the driver
+pairs twice: contexts move while centers are fixed, then centers while contexts are
+fixed. Vectors lie in parts; a task moves one part and reads the others one after
+another (see `grid`), so that vectors are neither copied nor shuffled. Neither the driver
 nor a task holds the model.
 """
 
@@ -19,23 +20,25 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import frames, grid, profile
 from lexloom.operators.store import of_language
-from lexloom.session import durable
+from lexloom.session import drop, durable
 
-# Wrong contexts per pair, contexts drawn for a chunk of pairs, step, power of the frequency by which they are drawn.
+# Wrong contexts per pair, contexts drawn for a step at least, pairs for each that is moved, step, power of the
+# frequency by which they are drawn.
 NEGATIVES = 5
 DRAWN = 32
+DRAW_PAIRS = 128
 RATE = 0.1
 NOISE_POWER = 0.75
-# Words of a part in a row; pairs that move the vectors at once.
+# Words of a part in a row; pairs that move the vectors at once; pairs of a word met side by side with others.
 ROW_WORDS = 1024
-STEP_PAIRS = 2048
+STEP_PAIRS = 8192
+SHORT_RUN = 64
 UNBOUNDED = 2**31 - 1
 _TINY = np.float32(1e-12)
 
 # Columns of a part: the vector, its sum of squared steps, its weight as a wrong context.
 _EXTRA = 2
-_STATE = "kind int, part int, seq int, data binary"
-_COPIES = "kind int, part int, seq int, copy int, data binary, moved binary"
+_STATE = "part int, seq int, data binary"
 
 
 class Trained(NamedTuple):
@@ -47,109 +50,106 @@ def _fields(schema: str) -> pa.Schema:
     return pa.schema([(name, types[kind]) for name, kind in (field.split() for field in schema.split(", "))])
 
 
-def _started(size: int, seed: int):
+def _started(size: int, seed: int, kind: int):
     """First vectors of rows (part, seq, freqs): small random centers, contexts of zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                centers, contexts = np.zeros((2, len(row["freqs"]), size + _EXTRA), np.float32)
-                drawn = np.random.default_rng([seed % 2**63, row["part"], row["seq"]])
-                centers[:, :size] = (drawn.random((len(centers), size)) - 0.5) / size
-                contexts[:, -1] = np.array(row["freqs"], float) ** NOISE_POWER
-                yield grid.record(
-                    [(kind, row["part"], row["seq"], grid.binary(data)) for kind, data in ((grid.CENTERS, centers), (grid.CONTEXTS, contexts))],
-                    _fields(_STATE),
-                )
+                table = np.zeros((len(row["freqs"]), size + _EXTRA), np.float32)
+                if kind == grid.CENTERS:
+                    drawn = np.random.default_rng([seed % 2**63, row["part"], row["seq"]])
+                    table[:, :size] = (drawn.random((len(table), size)) - 0.5) / size
+                else:
+                    table[:, -1] = np.array(row["freqs"], float) ** NOISE_POWER
+                yield grid.record([(row["part"], row["seq"], grid.binary(table))], _fields(_STATE))
 
     return run
 
 
-def _move(table: np.ndarray, moved: np.ndarray, places: np.ndarray, gradient: np.ndarray) -> None:
+def _move(table: np.ndarray, places: np.ndarray, gradient: np.ndarray) -> None:
     """A step along the gradient whose length falls with the steps that a word has made (Adagrad by row)."""
     size = gradient.shape[1]
     squares = table[places, size] + np.einsum("ij,ij->i", gradient, gradient) / size
     table[places, size] = squares
     table[places, :size] += gradient * (RATE / np.sqrt(squares + _TINY))[:, None]
-    moved[places] = 1
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _step(tables: list[np.ndarray], moved: list[np.ndarray], pairs: tuple, wrong: np.ndarray) -> None:
-    """Raise the likelihood of pairs, sorted by center, and lower that of the centers with wrong contexts."""
-    center, context, weight = pairs
-    size = tables[0].shape[1] - _EXTRA
-    starts = np.flatnonzero(np.diff(center, prepend=-1))
-    words, total = center[starts], np.add.reduceat(weight, starts)
-    vectors = tables[0][words, :size]
-    ours = np.repeat(vectors, np.diff(starts, append=len(center)), axis=0)
-    theirs = tables[1][context, :size]
-    pull = (weight * _sigmoid(-np.einsum("ij,ij->i", ours, theirs)))[:, None]
-    others = tables[1][wrong, :size]
-    push = _sigmoid(vectors @ others.T) * (total * np.float32(-NEGATIVES / len(wrong)))[:, None]
-    theirs *= pull
-    ours *= pull
-    up = grid.sums(theirs, center)[1] + push @ others
-    order = np.argsort(context, kind="stable")
-    found, down = grid.sums(ours[order], context[order])
-    places = np.union1d(found, wrong)
+    """In place, as new arrays of this size cost more than the function."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _pulls(vectors: np.ndarray, starts: np.ndarray, sizes: np.ndarray, fixed: np.ndarray, theirs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each vector the gradient of the likelihood of its pairs, a run of `theirs`."""
+    up = np.empty_like(vectors)
+    wide = 1 << np.ceil(np.log2(sizes)).astype(int)
+    for width in np.unique(wide[sizes <= SHORT_RUN]).tolist():
+        some = np.flatnonzero(wide == width)
+        places = np.minimum(np.arange(width), sizes[some, None] - 1) + starts[some, None]
+        near = np.take(fixed, theirs[places], axis=0)
+        strength = np.where(np.arange(width) < sizes[some, None], weight[places], 0)
+        strength *= _sigmoid(-np.einsum("nwd,nd->nw", near, vectors[some]))
+        up[some] = np.einsum("nw,nwd->nd", strength, near)
+    for n in np.flatnonzero(sizes > SHORT_RUN).tolist():
+        run = slice(starts[n], starts[n] + sizes[n])
+        near = np.take(fixed, theirs[run], axis=0)
+        up[n] = (weight[run] * _sigmoid(-(near @ vectors[n]))) @ near
+    return up
+
+
+def _step(kind: int, table: np.ndarray, fixed: np.ndarray, pairs: tuple, noise: np.ndarray, drawn: np.random.Generator) -> None:
+    """Raise the likelihood of pairs, sorted by the words that move, and lower that of the centers with wrong contexts."""
+    ours, theirs, weight = pairs
+    size = fixed.shape[1]
+    starts = np.flatnonzero(np.diff(ours, prepend=-1))
+    words, vectors = ours[starts], table[ours[starts], :size]
+    up = _pulls(vectors, starts, np.diff(starts, append=len(ours)), fixed, theirs, weight)
+    many = DRAWN if kind == grid.CENTERS else max(DRAWN, len(ours) // DRAW_PAIRS)
+    wrong = np.minimum(np.searchsorted(noise, drawn.random(many) * noise[-1], side="right"), len(noise) - 1)
+    share = np.float32(-NEGATIVES / many)
+    if kind == grid.CENTERS:
+        others = fixed[wrong]
+        push = _sigmoid(vectors @ others.T) * (np.add.reduceat(weight, starts) * share)[:, None]
+        _move(table, words, up + push @ others)
+        return
+    centers, times = np.unique(theirs, return_inverse=True)
+    others = fixed[centers]
+    total = np.bincount(times, weight).astype(np.float32)
+    push = _sigmoid(others @ table[wrong, :size].T) * (total * share)[:, None]
+    places = np.union1d(words, wrong)
     gradient = np.zeros((len(places), size), np.float32)
-    gradient[np.searchsorted(places, found)] = down
-    np.add.at(gradient, np.searchsorted(places, wrong), push.T @ vectors)
-    _move(tables[0], moved[0], words, up)
-    _move(tables[1], moved[1], places, gradient)
+    gradient[np.searchsorted(places, words)] = up
+    np.add.at(gradient, np.searchsorted(places, wrong), push.T @ others)
+    _move(table, places, gradient)
 
 
-def _trained(side: int, size: int, seed: int, epoch: int):
-    """Train the parts of a block on its pairs; returns their copies."""
+def _passed(side: int, size: int, seed: int, epoch: int, kind: int):
+    """Move the vectors of a part on all its pairs, while those of the other kind are fixed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, tables, moved, noise, drawn = None, ([], []), [], [], None, None
-        for block, kind, a, b, c in grid.meeting_rows(batches):
-            if kind != grid.PAIRS:
-                held[kind].append(np.frombuffer(a, np.float32).reshape(-1, size + _EXTRA))
-                continue
-            if not tables:
-                tables = [np.concatenate(rows) for rows in held]
-                held = ([], [])
-                moved = [np.zeros(len(table), np.uint8) for table in tables]
-                noise = np.cumsum(tables[1][:, -1], dtype=float)
-                drawn = np.random.default_rng([seed % 2**63, epoch, int(block)])
-            pairs = np.frombuffer(a, np.int32) // side, np.frombuffer(b, np.int32) // side, np.frombuffer(c, np.float32)
-            for low in range(0, len(pairs[0]), STEP_PAIRS):
-                wrong = np.searchsorted(noise, drawn.random(DRAWN) * noise[-1], side="right")
-                _step(tables, moved, tuple(column[low : low + STEP_PAIRS] for column in pairs), wrong)
-        if not tables:
-            tables = [np.concatenate(rows) for rows in held if rows]
-            moved = [np.zeros(len(table), np.uint8) for table in tables]
-        if len(tables) == 2:
-            parts = divmod(int(block), side)
-            for kind, (table, changed) in enumerate(zip(tables, moved)):
-                for seq, low in enumerate(range(0, len(table), ROW_WORDS)):
-                    high = low + ROW_WORDS
-                    row = kind, parts[kind], seq, parts[1 - kind], grid.binary(table[low:high]), grid.binary(changed[low:high])
-                    yield grid.record([row], _fields(_COPIES))
-
-    return run
-
-
-def _averaged(width: int):
-    """Rows of parts from their copies, which come together: the mean of the copies that moved a word."""
+    def stored(files: list[str]) -> np.ndarray:
+        return np.concatenate([np.frombuffer(data, np.float32) for data, in grid.stored_rows(files, "data")]).reshape(-1, size + _EXTRA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in grid.runs(batches, ["kind", "part", "seq"], ["data", "moved"]):
-            first = np.frombuffer(held[0][0], np.float32).reshape(-1, width)
-            total, times = np.zeros(first.shape), np.zeros(len(first))
-            for data, changed in held:
-                moved = np.frombuffer(changed, np.uint8)
-                total += np.frombuffer(data, np.float32).reshape(-1, width) * moved[:, None]
-                times += moved
-            still = times == 0
-            total[still], times[still] = first[still], 1
-            yield grid.record([(*key, grid.binary((total / times[:, None]).astype(np.float32)))], _fields(_STATE))
+        table = None
+        for i, j, own, other, pairs in grid.blocks_met(batches, side):
+            if table is None:
+                table, drawn = stored(own), np.random.default_rng([seed % 2**63, epoch, kind, i])
+            if not pairs:
+                continue
+            fixed = stored(other)
+            noise = np.cumsum((fixed if kind == grid.CENTERS else table)[:, -1], dtype=float)
+            fixed = np.ascontiguousarray(fixed[:, :size])
+            for ours, theirs, weight in grid.pairs_met(i, j, pairs, np.float32):
+                chunk = ours // side, theirs // side, weight
+                for low in range(0, len(ours), STEP_PAIRS):
+                    _step(kind, table, fixed, tuple(column[low : low + STEP_PAIRS] for column in chunk), noise, drawn)
+        if table is not None:
+            for seq, low in enumerate(range(0, len(table), ROW_WORDS)):
+                yield grid.record([(i, seq, grid.binary(table[low : low + ROW_WORDS]))], _fields(_STATE))
 
     return run
 
@@ -182,8 +182,8 @@ def train_vectors(
 ) -> Trained:
     """Skip-gram vectors of a tokenised corpus (doc_id, language, tokens).
 
-    At least `partitions` blocks of pairs train in parallel and are averaged after
-    each pass; one per core unless given. Reruns with the same number agree. Every
+    At least `partitions` parts of the vectors train in parallel; one per core unless
+    given. Reruns with the same number agree. Every
     token that occurs `min_count` times has a vector; rarer ones are left out before
     windows are taken, and lists are cut after `max_sentence` of the others.
     """
@@ -199,26 +199,27 @@ def train_vectors(
         lists = lists.where(F.size("tokens") > 0).select(F.explode(cut).alias("tokens"))
     words, width = index.count(), size + _EXTRA
     tasks = spark.sparkContext.defaultParallelism if partitions is None else partitions
-    side = grid.side_of(words, 4 * width, tasks)
-    pairs = durable(frames.near_pairs(lists, window).mapInArrow(grid.pair_blocks(side, np.float32), grid.MEETING), "pairs")
+    side = grid.parts_of(words, 4 * width, tasks)
+    blocks = grid.blocks_of(frames.near_pairs(lists, window), side, np.float32)
     place = F.floor(F.col("word") / side)
     numbered = index.join(frequent.withColumnRenamed("token", "_token"), F.col("token").eqNullSafe(F.col("_token"))).select(
         "word", "freq", (F.col("word") % side).alias("part"), F.floor(place / ROW_WORDS).cast("int").alias("seq")
     )
     rows = numbered.groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("word", "freq"))).alias("words"))
-    state = durable(rows.select("part", "seq", F.col("words.freq").alias("freqs")).mapInArrow(_started(size, seed), _STATE), "vectors")
-    none = F.lit(None).cast("binary")
+    rows = rows.select("part", "seq", F.col("words.freq").alias("freqs"))
+    tables = [
+        grid.stored_parts(rows.mapInArrow(_started(size, seed, kind), _STATE), side, "seq")
+        for kind in (grid.CENTERS, grid.CONTEXTS)
+    ]
     for epoch in range(epochs):
-        blocks = F.when(F.col("kind") == grid.CENTERS, grid.blocks_of(grid.CENTERS, F.col("part"), side)).otherwise(
-            grid.blocks_of(grid.CONTEXTS, F.col("part"), side)
-        )
-        sent = state.select(
-            F.explode(blocks).alias("block"), "kind", F.col("seq").cast("long"), F.col("data").alias("a"), none.alias("b"), none.alias("c")
-        )
-        copies = grid.meet(sent.unionByName(pairs), side, _trained(side, size, seed, epoch), _COPIES)
-        together = copies.repartition("kind", "part", "seq").sortWithinPartitions("kind", "part", "seq", "copy")
-        state = durable(together.mapInArrow(_averaged(width), _STATE), "vectors")
-    vectors = state.where(F.col("kind") == grid.CENTERS).mapInArrow(_unpacked(side, size), "word int, vec array<double>")
+        for kind in (grid.CONTEXTS, grid.CENTERS):
+            met = grid.plan(side, tables[kind], tables[1 - kind], blocks)
+            moved = durable(grid.meet(met, side, _passed(side, size, seed, epoch, kind), _STATE), "parts", by="part")
+            drop(tables[kind])
+            tables[kind] = moved
+    drop(blocks)
+    drop(tables[grid.CONTEXTS])
+    vectors = tables[grid.CENTERS].mapInArrow(_unpacked(side, size), "word int, vec array<double>")
     return Trained(index.join(vectors, "word").select("token", "vec"))
 
 

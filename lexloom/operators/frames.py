@@ -192,8 +192,8 @@ def _sliced(window: int, near: bool = False):
     return run
 
 
-def _summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(center, context, n) both ways of the rows of `_sliced`, which come slice by slice."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pair, n) of each slice, sorted, from the rows of `_sliced`, which come slice by slice."""
     place, held = None, []
     for batch in batches:
         places = batch.column("slice").to_numpy()
@@ -202,20 +202,36 @@ def _summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if low == high:
                 continue
             if held and places[low] != place:
-                yield _both_ways(held)
+                yield _summed(held)
                 held = []
             place = places[low]
             held.append([batch.column(name).slice(low, high - low).flatten().to_numpy().copy() for name in ("pair", "n")])
     if held:
-        yield _both_ways(held)
+        yield _summed(held)
 
 
-def _both_ways(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+def _summed(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     pair, times = (np.concatenate(column) for column in zip(*parts))
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     starts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
-    pair, n = pair[starts], np.add.reduceat(times[order], starts) if len(starts) else times
+    return pair[starts], np.add.reduceat(times[order], starts) if len(starts) else times
+
+
+def _summed_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low, high, n) of the rows of `_sliced`."""
+    for pair, n in _slices(batches):
+        low, high = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"low": low, "high": high, "n": n})
+
+
+def _summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(center, context, n) both ways of the rows of `_sliced`."""
+    for pair, n in _slices(batches):
+        yield _both_ways(pair, n)
+
+
+def _both_ways(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     low, high = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
     # Two equal tokens are each other's context, which is twice the same pair.
     other = low != high
@@ -268,10 +284,9 @@ def numbered_lists(tokenised: DataFrame, frequent: DataFrame) -> tuple[DataFrame
     return index, _regrouped(rows, "word").select("tokens")
 
 
-def _pair_sums(lists: DataFrame, window: int, near: bool = False) -> DataFrame:
+def _dealt_slices(lists: DataFrame, window: int, near: bool = False) -> DataFrame:
     counts = lists.mapInArrow(_sliced(window, near), "slice int, pair array<long>, n array<long>")
-    dealt = counts.repartition("slice").sortWithinPartitions("slice")
-    return dealt.mapInArrow(_summed_slices, "center int, context int, n long")
+    return counts.repartition("slice").sortWithinPartitions("slice")
 
 
 def near_pairs(lists: DataFrame, window: int) -> DataFrame:
@@ -279,7 +294,7 @@ def near_pairs(lists: DataFrame, window: int) -> DataFrame:
 
     This is `window` times what windows of a random size up to `window` count on average.
     """
-    return _pair_sums(lists, window, near=True)
+    return _mirrored(_dealt_slices(lists, window, near=True).mapInArrow(_summed_once, "low int, high int, n long"))
 
 
 def numbered_pairs(
@@ -292,7 +307,7 @@ def numbered_pairs(
     for each chunk and slice of the pairs, and a slice is summed at once.
     """
     index, lists = numbered_lists(tokenised, frequent)
-    return index, durable(_pair_sums(lists, window), "pairs")
+    return index, durable(_dealt_slices(lists, window).mapInArrow(_summed_slices, "center int, context int, n long"), "pairs")
 
 
 def named_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Windows, counts, neighbours and training against plain Python."""
 
+import glob
 import math
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import embed, frames, grid, pivots, profile, similarity
+from lexloom.session import drop, durable
 
 RNG = random.Random(7)
 WORDS = [f"w{n}" for n in range(12)]
@@ -320,6 +324,40 @@ def test_training_leaves_the_model_off_the_driver(spark, monkeypatch):
     assert {len(vec) for _, vec in embed.vectors_of(trained).collect()} == {6}
 
 
+def test_training_makes_each_part_once(spark, monkeypatch):
+    """A pass over the pairs makes every vector once: no copies of parts, whose bytes would grow with the square of the words."""
+    made, meet = [], grid.meet
+
+    def counted(rows, side, run, schema):
+        found = meet(rows, side, run, schema)
+        made.append((schema, found.select(F.sum(F.length("data"))).first()[0]))
+        return found
+
+    monkeypatch.setattr(grid, "meet", counted)
+    trained = embed.train_vectors(topics(spark, 40), size=6, min_count=2, epochs=2, partitions=4)
+    words = embed.vectors_of(trained).count()
+    assert len(made) == 4 and {size for _, size in made} == {words * 8 * 4}
+
+
+def test_results_kept_leave_no_shuffle_files(spark):
+    """Shuffle files go with the step that made them, and tables that are used up can be dropped."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for top in disk.localDirsString() for f in glob.glob(f"{top}/*/shuffle_*")}
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    earlier = held()
+    stored = durable(spark.range(1000).repartition(4, "id"), "shuffled")
+    assert len(stored.collect()) == 1000
+    until = time.time() + 10
+    while held() - earlier and time.time() < until:
+        time.sleep(0.2)
+    assert not [f for f in held() - earlier if f.endswith(".data")]
+    files = [f.removeprefix("file://") for f in stored.inputFiles()]
+    assert all(map(os.path.exists, files))
+    drop(stored)
+    assert not any(map(os.path.exists, files))
+
+
 def test_lists_are_cut(spark, monkeypatch):
     """Lists are cut after rare words have left."""
     seen, counted = [], frames.near_pairs
