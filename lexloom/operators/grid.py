@@ -10,17 +10,15 @@ parts of a table of words and a chunk of pairs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import durable, files_by
+from lexloom.session import durable, file_system, files_by
 
 # Bytes of a part in a task, pairs in a row of a block, pairs sorted at once.
 PART_BYTES = 64 * 1024 * 1024
@@ -192,7 +190,7 @@ def blocks_met(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[tuple]:
 def stored_rows(files: list[str], *names: str) -> Iterator[tuple]:
     """Bytes of columns of stored rows."""
     for file in files:
-        system, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", file))
+        system, path = file_system(file)
         with system.open_input_file(path) as opened:
             for batch in pq.ParquetFile(opened).iter_batches(_READ_ROWS, columns=list(names)):
                 columns = [batch.column(name) for name in names]

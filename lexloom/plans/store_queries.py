@@ -154,13 +154,11 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
     """`pages` as one raw file each, ingested again."""
     path = scratch_path(spark, "raw")
     pages = model.table(spark, sf, "pages").select("page_id", "html")
-    # A number of its own keeps small partitions apart: the work is one file a page, however short. Tasks also
-    # move their files into place themselves; else the driver moves one folder a page, one after another.
+    # A number of its own keeps small partitions apart: the work is one file a page, however short.
     tasks = max(3 * spark.sparkContext.defaultParallelism, pages.count() // PAGES_PER_TASK)
-    committing = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
-    pages.repartition(tasks, "page_id").write.options(**committing).partitionBy("page_id").text(path)
+    corpus.write_files(pages, path, "page_id", "html", tasks)
     files = corpus.ingest_files(spark, path, pattern="*.txt")
-    page = F.regexp_extract("url", "page_id=([0-9]+)/", 1).cast("long")
+    page = F.regexp_extract("url", r"page_id=(-?[0-9]+)\.txt$", 1).try_cast("long")
     return files.select(page.alias("page_id"), content_hash(F.col("content")).alias("hash"), "size")
 
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import decoded
 from lexloom.operators.store import of_language
 from lexloom.schema import MAX_FILE_BYTES
+from lexloom.session import file_system, stored_bytes
+
+# Bytes of files read by a task; splits of the file source, of a few files each, at most.
+TASK_BYTES = 32 * 1024 * 1024
+TASK_SPLITS = 256
 
 
 def corpus_frame(source: DataFrame, language: str | None = None) -> DataFrame:
@@ -53,6 +63,63 @@ def read_jdbc(
     return corpus_frame(reader.option("dbtable", "code").load(), language)
 
 
+def _written(folder: str, prefix: str):
+    """Write the lines of each key, which come together, into a file; counts the files."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch.column("key").to_pylist(), batch.column("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = file_system(folder)
+        task = TaskContext.get()
+        path, many = f"{path}/part-{task.partitionId():05d}", 0
+        for key, rows in groupby(lines(batches), lambda row: row[0]):
+            if not many:
+                system.create_dir(path, recursive=True)
+            # Written under a name of this attempt, so that the file of another attempt is never cut.
+            name, own = f"{path}/{prefix}{key}.txt", f"{path}/_{task.taskAttemptId()}"
+            with system.open_output_stream(own) as out:
+                for _, text in rows:
+                    if text.is_valid:
+                        out.write(text.as_buffer())
+                    out.write(b"\n")
+            try:
+                system.move(own, name)
+            except OSError:
+                # Some stores don't replace files: another attempt has written the same one.
+                if not system.get_file_info(name).is_file:
+                    raise
+                system.delete_file(own)
+            many += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([many], pa.int64())})
+
+    return run
+
+
+def write_files(rows: DataFrame, path: str, key: str, text: str, tasks: int) -> int:
+    """Each key as a raw file `part-*/{key}=*.txt` that holds its texts as lines; returns how many files.
+
+    A folder for each task and files written as they are: Spark's writer needs a folder for each key and, on
+    local disks, a process for the mode of each folder and file.
+    """
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    dealt = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).repartition(tasks, "key")
+    written = dealt.sortWithinPartitions("key", "text").mapInArrow(_written(folder.toString(), f"{key}="), "files long")
+    return sum(row["files"] for row in written.collect())
+
+
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """A scan of files in tasks of some size: to the file source a file counts as 4 MB at least, so that short ones make many splits."""
+    splits = files.rdd.getNumPartitions()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(3 * cores, stored_bytes(files) // TASK_BYTES, splits // TASK_SPLITS)
+    return files.coalesce(tasks) if tasks < splits else files
+
+
 def ingest_files(
     spark: SparkSession,
     path: str,
@@ -75,7 +142,7 @@ def ingest_files(
     )
     if cap:
         files = files.where(F.col("length") <= 4 * cap + 4)
-    text = files.select(
+    text = _few_tasks(files).select(
         F.col("path").alias("url"), decoded(F.col("content"), F.lit(charset)).alias("content")
     ).withColumn("size", F.octet_length("content").cast("long"))
     if cap:

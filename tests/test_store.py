@@ -1,5 +1,7 @@
 """Corpus store semantics on small frames."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +364,21 @@ def test_raw_files_are_written_by_many_tasks(spark, tmp_path):
     found = store_queries.s08(spark, str(tmp_path))
     assert len({path.rsplit("part-", 1)[1][:5] for path in found.inputFiles()}) > 1
     assert {row.page_id: row.size for row in found.where("page_id < 60").collect()} == {n: len(h) + 1 for n, h in rows[:60]}
+
+
+def test_raw_files_lie_in_few_folders_and_are_read_by_few_tasks(spark, tmp_path):
+    """Work grows with the pages and not with folders, processes or tasks for each of them; a repeated page is one file."""
+    rows = [(n, f"<p>{n}</p>") for n in range(120)] + [(7, "<p>7</p>"), (200, "\u00e9\nx"), (None, "a"), (-3, "b"), (201, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = store_queries.s08(spark, str(tmp_path))
+        got = {row.page_id: (row.hash, row.size) for row in found.collect()}
+        cores = spark.sparkContext.defaultParallelism
+        assert len({path.rsplit("/", 1)[0] for path in found.inputFiles()}) <= 3 * cores
+        assert found.rdd.getNumPartitions() <= 3 * cores < len(found.inputFiles()) == 124
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    texts = {n: html + "\n" for n, html in rows if html} | {7: "<p>7</p>\n" * 2, 201: "\n"}
+    assert got == {n: (hashlib.sha1(t.encode()).hexdigest(), len(t.encode())) for n, t in texts.items()}
