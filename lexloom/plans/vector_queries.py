@@ -13,7 +13,7 @@ from lexloom.plans import model
 from lexloom.plans.model import PROSE_KEYWORDS, quoted, with_frames
 from lexloom.plans.registry import query
 from lexloom.plans.token_queries import benchmark_tokens
-from lexloom.session import durable
+from lexloom.session import drop, durable
 
 MIN_COUNT = 10
 WINDOW = 5
@@ -27,7 +27,9 @@ def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Words and pair counts of the prose tokens without rare ones."""
     tokenised = durable(model.prose_tokens(spark, sf), "tokens")
     frequent = durable(profile.frequent_tokens(profile.token_rows(tokenised), MIN_COUNT), "frequent")
-    return frames.numbered_pairs(tokenised, frequent, WINDOW)
+    found = frames.numbered_pairs(tokenised, frequent, WINDOW)
+    drop(tokenised)
+    return found
 
 
 _PAIR_FRAMES = {
@@ -252,6 +254,7 @@ def e04_dense(spark: SparkSession, sf: str) -> DataFrame:
     index, pairs = _pairs(spark, sf)
     weights = frames.positive_pmi(pairs).withColumnRenamed("ppmi", "weight")
     found = dense.dense_vectors(weights, DENSE, rounds=DENSE_ROUNDS, words=index.count())
+    drop(pairs)
     return index.join(found.vectors, "word").select("token", "vec")
 
 

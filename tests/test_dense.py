@@ -83,6 +83,29 @@ def test_table_times_basis_in_blocks(spark, monkeypatch):
     np.testing.assert_allclose([found[int(n)] for n in numbers], matrix @ basis, rtol=1e-12)
 
 
+def test_pairs_are_kept_one_way_and_never_shuffled_again(spark, monkeypatch):
+    """A round sends names of files to its tasks; the pairs lie in the files once, and each word comes back once."""
+    matrix = drawn(np.linspace(9, 1, 40))
+    kept, met = [], []
+    stored, meet = grid.stored_blocks, grid.meet
+
+    def stored_once(*args):
+        found = stored(*args)
+        kept.append(sum(len(row.a) // 4 for row in found.collect()))
+        return found
+
+    def counted(rows, side, run, schema):
+        found = meet(rows, side, run, schema)
+        met.append((rows.columns, rows.count() == 3 * side * side, found.count()))
+        return found
+
+    monkeypatch.setattr(grid, "stored_blocks", stored_once)
+    monkeypatch.setattr(grid, "meet", counted)
+    found = dense.dense_vectors(table_of(spark, matrix), 4, rounds=2, tolerance=0.0)
+    assert found.vectors.count() == 40 and set(kept) == {40 * 41 // 2}
+    assert met == [(["block", "kind", "files"], True, 40)] * 2
+
+
 @pytest.mark.parametrize("tasks, words, want", [(1, 10, 1), (8, 10, 4), (12, 10, 6), (8, 1_000_000, 12)])
 def test_side_of_blocks(tasks, words, want):
     assert grid.side_of(words, 804, tasks) == want
