@@ -177,7 +177,8 @@ def _sliced(window: int, near: bool = False):
             pair = counts.column("low").to_numpy().astype(np.int64) << 32 | counts.column("high").to_numpy()
             place = (pair * _SPREAD).view(np.uint64) >> np.uint64(40)
             place = (place % np.uint64(PAIR_SLICES)).astype(np.int32)
-            order = np.argsort(place, kind="stable")
+            # Numbers of two bytes are sorted by their digits, which is faster.
+            order = np.argsort(place.astype(np.uint16), kind="stable")
             starts = np.flatnonzero(np.diff(place[order], prepend=-1))
             ends = pa.array(np.append(starts, len(order)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(

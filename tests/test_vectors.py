@@ -339,6 +339,19 @@ def test_training_makes_each_part_once(spark, monkeypatch):
     assert len(made) == 4 and {size for _, size in made} == {words * 8 * 4}
 
 
+def test_gradient_of_runs():
+    """Runs of pairs of any length, met side by side or one by one, give the gradient of single pairs."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 2, 3, 7, 64, 65, 200, 1, 5])
+    vectors, fixed = rng.normal(size=(len(sizes), 6)).astype(np.float32), rng.normal(size=(40, 6)).astype(np.float32)
+    theirs, weight = rng.integers(0, 40, sizes.sum()), rng.integers(1, 9, sizes.sum()).astype(np.float32)
+    want = np.zeros((len(sizes), 6))
+    for n, other, times in zip(np.repeat(np.arange(len(sizes)), sizes), theirs, weight):
+        want[n] += times * fixed[other] / (1 + math.exp(fixed[other] @ vectors[n]))
+    got = embed._pulls(vectors, np.cumsum(sizes) - sizes, sizes, fixed, theirs, weight)
+    np.testing.assert_allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
 def test_results_kept_leave_no_shuffle_files(spark):
     """Shuffle files go with the step that made them, and tables that are used up can be dropped."""
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
